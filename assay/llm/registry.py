@@ -5,12 +5,16 @@ from .mixing import op5_mixing
 from .packing import op9_packing
 from .pii import op1_pii
 from .simhash import op7_simhash
+from .substring import op8_substring
+from .suffix import op3_suffix_array
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_suffix_array": op3_suffix_array,
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
+    "op8_substring": op8_substring,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -148,7 +148,8 @@ def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp``, enough of them to join what is joined."""
     bytes_of = [F.shiftright("fp", 8 * (7 - i)).bitwiseAND(F.lit(255)) for i in range(8)]
     keys = [F.struct(F.lit(c).alias("c"), sum((F.shiftleft(bytes_of[p], 8 * i) for i, p in enumerate(chosen)), F.lit(0)).cast("long").alias("v")) for c, chosen in enumerate(combinations(range(8), SHARED))]
-    postings = prints.select("fp", F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members"), F.count("*").alias("n")).filter("n > 1")
+    few = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are light, but each makes 28
+    postings = prints.repartition(few, "fp").select("fp", F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members"), F.count("*").alias("n")).filter("n > 1")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -45,7 +45,7 @@ class Fingerprints:
     """Prefix sums from which the hash of any substring of ``symbols`` follows."""
 
     def __init__(self, symbols: np.ndarray, base: int, most: int):
-        up, self.down = _powers(base, most)
+        up, self.down = _powers(base, 1 << max(18, int(most).bit_length()))
         self.sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
         np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
 
