@@ -150,10 +150,14 @@ def pack(cut: DataFrame) -> DataFrame:
     return numbered.join(placed, "pid").drop("pid")
 
 
-def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Pieces of all rows of ``docs`` (doc_id, text) and their places; ``path`` names the vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    out = pack(pieces(table(spark, sf_dir, "documents"), path))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(pieces(docs, path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))

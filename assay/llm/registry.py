@@ -1,20 +1,29 @@
 """The queries of this package and their SQL."""
 
+import corpus_pipeline
+
+from .ann import op6_ann
 from .langid import op4_langid
+from .licenses import OP10_SQL, op10_licenses
 from .mixing import op5_mixing
 from .packing import op9_packing
 from .pii import op1_pii
 from .simhash import op7_simhash
 from .substring import op8_substring
 from .suffix import op3_suffix_array
+from .vectors import op2_embedding_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_suffix_array": op3_suffix_array,
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
+    "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
     "op8_substring": op8_substring,
     "op9_packing": op9_packing,
+    "op10_licenses": op10_licenses,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_licenses": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

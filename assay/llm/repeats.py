@@ -158,7 +158,7 @@ class Bitmap:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
 
         parts = rows.select(column).mapInArrow(fold, "at long, bits long")
-        found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
         self.bits = np.zeros(1 << BITS - 6, dtype=np.uint64)
         self.bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
         self.shared = rows.sparkSession.sparkContext.broadcast(self.bits)
