@@ -151,7 +151,7 @@ def _assign(rows: DataFrame, model, way: str) -> DataFrame:
 def _blocks(rows: DataFrame, sizes: dict[int, int], name: str) -> DataFrame:
     """Rows of a list in blocks of about BLOCK, as (list, ids, vectors)."""
     parts = rows.sparkSession.createDataFrame([(k, max(1, -(-n // BLOCK))) for k, n in sizes.items()], "list int, parts int")
-    dealt = rows.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), "parts"))
+    dealt = rows.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), "parts"))
     grouped = dealt.groupBy("list", "part").agg(F.collect_list(F.struct("vec_id", "vector")).alias(name))
     return grouped.select("list", name)
 
