@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from ..scratch import saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,3 +36,20 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         state = now
+
+
+def numbered(parts: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, component, number): every node with its component, components numbered in order of their least node.
+
+    Nodes without an edge are components of one. The numbering sorts component ids, one row each.
+    """
+    out = nodes.select(key).join(parts.withColumnRenamed("id", key), key, "left")
+    return out.select(key, F.coalesce("component", key).alias("component"))
+
+
+def traceability(span: F.Column, text: F.Column) -> F.Column:
+    """How a quoted span is found: ``exact``, ``segmented`` (its parts between ellipses in order) or ``untraceable``."""
+    parts = F.filter(F.transform(F.split(span, r"\.\.\.|…"), F.trim), lambda p: p != "")
+    # the place after each part, 0 once one is missing
+    place = F.aggregate(parts, F.lit(1), lambda at, p: F.when((at > 0) & (F.call_function("locate", p, text, at) > 0), F.call_function("locate", p, text, at) + F.length(p)).otherwise(F.lit(0)))
+    return F.when(F.contains(text, span), "exact").when((F.size(parts) > 1) & (place > 0), "segmented").otherwise("untraceable")
