@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import raw_texts, runs, saved, table
-from .graph import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 PIECE = 1 << 20

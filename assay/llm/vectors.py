@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import saved, table, with_row_id
-from .graph import components
 
 LEAST_COSINE, RECALL = 0.9, 0.98
 COUNTED, COUNT_RECALL = 64, 0.999
