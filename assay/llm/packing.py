@@ -104,9 +104,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bounded rest, longest first, into the first bin with room."""
-    rest = pd.concat(list(batches))
-    if not len(rest):
+    parts = list(batches)
+    if not parts:
         return
+    rest = pd.concat(parts)
     rest = rest.sort_values(["length", "pid"], ascending=[False, True])
     room: list[int] = []
     first = 0
