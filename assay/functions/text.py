@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Word characters of every script; ``\\w`` would be ASCII only here.
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Articles that answer normalisation drops.
-ARTICLES = r"\b(a|an|the)\b"
+ARTICLES = ("a", "an", "the")
 
 
 def tokens(text: Column) -> Column:
@@ -17,13 +17,13 @@ def tokens(text: Column) -> Column:
 
 
 def answer_tokens(text: Column) -> Column:
-    """Tokens of a normalised answer: lower case, no articles, punctuation as space."""
-    return F.filter(F.split(normal_answer(text), " "), lambda t: t != "")
+    """Tokens of a normalised answer: lower case, punctuation as space, no articles."""
+    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " ")
+    return F.filter(F.split(plain, r"\s+"), lambda t: (t != "") & ~t.isin(*ARTICLES))
 
 
 def normal_answer(text: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), ARTICLES, " "), r"[^\p{L}\p{N}_\s]", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.array_join(answer_tokens(text), " ")
 
 
 def squeezed(text: Column) -> Column:

@@ -113,13 +113,19 @@ def pair_auroc(results: DataFrame) -> DataFrame:
     return wins.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
 
 
-def risk_coverage(results: DataFrame, key: str) -> DataFrame:
-    """(k, coverage, risk): error rate of the k most confident rows, ties by key."""
-    order = Window.orderBy(F.desc("confidence"), key)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    k = F.row_number().over(order).cast("long")
-    n = F.count("*").over(Window.partitionBy())
-    return results.select(key, k.alias("k"), (k / n).alias("coverage"), (F.sum((~F.col("correct")).cast("double")).over(run) / k).alias("risk"))
+def risk_coverage(results: DataFrame, key: str, cells: int = 1000) -> DataFrame:
+    """(key, k, coverage, risk): error rate of the k most confident rows, ties by key.
+
+    Running sums are taken within cells of confidence and offset by those of the cells above.
+    """
+    rows = results.select(key, "confidence", (~F.col("correct")).cast("double").alias("wrong"), bin_of(F.col("confidence"), cells).alias("cell"))
+    per = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("wrong").alias("w"))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    start = per.select("cell", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(above), F.lit(0.0)).alias("w0"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    order = Window.partitionBy("cell").orderBy(F.desc("confidence"), key)
+    ranked = rows.withColumns({"i": F.row_number().over(order), "run": F.sum("wrong").over(order.rowsBetween(Window.unboundedPreceding, 0))}).join(start, "cell")
+    k = (F.col("n0") + F.col("i")).cast("long")
+    return ranked.select(key, k.alias("k"), (k / F.col("all")).alias("coverage"), ((F.col("w0") + F.col("run")) / k).alias("risk"))
 
 
 def pairs_of(a: str, b: str) -> list[Column]:

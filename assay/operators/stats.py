@@ -112,7 +112,7 @@ def temperature(results: DataFrame, grid: int = 160, low: float = 0.05, high: fl
     return by.agg(F.min(F.struct("nll", "i", "temperature")).alias("m")).select(F.col("m.temperature").alias("temperature"), F.col("m.nll").alias("nll"))
 
 
-def platt(results: DataFrame, l2: float = 1e-3, rounds: int = 60) -> tuple[float, float]:
+def platt(results: DataFrame, l2: float = 1e-3, rounds: int = 100) -> tuple[float, float]:
     """Slope and intercept of correct on the logit of confidence, by Newton steps.
 
     Each step is one aggregate of five sums over distinct confidences; the driver solves two equations.
@@ -132,7 +132,8 @@ def platt(results: DataFrame, l2: float = 1e-3, rounds: int = 60) -> tuple[float
             haa, hab, hbb = s[2] / s[5] + l2, s[3] / s[5], s[4] / s[5] + l2
             det = haa * hbb - hab * hab
             da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-            a, b = a - da, b - db
+            scale = 1 / max(1.0, abs(da) + abs(db))  # far from the optimum a full step overshoots
+            a, b = a - scale * da, b - scale * db
             if abs(da) + abs(db) < 1e-10:
                 break
     finally:

@@ -174,7 +174,7 @@ def pair_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Undirected pair detection by status: gold pairs are an order's parts on consecutive lines, predicted ones
     those where both lines are returned or both are not."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     both = lines.select("l_orderkey", F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"), "l_returnflag", F.lead("l_returnflag").over(order).alias("f2"), "l_linestatus")
     both = both.filter("b is not null").withColumn("id", F.concat_ws("/", "l_orderkey", "l_linestatus"))
     counts = m.pair_counts(both.filter("l_returnflag = f2").select("id", F.col("b").alias("a"), F.col("a").alias("b")), both.filter("l_linestatus = 'F'").select("id", "a", "b"), "id")
@@ -193,8 +193,12 @@ _ANSWERS = """answers AS (
     FROM conversations) WHERE role = 'user' AND next_role = 'assistant')"""
 
 
+def _words(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
+
+
 def _normal(c: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\b(a|an|the)\b', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+    return f"array_to_string({_words(c)}, ' ')"
 
 
 def _caps(c: str) -> str:
@@ -232,14 +236,14 @@ QUERIES = {
 ORACLES = {
     "m2_exact_match": f"WITH {_ANSWERS} SELECT count(*) AS n, round(avg(({_normal('question')} = {_normal('answer')})::INT), 6) AS em FROM answers",
     "m3_token_f1": f"""WITH {_ANSWERS},
-toks AS (SELECT qa_id, list_filter(string_split({_normal('question')}, ' '), lambda t: t <> '') AS a, list_filter(string_split({_normal('answer')}, ' '), lambda t: t <> '') AS b FROM answers),
+toks AS (SELECT qa_id, {_words('question')} AS a, {_words('answer')} AS b FROM answers),
 sides AS (SELECT qa_id, unnest(a) AS t, 1 AS x, 0 AS y FROM toks UNION ALL SELECT qa_id, unnest(b), 0, 1 FROM toks),
 counts AS (SELECT qa_id, t, sum(x) AS x, sum(y) AS y FROM sides GROUP BY 1, 2),
 sums AS (SELECT qa_id, sum(x) AS x, sum(y) AS y, sum(least(x, y)) AS c FROM counts GROUP BY 1)
 SELECT qa_id, round(CASE WHEN x IS NULL THEN 1 WHEN x = 0 OR y = 0 OR c = 0 THEN 0 ELSE 2.0::DOUBLE * c / (x + y) END, 6)::DOUBLE AS f1 FROM toks LEFT JOIN sums USING (qa_id)""",
     "m9_pair_detection": """WITH pairs AS (
   SELECT l_orderkey || '/' || l_linestatus AS id, least(a, b) AS lo, greatest(a, b) AS hi, f1 = f2 AS predicted, l_linestatus = 'F' AS gold FROM (
-    SELECT l_orderkey, l_linestatus, l_partkey AS a, lead(l_partkey) OVER w AS b, l_returnflag AS f1, lead(l_returnflag) OVER w AS f2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+    SELECT l_orderkey, l_linestatus, l_partkey AS a, lead(l_partkey) OVER w AS b, l_returnflag AS f1, lead(l_returnflag) OVER w AS f2 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
   WHERE b IS NOT NULL),
 p AS (SELECT DISTINCT id, lo, hi, true AS in_p FROM pairs WHERE predicted), g AS (SELECT DISTINCT id, lo, hi, true AS in_g FROM pairs WHERE gold),
 sums AS (SELECT count(*) FILTER (WHERE in_p AND in_g) AS tp, count(*) FILTER (WHERE in_g IS NULL) AS fp, count(*) FILTER (WHERE in_p IS NULL) AS fn FROM p FULL JOIN g USING (id, lo, hi))

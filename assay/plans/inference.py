@@ -146,9 +146,9 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ignored_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Consecutive parts of an order of which no supplier-one line cites either."""
+    """Consecutive parts of an order of which no large line cites either."""
     lines = _table(spark, sf, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     pairs = lines.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b")).filter("b is not null")
     cited = lines.filter("l_quantity >= 45").select(F.col("l_partkey").alias("id"))
     return control.ignored(pairs.distinct(), cited).select("a", "b")
@@ -178,7 +178,7 @@ def merged_report(spark: SparkSession, sf: str) -> DataFrame:
     by = parts.groupBy("doc_id").agg(F.count("*").alias("times"))
     asked = _table(spark, sf, "labels").select("doc_id", F.lit(1).alias("asked"))
     both = asked.join(by, "doc_id", "full")
-    return both.agg(F.count_if(F.col("times").isNull()).alias("missing"), F.count_if("times > 1").alias("doubled"), F.count_if(F.col("asked").isNull()).alias("unknown"), F.count("*").alias("ids"))
+    return both.agg(F.count_if(F.col("times").isNull()).alias("missing"), F.count_if(F.col("times") > 1).alias("doubled"), F.count_if(F.col("asked").isNull()).alias("unknown"), F.count("*").alias("ids"))
 
 
 def group_deltas(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +317,7 @@ SELECT CASE WHEN c = 0 THEN 'low' WHEN c <= 2 THEN 'medium' ELSE 'high' END AS c
   count(*) AS n, round(avg(total), 6) AS total FROM uncertain GROUP BY 1""",
     "u16_verdicts": """WITH c AS (SELECT l_orderkey AS order_id, count(*) FILTER (WHERE l_returnflag = 'A') AS supported, count(*) FILTER (WHERE l_returnflag = 'R') AS refuted, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT order_id, CASE WHEN refuted > 0 THEN 'refuted' WHEN supported = n THEN 'supported' ELSE 'not_enough_info' END AS status, supported, refuted, n - supported - refuted AS open FROM c""",
-    "u17_ignored_conflicts": """WITH pairs AS (SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM lineitem) WHERE b IS NOT NULL),
+    "u17_ignored_conflicts": """WITH pairs AS (SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS b FROM lineitem) WHERE b IS NOT NULL),
 cited AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity >= 45)
 SELECT a, b FROM pairs WHERE a NOT IN (SELECT id FROM cited) AND b NOT IN (SELECT id FROM cited)""",
     "p2_merged_report": f"""WITH {_RESULTS}, t AS (SELECT doc_id, count(*) AS times FROM results GROUP BY 1)

@@ -49,7 +49,7 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("id"),
         source.alias("source"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
-        F.round(evidence.clamp(F.col("o_totalprice") / 400000), 6).alias("relevance"),
+        F.round(evidence.clamp(F.col("o_totalprice") / 500000), 8).alias("relevance"),
         F.col("o_custkey").alias("topic"),
     )
     return rows.withColumns({"credibility": evidence.credibility(F.col("source")), "recency": F.round(evidence.recency(F.col("date"), AS_OF), 6)})
@@ -64,7 +64,7 @@ def recency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.round(evidence.combined(F.col("credibility"), F.col("recency"), F.col("relevance")), 6)
+    score = F.round(evidence.combined(F.col("credibility"), F.col("recency"), F.col("relevance")), 9)
     return _evidence(spark, sf).select("id", score.alias("score")).filter("score >= 0.3")
 
 
@@ -86,21 +86,21 @@ def graph_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Edges join an order with the customer's next one: support if both have the same status, conflict if not."""
     orders = _table(spark, sf, "orders")
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    edges = orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(order).alias("b"), (F.col("o_orderstatus") == F.lead("o_orderstatus").over(order)).alias("support"), F.round(F.col("o_totalprice") / 500000, 6).alias("confidence"))
+    edges = orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(order).alias("b"), (F.col("o_orderstatus") == F.lead("o_orderstatus").over(order)).alias("support"), F.round(F.col("o_totalprice") / 500000, 8).alias("confidence"))
     scored = evidence.graph_scores(_evidence(spark, sf), edges.filter("b is not null"))
-    return scored.select("id", F.round("support", 6).alias("support"), F.round("conflict", 6).alias("conflict"), F.round("score", 6).alias("score"))
+    return scored.select("id", F.round("support", 6).alias("support"), F.round("conflict", 9).alias("conflict"), F.round("score", 9).alias("score"))
 
 
 def ranked_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The three best pieces of evidence for each topic."""
-    score = F.round(evidence.combined(F.col("credibility"), F.col("recency"), F.col("relevance")), 6)
+    score = F.round(evidence.combined(F.col("credibility"), F.col("recency"), F.col("relevance")), 9)
     order = Window.partitionBy("topic").orderBy(F.desc("score"), "id")
     rows = _evidence(spark, sf).withColumn("score", score).withColumn("rank", F.row_number().over(order).cast("long"))
     return rows.filter("rank <= 3").select("topic", "rank", "id", "score")
 
 
 def claim_slots(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.round(evidence.combined(F.col("credibility"), F.col("recency"), F.col("relevance")), 6)
+    score = F.round(evidence.combined(F.col("credibility"), F.col("recency"), F.col("relevance")), 9)
     rows = _evidence(spark, sf).select("topic", "id", score.alias("score"), (F.col("relevance") > 0.9).alias("conflict"))
     return evidence.claim_slots(rows, "topic", "id", "conflict").select("topic", "id", "score")
 
@@ -234,8 +234,8 @@ _EVIDENCE = f"""evidence AS (
   SELECT *, CASE WHEN regexp_matches(lower(source), '{evidence.HIGH}') THEN 0.9 WHEN regexp_matches(lower(source), '{evidence.MEDIUM}') THEN 0.7 ELSE 0.5 END::DOUBLE AS credibility,
     round(greatest(0, least(1, greatest(0.5::DOUBLE, 1.0::DOUBLE - ({AS_OF} - year(date::DATE)) * 0.1::DOUBLE))), 6) AS recency
   FROM (SELECT o_orderkey AS id, o_orderpriority || CASE o_orderkey % 5 WHEN 0 THEN ' nature' WHEN 1 THEN ' blog' ELSE '' END AS source,
-          strftime(o_orderdate, '%Y-%m-%d') AS date, round(greatest(0, least(1, o_totalprice / 400000)), 6) AS relevance, o_custkey AS topic, o_orderstatus AS kind FROM orders))"""
-_SCORE = "round(0.4::DOUBLE * credibility + 0.3::DOUBLE * recency + 0.3::DOUBLE * relevance, 6)"
+          strftime(o_orderdate, '%Y-%m-%d') AS date, round(greatest(0, least(1, o_totalprice / 500000)), 8) AS relevance, o_custkey AS topic, o_orderstatus AS kind FROM orders))"""
+_SCORE = "round(0.4::DOUBLE * credibility + 0.3::DOUBLE * recency + 0.3::DOUBLE * relevance, 9)"
 _FIXED = r"""
 bodies AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 windows AS (SELECT doc_id, text, list_transform(range(0, length(text), 448), lambda i: substring(text, i + 1, 512)) AS ws FROM bodies),
@@ -297,11 +297,11 @@ ORACLES = {
     "e6_exact_dedup": r"SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1",
     "e8_ranked_evidence": f"WITH {_EVIDENCE} SELECT topic, rank, id, score FROM (SELECT topic, id, {_SCORE} AS score, row_number() OVER (PARTITION BY topic ORDER BY {_SCORE} DESC, id) AS rank FROM evidence) WHERE rank <= 3",
     "e9_graph_scores": f"""WITH {_EVIDENCE},
-edges AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, o_orderstatus = lead(o_orderstatus) OVER w AS support, round(o_totalprice / 500000, 6) AS confidence FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+edges AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, o_orderstatus = lead(o_orderstatus) OVER w AS support, round(o_totalprice / 500000, 8) AS confidence FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 ends AS (SELECT a AS id, support, confidence FROM edges WHERE b IS NOT NULL UNION ALL SELECT b, support, confidence FROM edges WHERE b IS NOT NULL),
 per AS (SELECT id, avg(support::INT) AS s, avg(confidence) FILTER (WHERE NOT support) AS c FROM ends GROUP BY 1)
-SELECT id, round(coalesce(s, 0.5), 6) AS support, round(coalesce(c, 0.0), 6) AS conflict,
-  round(greatest(0, least(1, 0.3::DOUBLE * credibility + 0.2::DOUBLE * recency + 0.3::DOUBLE * relevance + 0.1::DOUBLE * coalesce(s, 0.5) - 0.1::DOUBLE * coalesce(c, 0.0))), 6) AS score FROM evidence LEFT JOIN per USING (id)""",
+SELECT id, round(coalesce(s, 0.5), 6) AS support, round(coalesce(c, 0.0), 9) AS conflict,
+  round(greatest(0, least(1, 0.3::DOUBLE * credibility + 0.2::DOUBLE * recency + 0.3::DOUBLE * relevance + 0.1::DOUBLE * coalesce(s, 0.5) - 0.1::DOUBLE * coalesce(c, 0.0))), 9) AS score FROM evidence LEFT JOIN per USING (id)""",
     "e13_claim_slots": f"WITH {_EVIDENCE} SELECT topic, id, score FROM (SELECT topic, id, relevance, {_SCORE} AS score, row_number() OVER (PARTITION BY topic ORDER BY {_SCORE} DESC, id) AS r FROM evidence) WHERE r <= 6 OR relevance > 0.9",
     "x1_number_features": r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS numbers, len(regexp_extract_all(text, '[A-Z]{2,}')) AS acronyms FROM documents",
     "x8_claim_types": f"SELECT {_TYPE} AS claim_type, count(*) AS n FROM (SELECT line, lower(line) AS low FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1",
