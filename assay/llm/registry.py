@@ -6,6 +6,7 @@ from .ann import op6_ann
 from .langid import op4_langid
 from .licenses import OP10_SQL, op10_licenses
 from .mixing import op5_mixing
+from .oracles import OP1_SQL, OP2_SQL, OP3_SQL, OP8_SQL
 from .packing import op9_packing
 from .pii import op1_pii
 from .simhash import op7_simhash
@@ -26,4 +27,12 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op10_licenses": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES = {
+    "op1_pii": OP1_SQL,
+    "op2_embedding_dedup": OP2_SQL,
+    "op3_suffix_array": OP3_SQL,
+    "op8_substring": OP8_SQL,
+    "op10_licenses": OP10_SQL,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
