@@ -94,6 +94,50 @@ def numeric_ratio(a: Column, b: Column) -> Column:
     return F.get(F.filter(ratios, lambda r: r > RATIO), F.lit(0))
 
 
+def definition(text: Column) -> Column:
+    """What follows ``defined as`` or ``refers to``, to the end of its clause; null without one."""
+    found = F.trim(F.regexp_extract(text, r"(?:defined as|refers to)\s+([^.;,]+)", 1))
+    return F.when(found != "", found)
+
+
+def reach(text: Column) -> Column:
+    """How wide a claim reaches: global, regional or narrow."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"\b(global|worldwide|everywhere)\b"), "global").when(low.rlike(r"\b(region|regional|national|country)\b"), "regional").when(low.rlike(r"\b(local|only|some|single)\b"), "narrow")
+
+
+def grain(text: Column) -> Column:
+    """How fine a claim measures: fine or coarse."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"\b(daily|hourly|monthly|per day|per month)\b"), "fine").when(low.rlike(r"\b(yearly|annual|annually|decade|overall)\b"), "coarse")
+
+
+def optional_rules(x: str = "x", y: str = "y") -> Column:
+    """The rules that are off unless asked for: reach, grain, and a gap in the sources' rank with a negation."""
+    cx, cy = F.lower(f"{x}.claim"), F.lower(f"{y}.claim")
+    edge = lambda kind, confidence, severity: F.struct(F.lit(kind).alias("conflict_type"), F.lit(confidence).alias("confidence"), F.lit(severity).alias("severity"))
+    return F.coalesce(
+        F.when(reach(cx) != reach(cy), edge("scope_conflict", 0.65, "medium")),
+        F.when(grain(cx) != grain(cy), edge("granularity_conflict", 0.5, "low")),
+        F.when((F.abs(F.col(f"{x}.source_rank") - F.col(f"{y}.source_rank")) >= 2) & (cx.rlike(NEGATION) != cy.rlike(NEGATION)), edge("source_conflict", 0.55, "medium")),
+    )
+
+
+def self_refuting(claims: DataFrame) -> DataFrame:
+    """Claims that take back what they report: an edge from a claim to itself."""
+    low = F.lower("claim")
+    hit = low.rlike(r"\b(claimed|reported|said|alleged)\b.*\bbut\b.*\b(actually|in fact|false|not true|incorrect)\b")
+    return claims.filter(hit).select(F.col("claim_id").alias("source_id"), F.col("claim_id").alias("target_id"), F.lit("refute").alias("conflict_type"), F.lit(0.72).alias("confidence"), F.lit("high").alias("severity"))
+
+
+def focused(edges: DataFrame, claims: DataFrame, question: str) -> DataFrame:
+    """Edges of which an end names an entity or a year of the question; all of them where it names none."""
+    asked = F.array_union(F.transform(entities(F.lit(question)), F.lower), years(F.lit(question)))
+    about = claims.select("claim_id", F.arrays_overlap(F.concat(F.transform("entities", F.lower), "times"), asked).alias("hit"))
+    ends = edges.join(about.withColumnsRenamed({"claim_id": "source_id", "hit": "s"}), "source_id", "left").join(about.withColumnsRenamed({"claim_id": "target_id", "hit": "t"}), "target_id", "left")
+    return ends.filter(F.col("s") | F.col("t") | (F.size(asked) == 0)).select(*edges.columns)
+
+
 def rules(x: str = "x", y: str = "y") -> Column:
     """struct(conflict_type, confidence, severity) of the first rule that holds for a pair that shares an entity, or null."""
     cx, cy = F.lower(f"{x}.claim"), F.lower(f"{y}.claim")
@@ -105,10 +149,12 @@ def rules(x: str = "x", y: str = "y") -> Column:
     milestone = r"found|pass|effective|launch|publish"
     scope = (any_of(cx, BROAD) & any_of(cy, NARROW)) | (any_of(cy, BROAD) & any_of(cx, NARROW))
     causal = any_of(cx, CAUSAL) & any_of(cy, CAUSAL)
+    defined_x, defined_y = definition(cx), definition(cy)
     return F.coalesce(
         F.when(ratio.isNotNull(), edge("numeric_conflict", F.least(F.lit(0.9), 0.5 + (ratio - RATIO) / 2), F.when(ratio > SEVERE, "high").otherwise("medium"))),
         F.when(dated & cx.rlike(milestone) & cy.rlike(milestone), edge("temporal_conflict", F.lit(0.7), F.lit("medium"))),
         F.when(scope, edge("scope_conflict", F.lit(0.75), F.lit("high"))),
+        F.when(defined_x.isNotNull() & defined_y.isNotNull() & (defined_x != defined_y), edge("definitional_conflict", F.lit(0.6), F.lit("medium"))),
         F.when(causal & negated, edge("causal_conflict", F.lit(0.6), F.lit("high"))),
         F.when(negated & (close >= 0.3), edge("refute", F.lit(0.75), F.lit("high"))),
         F.when(close >= SUPPORT_SHARED, edge("support", F.round(F.least(F.lit(0.95), close), 3), F.lit("low"))),

@@ -143,3 +143,71 @@ def pair_counts(predicted: DataFrame, gold: DataFrame, by: str) -> DataFrame:
         F.count_if(F.col("in_g").isNull()).alias("fp"),
         F.count_if(F.col("in_p").isNull()).alias("fn"),
     )
+
+
+def soft_tokens(text: Column) -> Column:
+    """Numbers, Latin words and bigrams of Han runs of a normalised answer."""
+    low = F.lower(text)
+    latin = F.regexp_extract_all(low, F.lit(r"[0-9]+(?:\.[0-9]+)?%?|[a-z]+(?:-[a-z]+)*"), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.regexp_extract_all(r, F.lit("(?=(..))"), F.lit(1)))))
+    return F.concat(latin, pairs)
+
+
+def row_bag_f1(a: Column, b: Column) -> Column:
+    """Multiset F1 of two short arrays inside the row: both empty 1, one empty 0."""
+    common, n, m = bag_common(a, b), F.size(a), F.size(b)
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (common == 0), 0.0).otherwise(2.0 * common / (n + m))
+
+
+def soft_f1(predicted: Column, reference: Column) -> Column:
+    """1 if the reference is contained once both are stripped to letters and digits, else the F1 of soft tokens."""
+    strip = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    p, r = strip(predicted), strip(reference)
+    return F.when((p == "") & (r == ""), 1.0).when((p == "") | (r == ""), 0.0).when(F.contains(p, r), 1.0).otherwise(row_bag_f1(soft_tokens(predicted), soft_tokens(reference)))
+
+
+def citation_scores(cited: Column, required: Column) -> tuple[Column, Column, Column]:
+    """Precision over all citations made, recall over the distinct required ones (1 if none), F1."""
+    good = F.size(F.filter(cited, lambda c: F.array_contains(required, c))).cast("double")
+    p = ratio(good, F.size(cited))
+    r = ratio(F.size(F.array_intersect(cited, required)).cast("double"), F.size(F.array_distinct(required)), 1.0)
+    return p, r, f1(p, r)
+
+
+def ranking_scores(hits: DataFrame, gold: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(query, rr, ndcg, retrieved, relevant, found) for every query of ``hits`` or ``gold``.
+
+    The ideal gain counts as many documents as are relevant and retrieved at most; nDCG is 1 without a relevant one.
+    """
+    marked = hits.join(gold.select(query, doc).distinct().withColumn("good", F.lit(1)), [query, doc], "left")
+    by = marked.groupBy(query).agg(
+        F.coalesce(1.0 / F.min(F.when(F.col("good") == 1, F.col("rank"))), F.lit(0.0)).alias("rr"),
+        F.coalesce(F.sum(F.when(F.col("good") == 1, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"),
+        F.count("*").alias("retrieved"),
+        F.count("good").alias("found"),
+    )
+    both = by.join(gold.groupBy(query).agg(F.countDistinct(doc).alias("relevant")), query, "full").fillna(0)
+    places = F.when(F.least("relevant", "retrieved") > 0, F.sequence(F.lit(1), F.least("relevant", "retrieved").cast("int"))).otherwise(F.array().cast("array<int>"))
+    ideal = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    ndcg = F.when(F.col("relevant") == 0, 1.0).when(ideal == 0, 0.0).otherwise(F.col("dcg") / ideal)
+    return both.select(query, "rr", ndcg.alias("ndcg"), "retrieved", "relevant", "found")
+
+
+def type_accuracy(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """Share of gold pairs (a, b, kind) whose prediction (a, b, kind, seq) names the kind; the last one of a pair counts; 1 without gold."""
+    last = predicted.select(*pairs_of("a", "b"), "kind", "seq").groupBy("lo", "hi").agg(F.max_by("kind", "seq").alias("said"))
+    both = gold.select(*pairs_of("a", "b"), "kind").join(last, ["lo", "hi"], "left")
+    return both.agg(F.coalesce(F.avg(F.coalesce(F.col("said") == F.col("kind"), F.lit(False)).cast("double")), F.lit(1.0)).alias("accuracy"))
+
+
+def false_rate(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """Share of predicted pairs that no gold pair matches; 0 without a prediction."""
+    p, g = predicted.select(*pairs_of("a", "b")).distinct(), gold.select(*pairs_of("a", "b")).distinct().withColumn("real", F.lit(1))
+    return p.join(g, ["lo", "hi"], "left").agg(F.coalesce(F.avg(F.col("real").isNull().cast("double")), F.lit(0.0)).alias("rate"))
+
+
+def unsupported_rate(claims: DataFrame, support: DataFrame, key: str) -> DataFrame:
+    """Share of claims without any support; 0 without a claim."""
+    marked = claims.select(key).join(support.select(key).distinct().withColumn("backed", F.lit(1)), key, "left")
+    return marked.agg(F.coalesce(F.avg(F.col("backed").isNull().cast("double")), F.lit(0.0)).alias("rate"))

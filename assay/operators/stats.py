@@ -149,3 +149,29 @@ def thresholds(rows: DataFrame, probability: str, label: str) -> DataFrame:
     out = by.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), all_p.alias("all"))
     out = out.withColumn("fn", F.col("all") - F.col("tp"))
     return out.select("threshold", "tp", "fp", "fn", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("all")).alias("recall"), (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
+
+
+def grouped_platt(results: DataFrame, by: str, least: int = 20) -> dict[str, tuple[float, float]]:
+    """Slope and intercept of each group of at least ``least`` rows with both outcomes, and of all under ``*``."""
+    out = {"*": platt(results)}
+    sizes = results.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("y"))
+    for row in sizes.filter((F.col("n") >= least) & (F.col("y") > 0) & (F.col("y") < 1)).collect():  # a row for each group
+        out[row[by]] = platt(results.filter(F.col(by) == row[by]))
+    return out
+
+
+def gates(checks: list[tuple[str, bool]], spark) -> DataFrame:
+    """(gate, passed, promoted): named gates of a promotion, all of which must hold."""
+    rows = spark.createDataFrame(checks, "gate string, passed boolean")
+    return rows.withColumn("promoted", F.bool_and("passed").over(Window.partitionBy()))
+
+
+def quota_split(groups: DataFrame, key: str, by: str, shares: tuple[tuple[str, float], ...] = (("validation", 0.15), ("test", 0.15), ("train", 0.7))) -> DataFrame:
+    """``groups`` with ``split``: each stratum's groups in order of their sha1 fill validation, then test, then train."""
+    order = Window.partitionBy(by).orderBy(F.sha1(F.col(key).cast("string")))
+    share = (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy(by))
+    out, upto, split = groups.withColumn("__p", share), 0.0, None
+    for name, part in shares[:-1]:
+        upto += part
+        split = F.when(F.col("__p") < upto, name) if split is None else split.when(F.col("__p") < upto, name)
+    return out.withColumn("split", split.otherwise(shares[-1][0])).drop("__p")
