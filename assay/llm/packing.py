@@ -14,8 +14,10 @@ A null text is empty and has the end id alone. Repeated rows are packed each.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,36 +30,70 @@ from .common import saved, table
 
 CAPACITY, END = 2048, 1
 SMALL, WASTE = 64, 0.03
-MEMO = 400_000
+MEMO = 600_000
 PIECES_A_SLOT = 20_000
 #: White space that splits words here but not in the tokenizer.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Words that Unicode normalisation leaves alone, and how the vocabulary splits them once in lower case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Byte-level vocabularies write a byte that is no printable character as a character from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_END = END.to_bytes(4, "little")
+
+
+class _Memo(dict):
+    """Remembers what ``make`` returns; a hit costs one look-up."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
 
 
 class Encoder:
-    """Ids of whole texts by a vocabulary whose tokens never span white space; words are remembered."""
+    """Ids of whole texts, as little-endian 32-bit bytes, by a vocabulary whose tokens never span white space.
+
+    Words are remembered. A new word of plain letters, digits and signs is lower-cased and split
+    by the vocabulary's own rule here, and only its model is asked, once for each part; any other word goes
+    through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        split = [None if t and any(s in t for s in _SEPARATORS) else (t or "").split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in memo})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4")
-        end = np.array([END], dtype="<u4")
-        return [
-            np.concatenate([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4") if words is None else np.concatenate([memo[w] for w in words] or [end[:0]]), end])
-            for t, words in zip(texts, split, strict=True)
-        ]
+        self.model = self.tokenizer.model
+        self.words, self.parts = _Memo(self.word), _Memo(self.part)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or "<|" in word:  # a special token, maybe
+            return self.whole(word)
+        parts = _SPLIT.findall(word.lower())
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        for text in texts:
+            if len(self.words) > MEMO:
+                self.words.clear()
+                self.parts.clear()
+            if not text:
+                yield _END
+            elif any(s in text for s in _SEPARATORS):
+                yield self.whole(text) + _END
+            else:
+                yield b"".join(map(self.words.__getitem__, text.split())) + _END
 
 
 def class_of(length: int, capacity: int = CAPACITY) -> int:
@@ -88,16 +124,15 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 part = b.slice(low, 256)
-                own, columns = [], ([], [], [], [])
-                for i, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    start = 0
-                    raw = ids.tobytes()
-                    for length in cuts(len(ids)):
+                own, rows = [], []
+                for i, raw in enumerate(encoder.encode(part.column(1).to_pylist())):
+                    start, n = 0, len(raw) // 4
+                    for length in cuts(n):
                         own.append(i)
-                        for c, v in zip(columns, (start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(ids)), strict=True):
-                            c.append(v)
+                        rows.append((start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n))
                         start += length
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                columns = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *map(pa.array, columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return kept.mapInArrow(scan, f"doc_id {dict(kept.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
 
