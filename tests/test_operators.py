@@ -247,3 +247,72 @@ def test_actions(spark):
     assert [act(0.8, 0.0, 0.0, 0), act(0.5, 0.9, 0.9, 3), act(0.5, 0.9, 0.9, 0), act(0.5, 0.1, 0.9, 0), act(0.5, 0.1, 0.1, 0), act(0.1, 0.1, 0.1, 0)] == [
         "abstain", "proceed", "resolve_conflict", "retrieve_more", "refine", "proceed",
     ]
+
+
+def test_citation_scores(spark):
+    cited, required = F.array(*[F.lit(x) for x in ("a", "a", "b")]), F.array(F.lit("a"), F.lit("c"))
+    p, r, _ = metrics.citation_scores(cited, required)
+    assert (round(one(spark, p), 6), one(spark, r)) == (0.666667, 0.5)
+
+
+def test_soft_f1(spark):
+    f = lambda p, r: one(spark, metrics.soft_f1(F.lit(p), F.lit(r)))
+    assert f("The answer is 42 km.", "42 KM") == 1.0
+    assert f("", "") == 1.0 and f("a", "") == 0.0
+    assert math.isclose(f("red car fast", "red bike"), 2 * 1 / 5)
+    assert f("北京大学好", "北京大学") == 1.0
+
+
+def test_ranking_scores(spark):
+    hits = spark.createDataFrame([("q", 1, 1), ("q", 2, 2), ("q", 3, 3), ("p", 1, 1)], "query_id string, doc_id int, rank int")
+    gold = spark.createDataFrame([("q", 2), ("q", 9), ("z", 1)], "query_id string, doc_id int")
+    got = {r["query_id"]: r for r in metrics.ranking_scores(hits, gold).collect()}
+    want = (1 / math.log2(3)) / (1 + 1 / math.log2(3))
+    assert got["q"]["rr"] == 0.5 and math.isclose(got["q"]["ndcg"], want)
+    assert got["p"]["ndcg"] == 1.0 and got["z"]["ndcg"] == 0.0
+
+
+def test_type_accuracy_takes_the_last(spark):
+    p = spark.createDataFrame([("b", "a", "x", 1), ("a", "b", "y", 2)], "a string, b string, kind string, seq int")
+    g = spark.createDataFrame([("a", "b", "y"), ("c", "d", "x")], "a string, b string, kind string")
+    assert metrics.type_accuracy(p, g).first()["accuracy"] == 0.5
+    assert metrics.type_accuracy(p, g.limit(0)).first()["accuracy"] == 1.0
+    assert metrics.false_rate(p, g).first()["rate"] == 0.0 and metrics.false_rate(p.limit(0), g).first()["rate"] == 0.0
+
+
+def test_definitions_differ(spark):
+    edges = conflict.detect(claims(spark, "In Oslo a tram is defined as a rail vehicle.", "In Oslo a tram is defined as any public transport."))
+    assert [r["conflict_type"] for r in edges.collect()] == ["definitional_conflict"]
+
+
+def test_self_refuting(spark):
+    got = conflict.self_refuting(claims(spark, "Acme claimed a record year but that was actually false.", "Acme had a record year in sales."))
+    assert [r["source_id"] for r in got.collect()] == ["e0#0"]
+
+
+def test_focus(spark):
+    every = claims(spark, "Acme sold 1200 cars in total.", "Acme sold 1500 cars in total.", "Zeta sold 10 cars in total.", "Zeta sold 90 cars in total.")
+    edges = conflict.detect(every)
+    assert edges.count() == 2
+    assert {r["source_id"] for r in conflict.focused(edges, every, "How many did Zeta sell?").collect()} == {"e2#0"}
+    assert conflict.focused(edges, every, "how many?").count() == 2
+
+
+def test_optional_rules(spark):
+    rows = spark.createDataFrame([("Sales grew worldwide.", 1, "Sales grew in one region.", 1), ("Daily sales grew.", 1, "Annual sales grew.", 1), ("Sales grew.", 3, "Sales never grew.", 1)], "a string, ra int, b string, rb int")
+    pairs = rows.select(F.struct(F.col("a").alias("claim"), F.col("ra").alias("source_rank")).alias("x"), F.struct(F.col("b").alias("claim"), F.col("rb").alias("source_rank")).alias("y"))
+    assert [r["k"] for r in pairs.select(conflict.optional_rules()["conflict_type"].alias("k")).collect()] == ["scope_conflict", "granularity_conflict", "source_conflict"]
+
+
+def test_quota_split(spark):
+    got = stats.quota_split(spark.range(100).withColumn("s", F.lit("x")), "id", "s").groupBy("split").count()
+    assert {r["split"]: r["count"] for r in got.collect()} == {"validation": 15, "test": 15, "train": 70}
+
+
+def test_gates(spark):
+    assert [r["promoted"] for r in stats.gates([("f1", True), ("leak", False)], spark).collect()] == [False, False]
+
+
+def test_ignored_conflicts(spark):
+    conflicts = spark.createDataFrame([(1, 2), (3, 4)], "a int, b int")
+    assert [(r["a"], r["b"]) for r in control.ignored(conflicts, spark.createDataFrame([(2,)], "id int")).collect()] == [(3, 4)]

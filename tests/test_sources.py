@@ -94,3 +94,25 @@ def test_latest_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("latest").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["id"]: r["v"] for r in spark.table("latest").collect()} == {1: "b", 2: "c"}
+
+
+def test_saved_index_finds_the_same(spark, tmp_path):
+    from assay.operators import retrieval
+    from assay.sources import index
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index.save(docs, str(tmp_path / "index"))
+    got = index.search(index.load(spark, str(tmp_path / "index")), asked, 5)
+    assert sorted(map(str, got.collect())) == sorted(map(str, retrieval.bm25(docs, asked, 5).collect()))
+
+
+def test_public_readers(spark, tmp_path):
+    from assay.sources import public
+
+    (tmp_path / "f.jsonl").write_text(json.dumps({"id": 7, "claim": "c", "label": "SUPPORTS"}) + "\n")
+    assert public.fever(spark, str(tmp_path / "f.jsonl")).first().asDict() == {"question_id": "7", "claim": "c", "label": "supports"}
+    (tmp_path / "h.json").write_text(json.dumps([{"_id": "q", "question": "?", "answer": "!", "context": [["T", ["one.", "two."]], ["U", ["three."]]], "supporting_facts": [["T", 0]]}]))
+    questions, docs = public.hotpot(spark, str(tmp_path / "h.json"))
+    assert questions.first()["titles"] == ["T"]
+    assert {r["title"]: r["text"] for r in docs.collect()} == {"T": "one. two.", "U": "three."}
