@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import squeezed
+from ..scratch import saved
 
 # Names in a source that raise its credibility.
 HIGH = "nature|science|cell|nejm|lancet|arxiv|pnas|acm|ieee"
@@ -47,24 +48,23 @@ def exact_dedup(rows: DataFrame, text: str, score: str, tie: str) -> DataFrame:
     return rows.join(best.select(tie), tie, "left_semi")
 
 
-def greedy_dedup(rows: DataFrame, links: DataFrame, key: str, score: str, component: DataFrame) -> DataFrame:
-    """Keep rows in order of score unless linked to one kept before: greedy within each linked component.
+def greedy_dedup(rows: DataFrame, links: DataFrame, key: str, score: str) -> DataFrame:
+    """Keep rows in order of score (ties by key) unless linked (a, b) to one kept before.
 
-    ``links`` (a, b), ``component`` (id, component). Rows without a link are kept without leaving the JVM.
+    Decided in rounds over the links alone: what no open link precedes is kept, what it is linked to is dropped.
+    Groups are never gathered, and rows without a link are not touched.
     """
-    ranked = rows.select(F.col(key).alias("id"), F.col(score).alias("score")).join(component, "id")
-    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
-    grouped = ranked.join(near.withColumnRenamed("a", "id"), "id")
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        for row in part.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            if kept.isdisjoint(row.near):
-                kept.add(row.id)
-        return pd.DataFrame({"id": sorted(set(part["id"]) - kept)})
-
-    dropped = grouped.groupBy("component").applyInPandas(choose, "id long")
-    return rows.join(dropped, rows[key] == dropped["id"], "left_anti")
+    rank = rows.select(F.col(key).alias("id"), F.struct(-F.col(score), F.col(key)).alias("rank"))
+    ends = links.join(rank.withColumnsRenamed({"id": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"id": "b", "rank": "rb"}), "b")
+    first = F.col("ra") < F.col("rb")
+    edges = saved(ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct(), "links")
+    dropped = edges.select(F.col("b").alias("id")).limit(0)
+    while not edges.isEmpty():
+        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = saved(edges.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
+        dropped = dropped.unionByName(out)
+        edges = saved(edges.join(kept, "a", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti"), "links")
+    return rows.join(dropped.withColumnRenamed("id", key), key, "left_anti")
 
 
 def graph_scores(evidence: DataFrame, edges: DataFrame) -> DataFrame:

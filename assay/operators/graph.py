@@ -38,11 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def numbered(parts: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """(key, component, number): every node with its component, components numbered in order of their least node.
-
-    Nodes without an edge are components of one. The numbering sorts component ids, one row each.
-    """
+def labelled(parts: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, component): every node with the least node of its component, itself where it has no edge."""
     out = nodes.select(key).join(parts.withColumnRenamed("id", key), key, "left")
     return out.select(key, F.coalesce("component", key).alias("component"))
 

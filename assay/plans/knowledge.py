@@ -75,11 +75,7 @@ def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def semantic_dedup(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    links = evidence.cosine_pairs(vectors, 0.92)
-    parts = graph.components(links)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    component = ends.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return evidence.greedy_dedup(vectors, links, "id", "label", component).select("id", "label")
+    return evidence.greedy_dedup(vectors, evidence.cosine_pairs(vectors, 0.92), "id", "label").select("id", "label")
 
 
 def graph_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +191,7 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
     parts = graph.components(_links(spark, sf))
-    return graph.numbered(parts, _table(spark, sf, "documents"), "doc_id").select("doc_id", "component")
+    return graph.labelled(parts, _table(spark, sf, "documents"), "doc_id").select("doc_id", "component")
 
 
 def component_sizes(spark: SparkSession, sf: str) -> DataFrame:

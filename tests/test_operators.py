@@ -169,10 +169,16 @@ def test_exact_dedup_keeps_the_best(spark):
 
 
 def test_greedy_dedup(spark):
-    rows = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.7), (4, 0.1)], "id long, score double")
-    links = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
-    parts = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, component long")
-    assert sorted(r["id"] for r in evidence.greedy_dedup(rows, links, "id", "score", parts).collect()) == [1, 3, 4]
+    scores = {i: (i * 7) % 11 for i in range(30)}
+    pairs = [(i, j) for i in range(30) for j in range(i) if (i * j) % 5 == 1]
+    kept = set()
+    for i in sorted(scores, key=lambda i: (-scores[i], i)):
+        if not any((max(i, k), min(i, k)) in pairs for k in kept):
+            kept.add(i)
+    rows = spark.createDataFrame(list(scores.items()), "id long, score long")
+    got = evidence.greedy_dedup(rows, spark.createDataFrame(pairs, "a long, b long"), "id", "score")
+    assert {r["id"] for r in got.collect()} == kept
+    assert evidence.greedy_dedup(rows, spark.createDataFrame([], "a long, b long"), "id", "score").count() == 30
 
 
 def claims(spark, *texts):
