@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import saved
 
@@ -17,10 +18,23 @@ SPACES = b" \t\n\v\f\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: Rows of an Arrow batch of texts: texts are long, and a worker holds a batch in several forms at once.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over rows with texts; from then on the session hands Python at most BATCH_ROWS rows at once."""
+    conf = rows.sparkSession.conf
+    if int(conf.get(_BATCH)) > BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
+    return rows.mapInArrow(work, schema)
+
+
 def with_row_id(docs: DataFrame, key: str, *columns: str) -> DataFrame:
     """``columns`` with a unique long ``rid``: the key itself where it is unique and never null.
 

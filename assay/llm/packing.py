@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, table
+from .common import map_texts, saved, table
 
 CAPACITY, END = 2048, 1
 SMALL, WASTE = 64, 0.03
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 columns = np.array(rows, dtype=np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *map(pa.array, columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return kept.mapInArrow(scan, f"doc_id {dict(kept.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_texts(kept, scan, f"doc_id {dict(kept.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

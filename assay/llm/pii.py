@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
@@ -122,7 +122,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans_of(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, fields)], ["doc_id", "spans"])
 
-    return kept.mapInArrow(scan, f"doc_id {dict(kept.dtypes)['doc_id']}, spans {SPAN}")
+    return map_texts(kept, scan, f"doc_id {dict(kept.dtypes)['doc_id']}, spans {SPAN}")
 
 
 def mask(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -135,7 +135,7 @@ def mask(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFra
             columns[at] = pa.array([masked(t.as_py(), least) for t in columns[at]], pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_texts(docs, scan, docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

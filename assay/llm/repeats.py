@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, saved
+from .common import map_texts, raw_texts, saved
 from .windows import BASES, PIECE, Fingerprints, byte_values, mix, segments
 
 BLOCK = 16
@@ -136,7 +136,7 @@ def anchors(docs: DataFrame, unit: Unit, among: "Bitmap | None" = None) -> DataF
                         columns = [c[keep] for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "kind", "rid", "pos", "near", "far"])
 
-    return docs.select("rid", "text").mapInArrow(scan, SEGMENT)
+    return map_texts(docs.select("rid", "text"), scan, SEGMENT)
 
 
 def held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -180,7 +180,7 @@ def _with_texts(docs: DataFrame, requests: DataFrame, fields: tuple[str, ...]) -
         for b in batches:
             yield b.filter(pa.array(held(bits.value, b.column(0).to_numpy())))
 
-    return docs.select("rid", "text").mapInArrow(pick, "rid long, text string").join(asked, "rid")
+    return map_texts(docs.select("rid", "text"), pick, "rid long, text string").join(asked, "rid")
 
 
 def _hashes(rows: DataFrame, unit: Unit, work: Callable, fields: tuple[str, ...], schema: str) -> DataFrame:
@@ -205,7 +205,7 @@ def _hashes(rows: DataFrame, unit: Unit, work: Callable, fields: tuple[str, ...]
                             got["rid"] = np.full(len(got["pos"]), rid[t])
                             yield pa.RecordBatch.from_arrays([pa.array(got[n]) for n in names], names)
 
-    return rows.mapInArrow(scan, schema)
+    return map_texts(rows, scan, schema)
 
 
 def _blocks(unit: Unit) -> Callable:
@@ -291,7 +291,7 @@ def rewritten(docs: DataFrame, spans: DataFrame, whole: Callable[[bytes], tuple]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts, *map(pa.array, zip(*rows, strict=True))], ["doc_id", "rid", "text", *names]) if rows else b.slice(0, 0)
 
     key = dict(docs.dtypes)["doc_id"]
-    seen = kept.mapInArrow(look, f"doc_id {key}, rid long, text string, {columns}")
+    seen = map_texts(kept, look, f"doc_id {key}, rid long, text string, {columns}")
     grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,4 +308,4 @@ def rewritten(docs: DataFrame, spans: DataFrame, whole: Callable[[bytes], tuple]
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, zip(*rows, strict=True))], ["doc_id", *names])
 
-    return seen.join(grouped, "rid", "left").select("doc_id", "text", "spans", *names).mapInArrow(finish, f"doc_id {key}, {columns}")
+    return map_texts(seen.join(grouped, "rid", "left").select("doc_id", "text", "spans", *names), finish, f"doc_id {key}, {columns}")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import raw_texts, runs, saved, table
+from .common import map_texts, raw_texts, runs, saved, table
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 PIECE = 1 << 20
@@ -104,7 +104,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return kept.mapInArrow(scan, f"doc_id {dict(kept.dtypes)['doc_id']}, fp long")
+    return map_texts(kept, scan, f"doc_id {dict(kept.dtypes)['doc_id']}, fp long")
 
 
 _FREE = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
