@@ -81,11 +81,6 @@ def extract(texts: DataFrame, key: str, text: str) -> DataFrame:
     ).withColumns({"verifiable": verifiable(c, F.col("numbers"), F.col("entities")), "support_type": support_type(F.col("numbers"), F.col("entities"), F.col("times"))})
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard index of character bigrams."""
-    return jaccard(ngrams(a, 2), ngrams(b, 2))
-
-
 def numeric_ratio(a: Column, b: Column) -> Column:
     """The first ratio beyond the threshold between a number of one side and one of the other; years aside."""
     year = r"^(19|20)[0-9]{2}$"
@@ -175,7 +170,8 @@ def pairs(claims: DataFrame) -> DataFrame:
 
 def detect(claims: DataFrame) -> DataFrame:
     """(source_id, target_id, conflict_type, confidence, severity) of all rule edges between claims."""
-    scored = pairs(claims).withColumns({"ratio": numeric_ratio(F.col("x.numbers"), F.col("y.numbers")), "similarity": similarity(F.lower("x.claim"), F.lower("y.claim"))})
+    grams = claims.withColumn("grams", ngrams(F.lower("claim"), 2))  # once a claim, not once a pair
+    scored = pairs(grams).withColumns({"ratio": numeric_ratio(F.col("x.numbers"), F.col("y.numbers")), "similarity": jaccard(F.col("x.grams"), F.col("y.grams"))})
     edges = scored.select(F.col("x.claim_id").alias("source_id"), F.col("y.claim_id").alias("target_id"), rules().alias("edge"))
     return edges.filter("edge is not null").select("source_id", "target_id", "edge.*")
 
