@@ -139,7 +139,7 @@ def ties(members: list[int], most: int = MOST_BITS) -> list[tuple[int, int]]:
         masks = [*bits, *(a | b for x, a in enumerate(bits) for b in bits[:x])]
         for m, i in at.items():
             for mask in masks:
-                if mask <= m ^ mask and (j := at.get(m ^ mask)) is not None:
+                if m < m ^ mask and (j := at.get(m ^ mask)) is not None:
                     link(i, j)
     return [(m, members[r]) for i, m in enumerate(members) if (r := find(i)) != i]
 
