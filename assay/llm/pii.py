@@ -35,7 +35,21 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by country, as in the registry or in use.
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+        28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+LEAST_IBAN = 15
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -83,10 +97,26 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
+def _iban_spans(text: str, at: int, stop: int, listed: bool) -> Iterator[tuple[int, int]]:
+    while m := _IBAN.search(text, at, stop):
+        at = m.start() + 1
+        own = IBAN_LENGTH.get(m[0][:2])
+        if listed != bool(own):
+            continue
+        ends = [i + 1 for i, c in enumerate(m[0], m.start()) if c != " "]
+        for n in (own,) if own else range(len(ends), LEAST_IBAN - 1, -1):
+            if n <= len(ends) and not _ALNUM.match(text, end := ends[n - 1]) and mod97(text[m.start() : end]):
+                yield m.start(), (at := end)
+                break
+
+
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield m.span()
+    """What follows an IBAN may look like more of it: its country tells where it ends, and for other codes, between those, the longest run of words that passes."""
+    done = 0
+    for start, end in _iban_spans(text, 0, len(text), True):
+        yield from _iban_spans(text, done, start, False)
+        yield start, (done := end)
+    yield from _iban_spans(text, done, len(text), False)
 
 
 _FINDERS = dict(zip(KINDS, (_emails, _ips, _cards, _phones, _ibans), strict=True))

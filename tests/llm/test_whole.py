@@ -40,3 +40,22 @@ def test_simhash_top_bits_in_a_long_list():
     for m, r in ties([*pair, *apart]):
         parts[r].add(m)
     assert any(set(pair) <= {r, *ms} for r, ms in parts.items())
+
+
+def test_pii_ibans_before_capitals_and_digits():
+    from assay.llm.pii import masked, spans_of
+
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    cases = {
+        f"{gb} BIC WESTGB22": [gb],
+        f"pay {de} 2024": [de],
+        "GB82WEST12345698765432 EUR 500": ["GB82WEST12345698765432"],
+        f"{gb} please": [gb],
+        f"AB12 {gb} {de} X": [gb, de],
+        f"{gb[:-1]}3 BIC WESTGB22": [],
+        "GB82WEST12345698765432X": [],
+        "NO93 8601 1117 947 NOK": ["NO93 8601 1117 947"],
+    }
+    for text, want in cases.items():
+        assert [text[s:e] for kind, s, e, _ in spans_of(text) if kind == "iban"] == want
+        assert not any(w in masked(text, 0.5) for w in want)
