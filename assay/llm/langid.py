@@ -26,20 +26,33 @@ from .common import map_texts, table
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 FIT_ROWS, MOST_UNITS = 10_000, 30_000
-#: Longest word whose n-grams are taken; longer ones are looked at in their first and last halves.
+#: Longest word that is one unit; a longer run of letters is cut into pieces of at most as many.
 LONG_WORD = 64
 MEMO = 300_000
 
 
+def pieces(run: str) -> Iterator[str]:
+    """Equal pieces of a long run of letters, each with the letters after it that its last n-grams reach into."""
+    marked = f"^{run}$"
+    k = -(-len(marked) // LONG_WORD)
+    for i in range(k):
+        start, end = i * len(marked) // k, (i + 1) * len(marked) // k
+        yield f"{marked[start:end]}\n{marked[end : end + LONGEST - 1]}"
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words, with a run of over LONG_WORD letters as its pieces."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) > LONG_WORD:
+        return [p for w in words for p in (pieces(w) if len(w) > LONG_WORD else (w,))]
+    return words
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    if len(word) > LONG_WORD:
-        word = word[: LONG_WORD // 2] + word[-LONG_WORD // 2 :]
-    word = f"^{word}$"
-    return [word[i : i + n] for i in range(len(word) - n + 1)]
+    """All n-grams of a word, or those that begin in a piece."""
+    piece, cut, after = word.partition("\n")
+    word = piece + after if cut else f"^{word}$"
+    return [word[i : i + n] for i in range(min(len(piece) if cut else len(word), len(word) - n + 1))]
 
 
 def held_out(id_col: str) -> F.Column:

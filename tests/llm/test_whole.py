@@ -59,3 +59,26 @@ def test_pii_ibans_before_capitals_and_digits():
     for text, want in cases.items():
         assert [text[s:e] for kind, s, e, _ in spans_of(text) if kind == "iban"] == want
         assert not any(w in masked(text, 0.5) for w in want)
+
+
+LABELLED = "doc_id long, text string, lang string"
+
+
+def test_langid_long_runs(spark):
+    """Two scripts without spaces: a run's middle decides, and it weighs by its length."""
+    import numpy as np
+
+    from assay.llm.langid import Scorer, fit, grams_of, words_of
+
+    rng = np.random.default_rng(2)
+    a, b = "abcdefgh", "stuvwxyz"
+    text = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(i, text(a, 300) + " " + text(a, 5), "aa") for i in range(20)] + [(20 + i, text(b, 300) + " " + text(b, 5), "bb") for i in range(20)]
+    scorer = Scorer(fit(spark.createDataFrame(rows, LABELLED)))
+    mixed = text(a, 40) + text(b, 9_000) + text(a, 40)
+    assert scorer.predict([mixed, " ".join([text(a, 5) for _ in range(9)]) + " " + text(b, 10_000)])[0] == ["bb", "bb"]
+    for size in (64, 65, 127, 128, 129, 1000):
+        run = text(a + b, size)
+        for n in range(1, 6):
+            got = [g for w in words_of(run) for g in grams_of(w, n)]
+            assert got == [f"^{run}$"[i : i + n] for i in range(size + 3 - n)]
