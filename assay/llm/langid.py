@@ -1,9 +1,10 @@
 """Language identification, word first: a known word counts by its log frequency in each
 language; an unseen word falls back to ever shorter character n-grams.
 
-``fit`` learns from a bounded sample: rows are taken by a hash of their id at the rate
-``fit_rows / rows``, and at most ``most_units`` words and n-grams of each length are kept,
-so the model that goes to the workers has a fixed largest size. ``predict`` keeps one row
+``fit`` learns from a bounded sample: rows are taken by a hash, of each language about as many
+as of any other, or all it has; every labelled language gets a row. At most ``most_units``
+words and n-grams of each length are kept, dealt to the languages in turn by their own
+counts, so the model that goes to the workers has a fixed largest size. ``predict`` keeps one row
 per input row; a text that is null or has no letter is ``und`` with score 0, as is every
 text when nothing could be learned. Ties go to the language that sorts first.
 """
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_texts, table
+from .common import map_texts, saved, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-FIT_ROWS, MOST_UNITS = 10_000, 30_000
+FIT_ROWS, MOST_UNITS = 20_000, 40_000
+#: A language with as many rows has about as many in the sample, however many languages there are.
+LEAST_ROWS = 50
+HASHES = 1 << 30
 #: Longest word that is one unit; a longer run of letters is cut into pieces of at most as many.
 LONG_WORD = 64
 MEMO = 300_000
@@ -59,12 +63,25 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def level(rows: list[int], most: int) -> float:
+    """The most rows a language may give so that all give ``most`` together."""
+    left, rest = most, len(rows)
+    for n in sorted(rows):
+        if n * rest > left:
+            return max(LEAST_ROWS, left / rest)
+        left, rest = left - n, rest - 1
+    return float("inf")
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, most_units: int = MOST_UNITS) -> "Model":
     """``docs`` has doc_id, text, lang; rows without a language or a text teach nothing."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    total = rows.count()
-    if total > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(HASHES)))
+    given = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.min("h").alias("least")).collect()
+    own = level([r["rows"] for r in given], fit_rows)
+    if any(r["rows"] > own for r in given):
+        cuts = [(r["lang"], max(int(HASHES * min(1.0, own / r["rows"])), r["least"] + 1)) for r in given]
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long")), "lang").filter("h < cut")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,9 +100,13 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, most_units: int = MOST_UNITS)
                 yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int32()), pa.array(us, pa.string()), pa.array([lang] * len(us), pa.string()), pa.array(cs, pa.int64())], ["n", "unit", "lang", "c"])
 
     counts = map_texts(rows.select("text", "lang"), count, "n int, unit string, lang string, c long")
-    units = counts.groupBy("n", "unit").agg(F.sum("c").alias("all"), F.sort_array(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    best = Window.partitionBy("n").orderBy(F.desc("all"), "unit")
-    kept = units.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most_units).drop("all")
+    counts = saved(counts.groupBy("n", "unit", "lang").agg(F.sum("c").alias("c")), "counts")
+    turns = Window.partitionBy("n", "lang").orderBy(F.desc("c"), "unit")
+    dealt = counts.withColumn("turn", F.row_number().over(turns)).filter(F.col("turn") <= most_units)
+    first = dealt.groupBy("n", "unit").agg(F.min("turn").alias("turn"), F.max("c").alias("most"))
+    best = Window.partitionBy("n").orderBy("turn", F.desc("most"), "unit")
+    kept = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most_units).select("n", "unit")
+    kept = counts.join(kept, ["n", "unit"]).groupBy("n", "unit").agg(F.sort_array(F.collect_list(F.struct("lang", "c"))).alias("by"))
     return Model(kept.select("n", "unit", "by").toArrow())
 
 
