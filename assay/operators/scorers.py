@@ -104,11 +104,11 @@ def refined(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise(F.col("query")).alias("query"))
 
 
-def dynamic(docs: DataFrame, queries: DataFrame, rounds: int = 2, k: int = 3, enough: float = 0.8) -> DataFrame:
+def dynamic(docs: DataFrame, queries: DataFrame, rounds: int = 5, k: int = 10, enough: float = 0.8) -> DataFrame:
     """(query_id, doc_id, round): retrieve, look what is covered, refine what is not, again.
 
-    A query is resolved when the share of its words that its documents hold reaches ``enough``. Rounds are few and
-    each is one plan over all open queries.
+    A query is resolved when the share of its words that its documents hold reaches ``enough``. There are at most
+    ``rounds``, each one plan over all open queries; none is made when no query is open.
     """
     from ..scratch import saved
 
@@ -126,4 +126,6 @@ def dynamic(docs: DataFrame, queries: DataFrame, rounds: int = 2, k: int = 3, en
         share = F.coalesce(F.size("held"), F.lit(0)) / F.greatest(F.lit(1), F.size(words))
         rest = state.filter(share < enough)
         open_ = saved(refined(rest).withColumnRenamed("query", "asked").join(queries, "query_id"), "open")
+        if open_.isEmpty():
+            break
     return found
