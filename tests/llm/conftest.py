@@ -54,6 +54,7 @@ def messy(spark, tmp_path_factory):
     vectors = [(i, base[i % 20].tolist() if i < 40 else (base[i % 7] + 0.1 * rng.standard_normal(16)).tolist(), i % 3) for i in range(60)]
     nan, inf = float("nan"), float("inf")
     vectors += [(60, None, 1), (61, [0.0] * 16, 1), (62, [nan] * 16, 1), (63, [inf] + [1.0] * 15, 1), (64, [None] + [1.0] * 15, 1), (65, [1.0, 2.0], 1), (66, [2.0, 4.0], None), (66, [2.0, 4.0], None), (None, base[0].tolist(), 1)]
+    vectors += [(100, base[5].tolist(), 1), (100, base[5].tolist(), 1), (200, [3.0, 1.0], 1), (300, [7.0], 1)]
     put(spark, vectors, "vec_id long, embedding array<float>, label int", f"{d}/embeddings.parquet", ("rid", "weight", "rank", "list"))
     return d
 

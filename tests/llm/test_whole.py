@@ -100,3 +100,48 @@ def test_langid_learns_rare_languages(spark):
     whole = fit(spark.createDataFrame(many[:64] * 2 + few, LABELLED).repartition(8))
     at = whole.units[0].index("kivi"), whole.units[0].index("puu")
     assert whole.logs[0][at[0], 1] == whole.logs[0][at[1], 1] > whole.logs[0][at[0], 0]
+
+
+def test_ann_prunes_where_vectors_cluster():
+    """20,000 vectors in 800 groups: few rows are read, and copies leave no query short of neighbours."""
+    import numpy as np
+
+    from assay.llm.ann import COPIES, K, Index, Centroids
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((800, 48))[rng.integers(0, 800, 20_000)] + 0.35 * rng.standard_normal((20_000, 48))
+    index = Index({48: Centroids(x[:10_000], 600)})
+    lists = [[] for _ in range(index.lists)]
+    for rows, where in index.post(x):
+        for r, w in zip(rows.tolist(), where.tolist(), strict=True):
+            lists[w].append(r)
+    index.sized({i: len(rows) for i, rows in enumerate(lists)})
+    hits = read = 0
+    for q in range(0, 20_000, 200):
+        found = np.unique(np.concatenate([lists[i] for i in index.search(x[q], K)]).astype(int))
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:K]) & set(found.tolist()))
+        read += len(found)
+    assert hits >= 0.95 * 100 * K and read <= 0.1 * 100 * len(x)
+    index.sized(dict.fromkeys(range(index.lists), 3))
+    assert all(3 * len(index.search(x[q], K)) >= COPIES * (K + 1) for q in range(0, 20_000, 2_000))
+
+
+def test_ann_groups_of_copies(spark):
+    """Groups of five copies in small lists: every query gets ten neighbours, its copies first."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from assay.llm.ann import search
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((800, 8))
+    rows = [(i, base[i % 800].tolist()) for i in range(4_000)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["query_id"]].append(r)
+    assert len(by) == 40
+    for q, hits in by.items():
+        assert len(hits) == 10 and {r["vec_id"] for r in hits if r["rank"] <= 4} == {i for i in range(q % 800, 4_000, 800) if i != q}
