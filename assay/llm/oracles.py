@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express, each written from its contract and not from its operator."""
 
-from .pii import BASE
+from .pii import AFTER, BASE, BEFORE, BONUS, LOWER, MALUS, PRIOR, RAISE
 
 # personal data: the k-th match starts after k pieces between matches and k - 1 matches
 _PATTERNS = {
@@ -26,22 +26,23 @@ _FOUND = " UNION ALL ".join(
     for o, kind in enumerate(BASE)
 )
 _KEPT = " OR ".join(f"(kind = '{k}' AND {_VALID[k]})" for k in BASE)
-#: The tables hold no IBANs, so all spans are base ones here; scores follow from the words before a span.
+_NEAR = lambda words, kind: f"regexp_matches(before, '\\b(?:{words[kind]})') OR regexp_matches(after, '\\b(?:{words[kind]})')"
+_SCORES = " ".join(
+    f"WHEN '{k}' THEN {PRIOR[k]} + CASE WHEN {_NEAR(RAISE, k)} THEN {BONUS} ELSE 0 END - CASE WHEN {_NEAR(LOWER, k)} THEN {MALUS} ELSE 0 END" for k in BASE
+)
+#: The tables hold no IBANs and no numbers beside words that would make them one of the other added kinds, so all spans are base ones here.
 OP1_SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({_FOUND}),
 kept AS (SELECT * FROM found WHERE {_KEPT}),
-near AS (SELECT kept.*, text[greatest(1, s - 39):s] AS before FROM kept JOIN docs USING (doc_id)),
-scored AS (SELECT *, CASE kind WHEN 'email' THEN 0.8 WHEN 'card' THEN 0.7 ELSE 0.6 END + CASE WHEN
-   (kind = 'email' AND regexp_matches(before, '(?i)mail|contact|write')) OR (kind = 'ip' AND regexp_matches(before, '(?i)\\bip\\b|address|host|server'))
-   OR (kind = 'card' AND regexp_matches(before, '(?i)card|visa|credit|payment')) OR (kind = 'phone' AND regexp_matches(before, '(?i)phone|call|tel|mobile|fax'))
-   THEN 0.15 ELSE 0 END AS score FROM near),
+near AS (SELECT kept.*, lower(text[greatest(1, s - {BEFORE - 1}):s]) AS before, lower(text[e + 1:e + {AFTER}]) AS after FROM kept JOIN docs USING (doc_id)),
+scored AS (SELECT *, round(CASE kind {_SCORES} END, 6) AS score FROM near),
 per AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
     count(*) FILTER (WHERE kind = 'phone') AS n_phone, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans, max(score)::DOUBLE AS top_score
   FROM scored GROUP BY 1)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, 0::BIGINT AS n_iban, top_score
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, 0::BIGINT AS n_iban, 0::BIGINT AS n_ssn, 0::BIGINT AS n_tel, top_score
 FROM docs LEFT JOIN per USING (doc_id)
 """
 

@@ -3,6 +3,12 @@
 ``detect`` keeps one row per input row. A null or empty text has no spans; repeated
 rows repeat their result; other input columns are ignored. The scanners are linear in the text:
 digit runs are matched possessively and mail addresses are grown from their ``@``.
+
+A span's score is the prior of its kind, raised by words that name the kind and lowered by words that name
+something else, in English, German, French or Spanish, up to ``BEFORE`` characters before and ``AFTER`` after it.
+Spans of the base kinds are always reported with their score. Those of the other kinds are reported from
+``KEEP`` on, and not where they overlap a base span: an IBAN is dropped among words that say it is made up, a number
+written as a US social security or local phone number counts only beside words that say so.
 """
 
 from __future__ import annotations
@@ -17,18 +23,35 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban")
+KINDS = (*BASE, "iban", "ssn", "tel")
 SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
-#: Score of a confirmed span, words that raise it when they stand within REACH characters before it.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8}
-CONTEXT = {
-    "email": re.compile(r"mail|contact|write", re.I),
-    "ip": re.compile(r"\bip\b|address|host|server", re.I),
-    "card": re.compile(r"card|visa|credit|payment", re.I),
-    "phone": re.compile(r"phone|call|tel|mobile|fax", re.I),
-    "iban": re.compile(r"iban|bank|account|transfer", re.I),
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "tel": 0.35}
+#: Beginnings of words, in lower case, that raise a score, and those that lower it.
+_CALL = "phone|call|tel|mobile|cell|fax|anruf|rufnummer|handy|t[eé]l[eé]|appel|portable|m[oó]vil|llam"
+RAISE = {
+    "email": "e-?mail|mail|contact|write|kontakt|schreib|courriel|[eé]cri|correo|escrib",
+    "ip": "ip\\b|address|host|server|adress|rechner|serveur|servidor|direcci",
+    "card": "card|visa|credit|payment|kart|kredit|zahlung|carte|paiement|tarjeta|pago",
+    "phone": _CALL,
+    "iban": "iban|bank|account|transfer|konto|[uü]berweis|compte|virement|cuenta|banco",
+    "ssn": "ssn|social|security|taxpayer",
+    "tel": _CALL,
+}
+_FAKE = "dummy|placeholder|fake|fictiti|fiktiv|muster|fictif|ficticio"
+LOWER = {
+    "email": _FAKE,
+    "ip": f"{_FAKE}|version|release|build|firmware",
+    "card": f"{_FAKE}|isbn|serial|tracking|invoice|rechnung|facture|factura",
+    "phone": _FAKE,
+    "iban": _FAKE,
+    "ssn": f"{_FAKE}|order|invoice|serial|part",
+    "tel": f"{_FAKE}|order|invoice|serial|isbn|part",
 }
-REACH, BONUS = 40, 0.15
+BEFORE, AFTER = 40, 20
+BONUS, MALUS, KEEP = 0.2, 0.35, 0.5
+#: ``mask`` leaves a span of a lower score.
+LEAST_MASKED = 0.3
+_WORDS = {k: tuple(re.compile(rf"\b(?:{w[k]})", re.A) for w in (RAISE, LOWER)) for k in KINDS}
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,6 +72,8 @@ IBAN_LENGTH = {
     for c in countries.split()
 }
 LEAST_IBAN = 15
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_TEL = re.compile(r"(?<![0-9+(])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})[ /.-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]")
 
@@ -119,16 +144,38 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
     yield from _iban_spans(text, done, len(text), False)
 
 
-_FINDERS = dict(zip(KINDS, (_emails, _ips, _cards, _phones, _ibans), strict=True))
+def _ssns(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _SSN.finditer(text))
+
+
+def _tels(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _TEL.finditer(text))
+
+
+_FINDERS = dict(zip(KINDS, (_emails, _ips, _cards, _phones, _ibans, _ssns, _tels), strict=True))
+
+
+def score_of(kind: str, text: str, start: int, end: int) -> float:
+    near = text[max(0, start - BEFORE) : start].lower(), text[end : end + AFTER].lower()
+    raised, lowered = (any(words.search(n) for n in near) for words in _WORDS[kind])
+    return round(min(1.0, max(0.0, PRIOR[kind] + BONUS * raised - MALUS * lowered)), 6)
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in code points, by kind as listed, then by start."""
-    out = []
+    out: list[tuple[str, int, int, float]] = []
+    taken: list[tuple[int, int]] | None = None
     for kind, find in _FINDERS.items() if text else ():
         for start, end in find(text):
-            near = CONTEXT[kind].search(text, max(0, start - REACH), start)
-            out.append((kind, start, end, round(PRIOR[kind] + BONUS * bool(near), 6)))
+            score = score_of(kind, text, start, end)
+            if kind not in BASE:
+                if score < KEEP:
+                    continue
+                if taken is None:
+                    taken = [(a, b) for k, a, b, _ in out if k in BASE]
+                if any(a < end and start < b for a, b in taken):
+                    continue
+            out.append((kind, start, end, score))
     return out
 
 
@@ -155,7 +202,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_texts(kept, scan, f"doc_id {dict(kept.dtypes)['doc_id']}, spans {SPAN}")
 
 
-def mask(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def mask(docs: DataFrame, least: float = LEAST_MASKED, text_col: str = "text") -> DataFrame:
     """``docs`` with confirmed spans of at least that score masked in its text; all other columns stay."""
     at = docs.columns.index(text_col)
 
@@ -178,6 +225,6 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *counts[: len(BASE)],
         F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
-        counts[-1],
+        *counts[len(BASE) :],
         F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"),
     )

@@ -62,6 +62,25 @@ def test_pii_ibans_before_capitals_and_digits():
         assert not any(w in masked(text, 0.5) for w in want)
 
 
+def test_pii_context_decides():
+    """Words on either side, in four languages, raise and lower scores, and let added spans in or keep them out."""
+    from assay.llm.pii import KEEP, masked, spans_of
+
+    score = lambda text, kind: next((s for k, _, _, s in spans_of(text) if k == kind), None)
+    plain = score("see 10.20.30.40 there", "ip")
+    for text in ("host 10.20.30.40", "10.20.30.40 is the server", "Adresse 10.20.30.40", "le serveur 10.20.30.40", "servidor 10.20.30.40"):
+        assert score(text, "ip") > plain
+    assert score("firmware version 10.20.30.40", "ip") < plain and "10.20.30.40" in masked("firmware version 10.20.30.40", 0.3)
+    iban = "GB82 WEST 1234 5698 7654 32"
+    assert score(f"transfer to {iban}", "iban") > score(f"x {iban}", "iban") >= KEEP and score(f"Mustermann, {iban}", "iban") is None
+    assert score("her social security number is 123-45-6789", "ssn") >= KEEP
+    assert score("item 123-45-6789", "ssn") is None and score("social security, order 123-45-6789", "ssn") is None
+    for text in ("Anruf unter 030 123 4567", "(030) 123-4567, t\u00e9l\u00e9phone", "m\u00f3vil 0612 345 678", "call 0612 345 678"):
+        assert score(text, "tel") >= KEEP
+    assert score("row 0612 345 678", "tel") is None
+    assert [k for k, *_ in spans_of("call +49 030 123 4567")] == ["phone"]
+
+
 LABELLED = "doc_id long, text string, lang string"
 
 
