@@ -2,9 +2,11 @@
 language; an unseen word falls back to ever shorter character n-grams.
 
 ``fit`` learns from a bounded sample: rows are taken by a hash, of each language about as many
-as of any other, or all it has; every labelled language gets a row. At most ``most_units``
-words and n-grams of each length are kept, dealt to the languages in turn by their own
-counts, so the model that goes to the workers has a fixed largest size. ``predict`` keeps one row
+as of any other, or all it has; every labelled language gets a row. All words and n-grams of the
+sample are in the model, each as a 64-bit hash and one log frequency a language, so the sample bounds its size.
+
+The language of a text is the one under which its words are likeliest; the score says how far its words agree on it: it
+is the mean, over the words, of the likelihood that a word gives that language among all. ``predict`` keeps one row
 per input row; a text that is null or has no letter is ``und`` with score 0, as is every
 text when nothing could be learned. Ties go to the language that sorts first.
 """
@@ -17,16 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import map_texts, saved, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-FIT_ROWS, MOST_UNITS = 20_000, 40_000
+FIT_ROWS = 20_000
 #: A language with as many rows has about as many in the sample, however many languages there are.
 LEAST_ROWS = 50
 HASHES = 1 << 30
@@ -59,6 +60,11 @@ def grams_of(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(min(len(piece) if cut else len(word), len(word) - n + 1))]
 
 
+def hashed(units: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(u.encode()) for u in units], dtype=np.uint64, count=len(units))
+
+
 def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -73,7 +79,7 @@ def level(rows: list[int], most: int) -> float:
     return float("inf")
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, most_units: int = MOST_UNITS) -> "Model":
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> "Model":
     """``docs`` has doc_id, text, lang; rows without a language or a text teach nothing."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
     rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(HASHES)))
@@ -89,82 +95,76 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, most_units: int = MOST_UNITS)
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, Counter()).update(words_of(text))
             for lang, seen in by.items():
-                units: list[tuple[int, str, int]] = [(0, w, c) for w, c in seen.items()]
-                for n in range(1, LONGEST + 1):
-                    grams: Counter = Counter()
-                    for w, c in seen.items():
+                for n in range(LONGEST + 1):
+                    units = Counter() if n else seen
+                    for w, c in seen.items() if n else ():
                         for g in grams_of(w, n):
-                            grams[g] += c
-                    units += [(n, g, c) for g, c in grams.items()]
-                ns, us, cs = zip(*units, strict=True) if units else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int32()), pa.array(us, pa.string()), pa.array([lang] * len(us), pa.string()), pa.array(cs, pa.int64())], ["n", "unit", "lang", "c"])
-
-    counts = map_texts(rows.select("text", "lang"), count, "n int, unit string, lang string, c long")
-    counts = saved(counts.groupBy("n", "unit", "lang").agg(F.sum("c").alias("c")), "counts")
-    turns = Window.partitionBy("n", "lang").orderBy(F.desc("c"), "unit")
-    dealt = counts.withColumn("turn", F.row_number().over(turns)).filter(F.col("turn") <= most_units)
-    first = dealt.groupBy("n", "unit").agg(F.min("turn").alias("turn"), F.max("c").alias("most"))
-    best = Window.partitionBy("n").orderBy("turn", F.desc("most"), "unit")
-    kept = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most_units).select("n", "unit")
-    kept = counts.join(kept, ["n", "unit"]).groupBy("n", "unit").agg(F.sort_array(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    return Model(kept.select("n", "unit", "by").toArrow())
+                            units[g] += c
+                    h = hashed(list(units)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h), pa.array([lang] * len(h), pa.string()), pa.array(list(units.values()), pa.int64())], ["n", "unit", "lang", "c"])
+
+    counts = map_texts(rows.select("text", "lang"), count, "n int, unit long, lang string, c long")
+    return Model(saved(counts.groupBy("n", "unit", "lang").agg(F.sum("c").alias("c")), "counts").toArrow())
 
 
 class Model:
-    """Log frequency of every kept unit in every language: for each unit length the units and a matrix."""
+    """Log frequency of every unit in every language: for each unit length the sorted hashes of units and a matrix."""
 
-    def __init__(self, kept: pa.Table):
-        by = kept["by"].combine_chunks()
-        pairs = by.flatten()
-        lang = pairs.field("lang").dictionary_encode()
+    def __init__(self, counted: pa.Table):
+        lang = counted["lang"].combine_chunks().dictionary_encode()
         self.langs = sorted(lang.dictionary.to_pylist())
-        column = np.array([self.langs.index(x) for x in lang.dictionary.to_pylist()], dtype=np.int64)
-        counts = np.full((len(kept), len(self.langs)), 0.5)
-        rows = np.repeat(np.arange(len(kept)), pc.list_value_length(by).to_numpy())
-        counts[rows, column[lang.indices.to_numpy()]] += pairs.field("c").to_numpy()
-        n, units = kept["n"].to_numpy(), kept["unit"]
+        column = np.array([self.langs.index(x) for x in lang.dictionary.to_pylist()], dtype=np.int64)[lang.indices.to_numpy()]
+        n, unit, c = (counted[x].to_numpy() for x in ("n", "unit", "c"))
         self.units, self.logs = [], []
         for size in range(LONGEST + 1):
             at = np.flatnonzero(n == size)
-            self.units.append(units.take(pa.array(at)).to_pylist())
-            self.logs.append(np.log(counts[at] / counts[at].sum(axis=0)) if len(at) else counts[at])
+            units, row = np.unique(unit[at].view(np.uint64), return_inverse=True)
+            counts = np.full((len(units), len(self.langs)), 0.5)
+            counts[row, column[at]] += c[at]
+            self.units.append(units)
+            self.logs.append(np.log(counts / counts.sum(axis=0)).astype(np.float32) if len(units) else counts.astype(np.float32))
+
+    def rows(self, size: int, units: list[str]) -> np.ndarray:
+        """The row of each unit, -1 where it is unknown."""
+        known, h = self.units[size], hashed(units)
+        at = np.searchsorted(known, h)
+        at[at == len(known)] = 0
+        return np.where(known[at] == h, at, -1) if len(known) else np.full(len(h), -1)
 
 
 class Scorer:
     """A model at work in a task, with the words it has met."""
 
     def __init__(self, model: Model):
-        self.langs, self.logs = model.langs, model.logs
-        self.at = [{u: i for i, u in enumerate(units)} for units in model.units]
+        self.langs, self.model = model.langs, model
         self.memo: dict[str, int] = {}
         self.matrix = np.zeros((0, len(self.langs)))
+        self.shares = np.zeros((0, len(self.langs)))
 
     def learn(self, words: list[str]) -> None:
         """Add relative log probabilities of ``words`` to the memo, by word or by the longest n-grams known."""
         out = np.zeros((len(words), len(self.langs)))
-        left = []
-        known = self.at[0]
-        for i, w in enumerate(words):
-            if (row := known.get(w)) is None:
-                left.append(i)
-            else:
-                out[i] = self.logs[0][row]
+        found = self.model.rows(0, words)
+        known = found >= 0
+        out[known] = self.model.logs[0][found[known]]
+        left = np.flatnonzero(~known).tolist()
         for n in range(LONGEST, 0, -1):
-            table, found, sizes, rest, rows = self.at[n], [], [], [], []
-            for i in left:
-                own = [r for g in grams_of(words[i], n) if (r := table.get(g)) is not None]
-                if own:
-                    found.append(i)
-                    sizes.append(len(own))
-                    rows += own
-                else:
-                    rest.append(i)
-            if found:
-                count = np.array(sizes)
-                out[found] = np.add.reduceat(self.logs[n][rows], np.cumsum(count) - count, axis=0) / count[:, None]
-            left = rest
+            grams = [grams_of(words[i], n) for i in left]
+            size = np.array([len(g) for g in grams], dtype=np.int64)
+            rows = self.model.rows(n, [g for own in grams for g in own])
+            owner = np.repeat(np.arange(len(left)), size)[rows >= 0]
+            hits = np.bincount(owner, minlength=len(left))
+            sums = np.zeros((len(left), len(self.langs)))
+            np.add.at(sums, owner, self.model.logs[n][rows[rows >= 0]])
+            for i in np.flatnonzero(hits):
+                out[left[i]] = sums[i] / hits[i]
+            left = [left[i] for i in np.flatnonzero(hits == 0)]
         start = len(self.matrix)
-        self.matrix = np.concatenate([self.matrix, out - out.max(axis=1, keepdims=True)]) if len(words) else self.matrix
+        if words:
+            out -= out.max(axis=1, keepdims=True)
+            likely = np.exp(out)
+            self.matrix = np.concatenate([self.matrix, out])
+            self.shares = np.concatenate([self.shares, likely / likely.sum(axis=1, keepdims=True)])
         self.memo.update(zip(words, range(start, start + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -173,7 +173,7 @@ class Scorer:
             seen = [Counter(words_of(t)) if t else Counter() for t in texts[low : low + 500]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-                self.matrix = self.matrix[:0]
+                self.matrix, self.shares = self.matrix[:0], self.shares[:0]
             if self.langs:
                 self.learn([w for w in set().union(*seen) if w not in self.memo])
             for own in seen:
@@ -182,11 +182,10 @@ class Scorer:
                     scores.append(0.0)
                     continue
                 rows = np.fromiter(map(self.memo.__getitem__, own), dtype=np.int64, count=len(own))
-                total = np.fromiter(own.values(), dtype=np.float64, count=len(own)) @ self.matrix[rows]
-                odds = np.exp(np.maximum(total - total.max(), -50))
-                best = int(np.argmax(total))
+                times = np.fromiter(own.values(), dtype=np.float64, count=len(own))
+                best = int(np.argmax(times @ self.matrix[rows]))
                 langs.append(self.langs[best])
-                scores.append(float(odds[best] / odds.sum()))
+                scores.append(float(times @ self.shares[rows, best] / times.sum()))
         return langs, scores
 
 

@@ -135,3 +135,46 @@ def targets(sizes):
         if not over:
             return fixed | {s: left * weight[s] / w for s in rest}
         fixed |= {s: 3.0 * sizes[s] for s in over}
+
+
+def langid(rows):
+    """(lang_pred, score) of each (doc_id, text, lang), learned from all rows that are not held out."""
+
+    def words(t):
+        """(letters, the four letters after them): a run of over 64 letters is cut into equal pieces."""
+        out = []
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            marked = f"^{w}$"
+            k = -(-len(marked) // 64) if len(w) > 64 else 1
+            cuts = [i * len(marked) // k for i in range(k + 1)]
+            out += [(marked[i:j], marked[j : j + 4]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def grams(word, n):
+        piece, after = word
+        return [(piece + after)[i : i + n] for i in range(min(len(piece), len(piece + after) + 1 - n))] if n else [word]
+
+    learn = [(t, lang) for i, t, lang in rows if lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)]
+    langs = sorted({lang for _, lang in learn})
+    counts = [{lang: Counter(g for t, own in learn if own == lang for w in words(t) for g in grams(w, n)) for lang in langs} for n in range(6)]
+    known = [set().union(*by.values()) for by in counts]
+    total = [{lang: sum(by[lang].values()) + 0.5 * len(known[n] - set(by[lang])) + 0.5 * len(by[lang]) for lang in langs} for n, by in enumerate(counts)]
+
+    def logs(word):
+        for n in (0, 5, 4, 3, 2, 1):
+            own = [g for g in grams(word, n) if g in known[n]]
+            if own:
+                return np.array([np.mean([np.log((counts[n][lang][g] + 0.5) / total[n][lang]) for g in own]) for lang in langs])
+        return np.zeros(len(langs))
+
+    memo, out = {}, []
+    for _, text, _ in rows:
+        own = words(text)
+        if not own or not langs:
+            out.append(("und", 0.0))
+            continue
+        table = np.array([memo.setdefault(w, logs(w)) if w not in memo else memo[w] for w in own])
+        best = int(np.argmax((table - table.max(axis=1, keepdims=True)).sum(axis=0)))
+        shares = np.exp(table) / np.exp(table).sum(axis=1, keepdims=True)
+        out.append((langs[best], float(shares[:, best].mean())))
+    return out

@@ -49,6 +49,16 @@ def test_langid(run, rows_of):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+@pytest.mark.parametrize("folder", ["small", "messy"])
+def test_langid_plain(run, rows_of, messy, folder):
+    """Against a plain fit and prediction; here the sample is all labelled rows."""
+    rows = rows_of(SF if folder == "small" else messy)
+    want = sorted((str(r["doc_id"]), *w) for r, w in zip(rows, brute.langid([(r["doc_id"], r["text"], r["lang"]) for r in rows]), strict=True))
+    got = sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in run("op4_langid", SF if folder == "small" else messy))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, want, strict=True)) < 1e-4
+
+
 def test_langid_awkward(run, messy):
     got = run("op4_langid", messy)
     und = [r["doc_id"] for r in got if r["lang_pred"] == "und"]
