@@ -13,8 +13,8 @@ from assay.llm import langid, mixing, packing, pii, simhash
 from assay.llm.common import saved, table, with_row_id
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose best language is less likely than this is rejected, as is one without letters.
-LEAST_SCORE = 0.5
+#: A document whose words agree less than this on its language is rejected, as is one without letters.
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
