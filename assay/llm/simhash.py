@@ -1,11 +1,12 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
-A fingerprint is eight bytes. Two fingerprints that differ in at most two bits share at least
-six of their eight positional bytes. The index therefore has one posting list for each choice
-of six positions and each value of those bytes: a pair shares a list exactly when its tally of
-shared positional bytes reaches the guaranteed minimum of six. A list's members differ only in
-the two bytes left out, so it never has more than 65,536 distinct fingerprints; within a list
-distances are verified and each linked member is tied to the least one of its part.
+A fingerprint is eight bytes, in four blocks of two. Two fingerprints that differ in at most two bits share at
+least six of their eight positional bytes, and so both bytes of at least two blocks. The index has a posting list for
+each two blocks and each value of their four bytes. The members of a list of up to ``FEW`` fingerprints are compared
+position by position: a pair whose tally of shared positional bytes reaches six is kept, and its distance verified.
+Members of a longer list are posted again under two of its other four positions, in lists that a pair shares exactly
+when its tally reaches six. Those hold 65,536 distinct fingerprints at most, and each member looks up its neighbours.
+In either case a linked member is tied to the least one of its part, so no list is expanded into pairs.
 
 Equal fingerprints are one entry of the index, however many documents have them.
 A null, empty or wordless text has fingerprint 0 and is linked like any other.
@@ -33,8 +34,11 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Position choices of the index: 8 bytes less the most that can hold a differing bit.
+#: The least positional bytes that a linked pair shares: 8 less the most that can hold a differing bit.
 SHARED = 8 - MOST_BITS
+BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
+#: Members of a list that are compared with each other.
+FEW = 128
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,57 +111,88 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return map_texts(kept, scan, f"doc_id {dict(kept.dtypes)['doc_id']}, fp long")
 
 
-_FREE = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
+class _Parts:
+    """Union-find over the members of a list; the least member stands for its part."""
 
+    def __init__(self, members: list[int]):
+        self.members = sorted(members)
+        self.root = list(range(len(members)))
 
-def ties(members: list[int], most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Verified links of one posting list as (member, least member of its linked part)."""
-    members = sorted(members)
-    root = list(range(len(members)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    def link(i: int, j: int) -> None:
-        i, j = find(i), find(j)
-        root[max(i, j)] = min(i, j)
-
-    if len(members) <= 64:
-        for i in range(len(members)):
-            for j in range(i):
-                if (members[i] ^ members[j]).bit_count() <= most:
-                    link(i, j)
-    else:  # look up each neighbour instead: the members differ in two bytes only
-        at = {m: i for i, m in enumerate(members)}
-        differ = 0
-        for m in members:
-            differ |= m ^ members[0]
-        bits = [1 << i for i in range(64) if differ >> i & 1]
-        masks = [*bits, *(a | b for x, a in enumerate(bits) for b in bits[:x])]
-        for m, i in at.items():
-            for mask in masks:
-                if m < m ^ mask and (j := at.get(m ^ mask)) is not None:
-                    link(i, j)
-    return [(m, members[r]) for i, m in enumerate(members) if (r := find(i)) != i]
+    def link(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        self.root[max(i, j)] = min(i, j)
 
+    def ties(self) -> list[tuple[int, int]]:
+        return [(m, self.members[r]) for i, m in enumerate(self.members) if (r := self.find(i)) != i]
+
+
+def tallied(members: list[int], most: int = MOST_BITS) -> list[tuple[int, int]]:
+    """Links of a short list as (member, least member of its part): pairs that share SHARED positional bytes, verified."""
+    parts = _Parts(members)
+    x = np.array(parts.members, dtype=np.uint64)
+    own = x.view(np.uint8).reshape(-1, 8)
+    tally = (own[:, None, :] == own[None, :, :]).sum(axis=2)
+    for i, j in zip(*np.nonzero(np.triu(tally >= SHARED, 1)), strict=True):
+        if int(x[i] ^ x[j]).bit_count() <= most:
+            parts.link(int(i), int(j))
+    return parts.ties()
+
+
+def ties(members: list[int]) -> list[tuple[int, int]]:
+    """The same for a list whose members differ in two bytes only: each looks up all fingerprints within two bits."""
+    parts = _Parts(members)
+    at = {m: i for i, m in enumerate(parts.members)}
+    differ = 0
+    for m in parts.members:
+        differ |= m ^ parts.members[0]
+    bits = [1 << i for i in range(64) if differ >> i & 1]
+    masks = [*bits, *(a | b for x, a in enumerate(bits) for b in bits[:x])]
+    for m, i in at.items():
+        for mask in masks:
+            if m < m ^ mask and (j := at.get(m ^ mask)) is not None:
+                parts.link(i, j)
+    return parts.ties()
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp``, enough of them to join what is joined."""
-    bytes_of = [F.shiftright("fp", 8 * (7 - i)).bitwiseAND(F.lit(255)) for i in range(8)]
-    keys = [F.struct(F.lit(c).alias("c"), sum((F.shiftleft(bytes_of[p], 8 * i) for i, p in enumerate(chosen)), F.lit(0)).cast("long").alias("v")) for c, chosen in enumerate(combinations(range(8), SHARED))]
-    few = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are light, but each makes 28
-    postings = prints.repartition(few, "fp").select("fp", F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("members"), F.count("*").alias("n")).filter("n > 1")
+
+def _at(positions: tuple[int, ...]) -> F.Column:
+    """The bytes of ``fp`` at these positions, as one number."""
+    byte_at = lambda p: F.shiftright("fp", 8 * (7 - p)).bitwiseAND(F.lit(255))
+    return sum((F.shiftleft(byte_at(p), 8 * i) for i, p in enumerate(positions)), F.lit(0).cast("long"))
+
+
+def _lists(postings: DataFrame, work) -> DataFrame:
+    """(a, b): what ``work`` finds in each list of ``postings`` (c, v, fp)."""
+    lists = postings.groupBy("c", "v").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [t for m in b.column(0).to_pylist() for t in ties([x & 0xFFFFFFFFFFFFFFFF for x in m])]
+            found = [t for m in b.column(0).to_pylist() for t in work([x & 0xFFFFFFFFFFFFFFFF for x in m])]
             a = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
-    return postings.select("members").mapInArrow(verify, "a long, b long").distinct()
+    return lists.select("members").mapInArrow(verify, "a long, b long")
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints ``fp``, enough of them to join what is joined."""
+    chosen = [a + b for a, b in combinations(BLOCKS, 2)]
+    keys = F.array(*[F.struct(F.lit(c).alias("c"), _at(p).alias("v")) for c, p in enumerate(chosen)])
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are light, but each makes six
+    postings = prints.repartition(tasks, F.xxhash64("fp")).select("fp", F.inline(keys))
+    sizes = saved(postings.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+    found = _lists(postings.join(sizes.filter(F.col("n") <= FEW).select("c", "v"), ["c", "v"]), tallied)
+
+    more = {c: [tuple(sorted(p + two)) for two in combinations(sorted(set(range(8)) - set(p)), SHARED - len(p))] for c, p in enumerate(chosen)}
+    six = sorted({p for own in more.values() for p in own})
+    again = F.array(*[F.when(F.col("c").isin([c for c, own in more.items() if p in own]), F.struct(F.lit(i).alias("c"), _at(p).alias("v"))) for i, p in enumerate(six)])
+    longer = postings.join(sizes.filter(F.col("n") > FEW).select("c", "v"), ["c", "v"]).select("fp", F.explode(again).alias("k")).filter("k is not null")
+    return found.unionByName(_lists(longer.select("fp", "k.c", "k.v").distinct(), ties)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from collections import defaultdict
 from itertools import product
 
+from .brute import components
+
 
 def test_simhash_ties_of_long_lists():
     """Lists of several hundred members that differ in two bytes, the top ones included, against all pairs."""
@@ -43,6 +45,30 @@ def test_simhash_top_bits_in_a_long_list():
     assert any(set(pair) <= {r, *ms} for r, ms in parts.items())
 
 
+def test_simhash_short_and_long_lists(spark):
+    """Clusters of near fingerprints, beyond and below the length at which lists are posted again, against all pairs."""
+    import numpy as np
+    from assay.llm.simhash import FEW, links
+
+    rng = np.random.default_rng(6)
+    prints = {int(x) for x in rng.integers(0, 2**63, 400)}
+    for size in (40, 3 * FEW):
+        base = int(rng.integers(0, 2**63))
+        for _ in range(size):
+            m = base
+            for bit in rng.integers(0, 64, int(rng.integers(0, 5))):
+                m ^= 1 << int(bit)
+            prints.add(m)
+    members = sorted(prints)
+    x = np.array(members, dtype=np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 2
+    want = components(members, [(members[i], members[j]) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    signed = [(int(v),) for v in x.view(np.int64)]
+    found = links(spark.createDataFrame(signed, "fp long")).collect()
+    pairs = [(r["a"] & (2**64 - 1), r["b"] & (2**64 - 1)) for r in found]
+    assert components(members, pairs) == want
+
+
 def test_pii_ibans_before_capitals_and_digits():
     from assay.llm.pii import masked, spans_of
 
