@@ -220,6 +220,37 @@ def test_license_inheritance(spark):
     assert got["r/ab/v.py"] == ("MIT", "directory", "r")
 
 
+def test_license_texts(spark):
+    """Tags, titles, headers in comments, bodies with their own copyright lines; and texts that only mention a licence."""
+    from assay.llm.licenses import BODIES, scan
+
+    body = {}
+    for name, text in BODIES:
+        body[name] = text  # the longest of each
+    wrapped = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    files = {
+        "a/1.py": ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        "a/2.py": ("// SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0"),
+        "a/3.c": ("/* SPDX-License-Identifier: GPL-3.0-only */", "GPL-3.0"),
+        "a/4.go": ("// Copyright 2021 The Authors. All rights reserved.\n//\n" + wrapped(body["Apache-2.0"], "// ") + "\npackage x", "Apache-2.0"),
+        "a/5.h": ("/*\n" + wrapped(body["GPL-2.0"], " * ") + "\n */\n\nint x;", "GPL-2.0"),
+        "b/LICENSE": ("MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + wrapped(body["MIT"], ""), "MIT"),
+        "c/LICENSE.txt": ("Copyright (c) 2020, Jane Roe\nAll rights reserved.\n\n" + wrapped(body["BSD-3-Clause"], ""), "BSD-3-Clause"),
+        "d/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Preamble text of some sort.", "GPL-3.0"),
+        "e/LICENSE": ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+        "f/LICENSE": ("BSD 3-Clause License", "BSD-3-Clause"),
+        "g/x.rs": (body["MPL-2.0"], "MPL-2.0"),
+        "h/x.py": ("This file is distributed under the MIT License. See LICENSE for details.", "MIT"),
+        "i/x.py": ("You need a driving license to rent a car, and copyright law differs between countries of the region.", None),
+        "j/x.py": ("SPDX-License-Identifier: LicenseRef-Ours-7.1", None),
+        "k/LICENSE": (wrapped(body["BSD-2-Clause"], ""), "BSD-2-Clause"),
+        "l/LICENSE": (body["ISC"], "ISC"),
+    }
+    rows = [(p, t) for p, (t, _) in files.items()] + [("i/x.py", None), ("h/x.py", "MIT License"), ("h/x.py", "MIT License"), (None, "MIT License"), (None, None)]
+    got = {r["path"]: r["license"] for r in scan(spark.createDataFrame(rows, "path string, text string")).collect() if r["origin"] == "text" or r["origin"] == "none"}
+    assert got == {p: want for p, (_, want) in files.items()} | {"": "MIT"}
+
+
 @pytest.mark.parametrize("name", [*DOC_QUERIES, "op2_embedding_dedup", "op6_ann", "op9_packing", "op10_licenses", "pipeline"])
 def test_nothing(run, nothing, name):
     assert run(name, nothing) == []
