@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table, with_row_id
-from .repeats import Bitmap, Unit, anchors, covered, repeats, rewritten, word_symbols
+from .repeats import repeats
+from .scan import Bitmap, Unit, anchors, covered, rewritten, word_symbols
 
 LENGTH, ANCHOR = 35, 6
 BATCHES, FAN_IN = 2, 2

@@ -69,6 +69,41 @@ def test_simhash_short_and_long_lists(spark):
     assert components(members, pairs) == want
 
 
+def test_prefix_doubling_ranks(spark):
+    """Ranks by growing lengths put positions in the order of their pairs and drop what is unique, whatever the reach."""
+    from assay.llm.suffix import doubled
+
+    words = {0: "abcabcab", 1: "abcabcaz", 2: "xbcabcab", 3: "abcabcab", 4: "abc"}
+    rows = [(o, t - 2, ord(c)) for o, w in words.items() for t, c in enumerate(w)]
+    names = spark.createDataFrame(rows, "oid long, t int, name long")
+    for reach in (1, 2, 3, 5, 7, 8):
+        strings = {(o, t - 2): w[t : t + reach] for o, w in words.items() for t in range(len(w) - reach + 1)}
+        many = [k for k, v in strings.items() if list(strings.values()).count(v) > 1]
+        got = {(r["oid"], r["t"]): r["rank"] for r in doubled(names, reach).collect()}
+        assert set(got) == set(many)
+        assert all((got[a] == got[b]) == (strings[a] == strings[b]) for a in many for b in many)
+        if reach == 1:
+            assert all((got[a] < got[b]) == (strings[a] < strings[b]) for a in many for b in many)
+
+
+def test_substrings_of_other_lengths(spark):
+    """The threshold and the step are parameters: against brute force on texts of few letters."""
+    import numpy as np
+
+    from assay.llm.suffix import digest
+
+    from .brute import bytes_removed
+
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab"), n)) for n in (300, 200, 90, 40, 7, 0)]
+    texts += [texts[0][40:160] + "c" + texts[1][:70], "x" * 80, texts[2], "q" + texts[3] + "r"]
+    rows = list(enumerate(texts))
+    for length, anchor in ((12, 4), (30, 7), (64, 16)):
+        want = bytes_removed(rows, length)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in digest(spark.createDataFrame(rows, "doc_id long, text string"), length, anchor).collect()}
+        assert got == want
+
+
 def test_pii_ibans_before_capitals_and_digits():
     from assay.llm.pii import masked, spans_of
 
