@@ -68,10 +68,10 @@ def repeats(docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
 
     # border blocks, and one of each kind of settled blocks to compare them with
     borders = blocks.filter("alike = 1 or (rid = one.rid and pos = one.pos)").withColumn("single", F.expr("single and alike = 1"))
-    windows = hashes(with_texts(docs, saved(borders.select("rid", *fields), "borders"), fields), unit, windows(unit), fields, "key long, d int, text long, rid long, pos long, single boolean")
-    windows = saved(windows, "windows")
-    twice = windows.groupBy("key", "d", "text").agg(F.count("*").alias("n"), F.max("single").alias("open")).filter("n > 1 and open").select("key", "d", "text")
-    settled.append(windows.filter("single").join(twice, ["key", "d", "text"], "left_semi").select("rid", "pos", F.col("d").alias("near"), F.col("d").alias("far")))
+    own = hashes(with_texts(docs, saved(borders.select("rid", *fields), "borders"), fields), unit, windows(unit), fields, "key long, d int, text long, rid long, pos long, single boolean")
+    own = saved(own, "windows")
+    twice = own.groupBy("key", "d", "text").agg(F.count("*").alias("n"), F.max("single").alias("open")).filter("n > 1 and open").select("key", "d", "text")
+    settled.append(own.filter("single").join(twice, ["key", "d", "text"], "left_semi").select("rid", "pos", F.col("d").alias("near"), F.col("d").alias("far")))
 
     out = settled[0]
     for s in settled[1:]:
