@@ -64,10 +64,15 @@ def entities(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Za-z0-9#]+(?: [A-Z][A-Za-z0-9#]+)*"), F.lit(0)))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sentences(text: Column, least: int = 10) -> Column:
     """Sentences of at least ``least`` characters. A full stop between digits ends none."""
     parts = F.split(text, r"(?<=[.!?。！？])(?![0-9])\s*|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, stripped), lambda s: F.length(s) >= least)
 
 
 def citations(text: Column) -> Column:

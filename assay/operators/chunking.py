@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
+from ..functions.text import stripped
 
 STRATEGIES = ("fixed", "sentence", "paragraph", "heading")
 
@@ -30,33 +30,65 @@ def fixed(text: Column, size: int, overlap: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{stride}}}"), F.lit(1))
 
 
-def packed(parts: Column, size: int, glue: str) -> Column:
-    """Neighbouring parts joined by ``glue`` while they fit into ``size``."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def packed(parts: Column, size: int, glue: str, oversized, overlap: int = 0) -> Column:
+    """Neighbouring parts joined by ``glue`` while they fit into ``size``.
+
+    With ``overlap`` a chunk begins with the last parts of the one before, as many as fit into that many characters. A part
+    longer than ``size`` ends the chunk and becomes the chunks that ``oversized`` makes of it; nothing overlaps it.
+    """
+    texts = F.array().cast("array<string>")
+    joined = lambda ps: F.array_join(ps, glue)
+    closed = lambda s: F.when(F.size(s["open"]) == 0, s["done"]).otherwise(F.concat(s["done"], F.array(joined(s["open"]))))
+
+    def tail(ps: Column) -> Column:
+        """The last parts that together fit into the overlap."""
+        if not overlap:
+            return texts
+        start = F.struct(texts.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+        def back(t: Column, p: Column) -> Column:
+            n = t["n"] + F.length(p) + F.when(F.size(t["kept"]) > 0, 1).otherwise(0)
+            on = t["on"] & (n <= overlap)
+            return F.struct(F.when(on, F.concat(F.array(p), t["kept"])).otherwise(t["kept"]).alias("kept"), F.when(on, n).otherwise(t["n"]).alias("n"), on.alias("on"))
+
+        return F.aggregate(F.reverse(ps), start, back, lambda t: t["kept"])
 
     def step(s: Column, p: Column) -> Column:
-        fits = (s["open"] == "") | (F.length(s["open"]) + len(glue) + F.length(p) <= size)
-        joined = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.lit(glue), p))
-        return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))).alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
+        long = F.length(p) > size
+        length = F.length(joined(s["open"]))
+        full = (F.size(s["open"]) > 0) & (length + len(glue) + F.length(p) > size)
+        done = F.when(long, F.concat(closed(s), oversized(p))).when(full, closed(s)).otherwise(s["done"])
+        opened = F.when(long, texts).when(full, F.concat(tail(s["open"]), F.array(p))).otherwise(F.concat(s["open"], F.array(p)))
+        return F.struct(done.alias("done"), opened.alias("open"))
+
+    return F.aggregate(parts, F.struct(texts.alias("done"), texts.alias("open")), step, closed)
+
+
+def sentences(text: Column) -> Column:
+    """Parts that end after a full stop, an exclamation or a question mark, Latin or Chinese."""
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？.!?])\s*"), stripped), lambda p: p != "")
+
 
-    return F.aggregate(parts, empty, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+def by_sentence(text: Column, size: int, overlap: int) -> Column:
+    """Sentences of a text, packed; a longer one becomes fixed windows."""
+    return packed(sentences(text), size, " ", lambda p: fixed(p, size, overlap), overlap)
 
 
-def unfolded(parts: Column, size: int, overlap: int) -> Column:
-    """Parts longer than ``size`` become fixed windows."""
-    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > size, fixed(p, size, overlap)).otherwise(F.array(p))))
+def oversized(text: Column, size: int, overlap: int) -> Column:
+    """A part that is too long: by sentences where it has several, else by fixed windows."""
+    return F.when(F.size(sentences(text)) > 1, by_sentence(text, size, overlap)).otherwise(fixed(text, size, overlap))
 
 
 def split(text: Column, strategy: str, size: int, overlap: int) -> Column:
     if strategy == "fixed":
         return fixed(text, size, overlap)
     if strategy == "sentence":
-        return packed(unfolded(sentences(text, 1), size, overlap), size, " ")
+        return by_sentence(text, size, overlap)
     blank = r"\n\s*\n" if strategy == "paragraph" else r"\n(?=#{1,4}\s)"
-    parts = F.filter(F.transform(F.split(text, blank), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, blank), stripped), lambda p: p != "")
     if strategy == "heading":
-        return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > size, packed(unfolded(sentences(p, 1), size, overlap), size, " ")).otherwise(F.array(p))))
-    return packed(unfolded(parts, size, overlap), size, "\n\n")
+        return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > size, oversized(p, size, overlap)).otherwise(F.array(p))))
+    return packed(parts, size, "\n\n", lambda p: oversized(p, size, overlap))
 
 
 def merged(chunks: Column, least: int) -> Column:

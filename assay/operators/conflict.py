@@ -2,7 +2,8 @@
 
 ``extract`` turns texts into atomic claims. ``detect`` is a blocked self-join: rule conflicts
 need a common entity, so claims meet on the entities they name (lower case), each pair once.
-Rules are tried in order and the first that holds names the edge, as one expression of the plan.
+Rules are tried in order and the first that holds names the edge, as one expression of the plan. What
+rules compare is read once a claim, before claims meet (``slots``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import entities, jaccard, ngrams, numbers, sentences, years
+from ..functions.text import entities, jaccard, ngrams, sentences, years
+from .slots import DATED, RATIO, SEVERE, VALUE_ATTRIBUTES, differs, number_tokens, numeric_ratio, profiled, same_qualifiers, same_slot, same_time
 
 # Words by which claims are classified.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -25,10 +27,34 @@ UNCERTAIN = ("uncertain", "likely")
 COMPARATIVE = ("more", "less", "better", "worse", "compared", "versus", "than")
 SPECULATIVE = ("might", "maybe", "perhaps", "possibly", "arguably")
 NEGATION = r"\b(not|no|never|cannot|false|incorrect|denies|denied)\b"
-BROAD, NARROW = ("all ",), ("only ", "some ")
-
-RATIO, SEVERE = 1.1, 1.5
-SUPPORT_SHARED, SUPPORT_ALONE = 0.6, 0.85
+BROAD, NARROW = ("所有", "全部", "all "), ("仅", "只", "某些", "特定", "部分", "only ", "some ")
+CAUSE = ("导致", "引起", "造成", "促使", "推动", "使", "因为", "由于", "所以", "causes", "leads to", "results in", "drives", "due to", "because")
+NO_CAUSE = ("无关", "无关的", "不影响", "没有关系", "不导致", "并非", "不意味着", "no link", "unrelated", "no effect", "does not cause", "not because")
+NEGATED = (
+    (" is ", " is not "), (" are ", " are not "), (" was ", " was not "), (" has ", " has no "), (" can ", " cannot "), ("有", "没有"), ("是", "不是"), ("会", "不会"),
+)
+CONTRADICTED = (
+    ("是", "不是"), ("有", "没有"), ("会", "不会"), ("能", "不能"), ("应该", "不应该"), ("可以", "不可以"), ("需要", "不需要"), ("正确", "错误"), ("通过", "搁置"), ("已获通过", "搁置"), ("生效", "搁置"),
+    ("上升", "下降"), ("增加", "减少"), ("增长", "下降"), (" is ", " is not "), (" are ", " are not "), (" was ", " was not "), (" has ", " has no "), (" can ", " cannot "), (" will ", " will not "),
+    ("increased", "decreased"), ("rose", "fell"),
+)
+ORDERED = (("之前", "之后"), ("前", "后"), ("before", "after"), ("earlier", "later"))
+#: An evidence text that sets its own claims against each other; and one that compares its own numbers.
+SETS_APART = (
+    "误解", "质疑", "澄清", "不再代表", "并不代表", "不同", "相比", "仅从", "但", "而", "低于", "高于", "more than", "less than", "对比", "比较", " vs ", "vs", "versus", "questioned", "unlike",
+)
+COMPARES = (
+    "低于", "高于", "超过", "少于", "多于", "相比", "比较", "对比", "质疑", "修正", "澄清", "原计划", "推迟", "延误", "延期", "less than", "more than", "lower than", "higher than",
+)
+REPORTING = ("有报道称", "报道称", "有消息称", "消息称", "部分自媒体声称", "媒体声称", "媒体报道称", "该报道称", "声称")
+CORRECTING = ("实际上", "事实上", "但", "不过", "然而", "——")
+CORRECTED = ("实际上", "正确", "错误", "并非", "不是")
+LESS_OR_MORE = "低于|高于|少于|多于"
+ESTIMATES = ("估计", "测算", "预测", "达到", "为", "约")
+INHERITS = ("该公司", "公司", "本公司", "该法案", "该研究", "本研究", "本文", "该报告", "报告指出", "报道称", "消息称")
+EDGES = " ：:，,。；;"
+
+SUPPORT_SHARED = 0.6
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
@@ -66,27 +92,83 @@ def support_type(found_numbers: Column, found_entities: Column, found_times: Col
     return F.when(factual & named, "direct").when(factual | named, "indirect").otherwise("none")
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, f"^[{EDGES}]+", ""), f"[{EDGES}]+$", "")
+
+
+def reported(sentence: Column) -> Column:
+    """What a sentence only reports, up to where it turns; null without it."""
+    found = _stripped(F.regexp_extract(sentence, f"(?:{'|'.join(REPORTING)})(.+?)(?:，|,|这是|这也是|但|不过|然而|——|$)", 1))
+    return F.when(F.length(found) >= 6, found)
+
+
+def corrected(sentence: Column) -> Column:
+    """What a sentence sets against it: the text after the first turning word that does not only say it is wrong."""
+    tails = F.array(*[F.when(F.contains(sentence, F.lit(w)), _stripped(F.regexp_replace(sentence, f"(?s)^.*?{w}", ""))) for w in CORRECTING])
+    tail = F.get(F.filter(tails, lambda t: t.isNotNull() & ~t.rlike("错误|不准确|误读|不实")), F.lit(0))
+    return F.when(F.length(tail) >= 8, tail)
+
+
+def compared(sentence: Column) -> Column:
+    """The two sides of a compact comparison of estimates, or an empty array."""
+    sides = F.transform(F.split(sentence, f"[，,]?\\s*(?:略)?(?:{LESS_OR_MORE})\\s*", 2), _stripped)
+    left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    number = "(?<![A-Za-z])[0-9]"
+    both = (F.length(left) >= 8) & (F.length(right) >= 6) & left.rlike(number) & right.rlike(number) & any_of(sentence, ESTIMATES)
+    return F.when(sentence.rlike(LESS_OR_MORE) & both, F.array(left, right)).otherwise(F.array().cast("array<string>"))
+
+
+def resolved(text: Column, names: Column) -> Column:
+    """Stand-ins for a law or a company replaced by the first name that is no bare acronym."""
+    anchor = F.coalesce(F.get(F.filter(names, lambda n: ~n.rlike("^[A-Z]{2,}(-[A-Z0-9]+)?$")), F.lit(0)), F.get(names, F.lit(0)))
+    plain = F.replace(F.replace(F.replace(text, F.lit("该法案"), anchor), F.lit("该公司"), anchor), F.lit("该报道称"), F.lit(""))
+    return F.when(anchor.isNull(), text).otherwise(F.trim(F.when(plain.startswith("法案"), F.concat(anchor, F.substr(plain, F.lit(3)))).otherwise(plain)))
+
+
 def extract(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per sentence of ten characters or more, with an id from its place."""
-    parts = texts.select(key, F.posexplode(sentences(F.col(text))).alias("ord", "claim"))
+    """One row per sentence of ten characters or more, and per claim that a sentence reports, corrects or compares; ids from their place.
+
+    A sentence that speaks of "the company" or "the study" has the entities of its whole text as well, and so have the claims within it.
+    """
+    body = F.col(text)
+    of_text = texts.select(
+        key,
+        sentences(body).alias("sentences"),
+        entities(body).alias("of_text"),
+        any_of(body, SETS_APART).alias("sets_apart"),
+        any_of(body, COMPARES).alias("compares"),
+        (reported(body).isNotNull() & any_of(body, (*CORRECTED, *CORRECTING))).alias("corrects"),
+    )
+    parts = of_text.select("*", F.posexplode("sentences").alias("place", "sentence")).drop("sentences")
+    s = F.col("sentence")
+    own = F.array_distinct(F.concat(entities(s), F.when(any_of(s, INHERITS), F.col("of_text")).otherwise(F.array().cast("array<string>"))))
+    parts = parts.withColumn("names", own)
+    span = lambda claim, name: F.struct(claim.alias("claim"), F.lit(name).alias("span"))
+    sides = compared(s)
+    inner = F.array(
+        span(s, "sentence"),
+        span(resolved(reported(s), F.col("names")), "reported_claim"),
+        span(F.when(reported(s).isNotNull(), resolved(corrected(s), F.col("names"))), "corrective_claim"),
+        span(F.get(sides, F.lit(0)), "comparative_subject_claim"),
+        span(F.get(sides, F.lit(1)), "comparative_reference_claim"),
+    )
+    listed = F.filter(inner, lambda x: x["claim"].isNotNull())
+    rows = parts.select("*", F.posexplode(listed).alias("inner", "found")).select("*", "found.*")
     c = F.col("claim")
-    return parts.select(
-        F.concat(F.col(key), F.lit("#"), "ord").alias("claim_id"),
+    rows = rows.select(
+        F.concat_ws("#", F.col(key), F.concat(F.col("place"), F.when(F.col("inner") > 0, F.concat(F.lit("."), F.col("inner"))).otherwise(F.lit("")))).alias("claim_id"),
         F.col(key).alias("evidence_id"),
         "claim",
-        entities(c).alias("entities"),
-        numbers(c).alias("numbers"),
+        "span",
+        F.array_distinct(F.concat(entities(c), F.col("names"))).alias("entities"),
+        number_tokens(c).alias("numbers"),
         times(c).alias("times"),
         claim_type(c).alias("claim_type"),
-    ).withColumns({"verifiable": verifiable(c, F.col("numbers"), F.col("entities")), "support_type": support_type(F.col("numbers"), F.col("entities"), F.col("times"))})
-
-
-def numeric_ratio(a: Column, b: Column) -> Column:
-    """The first ratio beyond the threshold between a number of one side and one of the other; years aside."""
-    year = r"^(19|20)[0-9]{2}$"
-    values = lambda n: F.filter(F.transform(F.filter(n, lambda x: ~x.rlike(year)), lambda x: x.cast("double")), lambda v: v > 0)
-    ratios = F.flatten(F.transform(values(a), lambda x: F.transform(values(b), lambda y: F.greatest(x, y) / F.least(x, y))))
-    return F.get(F.filter(ratios, lambda r: r > RATIO), F.lit(0))
+        "sets_apart",
+        "compares",
+        ((F.col("span") == "reported_claim") & F.col("corrects")).alias("corrected"),
+    )
+    return rows.withColumns({"verifiable": verifiable(c, F.col("numbers"), F.col("entities")), "support_type": support_type(F.col("numbers"), F.col("entities"), F.col("times"))})
 
 
 def definition(text: Column) -> Column:
@@ -107,15 +189,28 @@ def grain(text: Column) -> Column:
     return F.when(low.rlike(r"\b(daily|hourly|monthly|per day|per month)\b"), "fine").when(low.rlike(r"\b(yearly|annual|annually|decade|overall)\b"), "coarse")
 
 
-def optional_rules(x: str = "x", y: str = "y") -> Column:
-    """The rules that are off unless asked for: reach, grain, and a gap in the sources' rank with a negation."""
-    cx, cy = F.lower(f"{x}.claim"), F.lower(f"{y}.claim")
-    edge = lambda kind, confidence, severity: F.struct(F.lit(kind).alias("conflict_type"), F.lit(confidence).alias("confidence"), F.lit(severity).alias("severity"))
-    return F.coalesce(
-        F.when(reach(cx) != reach(cy), edge("scope_conflict", 0.65, "medium")),
-        F.when(grain(cx) != grain(cy), edge("granularity_conflict", 0.5, "low")),
-        F.when((F.abs(F.col(f"{x}.source_rank") - F.col(f"{y}.source_rank")) >= 2) & (cx.rlike(NEGATION) != cy.rlike(NEGATION)), edge("source_conflict", 0.55, "medium")),
-    )
+def _edge(kind: str, confidence: Column | float, severity: Column | str) -> Column:
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(F.lit(kind).alias("conflict_type"), as_column(confidence).cast("double").alias("confidence"), as_column(severity).alias("severity"))
+
+
+def scope_rule(x: str = "x", y: str = "y") -> Column:
+    """Off unless asked for: the claims' reach differs."""
+    return F.when(reach(F.col(f"{x}.claim")) != reach(F.col(f"{y}.claim")), _edge("scope_conflict", 0.65, "medium"))
+
+
+def grain_rule(x: str = "x", y: str = "y") -> Column:
+    """Off unless asked for: one claim measures finer."""
+    return F.when(grain(F.col(f"{x}.claim")) != grain(F.col(f"{y}.claim")), _edge("granularity_conflict", 0.5, "low"))
+
+
+def source_rule(x: str = "x", y: str = "y") -> Column:
+    """Off unless asked for: sources two ranks apart, and a negation. Claims have a ``source_rank``."""
+    negated = F.lower(f"{x}.claim").rlike(NEGATION) != F.lower(f"{y}.claim").rlike(NEGATION)
+    return F.when((F.abs(F.col(f"{x}.source_rank") - F.col(f"{y}.source_rank")) >= 2) & negated, _edge("source_conflict", 0.55, "medium"))
+
+
+OPTIONAL = {"scope": scope_rule, "grain": grain_rule, "source": source_rule}
 
 
 def self_refuting(claims: DataFrame) -> DataFrame:
@@ -133,55 +228,105 @@ def focused(edges: DataFrame, claims: DataFrame, question: str) -> DataFrame:
     return ends.filter(F.col("s") | F.col("t") | (F.size(asked) == 0)).select(*edges.columns)
 
 
-def rules(x: str = "x", y: str = "y") -> Column:
-    """struct(conflict_type, confidence, severity) of the first rule that holds for a pair that shares an entity, or null."""
-    cx, cy = F.lower(f"{x}.claim"), F.lower(f"{y}.claim")
-    edge = lambda kind, confidence, severity: F.struct(F.lit(kind).alias("conflict_type"), confidence.cast("double").alias("confidence"), severity.alias("severity"))
-    ratio, close = F.col("ratio"), F.col("similarity")
-    negated = cx.rlike(NEGATION) != cy.rlike(NEGATION)
-    years_x, years_y = years(cx), years(cy)
-    dated = (F.size(years_x) > 0) & (F.size(years_y) > 0) & ~F.arrays_overlap(years_x, years_y)
-    milestone = r"found|pass|effective|launch|publish"
+def _opposed(x: Column, y: Column, pairs_: tuple[tuple[str, str], ...]) -> Column:
+    """Whether one text has the first and the other the second word of a pair."""
+    return reduce(lambda a, b: a | b, [(F.contains(x, F.lit(p)) & F.contains(y, F.lit(n))) | (F.contains(x, F.lit(n)) & F.contains(y, F.lit(p))) for p, n in pairs_])
+
+
+def rules(optional: tuple[str, ...] = (), x: str = "x", y: str = "y") -> Column:
+    """struct(conflict_type, confidence, severity) of the first rule that holds for a pair of profiled claims that share an entity, or null."""
+    cx, cy = F.col(f"{x}.low"), F.col(f"{y}.low")
+    similarity = F.col("similarity")
+    extra = {name: OPTIONAL[name](x, y) if name in optional else F.lit(None) for name in OPTIONAL}
+    slot = lambda least, timed=True: same_slot(similarity, least, x, y, timed)
+    ratio = F.when(slot(0.0), numeric_ratio(x, y))
+    together = F.col(f"{x}.evidence_id") == F.col(f"{y}.evidence_id")
+    contrast = together & F.col(f"{x}.compares") & same_time(x, y) & same_qualifiers(x, y) & differs(x, y)
+    values = F.arrays_overlap(F.array_intersect(f"{x}.attributes", f"{y}.attributes"), F.array(*map(F.lit, VALUE_ATTRIBUTES)))
+    apart = (F.size(F.array_except(f"{x}.entities", f"{y}.entities")) > 0) & (F.size(F.array_except(f"{y}.entities", f"{x}.entities")) > 0)
+    dated = reduce(
+        lambda a, b: a | b,
+        [
+            F.array_contains(f"{x}.attributes", n) & F.array_contains(f"{y}.attributes", n)
+            & (F.size(f"{x}.{n}_in") > 0) & (F.size(f"{y}.{n}_in") > 0) & ~F.arrays_overlap(f"{x}.{n}_in", f"{y}.{n}_in")
+            for n in DATED
+        ],
+    )
+    said = lambda side, word: F.exists(f"{side}.times", lambda t: F.contains(F.lower(t), F.lit(word)))
+    ordered = reduce(lambda a, b: a | b, [said(x, first) & said(y, second) for first, second in ORDERED])
     scope = (any_of(cx, BROAD) & any_of(cy, NARROW)) | (any_of(cy, BROAD) & any_of(cx, NARROW))
-    causal = any_of(cx, CAUSAL) & any_of(cy, CAUSAL)
+    causal = (any_of(cx, CAUSE) & any_of(cy, NO_CAUSE)) | (any_of(cx, NO_CAUSE) & any_of(cy, CAUSE))
     defined_x, defined_y = definition(cx), definition(cy)
     return F.coalesce(
-        F.when(ratio.isNotNull(), edge("numeric_conflict", F.least(F.lit(0.9), 0.5 + (ratio - RATIO) / 2), F.when(ratio > SEVERE, "high").otherwise("medium"))),
-        F.when(dated & cx.rlike(milestone) & cy.rlike(milestone), edge("temporal_conflict", F.lit(0.7), F.lit("medium"))),
-        F.when(scope, edge("scope_conflict", F.lit(0.75), F.lit("high"))),
-        F.when(defined_x.isNotNull() & defined_y.isNotNull() & (defined_x != defined_y), edge("definitional_conflict", F.lit(0.6), F.lit("medium"))),
-        F.when(causal & negated, edge("causal_conflict", F.lit(0.6), F.lit("high"))),
-        F.when(negated & (close >= 0.3), edge("refute", F.lit(0.75), F.lit("high"))),
-        F.when(close >= SUPPORT_SHARED, edge("support", F.round(F.least(F.lit(0.95), close), 3), F.lit("low"))),
+        F.when(contrast, _edge("numeric_conflict", 0.78, "high")),
+        F.when(ratio.isNotNull(), _edge("numeric_conflict", F.least(F.lit(0.9), 0.5 + (ratio - RATIO) / 2), F.when(ratio > SEVERE, "high").otherwise("medium"))),
+        F.when(apart & values & slot(0.35), _edge("entity_mismatch", 0.7, "medium")),
+        F.when(_opposed(cx, cy, NEGATED), _edge("entity_mismatch", 0.8, "high")),
+        F.when(dated & slot(0.35, False), _edge("temporal_conflict", 0.7, "medium")),
+        F.when(ordered, _edge("temporal_conflict", 0.6, "medium")),
+        F.when(scope & slot(0.25), _edge("scope_conflict", 0.75, "high")),
+        extra["scope"],
+        F.when(causal & slot(0.35, False), _edge("causal_conflict", 0.6, "high")),
+        extra["grain"],
+        F.when(defined_x.isNotNull() & defined_y.isNotNull() & (defined_x != defined_y), _edge("definitional_conflict", 0.6, "medium")),
+        extra["source"],
+        F.when(_opposed(cx, cy, CONTRADICTED) & slot(0.25), _edge("refute", 0.75, "high")),
+        F.when(similarity >= SUPPORT_SHARED, _edge("support", F.round(F.least(F.lit(0.95), similarity), 3), "low")),
     )
 
 
-def pairs(claims: DataFrame) -> DataFrame:
-    """Pairs (x, y) of claims of different evidence that share an entity, each once.
+def explicit(x: str = "x", y: str = "y") -> Column:
+    """Whether two claims of one evidence are set against each other by it."""
+    cx, cy = F.col(f"{x}.low"), F.col(f"{y}.low")
+    spans = lambda a, b: (F.col(f"{x}.span") == a) & (F.col(f"{y}.span") == b)
+    scope = (any_of(cx, BROAD) & any_of(cy, NARROW)) | (any_of(cy, BROAD) & any_of(cx, NARROW))
+    numbers = (F.size(f"{x}.numbers") > 0) & (F.size(f"{y}.numbers") > 0)
+    told = spans("reported_claim", "corrective_claim") | spans("corrective_claim", "reported_claim")
+    return told | (F.col(f"{x}.sets_apart") & (F.arrays_overlap(f"{x}.attributes", f"{y}.attributes") | numbers | scope))
+
+
+def prepared(claims: DataFrame) -> DataFrame:
+    """Profiles of claims; what a text says of its own claims is false where it is not known."""
+    known = {"span": F.lit("sentence"), **{c: F.lit(False) for c in ("sets_apart", "compares", "corrected")}}
+    claims = claims.withColumns({c: v for c, v in {**known, "times": F.array().cast("array<string>")}.items() if c not in claims.columns})
+    keys = F.array_sort(F.array_distinct(F.transform("entities", F.lower)))
+    return profiled(claims).withColumns({"grams": ngrams(F.col("low"), 2), "keys": keys})
+
+
+def pairs(claims: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Pairs (x, y) of prepared claims that share an entity, each once and the smaller id first; with ``others``, pairs of one of either.
 
     A pair that shares several entities is kept under the first of them only, so no pass removes duplicates.
+    Claims of one evidence meet only where it sets them against each other; one that its own evidence corrects meets no other evidence.
     """
-    keyed = claims.withColumn("keys", F.array_sort(F.array_distinct(F.transform("entities", F.lower))))
-    left = keyed.select(F.explode("keys").alias("entity"), F.struct(*keyed.columns).alias("x"))
-    right = keyed.select(F.explode("keys").alias("entity"), F.struct(*keyed.columns).alias("y"))
-    met = left.join(right, "entity").filter("x.claim_id < y.claim_id and x.evidence_id <> y.evidence_id")
-    return met.filter(F.col("entity") == F.array_min(F.array_intersect("x.keys", "y.keys")))
-
-
-def detect(claims: DataFrame) -> DataFrame:
-    """(source_id, target_id, conflict_type, confidence, severity) of all rule edges between claims."""
-    grams = claims.withColumn("grams", ngrams(F.lower("claim"), 2))  # once a claim, not once a pair
-    scored = pairs(grams).withColumns({"ratio": numeric_ratio(F.col("x.numbers"), F.col("y.numbers")), "similarity": jaccard(F.col("x.grams"), F.col("y.grams"))})
-    edges = scored.select(F.col("x.claim_id").alias("source_id"), F.col("y.claim_id").alias("target_id"), rules().alias("edge"))
+    left = claims.select(F.explode("keys").alias("entity"), F.struct(*claims.columns).alias("x"))
+    right = claims if others is None else others
+    right = right.select(F.explode("keys").alias("entity"), F.struct(*claims.columns).alias("y"))
+    met = left.join(right, "entity").filter("x.claim_id < y.claim_id" if others is None else "x.claim_id <> y.claim_id")
+    met = met.filter(F.col("entity") == F.array_min(F.array_intersect("x.keys", "y.keys")))
+    first = F.col("x.claim_id") < F.col("y.claim_id")
+    met = met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("y"))
+    apart = F.col("x.evidence_id") != F.col("y.evidence_id")
+    return met.filter((apart & ~F.col("x.corrected") & ~F.col("y.corrected")) | (~apart & explicit()))
+
+
+def _edges(met: DataFrame, optional: tuple[str, ...]) -> DataFrame:
+    scored = met.withColumn("similarity", jaccard(F.col("x.grams"), F.col("y.grams")))
+    edges = scored.select(F.col("x.claim_id").alias("source_id"), F.col("y.claim_id").alias("target_id"), rules(optional).alias("edge"))
     return edges.filter("edge is not null").select("source_id", "target_id", "edge.*")
 
 
-def grow(known: DataFrame, fresh: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges that ``fresh`` claims add to those there are: old with new and new with new, none twice."""
-    new = fresh.select("claim_id").withColumn("is_new", F.lit(True))
-    found = detect(known.unionByName(fresh))
-    touched = found.join(new.withColumnsRenamed({"claim_id": "source_id", "is_new": "s"}), "source_id", "left").join(new.withColumnsRenamed({"claim_id": "target_id", "is_new": "t"}), "target_id", "left")
-    return touched.filter("s or t").select(*found.columns).join(edges.select("source_id", "target_id", "conflict_type"), ["source_id", "target_id", "conflict_type"], "left_anti")
+def detect(claims: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """(source_id, target_id, conflict_type, confidence, severity) of all rule edges between claims, and of claims that refute themselves."""
+    return _edges(pairs(prepared(claims)), optional).unionByName(self_refuting(claims))
+
+
+def grow(known: DataFrame, fresh: DataFrame, edges: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Edges that ``fresh`` claims add to those there are: new with new and new with known, none twice. Known claims do not meet each other again."""
+    new = prepared(fresh)
+    met = pairs(new).unionByName(pairs(new, prepared(known)))
+    found = _edges(met, optional).unionByName(self_refuting(fresh))
+    return found.join(edges.select("source_id", "target_id", "conflict_type"), ["source_id", "target_id", "conflict_type"], "left_anti")
 
 
 def conflict_ratio(edges: DataFrame) -> DataFrame:

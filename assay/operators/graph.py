@@ -46,7 +46,7 @@ def labelled(parts: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 def traceability(span: F.Column, text: F.Column) -> F.Column:
     """How a quoted span is found: ``exact``, ``segmented`` (its parts between ellipses in order) or ``untraceable``."""
-    parts = F.filter(F.transform(F.split(span, r"\.\.\.|…"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(span, r"\.\.\.|…"), lambda t: F.trim(t)), lambda p: p != "")
     # the place after each part, 0 once one is missing
     place = F.aggregate(parts, F.lit(1), lambda at, p: F.when((at > 0) & (F.call_function("locate", p, text, at) > 0), F.call_function("locate", p, text, at) + F.length(p)).otherwise(F.lit(0)))
     return F.when(F.contains(text, span), "exact").when((F.size(parts) > 1) & (place > 0), "segmented").otherwise("untraceable")

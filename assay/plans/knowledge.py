@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import numbers, squeezed, years
 from ..operators import audit as a
-from ..operators import chunking, conflict, evidence, graph
+from ..operators import chunking, conflict, evidence, graph, slots
 
 AS_OF = 2024
 
@@ -119,6 +119,29 @@ def numeric_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return edges.select("source_id", "target_id", F.round("confidence", 6).alias("confidence"), "severity")
 
 
+def _sales_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """What each nation's suppliers sold in each quarter, as three accounts tell it: by return flag."""
+    t = lambda name: _table(spark, sf, name)
+    sold = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    sold = sold.groupBy("n_name", "l_returnflag", F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    name = F.initcap(F.translate(F.lower("n_name"), "_0123456789", " abcdefghij"))  # a name has no number in it
+    claim = F.concat(F.lit("In Q"), "q", F.lit(" "), "y", F.lit(", sales of "), name, F.lit(" were "), "n")
+    rows = sold.select(F.concat_ws("-", "n_name", "y", "q", "l_returnflag").alias("claim_id"), F.col("l_returnflag").alias("evidence_id"), claim.alias("claim"), F.array(name).alias("entities"))
+    return rows.withColumn("numbers", slots.number_tokens(F.col("claim")))
+
+
+def fact_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts of one nation's sales that differ: only those of one quarter of one year are of one fact."""
+    edges = conflict.detect(_sales_claims(spark, sf)).filter("conflict_type = 'numeric_conflict'")
+    return edges.select("source_id", "target_id", F.round("confidence", 6).alias("confidence"), "severity")
+
+
+def time_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Time keys and quantities of the sales claims: a year or the number of a quarter is no quantity."""
+    profiles = slots.profiled(_sales_claims(spark, sf)).select(F.explode("time_keys").alias("time_key"), F.size("quantities").alias("quantities"), F.size("attributes").alias("attributes"))
+    return profiles.groupBy("time_key").agg(F.count("*").alias("n"), F.sum("quantities").alias("quantities"), F.sum("attributes").alias("attributes"))
+
+
 def conflict_summary(spark: SparkSession, sf: str) -> DataFrame:
     return conflict.detect(_part_claims(spark, sf)).groupBy("conflict_type", "severity").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
@@ -238,7 +261,11 @@ windows AS (SELECT doc_id, text, list_transform(range(0, length(text), 448), lam
 folded AS (SELECT doc_id, CASE WHEN length(text) < 50 THEN CASE WHEN trim(text, ' ') = '' THEN [] ELSE [trim(text, ' ')] END
     WHEN length(ws[-1]) < 50 THEN list_append(ws[1:len(ws) - 2], ws[-2] || chr(10) || ws[-1]) ELSE ws END AS cs FROM windows)"""
 _CLAIMS = """claims AS (SELECT p_partkey AS id, p_brand || ' ' || p_type || ' size' || p_size AS entity, p_retailprice AS v FROM part),
-ratios AS (SELECT x.id AS source_id, y.id AS target_id, greatest(x.v, y.v) / least(x.v, y.v) AS ratio FROM claims x JOIN claims y ON x.entity = y.entity AND x.id < y.id)"""
+ratios AS (SELECT x.id AS source_id, y.id AS target_id, greatest(x.v, y.v) / least(x.v, y.v) AS ratio FROM claims x JOIN claims y ON x.entity = y.entity AND x.id < y.id
+  WHERE floor(x.v) NOT BETWEEN 1800 AND 2099 AND floor(y.v) NOT BETWEEN 1800 AND 2099)"""
+_SOLD = """sold AS (SELECT n_name || '-' || y || '-' || q || '-' || flag AS id, n_name AS nation, y, q, n FROM (
+  SELECT n_name, l_returnflag AS flag, year(l_shipdate) AS y, quarter(l_shipdate) AS q, sum(l_quantity)::BIGINT AS n
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3, 4))"""
 _LINKS = """keyed AS (SELECT DISTINCT doc_id, md5(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 60),
 firsts AS (SELECT line, min(doc_id) AS a FROM keyed GROUP BY 1 HAVING count(*) > 1),
 links AS (SELECT DISTINCT a, doc_id AS b FROM keyed JOIN firsts USING (line) WHERE doc_id <> a),
@@ -273,6 +300,8 @@ QUERIES = {
     "x2_claims": claims,
     "x8_claim_types": claim_types,
     "x9_years": year_features,
+    "x13_time_keys": time_keys,
+    "j5_fact_slots": fact_slots,
     "j8_numeric_conflicts": numeric_conflicts,
     "j22_conflict_summary": conflict_summary,
     "j27_newest_claim": newest_claim,
@@ -303,6 +332,8 @@ SELECT id, round(coalesce(s, 0.5), 6) AS support, round(coalesce(c, 0.0), 9) AS
     "x8_claim_types": f"SELECT {_TYPE} AS claim_type, count(*) AS n FROM (SELECT line, lower(line) AS low FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1",
     "x9_years": r"SELECT year, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS year FROM documents) WHERE regexp_full_match(year, '(19|20)[0-9]{2}') GROUP BY 1",
     "j8_numeric_conflicts": f"WITH {_CLAIMS} SELECT source_id, target_id, round(least(0.9::DOUBLE, 0.5::DOUBLE + (ratio - 1.1::DOUBLE) / 2), 6) AS confidence, CASE WHEN ratio > 1.5::DOUBLE THEN 'high' ELSE 'medium' END AS severity FROM ratios WHERE ratio > 1.1::DOUBLE",
+    "j5_fact_slots": f"WITH {_SOLD} SELECT x.id AS source_id, y.id AS target_id, round(least(0.9::DOUBLE, 0.5::DOUBLE + (greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE - 1.1::DOUBLE) / 2), 6) AS confidence, CASE WHEN greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE > 1.5::DOUBLE THEN 'high' ELSE 'medium' END AS severity FROM sold x JOIN sold y ON x.nation = y.nation AND x.y = y.y AND x.q = y.q AND x.id < y.id WHERE x.n NOT BETWEEN 1800 AND 2099 AND y.n NOT BETWEEN 1800 AND 2099 AND NOT (x.n BETWEEN 1 AND 4 AND x.n = x.q) AND NOT (y.n BETWEEN 1 AND 4 AND y.n = y.q) AND greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE > 1.1::DOUBLE",
+    "x13_time_keys": f"WITH {_SOLD} SELECT time_key, count(*) AS n, sum((n NOT BETWEEN 1800 AND 2099 AND NOT (n BETWEEN 1 AND 4 AND n = q))::INT)::BIGINT AS quantities, count(*) AS attributes FROM (SELECT n, q, unnest(['year:' || y, 'quarter:' || q]) AS time_key FROM sold) GROUP BY 1",
     "j27_newest_claim": f"WITH {_EVIDENCE} SELECT topic, kind, id, date FROM (SELECT *, row_number() OVER (PARTITION BY topic, kind ORDER BY credibility DESC, date DESC, relevance DESC, id) AS r FROM evidence) WHERE r = 1",
     "a1_audit_summary": f"WITH {_NEAR} SELECT score >= 0.99 AS high, count(*) AS pairs, count(DISTINCT item_id) AS items, count(DISTINCT doc_id) AS documents FROM near WHERE score >= 0.85 GROUP BY 1",
     "a2_audit_exact": f"WITH {_BODIES}, {_EXACT} SELECT * FROM exact",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import text as t
-from assay.operators import audit, chunking, conflict, control, evidence, graph, metrics, retrieval, stats
+from assay.operators import audit, chunking, conflict, control, evidence, graph, metrics, retrieval, slots, stats
 
 
 def one(spark, column, **values):
@@ -131,20 +131,46 @@ def test_chunks_merge_small_ones(spark):
     assert {c for c, _ in got} & {"3_c0", "4_c0"} == set()
 
 
-def greedy(parts, size, glue):
-    out = []
-    for p in parts:
-        if out and len(out[-1]) + len(glue) + len(p) <= size:
-            out[-1] += glue + p
-        else:
-            out.append(p)
-    return out
-
-
-def test_sentences_are_packed(spark):
-    text = "One is 1.5 long. Two! Three? Four is the last one here. Five."
-    parts = [p for p in re.split(r"(?<=[.!?])(?![0-9])\s*", text) if p]
-    assert one(spark, chunking.split(F.lit(text), "sentence", 30, 5)) == greedy(parts, 30, " ")
+def chunks_of(text, strategy, size, overlap):
+    """A plain version of the chunking by sentences, paragraphs and headings."""
+    cut = lambda pattern, t: [p.strip() for p in re.split(pattern, t) if p.strip()]
+    enders = r"(?<=[。！？.!?])\s*"
+
+    def pack(parts, glue, long, keep):
+        out, now = [], []
+        for p in parts:
+            if len(p) > size:
+                out += [glue.join(now)] * bool(now) + long(p)
+                now = []
+                continue
+            if now and len(glue.join([*now, p])) > size:
+                out.append(glue.join(now))
+                while now and len(glue.join(now)) > keep:
+                    now = now[1:]
+            now.append(p)
+        return out + [glue.join(now)] * bool(now)
+
+    by_sentence = lambda t: pack(cut(enders, t), " ", lambda p: windows(p, size, overlap), overlap)
+    long = lambda t: by_sentence(t) if len(cut(enders, t)) > 1 else windows(t, size, overlap)
+    if strategy == "sentence":
+        return by_sentence(text)
+    if strategy == "paragraph":
+        return pack(cut(r"\n\s*\n", text), "\n\n", long, -1)
+    return [c for p in cut(r"\n(?=#{1,4}\s)", text) for c in (long(p) if len(p) > size else [p])]
+
+
+@pytest.mark.parametrize("strategy", ["sentence", "paragraph", "heading"])
+def test_chunks_by_text(spark, strategy):
+    texts = [
+        "One is 1.5 long. Two! Three? Four is the last one here. Five.",
+        "Short. " * 9 + "A sentence that is far too long for any chunk of this size and so is cut into windows. End. 好。再见！",
+        "# Head\nFirst part. Of two.\n\nSecond part, which is longer. It has three sentences. See?\n\n\n## Next\n" + "word " * 30 + "\n\n tail \t\n",
+        "no end at all and no break " * 4,
+        "...!?", " \n ", "",
+    ]
+    for size, overlap in ((30, 12), (40, 0), (64, 63)):
+        for text in texts:
+            assert one(spark, chunking.split(F.lit(text), strategy, size, overlap)) == chunks_of(text, strategy, size, overlap)
 
 
 def test_chunk_parameters():
@@ -192,8 +218,11 @@ def claims(spark, *texts):
         ("Acme sold 1200 cars in total.", "Acme sold 1500 cars in total.", "numeric_conflict"),
         ("Acme was founded in 1999.", "Acme was founded in 2004.", "temporal_conflict"),
         ("In Oslo all trams are electric.", "In Oslo only some trams are electric.", "scope_conflict"),
-        ("Acme grew because of exports.", "Acme did not grow because of exports.", "causal_conflict"),
-        ("The bridge in Oslo is open to cars.", "The bridge in Oslo is not open to cars.", "refute"),
+        ("Growth of Acme came because of exports.", "Growth of Acme was unrelated to exports.", "causal_conflict"),
+        ("The bridge in Oslo is open to cars.", "The bridge in Oslo is not open to cars.", "entity_mismatch"),
+        ("The bridge in Oslo will open to cars.", "The bridge in Oslo will not open to cars.", "refute"),
+        ("The capital of Freedonia is Sylvania.", "The capital of Freedonia is Moravia.", "entity_mismatch"),
+        ("Acme sales in 2020 were 1200 cars.", "Acme sales in 2020 were 1500 cars.", "numeric_conflict"),
         ("The bridge in Oslo is open to cars.", "The bridge in Oslo is open to all cars.", "support"),
     ],
 )
@@ -304,10 +333,55 @@ def test_focus(spark):
     assert conflict.focused(edges, every, "how many?").count() == 2
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ("Acme was founded in 2012.", "Acme has 3000 employees."),
+        ("Acme sales in 2020 were 1200 cars.", "Acme sales in 2021 were 1500 cars."),
+        ("Acme sales in Q1 2020 were 1200 cars.", "Acme sales in Q2 2020 were 1500 cars."),
+        ("Acme sales in Q1 2020 were 1200 cars.", "Acme annual sales in 2020 were 4500 cars."),
+        ("Acme sales in 中国 were 1200 cars.", "Acme sales in 欧洲 were 1500 cars."),
+        ("Acme growth was 12%, says Mr Roe.", "Acme growth was 1500 cars, says Mr Poe."),
+        ("Acme shipped the 3nm制程 chip size.", "Acme shipped the 7nm制程 chip size."),
+        ("Unlike Acme, sales of Zeta were 1200 cars.", "Acme sales were 1500 cars."),
+        ("Acme sales of 1-9月 were good.", "Acme sales of 1-6月 were good."),
+        ("Acme profit was 1900 then.", "Acme profit was 2011 then."),
+    ],
+)
+def test_other_slots(spark, a, b):
+    """Numbers of different years, quarters, regions, units or attributes do not conflict, nor do numbers of dates."""
+    assert [r["conflict_type"] for r in conflict.detect(claims(spark, a, b)).filter("conflict_type <> 'support'").collect()] == []
+
+
+def test_quantities(spark):
+    value = lambda t: one(spark, slots.value(F.lit(t)))
+    assert (value("1,200 km"), value("3.5亿元"), value("12万")) == (1200.0, 3.5e8, 120000.0)
+    unit = lambda t: one(spark, slots.unit_class(F.lit(t)))
+    assert [unit(t) for t in ("5%", "3亿元", "12万", "20°C", "7nm", "3天", "5 qubits", "5")] == ["percent", "money", "magnitude", "temperature", "length", "duration", "qubit", "plain"]
+    assert one(spark, slots.number_tokens(F.lit("In Q3 2020 it sold 1,200 units at 5.5% for 3万美元"))) == ["2020", "1,200", "5.5%", "3万美元"]
+    assert sorted(one(spark, slots.time_keys(F.lit("annual report of 2020, Q3 and 第二季度")))) == ["period:annual", "quarter:2", "quarter:3", "year:2020"]
+    assert one(spark, slots.attributes(F.lit("The CEO said market share and turnover grew"))) == ["market_share", "fine", "ceo"]
+    assert one(spark, slots.attributes(F.lit("通过的风险等级"))) == []
+
+
+def test_embedded_claims(spark):
+    """A report, its correction and the sides of a comparison are claims of their own; a report that is corrected meets no other evidence."""
+    rows = spark.createDataFrame([("a", "有报道称Acme销量为900万辆，实际上Acme销量为300万辆左右。"), ("b", "Acme销量为300万辆，这是官方数据。"), ("c", "机构估计Acme销量为500万辆，低于Zeta的900万辆水平。")], "evidence string, body string")
+    got = {r["claim_id"]: r for r in conflict.extract(rows, "evidence", "body").collect()}
+    assert (got["a#0.1"]["claim"], got["a#0.1"]["span"]) == ("Acme销量为900万辆", "reported_claim")
+    assert (got["a#0.2"]["claim"], got["a#0.2"]["span"]) == ("Acme销量为300万辆左右", "corrective_claim")
+    assert [got[k]["claim"] for k in ("c#0.1", "c#0.2")] == ["机构估计Acme销量为500万辆", "Zeta的900万辆水平"]
+    edges = {(r["source_id"], r["target_id"]) for r in conflict.detect(conflict.extract(rows, "evidence", "body")).collect()}
+    assert ("a#0.1", "a#0.2") in edges and not any("a#0.1" in e and "b#0" in e for e in edges)
+
+
 def test_optional_rules(spark):
-    rows = spark.createDataFrame([("Sales grew worldwide.", 1, "Sales grew in one region.", 1), ("Daily sales grew.", 1, "Annual sales grew.", 1), ("Sales grew.", 3, "Sales never grew.", 1)], "a string, ra int, b string, rb int")
-    pairs = rows.select(F.struct(F.col("a").alias("claim"), F.col("ra").alias("source_rank")).alias("x"), F.struct(F.col("b").alias("claim"), F.col("rb").alias("source_rank")).alias("y"))
-    assert [r["k"] for r in pairs.select(conflict.optional_rules()["conflict_type"].alias("k")).collect()] == ["scope_conflict", "granularity_conflict", "source_conflict"]
+    texts = [("Sales of Acme grew worldwide.", "Sales of Acme grew in one region."), ("Daily sales of Acme grew.", "Annual sales of Acme grew.")]
+    for (a, b), kind, option in zip(texts, ("scope_conflict", "granularity_conflict"), ("scope", "grain"), strict=True):
+        assert kind in [r["conflict_type"] for r in conflict.detect(claims(spark, a, b), (option,)).collect()]
+        assert kind not in [r["conflict_type"] for r in conflict.detect(claims(spark, a, b)).collect()]
+    ranked = claims(spark, "Acme paid for it all.", "Acme never paid for it.").withColumn("source_rank", F.when(F.col("evidence_id") == "e0", 3).otherwise(1))
+    assert [r["conflict_type"] for r in conflict.detect(ranked, ("source",)).collect()] == ["source_conflict"]
 
 
 def test_quota_split(spark):
