@@ -5,11 +5,12 @@ A projection's window of half width h, centred on one vector, holds the other wi
 probability 2 Phi(h/d) - 1, so the number of windows that hold a pair at the
 wanted cosine is binomial: the count that 99.9% of such pairs reach is the filter.
 
-Counting over all pairs would be quadratic. Pairs to count come from ``tables``: each sorts
-some further projections into cells and pairs what shares all its cells. The projections a
+Counting over all pairs would be quadratic. Pairs to count come from ``tables``: each ranks some further sets of projections
+of a vector and keeps which one leads, and pairs what agrees on all its leaders. The sets that a
 table reads grow with the logarithm of the rows, so that chance meetings stay in proportion
-to the rows, and the tables are as many as the recall of 98% at the threshold asks for. Pairs that
-pass the count are verified in double precision.
+to the rows; the tables are as many as 98.5% of simulated pairs at the threshold need to meet, which
+hardly depends on the rows. A pair is counted in the first table where it meets, and verified in
+double precision if it passes the count.
 
 Exact copies are one entry with a weight. Vectors that are null, zero, or hold null or
 non-finite components link with nothing; vectors link within one length only. Repeated rows are
@@ -29,10 +30,14 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import saved, table, with_row_id
 
-LEAST_COSINE, RECALL = 0.9, 0.98
+LEAST_COSINE, RECALL = 0.9, 0.985
 COUNTED, COUNT_RECALL = 64, 0.999
-WINDOW, CELL = 1.5, 2.5
-#: Projections are kept as whole steps of this size.
+WINDOW = 1.5
+#: Projections of which a table keeps the leader, and the mates by chance that a vector may have in a table.
+LEADERS, MATES = 64, 4
+#: Pairs that are simulated to choose the number of tables, and the most tables.
+SIMULATED, MOST_TABLES = 2_000, 400
+#: Projections are kept as whole steps of this size, in a byte.
 STEP = 1 / 24
 
 
@@ -45,12 +50,6 @@ def _phi(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
 
-def same_cell(distance: float, width: float = CELL) -> float:
-    """Probability that a randomly shifted cell of a projection holds both of a pair."""
-    r = width / distance
-    return 1 - 2 * _phi(-r) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
-
-
 def least_count(distance: float, counted: int = COUNTED, recall: float = COUNT_RECALL) -> int:
     """The largest count that pairs at this distance reach with probability ``recall``."""
     p = 2 * _phi(WINDOW) - 1
@@ -62,11 +61,33 @@ def least_count(distance: float, counted: int = COUNTED, recall: float = COUNT_R
     return counted
 
 
-def plan(rows: int, cosine: float = LEAST_COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """(tables, projections a table) for this many distinct vectors."""
-    near, far = same_cell(math.sqrt(2 - 2 * cosine)), same_cell(math.sqrt(2))
-    each = max(1, math.ceil(math.log(max(2, rows)) / -math.log(far)))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**each))), each
+def directions(table: int, dimension: int, sets: int) -> np.ndarray:
+    return np.random.default_rng([20, dimension, table]).standard_normal((sets, dimension, LEADERS))
+
+
+def leaders(x: np.ndarray, table: int, sets: int) -> np.ndarray:
+    """The cell of each unit vector: which of the projections leads, and its sign, in each set."""
+    cell = np.zeros(len(x), dtype=np.int32)
+    for d in directions(table, x.shape[1], sets):
+        p = x @ d
+        lead = np.abs(p).argmax(axis=1)
+        cell = cell * (2 * LEADERS) + 2 * lead + (p[np.arange(len(x)), lead] > 0)
+    return cell.astype(np.int32)
+
+
+def plan(rows: int, dimension: int, cosine: float = LEAST_COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, sets a table) for this many distinct vectors: simulated pairs at ``cosine`` tell how many tables they need."""
+    sets = min(4, max(1, math.ceil(math.log(max(2, rows) / MATES) / math.log(2 * LEADERS))))
+    rng = np.random.default_rng(dimension)
+    x, z = unit(rng.standard_normal((SIMULATED, dimension))), rng.standard_normal((SIMULATED, dimension))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * unit(z) if dimension > 1 else x
+    met = np.zeros(SIMULATED, dtype=bool)
+    for t in range(MOST_TABLES):
+        met |= leaders(x, t, sets) == leaders(y, t, sets)
+        if met.mean() >= recall:
+            break
+    return t + 1, sets
 
 
 def matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,8 +105,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def candidates(distinct: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
-    """(a, b), a < b: pairs of ``distinct`` (rid, embedding) that share a cell and pass the count."""
-    tables, each = plan(distinct.count(), cosine)
+    """(a, b), a < b: pairs of ``distinct`` (rid, embedding) that share a cell and pass the count, each once."""
+    # one row for each length of vectors
+    plans = {r["n"]: plan(r["count"], r["n"], cosine) for r in distinct.groupBy(F.size("embedding").alias("n")).count().collect()}
     distance = math.sqrt(2 - 2 * cosine)
     enough, reach = least_count(distance), round(WINDOW * distance / STEP)
 
@@ -95,31 +117,32 @@ def candidates(distinct: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
             for low in range(0, b.num_rows, 2048):
                 part = b.column(1).slice(low, 2048)
                 for at, x in matrix(part):
-                    rng = np.random.default_rng([20, x.shape[1]])
-                    counted = unit(x) @ rng.standard_normal((x.shape[1], COUNTED))
-                    codes = np.clip(np.rint(counted / STEP), -32768, 32767).astype("<i2").tobytes()
-                    codes = [codes[i : i + 2 * COUNTED] for i in range(0, len(codes), 2 * COUNTED)]
-                    for t in range(tables):
-                        cells = np.floor((unit(x) @ rng.standard_normal((x.shape[1], each))) / CELL + rng.random(each)).astype(np.int64)
-                        mixed = np.full(len(x), t * 1_000_003 + x.shape[1], dtype=np.uint64)
-                        for c in range(each):
-                            mixed = (mixed ^ cells[:, c].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                            mixed ^= mixed >> np.uint64(29)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(mixed.view(np.int64)), pa.array(rid[low + at]), pa.array(codes, pa.binary())], ["t", "cell", "rid", "codes"])
-
-    rows = distinct.select("rid", "embedding").mapInArrow(project, "t int, cell long, rid long, codes binary")
-    shared = rows.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("t", "cell")
-    rows = saved(rows.join(shared, ["t", "cell"]), "cells")
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.rid") < F.col("y.rid")))
-    pairs = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.codes").alias("p"), F.col("y.codes").alias("q"))
+                    x = unit(x)
+                    size, (tables, sets) = x.shape[1], plans[x.shape[1]]
+                    counted = x @ np.random.default_rng([20, size]).standard_normal((size, COUNTED))
+                    codes = np.clip(np.rint(counted / STEP), -127, 127).astype(np.int8).tobytes()
+                    codes = [codes[i : i + COUNTED] for i in range(0, len(codes), COUNTED)]
+                    cells = np.stack([leaders(x, t, sets) for t in range(tables)], axis=1)
+                    flat = pa.array(cells.ravel(), pa.int32())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[low + at]), pa.array(np.full(len(x), size, np.int32)), lists, pa.array(codes, pa.binary())], ["rid", "size", "cells", "codes"])
+
+    vectors = saved(distinct.select("rid", "embedding").mapInArrow(project, "rid long, size int, cells array<int>, codes binary"), "leaders")
+    met = ["size", "t", "cell"]
+    shared = vectors.select("size", F.posexplode("cells").alias("t", "cell")).groupBy(*met).agg(F.count("*").alias("n")).filter("n > 1").select(*met)
+    rows = vectors.select("*", F.posexplode("cells").alias("t", "cell")).join(shared, met)
+    rows = saved(rows, "cells")
+    pairs = rows.alias("x").join(rows.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in met] + [F.col("x.rid") < F.col("y.rid")])
+    first = F.array_position(F.zip_with("x.cells", "y.cells", lambda i, j: i == j), F.lit(True)) == F.col("x.t") + 1
+    pairs = pairs.filter(first).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.codes").alias("p"), F.col("y.codes").alias("q"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype="<i2").reshape(-1, COUNTED).astype(np.int32) for i in (2, 3))
+            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int8).reshape(-1, COUNTED).astype(np.int16) for i in (2, 3))
             keep = pa.array((np.abs(p - q) <= reach).sum(axis=1) >= enough)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.mapInArrow(count, "a long, b long").distinct()
+    return pairs.mapInArrow(count, "a long, b long")
 
 
 def links(distinct: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
