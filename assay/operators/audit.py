@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum, ngrams
 
 LEAST_CHARS, N, THRESHOLD = 8, 13, 0.85
+BITS = 1 << 22
+
+
+def _bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BITS))
+
+
+class Filter:
+    """A one-hash filter of ``BITS`` bits over the items' grams, half a megabyte whatever their number. It only spares
+    work: what it lets through by chance the join drops, and a full one lets all through."""
+
+    def __init__(self, grams: DataFrame, column: str):
+        words = grams.select(F.floor(_bit(F.col(column)) / 64).alias("at"), F.pmod(_bit(F.col(column)), F.lit(64)).cast("int").alias("bit"))
+        words = words.groupBy("at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("word"))
+        bits = [0] * (BITS // 64)
+        for r in words.collect():  # at most BITS / 64 rows
+            bits[r["at"]] = r["word"]
+        self.row = grams.sparkSession.createDataFrame([(bits,)], "bits array<long>")
+
+    def kept(self, rows: DataFrame, grams: str) -> DataFrame:
+        """``rows`` with only those of ``grams`` (an array) that may be an item's, tested inside the row."""
+        word = lambda g: F.get("bits", F.floor(_bit(g) / 64).cast("int"))
+        has = lambda g: F.getbit(word(g), F.pmod(_bit(g), F.lit(64)).cast("int")) == 1
+        return rows.crossJoin(F.broadcast(self.row)).withColumn(grams, F.filter(grams, has)).drop("bits")  # one row
 
 
 def shared_grams(items: DataFrame, references: DataFrame, n: int = N) -> DataFrame:
     """(item_id, doc_id, shared, item_grams, doc_grams) of pairs with a common gram.
 
     ``items`` (item_id, body) and ``references`` (doc_id, body) are normalised. A reference's
-    grams are dropped at once unless an item has them (a semi-join), so what is counted is
+    grams are dropped inside its row unless an item may have them, so what is exploded and counted is
     in proportion to the overlap, not to the reference.
     """
     own = items.select("item_id", ngrams(F.col("body"), n).alias("grams"))
-    ref = references.select("doc_id", ngrams(F.col("body"), n).alias("grams"))
+    ref = references.select("doc_id", ngrams(F.col("body"), n).alias("grams")).withColumn("doc_grams", F.size("grams"))
     left = own.select("item_id", F.explode("grams").alias("gram"))
-    right = ref.select("doc_id", F.explode("grams").alias("gram"), F.size("grams").alias("doc_grams"))
+    right = Filter(left, "gram").kept(ref, "grams").select("doc_id", F.explode("grams").alias("gram"), "doc_grams")
     pairs = right.join(left, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.max("doc_grams").cast("long").alias("doc_grams"))
     return pairs.join(own.select("item_id", F.size("grams").cast("long").alias("item_grams")), "item_id")
 
@@ -42,8 +66,9 @@ def exact(items: DataFrame, references: DataFrame, least: int = LEAST_CHARS, n:
     wanted = items.filter(F.length("body") >= least)
 
     def candidates(some: DataFrame, size: int) -> DataFrame:
-        heads = references.select("doc_id", F.explode(ngrams(F.col("body"), size)).alias("head"))
-        return heads.join(some.select("item_id", F.substring("body", 1, size).alias("head")), "head").select("item_id", "doc_id")
+        firsts = some.select("item_id", F.substring("body", 1, size).alias("head"))
+        heads = Filter(firsts, "head").kept(references.select("doc_id", ngrams(F.col("body"), size).alias("heads")), "heads")
+        return heads.select("doc_id", F.explode("heads").alias("head")).join(firsts, "head").select("item_id", "doc_id")
 
     found = candidates(wanted.filter(F.length("body") >= n), n).unionByName(candidates(wanted.filter(F.length("body") < n), least))
     hits = found.join(wanted.select("item_id", F.col("body").alias("item")), "item_id").join(references, "doc_id")

@@ -39,11 +39,11 @@ def combined(cred: Column, rec: Column, rel: Column) -> Column:
 
 
 def exact_dedup(rows: DataFrame, text: str, score: str, tie: str) -> DataFrame:
-    """The best row of each squeezed text.
+    """The best row of each squeezed text; rows without a text are not copies of each other.
 
     Grouped by a digest of the text, so the shuffle carries no texts and a group of copies is combined before it.
     """
-    keyed = rows.withColumn("__key", F.sha2(squeezed(F.col(text)), 256))
+    keyed = rows.withColumn("__key", F.coalesce(F.sha2(squeezed(F.col(text)), 256), F.concat(F.lit("null "), F.col(tie).cast("string"))))
     best = keyed.groupBy("__key").agg(F.min_by(tie, F.struct(-F.col(score), F.col(tie))).alias(tie))
     return rows.join(best.select(tie), tie, "left_semi")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RESAMPLES, SEED = 200, 1729
+RESAMPLES, SEED = 2_000, 1729
 TIE = 1e-12
 
 

@@ -116,7 +116,7 @@ def anchored(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation's first user turn as its question, put first where later turns have left it out."""
     turns = _table(spark, sf, "conversations").filter("role = 'user'")
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.min("turn").alias("turn0"), F.count("*").alias("turns"))
-    again = turns.join(first, "conv_id").filter("turn > turn0").groupBy("conv_id").agg(F.max(F.contains("text", F.substring("question", 1, 20))).alias("again"))
+    again = turns.join(first, "conv_id").filter("turn > turn0").groupBy("conv_id").agg(F.max(F.contains("text", F.col("question"))).alias("again"))
     return first.join(again, "conv_id", "left").select("conv_id", "turns", (~F.coalesce("again", F.lit(False))).alias("anchored"))
 
 
@@ -169,6 +169,6 @@ SELECT coalesce(part, 'all') AS part, count(*) AS n, round(avg(pow(confidence -
     "p6_annotations": f"WITH {_SYS} SELECT type, count(*) AS n, count(*) FILTER (WHERE a = b) AS agreed, count(*) FILTER (WHERE a <> gold) AS over_a, count(*) FILTER (WHERE b <> gold) AS over_b FROM g GROUP BY 1",
     "x14_numbers_with_units": "SELECT 'mm' AS unit, count(*) AS n, min(p_size)::DOUBLE AS least, max(p_size)::DOUBLE AS most FROM part UNION ALL SELECT 'usd', count(*), round(min(p_retailprice), 1), round(max(p_retailprice), 1) FROM part",
     "u6_anchored": """WITH t AS (SELECT * FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, min_by(text, turn) AS question, min(turn) AS turn0, count(*) AS turns FROM t GROUP BY 1),
-a AS (SELECT conv_id, bool_or(contains(text, question[1:20])) AS again FROM t JOIN f USING (conv_id) WHERE turn > turn0 GROUP BY 1) SELECT conv_id, turns, NOT coalesce(again, false) AS anchored FROM f LEFT JOIN a USING (conv_id)""",
+a AS (SELECT conv_id, bool_or(contains(text, question)) AS again FROM t JOIN f USING (conv_id) WHERE turn > turn0 GROUP BY 1) SELECT conv_id, turns, NOT coalesce(again, false) AS anchored FROM f LEFT JOIN a USING (conv_id)""",
     "s18_upsert": "SELECT user_id, count(*) AS settings, round(sum(value), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1",
 }

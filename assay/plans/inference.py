@@ -21,11 +21,14 @@ def _y(c: str = "correct") -> F.Column:
 
 # bootstrap and tests
 
+#: Of the one bootstrap that draws rows; those of clusters take stats.RESAMPLES.
+ROW_RESAMPLES = 200
+
 
 def bootstrap_stratified(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the accuracy, rows drawn within their type."""
+    """Interval of the accuracy, rows drawn within their type: draws cost resamples times rows, so these are fewer."""
     units = stats.numbered(results(spark, sf).select("doc_id", "type", _y().alias("value"), F.lit(1.0).alias("weight")), F.col("type"), "doc_id")
-    return stats.interval(stats.bootstrap(units, "value", "weight"))
+    return stats.interval(stats.bootstrap(units, "value", "weight", ROW_RESAMPLES))
 
 
 def bootstrap_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,10 +240,10 @@ _DRAW = "(('0x' || substr(md5('1729:' || r || ':' || stratum || ':' || k), 1, 8)
 _SYSTEMS = f"{_RESULTS}, systems AS (SELECT doc_id, type, cluster, correct, confidence >= 0.79 AS a, n_chars >= 1200 AS b FROM results)"
 
 
-def _bootstrap_sql(units: str, extra: str = "") -> str:
+def _bootstrap_sql(units: str, extra: str = "", resamples: int = stats.RESAMPLES) -> str:
     """``units``: SELECT of stratum, i, value, weight."""
     return f"""units AS ({units}), sizes AS (SELECT stratum, count(*) AS n FROM units GROUP BY 1),
-draws AS (SELECT r, stratum, {_DRAW} AS i FROM sizes, range({stats.RESAMPLES}) AS a(r), LATERAL (SELECT unnest(range(1, n + 1)) AS k)),
+draws AS (SELECT r, stratum, {_DRAW} AS i FROM sizes, range({resamples}) AS a(r), LATERAL (SELECT unnest(range(1, n + 1)) AS k)),
 estimates AS (SELECT r, sum(value) / sum(weight) AS estimate FROM draws JOIN units USING (stratum, i) GROUP BY 1)
 SELECT count(*) AS resamples, round(quantile_cont(estimate, 0.025), 6) AS lower, round(quantile_cont(estimate, 0.975), 6) AS upper{extra} FROM estimates"""
 
@@ -288,7 +291,7 @@ QUERIES = {
     "s18_history_page": history_page,
 }
 ORACLES = {
-    "t3_bootstrap_stratified": f"WITH {_RESULTS}, {_bootstrap_sql('SELECT type AS stratum, row_number() OVER (PARTITION BY type ORDER BY doc_id) AS i, correct::INT::DOUBLE AS value, 1.0::DOUBLE AS weight FROM results')}",
+    "t3_bootstrap_stratified": f"WITH {_RESULTS}, {_bootstrap_sql('SELECT type AS stratum, row_number() OVER (PARTITION BY type ORDER BY doc_id) AS i, correct::INT::DOUBLE AS value, 1.0::DOUBLE AS weight FROM results', resamples=ROW_RESAMPLES)}",
     "t4_bootstrap_clusters": f"WITH {_RESULTS}, {_bootstrap_sql(_clusters('sum(correct::INT)', 'count(*)'))}",
     "t5_bootstrap_f1": f"WITH {_RESULTS}, {_bootstrap_sql(_clusters('2 * count(*) FILTER (WHERE confidence < 0.75 AND toxic)', 'count(*) FILTER (WHERE confidence < 0.75) + count(*) FILTER (WHERE toxic)'))}",
     "t6_paired_outcomes": f"WITH {_SYSTEMS} SELECT count(*) FILTER (WHERE a = correct AND b <> correct) AS wins, count(*) FILTER (WHERE (a = correct) = (b = correct)) AS ties, count(*) FILTER (WHERE a <> correct AND b = correct) AS losses FROM systems",

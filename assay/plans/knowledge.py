@@ -319,7 +319,7 @@ ORACLES = {
     "e2_credibility": f"WITH {_EVIDENCE} SELECT source, count(*) AS n, max(credibility) AS credibility FROM evidence GROUP BY 1",
     "e3_recency": f"WITH {_EVIDENCE} SELECT date[1:4] AS year, count(*) AS n, round(avg(recency), 6) AS recency FROM evidence GROUP BY 1",
     "e4_quality": f"WITH {_EVIDENCE} SELECT id, {_SCORE} AS score FROM evidence WHERE {_SCORE} >= 0.3::DOUBLE",
-    "e6_exact_dedup": r"SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1",
+    "e6_exact_dedup": r"SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY coalesce(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 'null ' || doc_id) ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1",
     "e8_ranked_evidence": f"WITH {_EVIDENCE} SELECT topic, rank, id, score FROM (SELECT topic, id, {_SCORE} AS score, row_number() OVER (PARTITION BY topic ORDER BY {_SCORE} DESC, id) AS rank FROM evidence) WHERE rank <= 3",
     "e9_graph_scores": f"""WITH {_EVIDENCE},
 edges AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, o_orderstatus = lead(o_orderstatus) OVER w AS support, round(o_totalprice / 500000, 8) AS confidence FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),

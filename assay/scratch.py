@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir. Where none is set, local sessions (tests) get a temporary one; on a cluster that would be another disk for each executor."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared

@@ -18,6 +18,12 @@ def _stem() -> F.Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
 
 
+def _text(spark: SparkSession, path: str, pattern: str | None, whole: bool = False) -> DataFrame:
+    """Lines or whole files of ``path``; with ``pattern``, of the files below it that have such a name."""
+    reader = spark.read.option("wholetext", whole)
+    return (reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) if pattern else reader).text(path)
+
+
 def from_members(rows: DataFrame, fallback: str = "fallback") -> DataFrame:
     """Documents from ``rows`` (members MAP<STRING,STRING>, fallback): aliases are read in order, the rest is metadata.
 
@@ -36,32 +42,32 @@ def from_members(rows: DataFrame, fallback: str = "fallback") -> DataFrame:
     )
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One document a line; blank lines are skipped, a malformed one stops the read."""
-    lines = spark.read.text(path).select("value", _stem().alias("stem")).filter(F.trim("value") != "")
-    lines = lines.withColumn("fallback", F.concat_ws("_", "stem", F.substring(F.sha1("value"), 1, 12)))
+def read_jsonl(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """One document a line; blank lines are skipped, a malformed one stops the read. Lines without an id are numbered, equal ones apart."""
+    lines = _text(spark, path, pattern).select("value", _stem().alias("stem")).filter(F.trim("value") != "")
+    lines = lines.withColumn("fallback", F.concat_ws("_", "stem", F.monotonically_increasing_id()))
     parsed = lines.withColumn("members", F.from_json("value", "map<string,string>"))
     broken = F.col("members").isNull() | (F.size("members") == 0)
     checked = parsed.withColumn("members", F.when(broken, F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 80)))).otherwise(F.col("members")))
     return from_members(checked)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """An object or an array of objects in each file."""
-    files = spark.read.text(path, wholetext=True).select("value", _stem().alias("stem"))
+    files = _text(spark, path, pattern, True).select("value", _stem().alias("stem"))
     listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
     rows = files.select("stem", F.posexplode(F.from_json(listed, "array<map<string,string>>")).alias("i", "members"))
     return from_members(rows.withColumn("fallback", F.concat_ws("_", "stem", "i")))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
+def read_text(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Each file is one document."""
-    files = spark.read.text(path, wholetext=True).select(_stem().alias("stem"), "value")
+    files = _text(spark, path, pattern, True).select(_stem().alias("stem"), "value")
     return files.select(F.col("stem").alias("doc_id"), F.col("stem").alias("title"), F.col("value").alias("text"), F.lit("").alias("source"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(_stem().alias("stem"), "value")
+def read_markdown(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    files = _text(spark, path, pattern, True).select(_stem().alias("stem"), "value")
     sections = markdown_sections(files, "stem", "value")
     return sections.select("doc_id", "title", "text", F.lit("").alias("source"), F.create_map().cast("map<string,string>").alias("metadata"))
 
@@ -78,20 +84,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """All readable files below a folder, found by Spark, so any store will do."""
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    # file names only; each suffix is then read by one scan
-    paths: dict[str, list[str]] = {}
-    for row in every.toLocalIterator():
-        suffix = os.path.splitext(row["path"])[1].lower()
-        if suffix in READERS:
-            paths.setdefault(suffix, []).append(row["path"])
-    parts = [READERS[s](spark, p) for s, p in sorted(paths.items())]
-    if not parts:
-        raise ValueError(f"nothing to read below {path}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All readable files below a folder, one scan for each suffix, so any store will do and no file name passes through the driver's Python."""
+    out = None
+    for suffix, reader in READERS.items():
+        part = reader(spark, path, f"*{suffix}")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -106,8 +103,8 @@ def checked_ids(docs: DataFrame) -> DataFrame:
 
 
 def write_split(rows: DataFrame, path: str, split: str = "split") -> DataFrame:
-    """Write JSON lines by split; (split, n, digest), the digest being that of the sorted row digests."""
+    """Write JSON lines by split; (split, n, digest), the digest being the sum of the row digests, to which equal rows add each."""
     rows.write.partitionBy(split).json(path)
     line = F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != split])), 256)
     counts = rows.select(split, line.alias("d"))
-    return counts.groupBy(split).agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring("d", 1, 15), 16, 10).cast("long")).alias("digest"))
+    return counts.groupBy(split).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
