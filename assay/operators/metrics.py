@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .chunking import document_of
+
 BINS = 10
 
 
@@ -211,3 +213,73 @@ def unsupported_rate(claims: DataFrame, support: DataFrame, key: str) -> DataFra
     """Share of claims without any support; 0 without a claim."""
     marked = claims.select(key).join(support.select(key).distinct().withColumn("backed", F.lit(1)), key, "left")
     return marked.agg(F.coalesce(F.avg(F.col("backed").isNull().cast("double")), F.lit(0.0)).alias("rate"))
+
+
+def joint_em(answer_right: Column, facts_right: Column) -> Column:
+    """1 where the answer and the supporting facts are both exactly right."""
+    return F.when(answer_right & facts_right, 1.0).otherwise(0.0)
+
+
+def resolution_accuracy(decided: DataFrame, gold: DataFrame) -> DataFrame:
+    """Share of gold resolutions (pair, resolution) that the first decision (pair, resolution, seq) on the pair agrees with; 1 without gold."""
+    first = decided.groupBy("pair").agg(F.min_by("resolution", "seq").alias("said"))
+    both = gold.join(first, "pair", "left")
+    return both.agg(F.coalesce(F.avg(F.coalesce(F.col("said") == F.col("resolution"), F.lit(False)).cast("double")), F.lit(1.0)).alias("accuracy"))
+
+
+def mapped_pairs(predicted: DataFrame, evidence: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, lo, hi) of ``predicted`` pairs of chunks (query_id, a, b) in the gold evidence ids of their question.
+
+    ``evidence`` (query_id, doc_id, evidence_id, seq): a document may give several spans. A pair of chunks takes the first pair of
+    ids of its documents that is a ``gold`` pair (query_id, a, b); without one, the last id of each document, or the chunk's own.
+    """
+    ids = evidence.groupBy("query_id", "doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "evidence_id"))), lambda e: e["evidence_id"]).alias("ids"))
+    known = gold.groupBy("query_id").agg(F.collect_set(F.struct(*pairs_of("a", "b"))).alias("gold"))
+    rows = predicted
+    for side in ("a", "b"):
+        own = ids.select("query_id", F.col("doc_id").alias(f"{side}_doc"), F.col("ids").alias(f"{side}_ids"))
+        rows = rows.withColumn(f"{side}_doc", document_of(F.col(side))).join(own, ["query_id", f"{side}_doc"], "left")
+        rows = rows.withColumn(f"{side}_ids", F.coalesce(f"{side}_ids", F.array(side)))
+    pair = lambda x, y: F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"))
+    every = F.flatten(F.transform("a_ids", lambda x: F.transform("b_ids", lambda y: pair(x, y))))
+    rows = rows.join(known, "query_id", "left")
+    best = F.get(F.filter(every, lambda e: F.array_contains("gold", e)), F.lit(0))
+    last = pair(F.element_at("a_ids", -1), F.element_at("b_ids", -1))
+    return rows.select("query_id", F.coalesce(best, last).alias("p")).select("query_id", "p.lo", "p.hi").distinct()
+
+
+def restricted_counts(mapped: DataFrame, evidence: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, tp, fp, fn, extraneous): mapped pairs (query_id, lo, hi) against gold pairs (query_id, a, b), with pairs that leave the
+    question's gold evidence, and self pairs that are not gold, set aside."""
+    inside = evidence.select("query_id", F.col("evidence_id")).distinct()
+    g = gold.select("query_id", *pairs_of("a", "b")).distinct().withColumn("in_g", F.lit(1))
+    p = mapped.join(inside.select("query_id", F.col("evidence_id").alias("lo"), F.lit(1).alias("lo_in")), ["query_id", "lo"], "left")
+    p = p.join(inside.select("query_id", F.col("evidence_id").alias("hi"), F.lit(1).alias("hi_in")), ["query_id", "hi"], "left")
+    both = p.withColumn("in_p", F.lit(1)).join(g, ["query_id", "lo", "hi"], "full")
+    scored = F.col("lo_in").isNotNull() & F.col("hi_in").isNotNull() & ((F.col("lo") != F.col("hi")) | F.col("in_g").isNotNull())
+    said, real = F.col("in_p").isNotNull(), F.col("in_g").isNotNull()
+    return both.groupBy("query_id").agg(
+        F.count_if(said & scored & real).alias("tp"),
+        F.count_if(said & scored & ~real).alias("fp"),
+        F.count_if(real & ~(said & scored)).alias("fn"),
+        F.count_if(said & ~scored).alias("extraneous"),
+    )
+
+
+def retrieval_report(hits: DataFrame, gold: DataFrame, slices: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Macro and micro precision, recall and F1, mean reciprocal rank and nDCG over all queries and over each value of each slice.
+
+    ``slices``: (query_id, *names). A row has the value of one name, or of none for all queries.
+    """
+    per = ranking_scores(hits, gold).join(slices, "query_id")
+    p, r = ratio(F.col("found").cast("double"), F.col("retrieved")), ratio(F.col("found").cast("double"), F.col("relevant"), 1.0)
+    per = per.withColumns({"p": p, "r": r, "f": f1(p, r)})
+    sums = per.groupingSets([(n,) for n in names] + [()], *names).agg(
+        F.count("*").alias("queries"),
+        *[F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("p", "r", "f")],
+        F.round(F.avg("rr"), 6).alias("mrr"),
+        F.round(F.avg("ndcg"), 6).alias("ndcg"),
+        *[F.sum(c).alias(c) for c in ("found", "retrieved", "relevant")],
+    )
+    micro_p, micro_r = ratio(F.col("found").cast("double"), F.col("retrieved")), ratio(F.col("found").cast("double"), F.col("relevant"), 1.0)
+    return sums.withColumns({"micro_p": F.round(micro_p, 6), "micro_r": F.round(micro_r, 6), "micro_f": F.round(f1(micro_p, micro_r), 6)}).drop("found", "retrieved", "relevant")

@@ -46,6 +46,59 @@ def ranking(spark: SparkSession, sf: str) -> DataFrame:
     return scores.select("query_id", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"), "found", "relevant")
 
 
+def supporting_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three hits of each item as its supporting facts, and whether they and the first hit are exactly right."""
+    top = hits(spark, sf, 3).groupBy("query_id").agg(F.collect_set("doc_id").alias("facts"), F.min_by("doc_id", "rank").alias("first"))
+    want = gold(spark, sf).groupBy("query_id").agg(F.collect_set("doc_id").alias("want"))
+    none = F.array().cast("array<long>")
+    rows = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(top, "query_id", "left").join(want, "query_id", "left")
+    rows = rows.withColumns({"facts": F.coalesce("facts", none), "want": F.coalesce("want", none)})
+    p, r, f = m.set_scores(F.col("facts"), F.col("want"))
+    joint = m.joint_em(F.coalesce(F.array_contains("want", F.col("first")), F.lit(False)), f == 1)
+    return rows.select("query_id", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(f, 6).alias("f1"), joint.alias("joint_em"))
+
+
+def resolution_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring lines of an order as conflicts: what the first of a pair's lines decides, against the status of its last."""
+    pair = F.concat_ws("-", F.col("l_partkey") % 50, F.col("l_suppkey") % 7)
+    rows = _table(spark, sf, "lineitem").select(pair.alias("pair"), "l_returnflag", "l_linestatus", F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").alias("seq"))
+    decided = rows.select("pair", F.col("l_returnflag").alias("resolution"), "seq")
+    want = rows.groupBy("pair").agg(F.max_by("l_returnflag", "seq").alias("resolution"))
+    return m.resolution_accuracy(decided, want).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+def _evidence_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predicted conflicts between chunks of an item's first four hits, its gold documents as evidence (each in two spans), and gold conflicts: a document's spans, and neighbouring documents."""
+    own = hits(spark, sf, 4).select("query_id", F.concat("doc_id", F.lit("_c"), F.col("rank") - 1).alias("chunk"), "rank")
+    a, b = own.withColumnsRenamed({"chunk": "a", "rank": "i"}), own.withColumnsRenamed({"chunk": "b", "rank": "j"})
+    predicted = a.join(b, "query_id").filter("i <= j").select("query_id", "a", "b")
+    order = Window.partitionBy("query_id").orderBy("doc_id")
+    docs = gold(spark, sf).withColumn("n", F.row_number().over(order))
+    spans = docs.select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    ids = spans.select("query_id", "doc_id", F.concat(F.lit("E"), F.col("n") * 2 + F.col("k")).alias("evidence_id"), F.col("k").alias("seq"))
+    inside = docs.select("query_id", F.concat(F.lit("E"), F.col("n") * 2).alias("a"), F.concat(F.lit("E"), F.col("n") * 2 + 1).alias("b"))
+    between = docs.select("query_id", F.concat(F.lit("E"), F.col("n") * 2).alias("a"), F.when(F.lead("n").over(order).isNotNull(), F.concat(F.lit("E"), F.col("n") * 2 + 2)).alias("b")).filter("b is not null")
+    return predicted, ids, inside.unionByName(between)
+
+
+def gold_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    predicted, ids, want = _evidence_ids(spark, sf)
+    return m.restricted_counts(m.mapped_pairs(predicted, ids, want), ids, want)
+
+
+def mapped_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return m.mapped_pairs(*_evidence_ids(spark, sf))
+
+
+def retrieval_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the first ten hits over items by length and by the number of their gold documents."""
+    want = gold(spark, sf)
+    many = want.groupBy("query_id").agg(F.count("*").alias("n"))
+    slices = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.length("text") < 250, "short").otherwise("long").alias("length")).join(many, "query_id", "left")
+    slices = slices.select("query_id", "length", F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "one").otherwise("several").alias("hops"))
+    return m.retrieval_report(hits(spark, sf, 10), want, slices, ("length", "hops"))
+
+
 def depth_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Macro precision and recall over items with gold at four depths, and which depth has the best F1."""
     marked = hits(spark, sf, 10).join(gold(spark, sf).withColumn("good", F.lit(1)), ["query_id", "doc_id"], "left")
@@ -217,6 +270,18 @@ pairs AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, * FROM rows_ WHERE b I
 gold AS (SELECT lo, hi, kind2 AS kind FROM pairs WHERE l_linestatus = 'F')"""
 _SOFT = r"regexp_extract_all(lower({0}), '[0-9]+(?:\.[0-9]+)?%?|[a-z]+(?:-[a-z]+)*')"
 
+_EIDS = f"""{_GOLD}, {_INDEX}, {bm25_sql('hits', 4)},
+docs_ AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS n FROM gold),
+ids AS (SELECT query_id, doc_id, 'E' || (2 * n + k) AS evidence_id, k FROM docs_, (SELECT unnest([0, 1]) AS k)),
+want AS (SELECT query_id, least('E' || 2 * n, 'E' || (2 * n + 1)) AS lo, greatest('E' || 2 * n, 'E' || (2 * n + 1)) AS hi FROM docs_
+  UNION ALL SELECT query_id, least('E' || 2 * n, 'E' || (2 * n + 2)), greatest('E' || 2 * n, 'E' || (2 * n + 2)) FROM docs_ d WHERE EXISTS (SELECT 1 FROM docs_ e WHERE e.query_id = d.query_id AND e.n = d.n + 1)),
+said AS (SELECT x.query_id, x.doc_id AS a, y.doc_id AS b, x.doc_id || '_c' || (x.rank - 1) AS ca, y.doc_id || '_c' || (y.rank - 1) AS cb FROM hits x JOIN hits y ON x.query_id = y.query_id AND x.rank <= y.rank),
+sides AS (SELECT said.query_id, ca, cb, coalesce(i.evidence_id, ca) AS ea, coalesce(i.k, 0) AS ka, coalesce(j.evidence_id, cb) AS eb, coalesce(j.k, 0) AS kb
+  FROM said LEFT JOIN ids i ON i.query_id = said.query_id AND i.doc_id = a LEFT JOIN ids j ON j.query_id = said.query_id AND j.doc_id = b),
+choices AS (SELECT s.query_id, ca, cb, least(ea, eb) AS lo, greatest(ea, eb) AS hi, w.query_id IS NOT NULL AS real, ka, kb FROM sides s LEFT JOIN (SELECT DISTINCT query_id, lo, hi FROM want) w
+  ON w.query_id = s.query_id AND w.lo = least(ea, eb) AND w.hi = greatest(ea, eb)),
+mapped AS (SELECT DISTINCT query_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ca, cb ORDER BY real DESC, CASE WHEN real THEN 2 * ka + kb ELSE -2 * ka - kb END) AS r FROM choices) WHERE r = 1)"""
+
 QUERIES = {
     "m4_soft_f1": soft_f1,
     "m5_evidence_scores": evidence_scores,
@@ -238,6 +303,11 @@ QUERIES = {
     "p3_requested_order": requested_order,
     "e1_quality_filter": quality_filter,
     "u18_repaired_answers": repaired_answers,
+    "m6_supporting_facts": supporting_facts,
+    "m11_resolutions": resolution_accuracy,
+    "m22_retrieval_report": retrieval_report,
+    "m24_gold_conflicts": gold_conflicts,
+    "m25_mapped_conflicts": mapped_conflicts,
     "u22_final_confidence": final_confidence,
     "x7_claim_contrasts": claim_contrasts,
 }
@@ -290,6 +360,33 @@ FROM exact e JOIN docs d USING (doc_id) JOIN items i USING (item_id)""",
     "p3_requested_order": f"WITH {_RESULTS} SELECT place, doc_id, type, confidence FROM results JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM labels WHERE toxic = 1) USING (doc_id)",
     "e1_quality_filter": f"""WITH {_INDEX}, {bm25_sql('hits', 5)}, q AS (SELECT query_id, doc_id, round(0.4::DOUBLE * (CASE WHEN regexp_matches(lower(source), '{evidence.HIGH}') THEN 0.9 WHEN regexp_matches(lower(source), '{evidence.MEDIUM}') THEN 0.7 ELSE 0.5 END)::DOUBLE
   + 0.3::DOUBLE * 0.5::DOUBLE + 0.3::DOUBLE * greatest(0, least(1, score / 100)), 10) AS quality FROM hits JOIN documents USING (doc_id)) SELECT * FROM q WHERE quality >= 0.3""",
+    "m6_supporting_facts": f"""WITH {_GOLD}, {_INDEX}, {bm25_sql('hits', 3)},
+top AS (SELECT query_id, list(DISTINCT doc_id) AS facts, min_by(doc_id, rank) AS first FROM hits GROUP BY 1), want AS (SELECT query_id, list(doc_id) AS want FROM gold GROUP BY 1),
+every AS (SELECT item_id AS query_id, coalesce(facts, []) AS facts, coalesce(want, []) AS want, first FROM benchmark LEFT JOIN top ON item_id = top.query_id LEFT JOIN want ON item_id = want.query_id),
+scored AS (SELECT *, CASE WHEN len(facts) = 0 THEN 0.0 ELSE len(list_intersect(facts, want)) / len(facts)::DOUBLE END::DOUBLE AS p, CASE WHEN len(want) = 0 THEN 1.0 ELSE len(list_intersect(facts, want)) / len(want)::DOUBLE END::DOUBLE AS r FROM every),
+f AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END::DOUBLE AS f1 FROM scored)
+SELECT query_id, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1, CASE WHEN coalesce(list_contains(want, first), false) AND f1 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS joint_em FROM f""",
+    "m11_resolutions": """WITH rows_ AS (SELECT (l_partkey % 50) || '-' || (l_suppkey % 7) AS pair, l_returnflag AS flag, row_number() OVER (PARTITION BY l_partkey % 50, l_suppkey % 7 ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS r,
+  row_number() OVER (PARTITION BY l_partkey % 50, l_suppkey % 7 ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) AS back FROM lineitem)
+SELECT round(avg((x.flag = y.flag)::INT), 6) AS accuracy FROM (SELECT * FROM rows_ WHERE r = 1) x JOIN (SELECT * FROM rows_ WHERE back = 1) y USING (pair)""",
+    "m22_retrieval_report": f"""WITH {_GOLD}, {_INDEX}, {bm25_sql('hits', 10)},
+marked AS (SELECT query_id, rank, g.doc_id IS NOT NULL AS good FROM hits LEFT JOIN gold g USING (query_id, doc_id)),
+by_query AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE good), 0) AS rr, coalesce(sum(1 / log2(rank + 1.0::DOUBLE)) FILTER (WHERE good), 0) AS dcg, count(*) AS retrieved, count(*) FILTER (WHERE good) AS found FROM marked GROUP BY 1),
+wants AS (SELECT query_id, count(*) AS relevant FROM gold GROUP BY 1),
+joined AS (SELECT query_id, coalesce(rr, 0) AS rr, coalesce(dcg, 0) AS dcg, coalesce(retrieved, 0) AS retrieved, coalesce(found, 0) AS found, coalesce(relevant, 0) AS relevant FROM by_query FULL JOIN wants USING (query_id)),
+per AS (SELECT *, CASE WHEN retrieved = 0 THEN 0.0 ELSE found / retrieved::DOUBLE END::DOUBLE AS p, CASE WHEN relevant = 0 THEN 1.0 ELSE found / relevant::DOUBLE END::DOUBLE AS r,
+  CASE WHEN relevant = 0 THEN 1.0 WHEN least(relevant, retrieved) = 0 THEN 0.0 ELSE dcg / list_sum(list_transform(range(1, least(relevant, retrieved) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) END::DOUBLE AS ndcg,
+  CASE WHEN length(text) < 250 THEN 'short' ELSE 'long' END AS length, CASE relevant WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'several' END AS hops FROM joined JOIN benchmark ON item_id = query_id),
+sums AS (SELECT length, hops, count(*) AS queries, round(avg(p), 6) AS macro_p, round(avg(r), 6) AS macro_r, round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 6) AS macro_f, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg,
+  sum(found) AS found, sum(retrieved) AS retrieved, sum(relevant) AS relevant FROM per GROUP BY GROUPING SETS ((length), (hops), ())),
+micro AS (SELECT *, CASE WHEN retrieved = 0 THEN 0.0 ELSE found / retrieved::DOUBLE END::DOUBLE AS mp, CASE WHEN relevant = 0 THEN 1.0 ELSE found / relevant::DOUBLE END::DOUBLE AS mr FROM sums)
+SELECT length, hops, queries, macro_p, macro_r, macro_f, mrr, ndcg, round(mp, 6) AS micro_p, round(mr, 6) AS micro_r, round(CASE WHEN mp + mr = 0 THEN 0.0 ELSE 2 * mp * mr / (mp + mr) END, 6)::DOUBLE AS micro_f FROM micro""",
+    "m24_gold_conflicts": f"""WITH {_EIDS},
+scored AS (SELECT query_id, lo, hi, lo IN (SELECT evidence_id FROM ids i WHERE i.query_id = mapped.query_id) AND hi IN (SELECT evidence_id FROM ids i WHERE i.query_id = mapped.query_id)
+  AND (lo <> hi OR EXISTS (SELECT 1 FROM want w WHERE w.query_id = mapped.query_id AND w.lo = mapped.lo AND w.hi = mapped.hi)) AS ok FROM mapped),
+both_ AS (SELECT query_id, s.ok AS ok, s.query_id IS NOT NULL AS said, w.query_id IS NOT NULL AS real FROM scored s FULL JOIN (SELECT DISTINCT query_id, lo, hi FROM want) w USING (query_id, lo, hi))
+SELECT query_id, count(*) FILTER (WHERE ok AND real) AS tp, count(*) FILTER (WHERE ok AND NOT real) AS fp, count(*) FILTER (WHERE real AND NOT coalesce(ok, false)) AS fn, count(*) FILTER (WHERE NOT ok) AS extraneous FROM both_ GROUP BY 1""",
+    "m25_mapped_conflicts": f"WITH {_EIDS} SELECT query_id, lo, hi FROM mapped",
     "u18_repaired_answers": """SELECT status, count(*) AS n, round(avg((1 - l_discount) * f), 6) AS confidence FROM (SELECT l_discount, CASE l_returnflag WHEN 'R' THEN 'refuted' WHEN 'A' THEN 'supported' ELSE 'not_enough_info' END AS status,
   (CASE l_returnflag WHEN 'R' THEN 0.3 WHEN 'A' THEN 1.0 ELSE 0.6 END)::DOUBLE AS f FROM lineitem) GROUP BY 1""",
     "u22_final_confidence": f"""WITH {_RESULTS}, r AS (SELECT doc_id, toxic, greatest(0, least(1, 0.34::DOUBLE * confidence + 0.24::DOUBLE * least(1.0::DOUBLE, n_chars / 5000.0::DOUBLE) + 0.18::DOUBLE * (NOT toxic)::INT + 0.14::DOUBLE * (CASE WHEN difficulty = 'easy' THEN 1.0 ELSE 0.5 END)::DOUBLE + 0.10::DOUBLE * 0.5::DOUBLE)) AS raw FROM results)
