@@ -31,8 +31,9 @@ COLUMNS = "n_words long, n_removed long, kept_sha256 string"
 class Index:
     """Sorted immutable runs (key, n, and the segment of a key that is alone) in the warehouse."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN, runs: tuple[str, ...] = ()):
+        """``runs``: names of an earlier index's runs, to go on with it."""
+        self.spark, self.fan_in, self.runs = spark, fan_in, list(runs)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(self, rows: DataFrame) -> DataFrame:
@@ -71,24 +72,33 @@ class Index:
         self.runs = []
 
 
-def candidates(docs: DataFrame, unit: Unit, batches: int = BATCHES, index: Index | None = None) -> DataFrame:
-    """Segments of ``docs`` (rid, text) whose anchor occurs more than once, found batch by batch."""
-    own = index or Index(docs.sparkSession)
-    found = []
-    for b in range(batches):
-        part = docs.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b)
-        keys, woken = own.add(anchors(part, unit))
-        found += [saved(anchors(part, unit, Bitmap(keys, "key")).join(keys, "key"), "candidates"), *woken]
-        own.compact()
-    if index is None:
-        own.drop()
+def add_batch(index: Index, batch: DataFrame, unit: Unit) -> list[DataFrame]:
+    """Enter ``batch`` (rid, text) into the index. Returns its segments whose anchor has been seen, in it or before, and the older segments that it repeats."""
+    keys, woken = index.add(anchors(batch, unit))
+    found = saved(anchors(batch, unit, Bitmap(keys, "key")).join(keys, "key"), "candidates")
+    index.compact()
+    return [found, *woken]
+
+
+def together(found: list[DataFrame], batches: int) -> DataFrame:
+    """Segments of several batches, each once: with three or more, one may be repeated by two later batches."""
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f.select(*out.columns))
-    # one woken twice (by two later batches) is listed once
     return out.dropDuplicates(["key", "rid", "pos", "near"]) if batches > 2 else out
 
 
+def candidates(docs: DataFrame, unit: Unit, batches: int = BATCHES) -> DataFrame:
+    """Segments of ``docs`` (rid, text) whose anchor occurs more than once, found batch by batch by an index that is dropped then."""
+    index, found = Index(docs.sparkSession), []
+    try:
+        for b in range(batches):
+            found += add_batch(index, docs.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b), unit)
+    finally:
+        index.drop()
+    return together(found, batches)
+
+
 def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
     docs = with_row_id(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", "text")
     unit = Unit(word_symbols, length, anchor)

@@ -3,6 +3,8 @@
 from collections import defaultdict
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from .brute import components
 
 
@@ -104,6 +106,40 @@ def test_substrings_of_other_lengths(spark):
         assert got == want
 
 
+def test_substring_index_takes_later_batches(spark):
+    """Three batches into an index that is kept, compacted and opened again: a later batch wakes earlier documents, whichever run holds them."""
+    import numpy as np
+
+    from assay.llm.repeats import repeats
+    from assay.llm.scan import Unit, word_symbols
+    from assay.llm.substring import Index, add_batch, together
+
+    from .brute import _removed
+
+    rng = np.random.default_rng(12)
+    words = lambda n: rng.integers(0, 50, n).astype(str).tolist()
+    shared = [words(60), words(70), words(45)]
+    docs = [words(30) + shared[0] + words(20), words(80), words(40) + shared[1], words(25), shared[0][5:55] + words(30) + shared[2], shared[1] + words(20), words(10) + shared[2] + words(5), words(5)]
+    batches, unit = [[0, 1, 2], [3, 4], [5, 6, 7]], Unit(word_symbols, 35, 6)
+    every = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "rid long, text string")
+    index, found = Index(spark, buckets=4, fan_in=2), []
+    try:
+        for b in batches:
+            index = Index(spark, buckets=4, fan_in=2, runs=tuple(index.runs))
+            found += add_batch(index, every.filter(every["rid"].isin(b)), unit)
+            assert len(index.runs) == 1
+        spans = repeats(every, together(found, len(batches)).withColumn("alike", F.lit(False)), unit).collect()
+    finally:
+        index.drop()
+    gone = [np.zeros(len(d), dtype=bool) for d in docs]
+    for r in spans:
+        for low in range(r["low"], r["high"] + 1):
+            gone[r["rid"]][low : low + 35] = True
+    for got, want in zip(gone, _removed(docs, 35), strict=True):
+        assert (got == want).all()
+    assert all(gone[i].any() for i in (0, 2, 4, 5, 6))
+
+
 def test_pii_ibans_before_capitals_and_digits():
     from assay.llm.pii import masked, spans_of
 
