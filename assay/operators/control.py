@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import citations
+
 from .evidence import clamp
 
 # Weights of the five uncertainties, in the order of PARTS.
@@ -80,3 +82,46 @@ def repaired(confidence: Column, status: Column) -> Column:
 def fused(parts: list[Column]) -> Column:
     """Final confidence of five signals."""
     return clamp(sum((w * p for w, p in zip((0.34, 0.24, 0.18, 0.14, 0.10), parts, strict=True)), F.lit(0.0)))
+
+
+# Words by which an answer owns up to a conflict, and what is put before one that does not, and after one without its citations.
+ACKNOWLEDGED = ("冲突", "矛盾", "不一致", "争议", "错误", "不准确", "不实")
+CONFLICT_NOTE = ("证据存在冲突：", " 提到“", "”，而 ", " 提到“", "”。综合判断，")
+FOOTER = "引用证据："
+
+
+def acknowledged(answer: Column, source: Column, source_claim: Column, target: Column, target_claim: Column) -> Column:
+    """``answer`` after a note of the first conflict in its evidence, unless there is none (null) or it speaks of one."""
+    spoken = F.exists(F.array(*map(F.lit, ACKNOWLEDGED)), lambda w: F.contains(answer, w))
+    lead, told, but, again, end = map(F.lit, CONFLICT_NOTE)
+    note = F.concat(lead, source, told, F.substring(source_claim, 1, 80), but, target, again, F.substring(target_claim, 1, 80), end)
+    return F.when(source.isNull() | spoken, answer).otherwise(F.concat(note, answer))
+
+
+def cited_ids(answer: Column) -> Column:
+    """Distinct bracketed ids in the order of their first mention."""
+    return F.array_distinct(citations(answer))
+
+
+def with_citations(answer: Column, supports: Column, available: Column) -> Column:
+    """``answer`` with a footer of the available ids that its claims rest on and it does not cite."""
+    missing = F.array_except(F.filter(F.array_distinct(supports), lambda e: F.array_contains(available, e)), cited_ids(answer))
+    footer = F.concat(F.lit(FOOTER), F.array_join(F.transform(missing, lambda e: F.concat(F.lit("["), e, F.lit("]"))), " "))
+    return F.when((answer == "") | (F.size(missing) == 0), answer).otherwise(F.concat(F.rtrim(answer), F.lit("\n"), footer))
+
+
+def synced(answer: Column, supports: Column, available: Column) -> Column:
+    """Citations and support of an answer after they are brought together: struct(support, dropped, added_support, added_citations).
+
+    Support outside the evidence is dropped, valid citations that no claim rests on become support, support that is not cited is to be cited.
+    """
+    cited = cited_ids(answer)
+    valid = F.filter(cited, lambda e: F.array_contains(available, e))
+    kept = F.filter(F.array_distinct(supports), lambda e: F.array_contains(available, e))
+    support = F.array_union(kept, valid)
+    return F.struct(
+        support.alias("support"),
+        F.filter(supports, lambda e: ~F.array_contains(available, e)).alias("dropped"),
+        F.array_except(valid, kept).alias("added_support"),
+        F.array_except(support, cited).alias("added_citations"),
+    )

@@ -112,6 +112,38 @@ def numbers_with_units(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.groupBy("unit").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
 
 
+def _cited_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer for each order that cites the suppliers of returned lines; its claims rest on all, its evidence holds those with little discount."""
+    sid = F.concat(F.lit("S"), "l_suppkey")
+    rows = _table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("o"), sid.alias("sid"), (F.col("l_returnflag") == "R").alias("cites"), (F.col("l_discount") < 0.05).alias("here"))
+    by = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("o", "sid", "cites", "here"))).alias("rows"))
+    ids = lambda keep: F.transform(F.filter("rows", keep), lambda x: x["sid"])
+    cites = F.array_join(F.transform(ids(lambda x: x["cites"]), lambda e: F.concat(F.lit(" ["), e, F.lit("]"))), "")
+    answer = F.concat(F.lit("Order "), "l_orderkey", F.lit(" was shipped"), cites)
+    return by.select("l_orderkey", answer.alias("answer"), ids(lambda x: F.lit(True)).alias("supports"), F.array_distinct(ids(lambda x: x["here"])).alias("available"))
+
+
+def citation_footer(spark: SparkSession, sf: str) -> DataFrame:
+    return _cited_answers(spark, sf).select("l_orderkey", control.with_citations(F.col("answer"), F.col("supports"), F.col("available")).alias("answer"))
+
+
+def citation_sync(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _cited_answers(spark, sf).select("l_orderkey", control.synced(F.col("answer"), F.col("supports"), F.col("available")).alias("s"))
+    joined = lambda c: F.array_join(f"s.{c}", " ").alias(c)
+    return rows.select("l_orderkey", joined("support"), joined("dropped"), joined("added_support"), joined("added_citations"))
+
+
+def conflict_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one brand, type and size whose prices differ: the answer names both where it does not speak of a conflict."""
+    part = _table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("entity"), F.format_string("%.2f", "p_retailprice").alias("price"))
+    ends = part.groupBy("entity").agg(F.min(F.struct("p_partkey", "price")).alias("a"), F.max(F.struct("p_partkey", "price")).alias("b"))
+    differ = F.col("a.price") != F.col("b.price")
+    answer = F.when(F.col("a.p_partkey") % 2 == 0, F.lit("价格存在争议")).otherwise(F.concat(F.lit("it costs "), "a.price"))
+    side = lambda x: (F.when(differ, F.concat(F.lit("P"), f"{x}.p_partkey")), F.concat("entity", F.lit(" costs "), f"{x}.price"))
+    (s, sc), (t, tc) = side("a"), side("b")
+    return ends.select("entity", control.acknowledged(answer, s, sc, t, tc).alias("answer"))
+
+
 def anchored(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation's first user turn as its question, put first where later turns have left it out."""
     turns = _table(spark, sf, "conversations").filter("role = 'user'")
@@ -131,6 +163,12 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
 _SYS = f"{_RESULTS}, s AS (SELECT type, confidence >= 0.79 AS a, n_chars >= 1200 AS b, correct FROM results), g AS (SELECT *, CASE WHEN a = b THEN a ELSE correct END AS gold FROM s)"
 _TOK = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 
+_FIRSTS = "list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN list_position({0}, {0}[i]) = i THEN {0}[i] END), lambda e: e IS NOT NULL)"
+_CITED = f"""by_order AS (SELECT l_orderkey, list('S' || l_suppkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS every,
+  coalesce(list('S' || l_suppkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_extendedprice) FILTER (WHERE l_returnflag = 'R'), []) AS cites,
+  coalesce(list('S' || l_suppkey) FILTER (WHERE l_discount < 0.05), []) AS here FROM lineitem GROUP BY 1),
+answers AS (SELECT l_orderkey, every, here, {_FIRSTS.format('every')} AS uniq, {_FIRSTS.format('cites')} AS cited, 'Order ' || l_orderkey || ' was shipped' || array_to_string(list_transform(cites, lambda e: ' [' || e || ']'), '') AS answer FROM by_order)"""
+
 QUERIES = {
     "r10_rerank": rerank,
     "r21_dynamic": dynamic,
@@ -145,6 +183,9 @@ QUERIES = {
     "p6_annotations": annotations,
     "x14_numbers_with_units": numbers_with_units,
     "u6_anchored": anchored,
+    "u14_citation_footer": citation_footer,
+    "u14_conflict_notes": conflict_notes,
+    "u21_citation_sync": citation_sync,
     "s18_upsert": upsert,
 }
 ORACLES = {
@@ -168,6 +209,15 @@ SELECT coalesce(part, 'all') AS part, count(*) AS n, round(avg(pow(confidence -
     "g7_difficulty_rules": f"WITH {_RESULTS}, f AS (SELECT doc_id, 'hard_low' AS rule FROM results WHERE difficulty = 'hard' AND confidence < 0.7 UNION ALL SELECT doc_id, 'easy_toxic' FROM results WHERE difficulty = 'easy' AND toxic) SELECT rule, count(*) AS n, min(doc_id) AS first FROM f GROUP BY 1",
     "p6_annotations": f"WITH {_SYS} SELECT type, count(*) AS n, count(*) FILTER (WHERE a = b) AS agreed, count(*) FILTER (WHERE a <> gold) AS over_a, count(*) FILTER (WHERE b <> gold) AS over_b FROM g GROUP BY 1",
     "x14_numbers_with_units": "SELECT 'mm' AS unit, count(*) AS n, min(p_size)::DOUBLE AS least, max(p_size)::DOUBLE AS most FROM part UNION ALL SELECT 'usd', count(*), round(min(p_retailprice), 1), round(max(p_retailprice), 1) FROM part",
+    "u14_citation_footer": f"""WITH {_CITED} SELECT l_orderkey, CASE WHEN len(m) = 0 THEN answer ELSE answer || chr(10) || '{control.FOOTER}' || array_to_string(list_transform(m, lambda e: '[' || e || ']'), ' ') END AS answer
+FROM (SELECT *, list_filter(uniq, lambda e: list_contains(here, e) AND NOT list_contains(cited, e)) AS m FROM answers)""",
+    "u14_conflict_notes": f"""WITH p AS (SELECT p_partkey AS k, p_brand || ' ' || p_type || ' ' || p_size AS entity, printf('%.2f', p_retailprice) AS price FROM part),
+e AS (SELECT entity, min(k) AS ka, min_by(price, k) AS pa, max(k) AS kb, max_by(price, k) AS pb FROM p GROUP BY 1)
+SELECT entity, CASE WHEN ka % 2 = 0 THEN '价格存在争议' WHEN pa = pb THEN 'it costs ' || pa ELSE '{control.CONFLICT_NOTE[0]}' || 'P' || ka || '{control.CONFLICT_NOTE[1]}' || (entity || ' costs ' || pa)[1:80] || '{control.CONFLICT_NOTE[2]}' || 'P' || kb ||
+  '{control.CONFLICT_NOTE[3]}' || (entity || ' costs ' || pb)[1:80] || '{control.CONFLICT_NOTE[4]}' || 'it costs ' || pa END AS answer FROM e""",
+    "u21_citation_sync": f"""WITH {_CITED} SELECT l_orderkey, array_to_string(list_concat(kept, list_filter(valid, lambda e: NOT list_contains(kept, e))), ' ') AS support, array_to_string(list_filter(every, lambda e: NOT list_contains(here, e)), ' ') AS dropped,
+  array_to_string(list_filter(valid, lambda e: NOT list_contains(kept, e)), ' ') AS added_support, array_to_string(list_filter(kept, lambda e: NOT list_contains(cited, e)), ' ') AS added_citations
+FROM (SELECT *, list_filter(uniq, lambda e: list_contains(here, e)) AS kept, list_filter(cited, lambda e: list_contains(here, e)) AS valid FROM answers)""",
     "u6_anchored": """WITH t AS (SELECT * FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, min_by(text, turn) AS question, min(turn) AS turn0, count(*) AS turns FROM t GROUP BY 1),
 a AS (SELECT conv_id, bool_or(contains(text, question)) AS again FROM t JOIN f USING (conv_id) WHERE turn > turn0 GROUP BY 1) SELECT conv_id, turns, NOT coalesce(again, false) AS anchored FROM f LEFT JOIN a USING (conv_id)""",
     "s18_upsert": "SELECT user_id, count(*) AS settings, round(sum(value), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1",

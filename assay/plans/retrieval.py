@@ -125,6 +125,20 @@ AFFIXES = ("{} 不实", "{} 错误", "{} 辟谣", "{} not", "{} false", "{} 不
 MOST_VARIANTS, MOST_COUNTERS = 5, 8
 
 
+def keywords(question: F.Column) -> F.Column:
+    """Capitalised words and longer words that are no stop words, ten at most, sorted."""
+    plain = F.regexp_extract_all(question, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    found = F.array_union(
+        F.filter(plain, lambda t: t.rlike("^[A-Z][a-z]+$")),
+        F.filter(F.transform(plain, F.lower), lambda t: t.rlike("^[a-z]+$") & (F.length(t) > 3) & ~t.isin(NO_KEYWORDS)),
+    )
+    return F.slice(F.array_sort(found), 1, 10)
+
+
+def question_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    return _items(spark, sf).select("query_id", F.array_join(keywords(F.col("query")), " ").alias("keywords"))
+
+
 def query_variants(spark: SparkSession, sf: str) -> DataFrame:
     """At most five distinct forms of a query: as given, with compact names spelled out, without stop words, with one synonym, its names, its keywords in order."""
     q = F.col("query")
@@ -132,18 +146,13 @@ def query_variants(spark: SparkSession, sf: str) -> DataFrame:
     joined = lambda a: F.array_join(a, " ")
     synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     place = F.array_position(F.transform(words, lambda w: F.map_contains_key(synonyms, F.lower(w))), F.lit(True))
-    plain = F.regexp_extract_all(q, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    keywords = F.array_union(
-        F.filter(plain, lambda t: t.rlike("^[A-Z][a-z]+$")),
-        F.filter(F.transform(plain, F.lower), lambda t: t.rlike("^[a-z]+$") & (F.length(t) > 3) & ~t.isin(NO_KEYWORDS)),
-    )
     forms = F.array(
         q,
         *[F.when(F.contains(q, F.lit(name)), F.replace(q, F.lit(name), F.lit(part))) for name, parts in COMPACT.items() for part in parts],
         joined(F.filter(words, lambda w: ~F.lower(w).isin(STOP))),
         joined(F.transform(words, lambda w, i: F.when(i + 1 == place, F.try_element_at(synonyms, F.lower(w))).otherwise(w))),
         joined(F.regexp_extract_all(q, F.lit(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"), F.lit(0))),
-        joined(F.slice(F.array_sort(keywords), 1, 10)),
+        joined(keywords(q)),
     )
     distinct = F.slice(F.filter(F.array_distinct(forms), lambda v: v.isNotNull() & (v != "")), 1, MOST_VARIANTS)
     return _items(spark, sf).select("query_id", F.posexplode(distinct).alias("ord", "variant")).withColumn("ord", F.col("ord").cast("long"))
@@ -260,6 +269,7 @@ QUERIES = {
     "r13_recall_guard": recall_guard,
     "r14_evidence_rerank": evidence_rerank,
     "r17_query_variants": query_variants,
+    "x18_question_keywords": question_keywords,
     "r18_counter_queries": counter_queries,
     "r19_multi_query": multi_query,
     "r20_adaptive_depth": adaptive_depth,
@@ -284,6 +294,7 @@ SELECT query_id, doc_id, place, tier::BIGINT AS tier FROM (SELECT *, row_number(
 scored AS (SELECT query_id, doc_id, round(0.7::DOUBLE * (1 / (1 + exp(-(score / 100)))) + 0.2::DOUBLE * (CASE WHEN regexp_matches(source, '1$') THEN 0.9 WHEN regexp_matches(source, '[2-5]$') THEN 0.7 ELSE 0.5 END)::DOUBLE + 0.1::DOUBLE * 0.5::DOUBLE, 6) AS blend FROM hits JOIN documents USING (doc_id))
 SELECT query_id, place, doc_id, blend FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, doc_id) AS place FROM scored) WHERE place <= 5""",
     "r17_query_variants": f"WITH {_VARIANTS} SELECT query_id, ord, variant FROM variants",
+    "x18_question_keywords": f"WITH {_VARIANTS} SELECT query_id, {_FORMS[-1]} AS keywords FROM words",
     "r18_counter_queries": f"WITH {_COUNTERS} SELECT query_id, ord, variant FROM counters",
     "r19_multi_query": f"""WITH {_VARIANTS}, {_COUNTERS}, asked AS (SELECT query_id * 100 + ord AS query_id, variant AS query FROM variants UNION ALL SELECT query_id * 100 + 50 + ord, variant FROM counters),
 {_INDEX}, {bm25_sql('hits', 10, queries='SELECT * FROM asked')},
