@@ -32,6 +32,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import saved, table, with_row_id
 from .scan import C1, C2, Unit, byte_symbols, covered, hashes, repeated, rewritten, windows, with_texts
@@ -81,9 +82,9 @@ def ranked(pairs: DataFrame, *pair: str) -> DataFrame:
 
 def paired(ranks: DataFrame, offset: int) -> DataFrame:
     """(oid, t, a, b): the rank at each position and the one ``offset`` steps on, both of one segment, where both are left."""
-    at = ranks.groupBy("oid").agg(F.map_from_entries(F.collect_list(F.struct("t", "rank"))).alias("at"))  # a few for each
-    both = at.select("oid", "at", F.explode("at").alias("t", "a"))
-    return both.select("oid", "t", "a", F.try_element_at("at", F.col("t") + offset).alias("b")).filter("b is not null")
+    on = Window.partitionBy("oid").orderBy("t").rangeBetween(offset, offset)
+    both = ranks.select("oid", "t", F.col("rank").alias("a"), F.first("rank").over(on).alias("b"))
+    return both.filter("b is not null")
 
 
 def doubled(names: DataFrame, reach: int) -> DataFrame:
