@@ -396,3 +396,41 @@ def test_gates(spark):
 def test_ignored_conflicts(spark):
     conflicts = spark.createDataFrame([(1, 2), (3, 4)], "a int, b int")
     assert [(r["a"], r["b"]) for r in control.ignored(conflicts, spark.createDataFrame([(2,)], "id int")).collect()] == [(3, 4)]
+
+
+def test_citations_and_notes(spark):
+    ids = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    cited = lambda a, s, e: one(spark, control.with_citations(F.lit(a), s, e))
+    assert cited("So it is [E1]. ", ids("E1", "E2", "E2", "E9"), ids("E1", "E2")) == "So it is [E1].\n引用证据：[E2]"
+    assert cited("So it is [E1].", ids("E1"), ids("E1")) == "So it is [E1]." and cited("", ids("E1"), ids("E1")) == ""
+    got = one(spark, control.synced(F.lit("x [E1] y [E7] z [E1]"), ids("E2", "E9", "E2"), ids("E1", "E2")))
+    assert (got["support"], got["dropped"], got["added_support"], got["added_citations"]) == (["E2", "E1"], ["E9"], ["E1"], ["E2"])
+    note = lambda a, s: one(spark, control.acknowledged(F.lit(a), F.lit(s), F.lit("a"), F.lit("E2"), F.lit("b" * 90)))
+    assert note("it is 5", "E1") == "证据存在冲突：E1 提到“a”，而 E2 提到“" + "b" * 80 + "”。综合判断，it is 5"
+    assert note("存在争议", "E1") == "存在争议" and note("it is 5", None) == "it is 5"
+
+
+def test_conflicts_mapped_to_gold(spark):
+    """A pair of chunks of one document is its gold self pair; what leaves the gold evidence is set aside."""
+    evidence = spark.createDataFrame([(1, "D1", "E1", 0), (1, "D1", "E2", 1), (1, "D2", "E3", 0)], "query_id long, doc_id string, evidence_id string, seq int")
+    gold = spark.createDataFrame([(1, "E1", "E1"), (1, "E3", "E2"), (1, "E2", "E2")], "query_id long, a string, b string")
+    predicted = spark.createDataFrame([(1, "D1_c0", "D1_c3"), (1, "D2_c0", "D1_c1"), (1, "D2_c0", "D2_c1"), (1, "D8_c0", "D1_c1"), (2, "D8_c0", "D9_c1")], "query_id long, a string, b string")
+    mapped = metrics.mapped_pairs(predicted, evidence, gold)
+    assert sorted((r["query_id"], r["lo"], r["hi"]) for r in mapped.collect()) == [(1, "D8_c0", "E2"), (1, "E1", "E1"), (1, "E2", "E3"), (1, "E3", "E3"), (2, "D8_c0", "D9_c1")]
+    counts = {r["query_id"]: (r["tp"], r["fp"], r["fn"], r["extraneous"]) for r in metrics.restricted_counts(mapped, evidence, gold).collect()}
+    assert counts == {1: (2, 0, 1, 2), 2: (0, 0, 0, 1)}
+
+
+def test_resolutions(spark):
+    decided = spark.createDataFrame([("p", "new", 2), ("p", "old", 1), ("q", "new", 1)], "pair string, resolution string, seq int")
+    gold = spark.createDataFrame([("p", "old"), ("q", "old"), ("r", "new"), ("q", "new")], "pair string, resolution string")
+    assert metrics.resolution_accuracy(decided, gold).first()["accuracy"] == 0.5
+    assert metrics.resolution_accuracy(decided, gold.limit(0)).first()["accuracy"] == 1.0
+
+
+def test_audit_filter_loses_nothing(spark):
+    """The filter inside the row lets every gram of an item through, and documents without any make no rows."""
+    items = spark.createDataFrame([(1, "abcdefghijklmnopq"), (2, "12345678")], "item_id long, body string")
+    docs = spark.createDataFrame([(7, "xx" + "abcdefghijklmnopq" + "yy"), (8, "z" * 60), (9, "0123456789"), (10, None), (11, "")], "doc_id long, body string")
+    assert {(r["item_id"], r["doc_id"], r["at"]) for r in audit.exact(items, docs).collect()} == {(1, 7, 2), (2, 9, 1)}
+    assert {(r["item_id"], r["doc_id"]) for r in audit.near(items, docs).collect()} == {(1, 7)}
