@@ -20,8 +20,8 @@ def _stem() -> F.Column:
 
 def _text(spark: SparkSession, path: str, pattern: str | None, whole: bool = False) -> DataFrame:
     """Lines or whole files of ``path``; with ``pattern``, of the files below it that have such a name."""
-    reader = spark.read.option("wholetext", whole)
-    return (reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) if pattern else reader).text(path)
+    reader = spark.read
+    return (reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) if pattern else reader).text(path, wholetext=whole)
 
 
 def from_members(rows: DataFrame, fallback: str = "fallback") -> DataFrame:
