@@ -82,18 +82,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: tuple[str,
     spark = docs.sparkSession
     sized = saved(
         docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of().alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-        .withColumn("h", F.xxhash64("doc_id", "size", F.lit("mix"))),
+        .withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", F.lit("mix"))), 1, 15), 16, 10).cast("long")),
         "sizes",
     )
     # one row per source: names of sources and their sizes are what the driver sees
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    totals.sort(key=lambda r: (r["source"] is None, r["source"]))
     target = targets({r["source"]: r["source_size"] for r in totals}, weights)
     plan = spark.createDataFrame(
         [(i, r["source"], r["source_size"], target[r["source"]], max(1, -(-r["n"] // ROWS_A_SLOT))) for i, r in enumerate(totals)],
         "sid int, source string, source_size long, target double, slots int",
     )
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    rows = rows.withColumn("slot", F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))) * F.col("slots")).cast("int"))
+    rows = rows.withColumn("slot", F.floor(F.col("h") / F.lit(float(1 << 60)) * F.col("slots")).cast("int"))
     slots = rows.groupBy("sid", "slot").agg(F.sum("size").alias("in_slot"))
     before = slots.select("sid", "slot", (F.sum("in_slot").over(Window.partitionBy("sid").orderBy("slot")) - F.col("in_slot")).alias("before"))
     inside = Window.partitionBy("sid", "slot").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,5 +119,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: tuple[str,
     return out.select("doc_id", "source", "size", "source_size", "target", "times", "taken", *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
+#: Source order is that of code points. A target is a share of what is left when the sources with the least room for their weight are full.
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+hashed AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':mix'), 1, 15))::BIGINT AS h FROM docs),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM hashed GROUP BY 1),
+weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM sources),
+ranked AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, sid) AS k, (sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, sid) - 3 * source_size)::DOUBLE AS full_before,
+  sum(w) OVER (ORDER BY 3 * source_size / w DESC, sid DESC) AS w_left, (sum(source_size) OVER ())::DOUBLE AS total FROM weighed),
+level AS (SELECT min(k) AS k FROM ranked WHERE (total - full_before) * w / w_left <= 3 * source_size),
+cut AS (SELECT total - full_before AS left_, w_left FROM ranked JOIN level USING (k)),
+targets AS (SELECT source, sid, source_size, CASE WHEN k < (SELECT k FROM level) THEN (3 * source_size)::DOUBLE ELSE (SELECT left_ FROM cut) * w / (SELECT w_left FROM cut) END AS target FROM ranked),
+ends AS (SELECT h.doc_id, h.size, t.sid, t.source_size, t.target, row_number() OVER () AS rid, sum(h.size) OVER (PARTITION BY t.sid ORDER BY h.h, h.doc_id NULLS FIRST, h.size ROWS UNBOUNDED PRECEDING) AS end_
+  FROM hashed h JOIN targets t ON h.source IS NOT DISTINCT FROM t.source),
+deals AS (SELECT *, (turn * source_size + end_)::DOUBLE / target AS finish FROM ends, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0 AND target > 0),
+spent AS (SELECT rid, size, sum(size) OVER (ORDER BY finish, sid, doc_id NULLS FIRST, turn ROWS UNBOUNDED PRECEDING) AS run FROM deals),
+taken AS (SELECT rid, count(*) AS times FROM spent WHERE run - size <= (SELECT sum(target) FROM targets) GROUP BY 1)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (coalesce(times, 0) * size)::BIGINT AS taken, coalesce(times, 0)::INT AS times FROM ends LEFT JOIN taken USING (rid)
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")

@@ -5,7 +5,7 @@ import corpus_pipeline
 from .ann import op6_ann
 from .langid import op4_langid
 from .licenses import OP10_SQL, op10_licenses
-from .mixing import op5_mixing
+from .mixing import OP5_SQL, op5_mixing
 from .oracles import OP1_SQL, OP2_SQL, OP3_SQL, OP8_SQL
 from .packing import op9_packing
 from .pii import op1_pii
@@ -31,6 +31,7 @@ ORACLES = {
     "op1_pii": OP1_SQL,
     "op2_embedding_dedup": OP2_SQL,
     "op3_suffix_array": OP3_SQL,
+    "op5_mixing": OP5_SQL,
     "op8_substring": OP8_SQL,
     "op10_licenses": OP10_SQL,
 }
