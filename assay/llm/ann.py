@@ -12,7 +12,7 @@ vector that a third of all rows share costs eleven. Lists and queries meet in bl
 size, however long a list is, and every task keeps ``k`` neighbours a query.
 
 Bounds: the sample has about ``SAMPLE`` rows, ``SAMPLE_LIST`` of them at least for each centroid; so there are at most
-``SAMPLE / SAMPLE_LIST`` centroids (a few MB), and beyond about 160,000 rows lists grow. All rows are indexed.
+``SAMPLE / SAMPLE_LIST`` centroids, 4,096 as they are halved (2 MB for 64 dimensions), and beyond about 100,000 rows lists grow. All rows are indexed.
 
 Vectors that are null, zero or hold null or non-finite components take no part. Vectors of another length have no distance:
 each length has lists of its own. Rows without a vec_id are left out. Rows that share a vec_id are different rows, and
@@ -33,7 +33,7 @@ from .common import saved, table, with_row_id
 from .vectors import matrix, usable
 
 K, EVERY = 10, 100
-SAMPLE, SAMPLE_LIST, LIST_ROWS = 40_000, 8, 32
+SAMPLE, SAMPLE_LIST, LIST_ROWS = 40_000, 8, 24
 #: A vector is also posted to its second centroid where that is at most this many times as far as the first.
 BOUNDARIES = (1.01, 1.03, 1.06)
 COPIES = 2
@@ -49,6 +49,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
+def _parts(x: np.ndarray, rows: int = 512) -> list[np.ndarray]:
+    """Parts of few rows: their distances to all centroids are what takes memory."""
+    return [x[i : i + rows] for i in range(0, len(x), rows)]
+
+
 class Centroids:
     """Centroids of the vectors of one length, their graph, and the calibrated boundary and ratio."""
 
@@ -57,10 +62,9 @@ class Centroids:
         sample = sample[rng.permutation(len(sample))]
         held = sample[: len(sample) // 4]
         self.points = _settled(_balanced(sample[len(held) :], lists, rng), sample[len(held) :])
-        near = distances(self.points, self.points)
         n = len(self.points)
         # near neighbours and, lest the graph fall into parts, as many others at random; a search starts from an even share of all
-        self.graph = np.argsort(near, axis=1)[:, 1 : min(n, 25)]
+        self.graph = np.concatenate([np.argsort(distances(p, self.points), axis=1)[:, 1 : min(n, 25)] for p in _parts(self.points)])
         self.graph = np.concatenate([self.graph, rng.integers(0, n, self.graph.shape)], axis=1)
         self.entries = np.unique(np.linspace(0, n - 1, int(min(n, 6 * n**0.5))).astype(int))
         self.boundary, self.ratio = self._calibrate(held)
@@ -77,7 +81,7 @@ class Centroids:
         to /= np.maximum(self.near(to)[:, None], 1e-12)
         best = None
         for boundary in BOUNDARIES:
-            first, second = self.post(held, boundary)
+            first, second = (np.concatenate(x) for x in zip(*[self.post(p, boundary) for p in _parts(held)], strict=True))
             # the ratio at which a query reaches each row of ``held``
             at = to[:, first]
             at = np.where(second >= 0, np.minimum(at, to[:, second]), at)
@@ -132,7 +136,7 @@ class Centroids:
 def _settled(points: np.ndarray, x: np.ndarray, rounds: int = 2) -> np.ndarray:
     """Two rounds of k-means; a centroid that loses all its rows stays where it is."""
     for _ in range(rounds if len(points) > 1 else 0):
-        nearest = np.concatenate([distances(x[i : i + 4096], points).argmin(axis=1) for i in range(0, len(x), 4096)])
+        nearest = np.concatenate([distances(p, points).argmin(axis=1) for p in _parts(x)])
         sums = np.zeros_like(points)
         np.add.at(sums, nearest, x)
         n = np.bincount(nearest, minlength=len(points))
@@ -141,8 +145,8 @@ def _settled(points: np.ndarray, x: np.ndarray, rounds: int = 2) -> np.ndarray:
 
 
 def _balanced(x: np.ndarray, lists: int, rng) -> np.ndarray:
-    """Centroids of a recursive split: a part is halved until it holds no more than its share."""
-    share = max(1, len(x) // max(1, lists))
+    """Centroids of a recursive split: parts are halved as often as makes ``lists`` at most."""
+    share = -(-len(x) // (1 << max(1, lists).bit_length() - 1))
     todo, done = [x], []
     while todo:
         part = todo.pop()
@@ -219,8 +223,8 @@ def _assign(rows: DataFrame, index, way: str, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for b in batches:
-            for low in range(0, b.num_rows, 1024):
-                part = b.slice(low, 1024)
+            for low in range(0, b.num_rows, 512):
+                part = b.slice(low, 512)
                 for at, x in matrix(part.column(2)):
                     if way == "post":
                         placed = own.post(x)
