@@ -1,6 +1,6 @@
 """Approximate nearest neighbours on balanced posting lists.
 
-``fit`` clusters a bounded sample into lists of about ``LIST_ROWS`` rows: parts are halved until they
+``fit`` clusters a bounded sample into lists of ``LIST_ROWS`` rows, up to twice as many: parts are halved until they
 are balanced, then settle in two rounds of k-means. The centroids and a graph of their near
 neighbours go to the workers. Every vector is posted to its nearest centroid and, where it lies on a boundary, to the
 next one. A query walks the graph and reads the lists whose distance is within a ratio of that to the nearest ones,
@@ -12,7 +12,7 @@ vector that a third of all rows share costs eleven. Lists and queries meet in bl
 size, however long a list is, and every task keeps ``k`` neighbours a query.
 
 Bounds: the sample has about ``SAMPLE`` rows, ``SAMPLE_LIST`` of them at least for each centroid; so there are at most
-``SAMPLE / SAMPLE_LIST`` centroids, 4,096 as they are halved (2 MB for 64 dimensions), and beyond about 100,000 rows lists grow. All rows are indexed.
+``SAMPLE / SAMPLE_LIST`` centroids, 4,096 as they are halved (2 MB for 64 dimensions), and beyond some 130,000 rows lists grow. All rows are indexed.
 
 Vectors that are null, zero or hold null or non-finite components take no part. Vectors of another length have no distance:
 each length has lists of its own. Rows without a vec_id are left out. Rows that share a vec_id are different rows, and
@@ -33,7 +33,7 @@ from .common import saved, table, with_row_id
 from .vectors import matrix, usable
 
 K, EVERY = 10, 100
-SAMPLE, SAMPLE_LIST, LIST_ROWS = 40_000, 8, 24
+SAMPLE, SAMPLE_LIST, LIST_ROWS = 40_000, 8, 16
 #: A vector is also posted to its second centroid where that is at most this many times as far as the first.
 BOUNDARIES = (1.01, 1.03, 1.06)
 COPIES = 2

@@ -220,11 +220,11 @@ def test_ann_prunes_where_vectors_cluster():
     """20,000 vectors in 800 groups: few rows are read, and copies leave no query short of neighbours."""
     import numpy as np
 
-    from assay.llm.ann import COPIES, K, Index, Centroids
+    from assay.llm.ann import COPIES, LIST_ROWS, K, Index, Centroids
 
     rng = np.random.default_rng(4)
     x = rng.standard_normal((800, 48))[rng.integers(0, 800, 20_000)] + 0.35 * rng.standard_normal((20_000, 48))
-    index = Index({48: Centroids(x[:10_000], 600)})
+    index = Index({48: Centroids(x[:10_000], len(x) // LIST_ROWS)})
     lists = [[] for _ in range(index.lists)]
     for rows, where in index.post(x):
         for r, w in zip(rows.tolist(), where.tolist(), strict=True):
