@@ -9,6 +9,7 @@ from .mixing import OP5_SQL, op5_mixing
 from .oracles import OP1_SQL, OP2_SQL, OP3_SQL, OP8_SQL
 from .packing import op9_packing
 from .pii import op1_pii
+from .resampling import OP13_SQL, op13_resampling
 from .simhash import op7_simhash
 from .substring import op8_substring
 from .suffix import op3_suffix_array
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
+    "op13_resampling": op13_resampling,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -34,6 +36,7 @@ ORACLES = {
     "op5_mixing": OP5_SQL,
     "op8_substring": OP8_SQL,
     "op10_licenses": OP10_SQL,
+    "op13_resampling": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
