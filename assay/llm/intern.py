@@ -12,8 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-from .windows import mix
-
 #: Bytes of texts that are looked at together, and words of a part.
 BYTES, WORDS = 1 << 22, 1 << 19
 #: Longer strings are compared and hashed one by one.
@@ -35,10 +33,11 @@ def _reader(data: np.ndarray, kind: str) -> np.ndarray:
     return np.ndarray(shape=(len(data) - _PAD + 1,), dtype=kind, buffer=data, strides=(1,))
 
 
-def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """XXH64 of ``data[start:end]`` for each pair; ``data`` is padded."""
+def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int | np.ndarray = 0) -> np.ndarray:
+    """XXH64 of ``data[start:end]`` for each pair, with one seed or one each; ``data`` is padded."""
     size = end - start
-    out = _U(seed) + _P5 + size.astype(_U)
+    seeds = np.broadcast_to(np.asarray(seed, dtype=_U), size.shape)
+    out = seeds + _P5 + size.astype(_U)
     eight, four = _reader(data, "<u8"), _reader(data, "<u4")
     for lane in range(3):
         own = np.flatnonzero((size >= 8 * lane + 8) & (size <= LONG))
@@ -56,7 +55,7 @@ def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -
     out = (out ^ (out >> _U(29))) * _P3
     out ^= out >> _U(32)
     for i in np.flatnonzero(size > LONG):
-        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], seed)
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], int(seeds[i]))
     return out
 
 
@@ -188,7 +187,3 @@ def _part(data, offsets, low, high, lead, last, is_word, is_break, reach) -> Ite
         c = min(len(start), b + reach)
         yield Words(part, start[a:c], end[a:c], text[a:c], piece[a:c], b - a)
 
-
-def chained(prints: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64-bit prints of runs that are one word longer."""
-    return mix(prints * _P1 + word)

@@ -8,6 +8,7 @@ from .licenses import OP10_SQL, op10_licenses
 from .mixing import OP5_SQL, op5_mixing
 from .oracles import OP1_SQL, OP2_SQL, OP3_SQL, OP8_SQL
 from .packing import op9_packing
+from .phrases import OP11_SQL, op11_phrases
 from .pii import op1_pii
 from .resampling import OP13_SQL, op13_resampling
 from .simhash import op7_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
+    "op11_phrases": op11_phrases,
     "op13_resampling": op13_resampling,
     "pipeline": corpus_pipeline.run,
 }
@@ -36,6 +38,7 @@ ORACLES = {
     "op5_mixing": OP5_SQL,
     "op8_substring": OP8_SQL,
     "op10_licenses": OP10_SQL,
+    "op11_phrases": OP11_SQL,
     "op13_resampling": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
