@@ -1,8 +1,8 @@
 """Phrase collocations by Toivonen mining: a sample proposes, a full pass counts, failures at the border expand.
 
 Frequent phrases are those of 1 to ``most`` words that occur at least ``least`` times in a language; a part of a frequent phrase
-is frequent. A sample of pieces of text, dealt by a hash of the document's id and the piece's place, proposes the phrases that
-look frequent there. Their negative border is what is not proposed but has only proposed parts (its words without the last, and
+is frequent. A sample of the places where phrases begin, dealt by a hash of the document's id and the place, proposes the phrases
+that look frequent there. Their negative border is what is not proposed but has only proposed parts (its words without the last, and
 without the first); every word that is not proposed belongs to it. A full pass counts proposed phrases and border exactly. A
 frequent phrase that was not proposed is a failure: it joins the proposed ones, and a further pass counts the border that it
 adds, until there is no failure. Then all frequent phrases have been counted.
@@ -32,8 +32,8 @@ from .intern import Table, Words, words, xxh64
 from .windows import mix
 
 MOST, LEAST, INSIDE, TOP = 5, 100, 100, 2_000
-#: One piece in SHARE is in the sample; a phrase is proposed from SAMPLE_LEAST occurrences there. Of phrases that occur
-#: LEAST times, one in 20,000 is missed so, where occurrences are spread over pieces.
+#: One place in SHARE is in the sample; a phrase is proposed that begins at SAMPLE_LEAST of them. Of phrases that occur LEAST times
+#: one in 40,000 is missed so, however its occurrences lie.
 SHARE, SAMPLE_LEAST = 8, 2
 SALTS = 8
 #: XXH64 as Spark's ``xxhash64`` seeds it.
@@ -44,88 +44,108 @@ _WORD = ~_BREAK
 _WORD[[9, 32]] = False
 
 
-def _shifted(print_: F.Column) -> F.Column:
-    """1 at the bit that the lowest six bits of ``print_`` name."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), print_.bitwiseAND(F.lit(63)).cast("int"))
+def _lowest(name: str) -> F.Column:
+    """1 at the bit that the lowest six bits of a print name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(name).bitwiseAND(F.lit(63)).cast("int"))
 
 
 class Proposed:
-    """A bitmap of phrases (lang, phrase)."""
+    """A bitmap over the prints of phrases: XXH64 of phrase and language, as Spark's ``xxhash64`` gives it."""
 
-    def __init__(self, phrases: DataFrame, bits: int | None = None):
-        if bits is None:
-            bits = min(27, max(16, (32 * phrases.count()).bit_length()))
-        self.bits, h = bits, F.xxhash64("lang", "phrase")
-        found = phrases.groupBy(F.shiftrightunsigned(h, 70 - bits).alias("at")).agg(F.bit_or(_shifted(h)).alias("set"))
+    def __init__(self, prints: DataFrame, bits: int | None = None):
+        bits = min(27, max(16, (32 * prints.count()).bit_length())) if bits is None else bits
+        found = prints.groupBy(F.shiftrightunsigned("print", 70 - bits).alias("at")).agg(F.bit_or(_lowest("print")).alias("set"))
         rows = found.toArrow()  # at most 2**21 rows
-        self.words = np.zeros(1 << bits - 6, dtype=np.uint64)
+        self.bits, self.words = bits, np.zeros(1 << bits - 6, dtype=np.uint64)
         self.words[rows["at"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
-        self._spark = phrases.sparkSession
+        self._spark = prints.sparkSession
         self.shared = self._spark.sparkContext.broadcast(self.words)
 
-    def lacking(self, phrases: DataFrame) -> DataFrame:
-        """Those of ``phrases`` that the filter does not hold."""
-        h = F.xxhash64("lang", "phrase")
+    def lacking(self, prints: DataFrame) -> DataFrame:
+        """Those of ``prints`` that the filter does not hold."""
         at = np.flatnonzero(self.words)
         held = self._spark.createDataFrame(pa.table({"at": at, "set": self.words[at].view(np.int64)}))
-        there = phrases.withColumn("at", F.shiftrightunsigned(h, 70 - self.bits)).join(held, "at", "left")
-        return there.filter(F.coalesce("set", F.lit(0)).bitwiseAND(_shifted(h)) == 0).select(*phrases.columns)
+        there = prints.withColumn("at", F.shiftrightunsigned("print", 70 - self.bits)).join(held, "at", "left")
+        return there.filter(F.coalesce("set", F.lit(0)).bitwiseAND(_lowest("print")) == 0).select("print")
 
-    def add(self, phrases: DataFrame) -> Proposed:
-        more = Proposed(phrases, self.bits)
+    def add(self, prints: DataFrame) -> Proposed:
+        more = Proposed(prints, self.bits)
         more.words |= self.words
         more.shared = self._spark.sparkContext.broadcast(more.words)
         return more
 
 
-def _holds(filter_: np.ndarray | None, prints: np.ndarray) -> np.ndarray:
-    if filter_ is None:
-        return np.ones(len(prints), dtype=bool)
-    at = prints >> np.uint64(70 - (len(filter_).bit_length() - 1 + 6))
+def _holds(filter_: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    at = prints >> np.uint64(64 - (len(filter_).bit_length() - 1))
     return (filter_[at.astype(np.int64)] >> (prints & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _sampled(part: Words, seeds: np.ndarray, share: int) -> Words:
-    """Only the words of pieces in the sample. What is sampled follows from how texts are dealt to tasks; it bears on what is proposed only."""
-    keep = mix(seeds[part.text] + part.piece.astype(np.uint64)) % np.uint64(share) == 0
-    part.own = int(np.count_nonzero(keep[: part.own]))
-    part.start, part.end, part.text, part.piece = part.start[keep], part.end[keep], part.text[keep], part.piece[keep]
-    return part
-
-
-def _levels(part: Words, langs: np.ndarray, seeds: np.ndarray, most: int, new: np.ndarray | None, old: np.ndarray | None) -> Iterator[tuple]:
-    """(language, first byte, end, count) of the phrases of each length to be counted in a part."""
-    lang = langs[part.text]
-    slots = Table(part.data, len(part.start)).put(part.start, part.end)
-    _, at, word = np.unique(slots * len(seeds) + lang, return_index=True, return_inverse=True)
-    own, distinct = word, len(at)
-    ids = np.arange(len(word))  # where the phrases in ``own`` begin
-    known = np.zeros(len(word) + 1, dtype=bool)  # where both parts are old
-    known[:] = old is not None
-    for k in range(1, most + 1):
-        if not len(ids):
+class _Runs:
+    """Phrases of one length in a part: where they begin, which they are, and of each distinct one where it first begins."""
+
+    def __init__(self, part: Words, langs: np.ndarray):
+        self.part, self.k, self.lang = part, 1, langs[part.text]
+        slots = Table(part.data, len(part.start)).put(part.start, part.end)
+        _, self.at, self.word = np.unique(slots * (int(langs.max()) + 1) + self.lang, return_index=True, return_inverse=True)
+        self.ids, self.own, self.forms = np.arange(len(slots)), self.word, len(self.at)
+
+    def longer(self, ids: np.ndarray) -> None:
+        """Phrases of one word more at ``ids``, where such phrases begin within one piece."""
+        part, here = self.part, np.zeros(len(self.word), dtype=np.int64)
+        here[self.ids] = self.own
+        ids = ids[ids + self.k < len(self.word)]
+        self.ids = ids[part.piece[ids + self.k] == part.piece[ids]]
+        _, at, self.own = np.unique(here[self.ids] * self.forms + self.word[self.ids + self.k], return_index=True, return_inverse=True)
+        self.at, self.k = self.ids[at], self.k + 1
+
+    def spread(self, of_phrase: np.ndarray) -> np.ndarray:
+        """What holds of a phrase, at the places where it begins."""
+        out = np.zeros(len(self.word) + 1, dtype=bool)
+        out[self.ids] = of_phrase[self.own]
+        return out
+
+    def count(self) -> np.ndarray:
+        return np.bincount(self.own[self.ids < self.part.own], minlength=len(self.at))
+
+    def prints(self, seeds: np.ndarray) -> np.ndarray:
+        return xxh64(self.part.data, self.part.start[self.at], self.part.end[self.at + self.k - 1], seeds[self.lang[self.at]])
+
+
+def _sampled(part: Words, langs: np.ndarray, seeds: np.ndarray, of_doc: np.ndarray, most: int, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(prints, counts) of the phrases that begin at one place in ``share``.
+
+    Which places follows from how texts are dealt to tasks; that bears on what is proposed, never on the result.
+    """
+    runs = _Runs(part, langs)
+    runs.ids = np.flatnonzero(mix(of_doc[part.text] + np.arange(len(part.text), dtype=np.uint64)) % np.uint64(share) == 0)
+    runs.own = runs.word[runs.ids]
+    while len(runs.ids):
+        n = runs.count()
+        some = np.flatnonzero(n)
+        yield runs.prints(seeds)[some].view(np.int64), n[some]
+        if runs.k == most:
             return
-        start, end = part.start[at], part.end[at + k - 1]
-        count = np.bincount(own[ids < part.own], minlength=len(at))
-        count[known[at]] = 0
-        some = np.flatnonzero(count)
-        yield lang[at[some]], start[some], end[some], count[some]
-        if k == most:
+        runs.longer(runs.ids)
+
+
+def _border(part: Words, langs: np.ndarray, seeds: np.ndarray, most: int, new: np.ndarray, old: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(language, first byte, end, count) of phrases whose parts ``new`` holds, but for those counted when ``old`` was new."""
+    runs = _Runs(part, langs)
+    counted = np.full(len(runs.word) + 1, old is not None)  # words are, whatever was proposed
+    while len(runs.ids):
+        n = runs.count()
+        n[counted[runs.at]] = 0
+        some = np.flatnonzero(n)
+        at = runs.at[some]
+        yield runs.lang[at], part.start[at], part.end[at + runs.k - 1], n[some]
+        if runs.k == most:
             return
-        prints = xxh64(part.data, start, end, seeds[lang[at]])
-        ok = np.zeros(len(word) + 1, dtype=bool)
-        ok[ids] = _holds(new, prints)[own]
-        known[:] = False
+        prints = runs.prints(seeds)
         if old is not None:
-            known[ids] = _holds(old, prints)[own]
-            known[:-1] &= known[1:]
-        here = np.zeros(len(word), dtype=np.int64)
-        here[ids] = own
-        ids = np.flatnonzero(ok[:-1] & ok[1:])
-        ids = ids[ids + k < len(word)]
-        ids = ids[part.piece[ids + k] == part.piece[ids]]
-        _, at, own = np.unique(here[ids] * distinct + word[ids + k], return_index=True, return_inverse=True)
-        at = ids[at]
+            held = runs.spread(_holds(old, prints)) & counted
+            counted = held & np.append(held[1:], False)
+        held = runs.spread(_holds(new, prints))
+        runs.longer(np.flatnonzero(held[:-1] & held[1:]))
 
 
 def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -135,33 +155,46 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(own)]).cast(pa.string())
 
 
-def counts(docs: DataFrame, most: int = MOST, new: Proposed | None = None, old: Proposed | None = None, share: int = 1) -> DataFrame:
-    """(lang, phrase, n): phrases of 1 to ``most`` words whose parts ``new`` holds, but for those whose parts ``old`` holds.
-
-    The empty phrase counts all words. With ``share``, of one piece in so many.
-    """
-    shared_new, shared_old = new and new.shared, old and old.shared
+def _read(docs: DataFrame, work, most: int, schema: str) -> DataFrame:
+    """``work`` on the parts of the texts: (part, language of each text, seeds and names of languages, seed of each text)."""
     rows = docs.select(F.xxhash64("doc_id").alias("seed"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = shared_new and shared_new.value, shared_old and shared_old.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.column(1).dictionary_encode()
-            langs = names.indices.to_numpy().astype(np.int64)
             seeds = np.array([xxhash.xxh64_intdigest(x.encode(), SEED) for x in names.dictionary.to_pylist()], dtype=np.uint64)
-            of_doc = b.column(0).to_numpy().view(np.uint64)
             for part in words(*raw_texts(b.column(2)), _WORD, _BREAK, reach=most - 1):
-                part = _sampled(part, of_doc, share) if share > 1 else part
-                if before is None and part.own:
-                    total = np.bincount(langs[part.text[: part.own]], minlength=len(seeds))
-                    yield pa.RecordBatch.from_arrays([names.dictionary, pa.array([""] * len(seeds)), pa.array(total)], ["lang", "phrase", "n"])
-                for lang, start, end, n in _levels(part, langs, seeds, most, now, before):
-                    for i, j in _bounded(end - start):
-                        phrases = _strings(part.data, start[i:j], end[i:j])
-                        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang[i:j])), phrases, pa.array(n[i:j])], ["lang", "phrase", "n"])
+                yield from work(part, names.indices.to_numpy().astype(np.int64), seeds, names.dictionary, b.column(0).to_numpy().view(np.uint64))
+
+    return map_texts(rows, read, schema)
+
+
+def sample(docs: DataFrame, most: int = MOST, share: int = SHARE) -> DataFrame:
+    """(print, n) of phrases of up to ``most`` words at a ``share``-th of the places where phrases begin."""
+
+    def work(part, langs, seeds, _, of_doc):
+        for prints, n in _sampled(part, langs, seeds, of_doc, most, share):
+            yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(n)], ["print", "n"])
+
+    return _read(docs, work, most, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+
+
+def counts(docs: DataFrame, new: Proposed, old: Proposed | None = None, most: int = MOST) -> DataFrame:
+    """(lang, phrase, n): phrases of up to ``most`` words whose parts ``new`` holds, but for those counted with ``old``.
+
+    The empty phrase counts all words.
+    """
+    shared_new, shared_old = new.shared, old and old.shared
+
+    def work(part, langs, seeds, names, _):
+        if not shared_old:
+            total = np.bincount(langs[part.text[: part.own]], minlength=len(seeds))
+            yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(seeds)), pa.array(total)], ["lang", "phrase", "n"])
+        for lang, start, end, n in _border(part, langs, seeds, most, shared_new.value, shared_old and shared_old.value):
+            for i, j in _bounded(end - start):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[i:j])), _strings(part.data, start[i:j], end[i:j]), pa.array(n[i:j])], ["lang", "phrase", "n"])
 
-    found = map_texts(rows, count, "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return _read(docs, work, most, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _bounded(sizes: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
@@ -182,12 +215,12 @@ def frequent(docs: DataFrame, most: int = MOST, least: int = LEAST, share: int =
     """(lang, phrase, n) of all frequent phrases, and of each language the empty phrase with all its words."""
     enough = (F.col("n") >= least) | (F.col("phrase") == "")
     # phrases of ``most`` words are no parts, so nobody asks whether they are proposed
-    sample = counts(docs, most - 1, share=share).filter((F.col("n") >= sample_least) & (F.col("phrase") != ""))
-    now, before, passes = Proposed(saved(sample.select("lang", "phrase"), "proposed")), None, []
+    proposed = saved(sample(docs, most - 1, share).filter(F.col("n") >= sample_least).select("print"), "proposed")
+    now, before, passes = Proposed(proposed), None, []
     while True:
-        passes.append(saved(counts(docs, most, now, before).filter(enough), "frequent"))
+        passes.append(saved(counts(docs, now, before, most).filter(enough), "frequent"))
         parts = passes[-1].filter((F.col("phrase") != "") & (n_words() < most))
-        failures = saved(now.lacking(parts), "failures")
+        failures = saved(now.lacking(parts.select(F.xxhash64("lang", "phrase").alias("print"))), "failures")
         if failures.isEmpty():
             break
         now, before = now.add(failures), now
