@@ -15,6 +15,7 @@ from .simhash import op7_simhash
 from .substring import op8_substring
 from .suffix import op3_suffix_array
 from .vectors import op2_embedding_dedup
+from .wrappers import OP12_SQL, op12_html
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
     "op11_phrases": op11_phrases,
+    "op12_html": op12_html,
     "op13_resampling": op13_resampling,
     "pipeline": corpus_pipeline.run,
 }
@@ -39,6 +41,7 @@ ORACLES = {
     "op8_substring": OP8_SQL,
     "op10_licenses": OP10_SQL,
     "op11_phrases": OP11_SQL,
+    "op12_html": OP12_SQL,
     "op13_resampling": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
