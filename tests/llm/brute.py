@@ -178,3 +178,62 @@ def langid(rows):
         shares = np.exp(table) / np.exp(table).sum(axis=1, keepdims=True)
         out.append((langs[best], float(shares[:, best].mean())))
     return out
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def collocations(rows, least=100, top=2000):
+    """``rows`` are (text, lang)."""
+    counts, totals = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        own = counts.setdefault(lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(ws)
+            own.update(tuple(ws[i : i + k]) for k in range(1, 6) for i in range(len(ws) - k + 1))
+    out = []
+    for lang, own in counts.items():
+        own = {p: f for p, f in own.items() if f >= least}
+        rows = []
+        for p, a in own.items():
+            inside = any(own[q] * 100 >= 100 * a for q in own if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))))
+            if len(p) > 1 and not inside:
+                score, _, left, right = min((1000 * a * totals[lang] // (own[p[:k]] * own[p[k:]]), k, own[p[:k]], own[p[k:]]) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return out
+
+
+def resampled(docs, target, n=1, buckets=10_000, percent=10, least=20):
+    """``docs`` are (doc_id, text), ``target`` texts: rows of doc_id, n_features, weight, score, rank."""
+    import math
+
+    def features(text):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        return len(ws), [" ".join(ws[i : i + k]) for k in range(1, n + 1) for i in range(len(ws) - k + 1)]
+
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    own = [(i, *features(t)) for i, t in docs]
+    s, t = Counter(bucket(f) for _, _, fs in own for f in fs), Counter(bucket(f) for x in target for f in features(x)[1])
+    S, T = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (S + buckets) / ((s[b] + 1) * (T + buckets))))
+    rows = []
+    for i, words, fs in own:
+        weight = sum(gain(bucket(f)) for f in fs) // len(fs) if fs else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, words, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    enough = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], r[0] is not None, r[0] or 0))
+    drawn = Counter()
+    place = {}
+    for rank, r in enumerate(enough[: percent * len(enough) // 100], 1):
+        place.setdefault(r, []).append(rank)
+    out = []
+    for r in rows:
+        at, drawn[r] = drawn[r], drawn[r] + 1
+        ranks = place.get(r, []) if r[1] >= least else []
+        out.append((r[0], r[2], r[3], r[4], ranks[at] if at < len(ranks) else None))
+    return out

@@ -32,6 +32,27 @@ def document_rows():
     return rows + [(20 + i, prose(80), ("en", "de", "fr")[i % 3], "abc"[i % 3], 5) for i in range(30)]
 
 
+def page_rows():
+    """Null, empty, broken, very long, very deep and repeated pages; two hosts."""
+    page = lambda body: f"<html><body><nav><a href='/'>Home</a></nav>{body}<footer>All rights</footer></body></html>"
+    rows = [
+        (1, "http://a.example/1", page("<article><h1>One</h1><p>Some &lt;text&gt;,\n  some <b>bo</b>ld.</p></article>")),
+        (1, "http://a.example/1", page("<article><h1>One</h1><p>Some &lt;text&gt;,\n  some <b>bo</b>ld.</p></article>")),
+        (2, "http://a.example/2", page("<article><h1>Two</h1><p>First<p>Second<br>line<ul><li>x<li>y</ul></article>")),
+        (3, None, None),
+        (4, "no url", ""),
+        (None, None, "plain text &amp; no markup"),
+        (5, "http://b.example/1", "<div>" * 3000 + "deep" + "</div>" * 3000),
+        (6, "http://b.example/2", page("<article>" + "<p>word word</p><h2>part</h2>" * 4000 + "</article>")),
+        (7, "http://b.example/3", "<p>cut <a href='x"),
+        (8, "http://b.example/4", "<article><p>open <!-- never closed <p>gone"),
+        (9, "http://b.example/5", "<script>if (a < b) '</p>'</script><style>p {}</style><p>1 < 2 & 3</p></article></div>"),
+    ]
+    return rows
+
+
+PAGES = "page_id long, url string, html string"
+BENCHMARK = "item_id long, text string"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -56,6 +77,8 @@ def messy(spark, tmp_path_factory):
     vectors += [(60, None, 1), (61, [0.0] * 16, 1), (62, [nan] * 16, 1), (63, [inf] + [1.0] * 15, 1), (64, [None] + [1.0] * 15, 1), (65, [1.0, 2.0], 1), (66, [2.0, 4.0], None), (66, [2.0, 4.0], None), (None, base[0].tolist(), 1)]
     vectors += [(100, base[5].tolist(), 1), (100, base[5].tolist(), 1), (200, [3.0, 1.0], 1), (300, [7.0], 1)]
     put(spark, vectors, "vec_id long, embedding array<float>, label int", f"{d}/embeddings.parquet", ("rid", "weight", "rank", "list"))
+    put(spark, page_rows(), PAGES, f"{d}/pages.parquet", ("host", "wrapper", "text", "n_chars"))
+    put(spark, [(1, "the alpha beta\nGAMMA 12345"), (1, "the alpha beta\nGAMMA 12345"), (None, None), (3, "")], BENCHMARK, f"{d}/benchmark.parquet", ("bucket", "n"))
     return d
 
 
@@ -64,6 +87,8 @@ def nothing(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("nothing"))
     put(spark, [], DOCUMENTS, f"{d}/documents.parquet")
     put(spark, [], "vec_id long, embedding array<float>, label int", f"{d}/embeddings.parquet")
+    put(spark, [], PAGES, f"{d}/pages.parquet")
+    put(spark, [], BENCHMARK, f"{d}/benchmark.parquet")
     return d
 
 
