@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entities, jaccard, ngrams, sentences, years
+from .similarity import LEAST, alike, sets_alike
 from .slots import DATED, RATIO, SEVERE, VALUE_ATTRIBUTES, differs, number_tokens, numeric_ratio, profiled, same_qualifiers, same_slot, same_time
 
 # Words by which claims are classified.
@@ -321,6 +322,19 @@ def detect(claims: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
     return _edges(pairs(prepared(claims)), optional).unionByName(self_refuting(claims))
 
 
+def support_apart(claims: DataFrame, least: float = LEAST, blocks: bool = True) -> DataFrame:
+    """Support between claims of different evidence that share no entity but nearly all of their text; claims of one text are support too.
+
+    Pairs are found by their bigrams (``similarity``); with ``blocks``, their likeness is by matching blocks where that is larger.
+    """
+    rows = claims.select("claim_id", "evidence_id", F.lower("claim").alias("low"), F.transform("entities", F.lower).alias("keys"))
+    found = (alike if blocks else sets_alike)(rows, "claim_id", "low", least=least)
+    side = lambda x: rows.select(F.col("claim_id").alias(x), F.struct("evidence_id", "keys").alias(f"of_{x}"))
+    both = found.join(side("a"), "a").join(side("b"), "b").filter("of_a.evidence_id <> of_b.evidence_id").filter(~F.arrays_overlap("of_a.keys", "of_b.keys"))
+    edge = _edge("support", F.round(F.least(F.lit(0.95), F.col("similarity")), 3), "low")
+    return both.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), edge.alias("edge")).select("source_id", "target_id", "edge.*")
+
+
 def grow(known: DataFrame, fresh: DataFrame, edges: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
     """Edges that ``fresh`` claims add to those there are: new with new and new with known, none twice. Known claims do not meet each other again."""
     new = prepared(fresh)

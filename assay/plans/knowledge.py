@@ -116,7 +116,7 @@ def _part_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def numeric_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     edges = conflict.detect(_part_claims(spark, sf)).filter("conflict_type = 'numeric_conflict'")
-    return edges.select("source_id", "target_id", F.round("confidence", 6).alias("confidence"), "severity")
+    return edges.select("source_id", "target_id", F.round(F.round("confidence", 9), 6).alias("confidence"), "severity")
 
 
 def _sales_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +125,7 @@ def _sales_claims(spark: SparkSession, sf: str) -> DataFrame:
     sold = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     sold = sold.groupBy("n_name", "l_returnflag", F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")).agg(F.sum("l_quantity").cast("long").alias("n"))
     name = F.initcap(F.translate(F.lower("n_name"), "_0123456789", " abcdefghij"))  # a name has no number in it
-    claim = F.concat(F.lit("In Q"), "q", F.lit(" "), "y", F.lit(", sales of "), name, F.lit(" were "), "n")
+    claim = F.concat(F.lit("In Q"), "q", F.lit(" "), "y", F.lit(", sales of "), name, F.lit(" were "), F.format_number("n", 0))  # with commas, so that no quantity reads as a year
     rows = sold.select(F.concat_ws("-", "n_name", "y", "q", "l_returnflag").alias("claim_id"), F.col("l_returnflag").alias("evidence_id"), claim.alias("claim"), F.array(name).alias("entities"))
     return rows.withColumn("numbers", slots.number_tokens(F.col("claim")))
 
@@ -133,7 +133,7 @@ def _sales_claims(spark: SparkSession, sf: str) -> DataFrame:
 def fact_slots(spark: SparkSession, sf: str) -> DataFrame:
     """Accounts of one nation's sales that differ: only those of one quarter of one year are of one fact."""
     edges = conflict.detect(_sales_claims(spark, sf)).filter("conflict_type = 'numeric_conflict'")
-    return edges.select("source_id", "target_id", F.round("confidence", 6).alias("confidence"), "severity")
+    return edges.select("source_id", "target_id", F.round(F.round("confidence", 9), 6).alias("confidence"), "severity")
 
 
 def time_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,7 +332,7 @@ SELECT id, round(coalesce(s, 0.5), 6) AS support, round(coalesce(c, 0.0), 9) AS
     "x8_claim_types": f"SELECT {_TYPE} AS claim_type, count(*) AS n FROM (SELECT line, lower(line) AS low FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1",
     "x9_years": r"SELECT year, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS year FROM documents) WHERE regexp_full_match(year, '(19|20)[0-9]{2}') GROUP BY 1",
     "j8_numeric_conflicts": f"WITH {_CLAIMS} SELECT source_id, target_id, round(least(0.9::DOUBLE, 0.5::DOUBLE + (ratio - 1.1::DOUBLE) / 2), 6) AS confidence, CASE WHEN ratio > 1.5::DOUBLE THEN 'high' ELSE 'medium' END AS severity FROM ratios WHERE ratio > 1.1::DOUBLE",
-    "j5_fact_slots": f"WITH {_SOLD} SELECT x.id AS source_id, y.id AS target_id, round(least(0.9::DOUBLE, 0.5::DOUBLE + (greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE - 1.1::DOUBLE) / 2), 6) AS confidence, CASE WHEN greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE > 1.5::DOUBLE THEN 'high' ELSE 'medium' END AS severity FROM sold x JOIN sold y ON x.nation = y.nation AND x.y = y.y AND x.q = y.q AND x.id < y.id WHERE x.n NOT BETWEEN 1800 AND 2099 AND y.n NOT BETWEEN 1800 AND 2099 AND NOT (x.n BETWEEN 1 AND 4 AND x.n = x.q) AND NOT (y.n BETWEEN 1 AND 4 AND y.n = y.q) AND greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE > 1.1::DOUBLE",
+    "j5_fact_slots": f"WITH {_SOLD} SELECT x.id AS source_id, y.id AS target_id, least(900000, (1000000 * greatest(x.n, y.n) + least(x.n, y.n)) // (2 * least(x.n, y.n)) - 50000) / 1000000.0::DOUBLE AS confidence, CASE WHEN greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE > 1.5::DOUBLE THEN 'high' ELSE 'medium' END AS severity FROM sold x JOIN sold y ON x.nation = y.nation AND x.y = y.y AND x.q = y.q AND x.id < y.id WHERE x.n NOT BETWEEN 1800 AND 2099 AND y.n NOT BETWEEN 1800 AND 2099 AND NOT (x.n BETWEEN 1 AND 4 AND x.n = x.q) AND NOT (y.n BETWEEN 1 AND 4 AND y.n = y.q) AND greatest(x.n, y.n) / least(x.n, y.n)::DOUBLE > 1.1::DOUBLE",
     "x13_time_keys": f"WITH {_SOLD} SELECT time_key, count(*) AS n, sum((n NOT BETWEEN 1800 AND 2099 AND NOT (n BETWEEN 1 AND 4 AND n = q))::INT)::BIGINT AS quantities, count(*) AS attributes FROM (SELECT n, q, unnest(['year:' || y, 'quarter:' || q]) AS time_key FROM sold) GROUP BY 1",
     "j27_newest_claim": f"WITH {_EVIDENCE} SELECT topic, kind, id, date FROM (SELECT *, row_number() OVER (PARTITION BY topic, kind ORDER BY credibility DESC, date DESC, relevance DESC, id) AS r FROM evidence) WHERE r = 1",
     "a1_audit_summary": f"WITH {_NEAR} SELECT score >= 0.99 AS high, count(*) AS pairs, count(DISTINCT item_id) AS items, count(DISTINCT doc_id) AS documents FROM near WHERE score >= 0.85 GROUP BY 1",

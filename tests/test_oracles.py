@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from assay.plans import benchmarking, evaluation, extras, inference, knowledge, retrieval
+from assay.plans import benchmarking, evaluation, extras, inference, knowledge, matching, planning, retrieval, stores
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-PLANS = (retrieval, evaluation, knowledge, inference, benchmarking, extras)
+PLANS = (retrieval, evaluation, knowledge, inference, benchmarking, extras, matching, planning, stores)
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PLANS for k, v in p.ORACLES.items()}
 
