@@ -1,2 +1,80 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of plans: subquestions of the benchmark's items, how documents cover them, and what follows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import TOKEN, tokens
+from ..operators import planning
+
+LONG = r"[\p{L}\p{N}_]{7,}"
+#: A step is covered by so many documents.
+ENOUGH = 5
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _plans(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan for each item: by its first long words, or itself where it has only one of them."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LONG), F.lit(0))), 1, planning.KEYWORDS)
+    items = _table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), words.alias("words"))
+    return items.withColumn("plan", planning.decomposed(F.col("question"), F.col("words"), F.size("words") <= 1, F.lit(False)))
+
+
+def plan_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps of each item's plan, revised by what the documents say, and their levels."""
+    plans = _plans(spark, sf)
+    asked = plans.filter(F.size("words") > 1).select("item_id", F.posexplode("words").alias("place", "word"))
+    docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    bad = _table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
+    found = docs.join(asked, "word").join(bad, "doc_id", "left")
+    tally = found.groupBy("item_id", "place", "lang").agg(F.count("*").alias("n"), F.count("bad").alias("told"), F.sum("bad").alias("bad"))
+    tally = asked.select("item_id", "place").join(tally, ["item_id", "place"], "left")
+    by_lang = tally.groupBy("item_id", "lang").agg(F.sum("n").alias("n"))
+    langs = by_lang.groupBy("item_id").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.collect_set("lang").alias("langs"))
+    by_step = tally.groupBy("item_id", "place").agg(F.least(F.coalesce(F.sum("n"), F.lit(0)), F.lit(ENOUGH)).alias("n"), F.sum("told").alias("told"), F.sum("bad").alias("bad"))
+    report = by_step.groupBy("item_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda x: x["n"] / ENOUGH).alias("coverage"),
+        (1 - F.sum("n") / (ENOUGH * F.count("*"))).alias("retrieval"),
+        F.coalesce(F.sum("bad") / F.nullif(F.sum("told"), F.lit(0)), F.lit(0.0)).alias("source"),
+    )
+    report = report.join(langs, "item_id").withColumn("conflict", F.coalesce(1 - F.col("most") / F.col("all"), F.lit(0.0)))
+    rows = plans.join(report, "item_id", "left")
+    plan = planning.covered(F.col("plan"), F.coalesce("coverage", F.array().cast("array<double>")))
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    plan = planning.revised(plan, part("retrieval"), part("conflict"), part("source"), F.col("langs"))
+    steps = planning.steps_of(rows.select("item_id", plan.alias("plan")), "item_id")
+    placed = steps.join(planning.levels(steps, "item_id"), ["item_id", "id"])
+    return placed.select("item_id", "place", "id", "level", "evidence", "status", F.round("coverage", 6).alias("coverage"), F.array_join("deps", ",").alias("deps"), F.md5("question").alias("question"))
+
+
+QUERIES = {"u3_plan_levels": plan_levels}
+ORACLES = {
+    "u3_plan_levels": f"""WITH RECURSIVE
+items AS (SELECT item_id, text, w[1:5] AS w FROM (SELECT item_id, text, list_filter(w0, lambda x, i: list_position(w0, x) = i) AS w FROM (SELECT item_id, text, regexp_extract_all(lower(text), '{LONG}') AS w0 FROM benchmark))),
+words AS (SELECT item_id, len(w) AS k, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'place': i - 1, 'word': w[i]}}), recursive := true) FROM items WHERE len(w) > 1),
+docs AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(list_distinct(regexp_extract_all(lower(text), '{TOKEN}'))) AS word FROM documents),
+found AS (SELECT item_id, place, lang, 1 - quality AS bad FROM docs JOIN words USING (word) LEFT JOIN labels USING (doc_id)),
+cover AS (SELECT item_id, place, any_value(k) AS k, any_value(words.word) AS word, least(count(found.lang), {ENOUGH}) AS n FROM words LEFT JOIN found USING (item_id, place) GROUP BY 1, 2),
+sure AS (SELECT item_id, any_value(k) AS k, 1 - sum(n) / ({ENOUGH} * count(*))::DOUBLE AS retrieval FROM cover GROUP BY 1),
+langs AS (SELECT item_id, 1 - max(n) / sum(n)::DOUBLE AS conflict, list_sort(list(lang)) AS langs FROM (SELECT item_id, lang, count(*) AS n FROM found GROUP BY 1, 2) GROUP BY 1),
+bad AS (SELECT item_id, sum(bad) / nullif(count(bad), 0)::DOUBLE AS source FROM found GROUP BY 1),
+base AS (
+  SELECT item_id, 0 AS place, 'general' AS evidence, 0.0::DOUBLE AS coverage, text AS question, []::BIGINT[] AS deps, 'pending' AS status FROM items WHERE len(w) <= 1
+  UNION ALL SELECT item_id, place, 'general', n / {ENOUGH}.0::DOUBLE, '{planning.ABOUT[0].replace("'", "''")}' || word || '{planning.ABOUT[1].replace("'", "''")}', [],
+    CASE WHEN n >= 4 THEN 'resolved' WHEN retrieval > 0.5 AND n < 2.5 THEN 'in_progress' ELSE 'pending' END FROM cover JOIN sure USING (item_id)
+  UNION ALL SELECT item_id, len(w), 'synthesis', 0.0::DOUBLE, text, range(len(w)), CASE WHEN retrieval > 0.5 THEN 'in_progress' ELSE 'pending' END FROM items JOIN sure USING (item_id)),
+resolve AS (SELECT item_id, unnest(list_transform(range(1, len(langs) + 1), lambda i: {{'r': i - 1, 'lang': langs[i]}}), recursive := true) FROM langs WHERE conflict > 0.5),
+open_ AS (SELECT item_id, list_sort(list(place::BIGINT) FILTER (WHERE status <> 'resolved')) AS places, max(place) + 1 AS size FROM base GROUP BY 1),
+asked AS (SELECT * FROM base
+  UNION ALL SELECT item_id, size + r, 'general', 0.0::DOUBLE, '{planning.RESOLVE[0]}' || lang || '{planning.RESOLVE[1]}', list_concat(places, range(size, size + r)), 'pending' FROM resolve JOIN open_ USING (item_id) WHERE size + r < {planning.MOST}),
+all_ AS (SELECT * FROM asked
+  UNION ALL SELECT item_id, n, 'empirical_study', 0.0::DOUBLE, '{planning.VERIFY}', range(least(n, 3)), 'pending' FROM (SELECT item_id, count(*) AS n FROM asked GROUP BY 1) JOIN bad USING (item_id) WHERE source > 0.5 AND n < {planning.MOST}),
+edges AS (SELECT item_id, place, unnest(deps) AS dep FROM all_),
+lv AS (SELECT item_id, place, 0 AS level FROM all_ WHERE len(deps) = 0 UNION SELECT e.item_id, e.place, level + 1 FROM edges e JOIN lv ON e.item_id = lv.item_id AND e.dep = lv.place),
+top AS (SELECT item_id, place, max(level) AS level FROM lv GROUP BY 1, 2)
+SELECT item_id, place::INT AS place, 'sq' || place AS id, level::INT AS level, evidence, status, round(coverage, 6) AS coverage, array_to_string(list_transform(deps, lambda d: 'sq' || d), ',') AS deps, md5(trim(question)) AS question FROM all_ JOIN top USING (item_id, place)""",
+}
