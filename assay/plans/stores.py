@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.leaves import leaves
+from ..scratch import scratch
+from ..sources.history import DELETE, PUT, History
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,8 +32,22 @@ def json_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy(F.coalesce("path", F.lit("raw")).alias("path")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.min("text").alias("first"), F.sum(F.length("text")).alias("chars"))
 
 
-QUERIES = {"s12_json_leaves": json_leaves}
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as operations on a table of visits, by user and hour: an error deletes, any other event is put. Three commits, the first two compacted."""
+    visit = F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMddHH"))
+    rows = _table(spark, sf, "events").select(visit.alias("visit"), "event_id", "ts", "event_type", "value", F.when(F.col("event_type") == "error", DELETE).otherwise(PUT).alias("op"))
+    table = History(spark, f"{scratch(spark)}/visits-{uuid.uuid4().hex}", "visit string, event_id long, ts timestamp, event_type string, value double", "visit", "ts")
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for part in range(3):
+        table.apply(rows.filter(F.least(F.lit(2), F.floor(3 * F.col("event_id") / (last + 1))) == part), "event_id")
+        if part == 1:
+            table.compact()
+    return table.state().select("visit", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+QUERIES = {"s12_json_leaves": json_leaves, "s18_history": history}
 ORACLES = {
+    "s18_history": "SELECT visit, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY visit ORDER BY event_id DESC) AS r FROM (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d%H') AS visit FROM events)) WHERE r = 1 AND event_type <> 'error'",
     "s12_json_leaves": """WITH e AS (SELECT event_id % 50 = 7 AS cut, event_type AS t, 'user ' || user_id AS u, strftime(ts, '%Y-%m-%d') AS d, props AS p FROM events),
 l AS (SELECT unnest([{'path': '$.type', 'text': t}, {'path': '$.user.name', 'text': u}, {'path': '$.user.visits[0].day', 'text': d}, {'path': '$.said[0]', 'text': t}, {'path': '$.said[2]', 'text': p},
   {'path': '$.props.deep[1][0][0]', 'text': 'a'}, {'path': '$.props.deep[1][0][1]', 'text': 'b'}, {'path': '$.props.deep[1][1]', 'text': 'c'}], recursive := true) FROM e WHERE NOT cut
