@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import alnum, ngrams
 
@@ -77,3 +78,56 @@ def exact(items: DataFrame, references: DataFrame, least: int = LEAST_CHARS, n:
 
 def normalised(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, alnum(F.col(text)).alias("body"))
+
+
+EXCERPT = 160
+
+
+def places(text: Column) -> Column:
+    """Offsets of the characters that normalised text keeps."""
+    return F.filter(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.substr(text, i + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]"))
+
+
+def excerpt(text: Column, start: Column, end: Column, limit: int = EXCERPT) -> Column:
+    """Up to ``limit`` characters around a match, white space as one, with an ellipsis on a side where text is left out."""
+    size = F.length(text)
+    low = F.greatest(F.lit(0), start - F.greatest(F.lit(0), F.floor((limit - (end - start)) / 2).cast("int")))
+    high = F.least(size, low + limit)
+    low = F.greatest(F.lit(0), high - limit)
+    plain = F.trim(F.regexp_replace(F.substr(text, low + 1, high - low), r"\s+", " "))
+    return F.concat(F.when(low > 0, "…").otherwise(""), plain, F.when(high < size, "…").otherwise(""))
+
+
+def best_windows(pairs: DataFrame, items: DataFrame, references: DataFrame, n: int = N) -> DataFrame:
+    """(item_id, doc_id, hits, low, high): where a reference has most of an item's grams within the item's length.
+
+    ``items`` (item_id, body) and ``references`` (doc_id, body) are normalised, offsets are those of the normalised reference. Of windows with as many
+    grams the first counts. ``hits`` are the grams in the window, 0 where the texts are shorter than a gram, and then the window is the whole reference.
+    A window's first gram is found by a running count: the grams that begin before it are those of a merged order of beginnings and bounds.
+    """
+    at_every = F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    asked = items.join(pairs.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.greatest(F.length("body"), F.lit(n)).alias("window"), F.explode(ngrams(F.col("body"), n)).alias("gram"))
+    found = references.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(at_every).alias("pos", "gram"))
+    hits = found.join(asked, "gram").join(pairs.select("item_id", "doc_id"), ["item_id", "doc_id"]).select("item_id", "doc_id", "pos", "window")
+    pair = ["item_id", "doc_id"]
+    hits = hits.withColumn("i", F.row_number().over(Window.partitionBy(*pair).orderBy("pos")) - 1)
+    begins = hits.select(*pair, "pos", "window", "i", F.col("pos").alias("at"), F.lit(1).alias("hit"))
+    bounds = hits.select(*pair, "pos", "window", "i", (F.col("pos") - F.col("window")).alias("at"), F.lit(0).alias("hit"))
+    order = Window.partitionBy(*pair).orderBy("at", "hit").rowsBetween(Window.unboundedPreceding, 0)
+    ends = begins.unionByName(bounds).withColumn("first", F.sum("hit").over(order).cast("int")).filter("hit = 0")
+    best = ends.groupBy(*pair).agg(F.min(F.struct((F.col("first") - F.col("i")).alias("less"), "i", "first", "pos", "window")).alias("b"))
+    best = best.select(*pair, "b.first", (1 - F.col("b.less")).alias("hits"), F.col("b.pos").alias("last"), "b.window")
+    starts = hits.select(*pair, F.col("i").alias("first"), F.col("pos").alias("low"))
+    sizes = references.select("doc_id", F.length("body").alias("size"))
+    placed = pairs.select(*pair).join(best.join(starts, [*pair, "first"]), pair, "left").join(sizes, "doc_id")
+    high = F.least("size", F.greatest(F.col("low") + F.col("window"), F.col("last") + n))
+    return placed.select(*pair, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce(high, "size").alias("high"))
+
+
+def near_excerpts(pairs: DataFrame, items: DataFrame, texts: DataFrame, n: int = N) -> DataFrame:
+    """``best_windows`` of ``texts`` (doc_id, text) in their own offsets, with the excerpt around: item_id, doc_id, hits, start, end, excerpt."""
+    own = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    windows = best_windows(pairs, items, normalised(own, "doc_id"), n)
+    placed = windows.join(own.select("doc_id", "text", places(F.col("text")).alias("places")), "doc_id")
+    start, end = F.get("places", F.col("low")), F.get("places", F.col("high") - 1) + 1
+    return placed.select("item_id", "doc_id", "hits", start.alias("start"), end.alias("end"), excerpt(F.col("text"), start, end).alias("excerpt"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import similarity
+from ..operators import audit, similarity
+from ..scratch import saved
+from .knowledge import _NEAR
 
 ENDS = r"[.!?\n]+"
 LEAST_CHARS = 10
@@ -38,6 +40,13 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _support(spark, sf, similarity.alike)
 
 
+def near_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """For each near finding, where in the document most of the item's grams lie, and the text there."""
+    items, docs = audit.normalised(_table(spark, sf, "benchmark"), "item_id"), _table(spark, sf, "documents").select("doc_id", "text")
+    pairs = saved(audit.near(items, audit.normalised(docs, "doc_id")).select("item_id", "doc_id"), "near")
+    return audit.near_excerpts(pairs, items, docs)
+
+
 _GRAMS = "list_distinct(list_transform(range(1, length(claim)), lambda i: claim[i:i + 1]))"
 _CLAIMS = f"""items AS (SELECT item_id || '#' || (u.i - 1) AS id, u.t AS claim FROM (SELECT item_id, unnest(list_transform(range(1, len(p) + 1), lambda i: {{'i': i, 't': trim(p[i])}})) AS u
   FROM (SELECT item_id, regexp_split_to_array(lower(text), '{ENDS}') AS p FROM benchmark)) WHERE length(u.t) >= {LEAST_CHARS}),
@@ -47,8 +56,21 @@ ig AS (SELECT id, {_GRAMS} AS g FROM items), dg AS (SELECT claim, any_value({_GR
 QUERIES = {
     "j18_support": support,
     "j6_text_similarity": text_similarity,
+    "a5_near_excerpts": near_excerpts,
 }
 ORACLES = {
+    "a5_near_excerpts": rf"""WITH {_NEAR},
+pairs AS (SELECT item_id, doc_id FROM near WHERE score >= 0.85),
+asked AS (SELECT item_id, greatest(length(body), 13) AS win, g FROM items JOIN ig USING (item_id) WHERE item_id IN (SELECT item_id FROM pairs)),
+found AS (SELECT doc_id, unnest(list_transform(range(0, length(body) - 12), lambda i: {{'pos': i, 'gram': substring(body, i + 1, 13)}}), recursive := true) FROM docs WHERE doc_id IN (SELECT doc_id FROM pairs)),
+hits AS (SELECT item_id, doc_id, pos, win FROM pairs JOIN (SELECT item_id, win, unnest(g) AS gram FROM asked) USING (item_id) JOIN found USING (doc_id, gram)),
+sized AS (SELECT *, count(*) OVER w AS n, min(pos) OVER w AS low FROM hits WINDOW w AS (PARTITION BY item_id, doc_id ORDER BY pos RANGE BETWEEN win PRECEDING AND CURRENT ROW)),
+best AS (SELECT item_id, doc_id, arg_min({{'n': n, 'low': low, 'last': pos, 'win': win}}, (-n * 1000000000 + pos)) AS b FROM sized GROUP BY 1, 2),
+placed AS (SELECT item_id, doc_id, coalesce(b.n, 0) AS hits, coalesce(b.low, 0) AS low, coalesce(least(length(body), greatest(b.low + b.win, b.last + 13)), length(body)) AS high FROM pairs LEFT JOIN best USING (item_id, doc_id) JOIN docs USING (doc_id)),
+texts AS (SELECT doc_id, text, list_filter(range(0, length(text)), lambda i: regexp_matches(text[i + 1], '[\p{{L}}\p{{N}}]')) AS places FROM documents WHERE doc_id IN (SELECT doc_id FROM pairs)),
+own AS (SELECT item_id, doc_id, hits, text, places[low + 1] AS s, places[high] + 1 AS e, length(text) AS size FROM placed JOIN texts USING (doc_id)),
+cut AS (SELECT *, greatest(0, least(size, greatest(0, s - greatest(0, floor((160 - (e - s)) / 2)::BIGINT)) + 160) - 160) AS lo, least(size, greatest(0, s - greatest(0, floor((160 - (e - s)) / 2)::BIGINT)) + 160) AS hi FROM own)
+SELECT item_id, doc_id, hits::INT AS hits, s::INT AS start, e::INT AS "end", CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, lo + 1, hi - lo), '\s+', ' ', 'g')) || CASE WHEN hi < size THEN '…' ELSE '' END AS excerpt FROM cut""",
     "j18_support": f"""WITH {_CLAIMS},
 both_ AS (SELECT id, claim, len(list_intersect(ig.g, dg.g)) AS n, len(ig.g) + len(dg.g) AS m FROM ig JOIN dg ON len(ig.g) <= len(dg.g) / 0.84 AND len(dg.g) <= len(ig.g) / 0.84)
 SELECT id AS claim_id, count(*) AS claims, count(DISTINCT doc_id) AS documents, round(max(n / (m - n)::DOUBLE), 6) AS best, round(min(n / (m - n)::DOUBLE), 6) AS least
