@@ -2,7 +2,8 @@
 
 Objects and arrays are descended level by level: what a level holds is exploded as VARIANT values inside the JVM, strings are leaves, objects and
 arrays are the next level. So the number of passes is the depth of the deepest value, and no value is looked into twice. Numbers, booleans and nulls are
-no text. A text that is no JSON (or has a member twice) is one leaf itself, without a path. Blank leaves are left out.
+no text. A text that is no JSON (or has a member twice) is one leaf itself, without a path; what follows a
+value is not read. Blank leaves are left out.
 """
 
 from __future__ import annotations

@@ -17,40 +17,34 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def json_leaves(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaves of events told as nested JSON; every fiftieth is cut off and is one raw text."""
-    event = F.to_json(
-        F.struct(
-            F.col("event_type").alias("type"),
-            F.struct(F.concat(F.lit("user "), "user_id").alias("name"), F.array(F.struct(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("value"))).alias("visits")).alias("user"),
-            F.array("event_type", F.lit(" "), F.col("props")).alias("said"),
-        )
-    )
-    props = F.concat(F.expr("substring(event, 1, length(event) - 1)"), F.lit(',"props":{"deep":['), "props", F.lit(',[["a","b"],"c"]]}}'))
-    rows = _table(spark, sf, "events").withColumn("event", event).withColumn("event", props)
-    rows = rows.select("event_id", F.when(F.col("event_id") % 50 == 7, F.expr("substring(event, 1, 20)")).otherwise(F.col("event")).alias("event"))
-    found = leaves(rows, "event_id", "event")
-    return found.groupBy(F.coalesce("path", F.lit("raw")).alias("path")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.min("text").alias("first"), F.sum(F.length("text")).alias("chars"))
+    """Leaves of conversations told as nested JSON, a turn each; every tenth turn's is cut off and so is one raw text."""
+    lines = F.split("text", "\n")
+    turn = F.struct(F.col("turn").alias("n"), F.struct(F.col("role").alias("as"), F.array(F.struct(F.length("text").alias("chars"), lines.alias("lines"))).alias("said")).alias("by"), F.array(F.array("role", F.lit(" ")), F.array("role")).alias("roles"))
+    rows = _table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.when((F.col("conv_id") + F.col("turn")) % 10 == 7, F.lit('{"cut": "')).otherwise(F.lit("")).alias("before"), F.to_json(turn).alias("turn"))
+    found = leaves(rows.select("id", F.concat("before", "turn").alias("turn")), "id", "turn")
+    path = F.when(F.col("path").isNull(), "raw").otherwise(F.regexp_replace("path", r"lines\[[0-9]+\]", "lines[]"))
+    return found.groupBy(path.alias("path")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("turns"), F.min("text").alias("first"), F.sum(F.length("text")).alias("chars"))
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as operations on a table of visits, by user and hour: an error deletes, any other event is put. Three commits, the first two compacted."""
-    visit = F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMddHH"))
-    rows = _table(spark, sf, "events").select(visit.alias("visit"), "event_id", "ts", "event_type", "value", F.when(F.col("event_type") == "error", DELETE).otherwise(PUT).alias("op"))
-    table = History(spark, f"{scratch(spark)}/visits-{uuid.uuid4().hex}", "visit string, event_id long, ts timestamp, event_type string, value double", "visit", "ts")
-    last = rows.agg(F.max("event_id")).first()[0] or 0
-    for part in range(3):
-        table.apply(rows.filter(F.least(F.lit(2), F.floor(3 * F.col("event_id") / (last + 1))) == part), "event_id")
-        if part == 1:
+    """Turns as operations on a table of conversations: a short one deletes, any other is put. Three commits, the first two compacted."""
+    op = F.when(F.length("text") < 100, DELETE).otherwise(PUT)
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("digest"), op.alias("op"))
+    table = History(spark, f"{scratch(spark)}/history-{uuid.uuid4().hex}", "conv_id long, turn long, role string, digest string", "conv_id", "turn")
+    for first, last in ((0, 1), (2, 3), (4, None)):
+        table.apply(rows.filter((F.col("turn") >= first) & (F.lit(True) if last is None else F.col("turn") <= last)), "turn")
+        if last == 3:
             table.compact()
-    return table.state().select("visit", "event_id", "event_type", F.round("value", 6).alias("value"))
+    return table.state()
 
 
 QUERIES = {"s12_json_leaves": json_leaves, "s18_history": history}
 ORACLES = {
-    "s18_history": "SELECT visit, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY visit ORDER BY event_id DESC) AS r FROM (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d%H') AS visit FROM events)) WHERE r = 1 AND event_type <> 'error'",
-    "s12_json_leaves": """WITH e AS (SELECT event_id % 50 = 7 AS cut, event_type AS t, 'user ' || user_id AS u, strftime(ts, '%Y-%m-%d') AS d, props AS p FROM events),
-l AS (SELECT unnest([{'path': '$.type', 'text': t}, {'path': '$.user.name', 'text': u}, {'path': '$.user.visits[0].day', 'text': d}, {'path': '$.said[0]', 'text': t}, {'path': '$.said[2]', 'text': p},
-  {'path': '$.props.deep[1][0][0]', 'text': 'a'}, {'path': '$.props.deep[1][0][1]', 'text': 'b'}, {'path': '$.props.deep[1][1]', 'text': 'c'}], recursive := true) FROM e WHERE NOT cut
-  UNION ALL SELECT 'raw', ('{"type":"' || t || '","user":{"name":"' || u)[1:20] FROM e WHERE cut)
-SELECT path, count(*) AS n, count(DISTINCT text) AS texts, min(text) AS first, sum(length(text))::BIGINT AS chars FROM l GROUP BY 1""",
+    "s12_json_leaves": r"""WITH t AS (SELECT conv_id || ':' || turn AS id, role, text, (conv_id + turn) % 10 = 7 AS cut, turn FROM conversations),
+j AS (SELECT id, cut, to_json({'n': turn, 'by': {'as': role, 'said': [{'chars': length(text), 'lines': string_split(text, chr(10))}]}, 'roles': [[role, ' '], [role]]})::VARCHAR AS j, role, text FROM t),
+l AS (SELECT id, 'raw' AS path, '{"cut": "' || j AS text FROM j WHERE cut
+  UNION ALL SELECT id, unnest(['$.by.as', '$.roles[0][0]', '$.roles[1][0]']), role FROM j WHERE NOT cut
+  UNION ALL SELECT id, '$.by.said[0].lines[]', unnest(string_split(text, chr(10))) FROM j WHERE NOT cut)
+SELECT path, count(*) AS n, count(DISTINCT id) AS turns, min(text) AS first, sum(length(text))::BIGINT AS chars FROM l WHERE trim(text) <> '' GROUP BY 1""",
+    "s18_history": "SELECT conv_id, turn, role, digest FROM (SELECT conv_id, turn, role, md5(text) AS digest, length(text) < 100 AS gone, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1 AND NOT gone",
 }
