@@ -78,3 +78,42 @@ def sentences(text: Column, least: int = 10) -> Column:
 def citations(text: Column) -> Column:
     """Evidence ids in square brackets."""
     return F.regexp_extract_all(text, F.lit(r"\[([A-Za-z][A-Za-z0-9_-]*)\]"), F.lit(1))
+
+
+# Endings of names written in Chinese characters, what may stand before one, and names of products within such text.
+NAME_ENDINGS = ("法案", "公司", "科技", "集团", "大学", "研究院", "委员会", "理事会", "模型", "系统", "市场", "电池", "芯片", "制程", "算法", "平台", "销量", "营收", "敏感度", "霸权")
+NAME_LEADS = (
+    "近日有消息称", "另有报道称", "近日", "另有", "根据", "关于", "针对", "对于", "其中", "该", "其", "对", "在", "和", "与", "但", "另外", "实际上", "有报道称", "截至", "部分自媒体声称", "媒体声称", "消息称", "有消息称", "报道称", "声称",
+)
+PRODUCTS = ("AI", "ECS", "3nm", "5nm", "GPT", "GPU", "CPU")
+SHORT_NAMES = {"欧盟AI法案": "AI法案"}
+SAME_NAMES = {"人工智能": "AI"}
+_INSIDE, _BEFORE = r"[\p{L}\p{N}_]", r"(?<![\p{L}\p{N}_])"
+_HAN = r"一-鿿"
+
+
+def trimmed_name(name: Column) -> Column:
+    """A name without what leads to it and what follows its ending; of several endings the first of the list counts."""
+    plain = stripped(F.regexp_replace(name, f"^({'|'.join(NAME_LEADS)})", ""))
+    out = F.when(F.lit(False), "")
+    for ending in NAME_ENDINGS:
+        out = out.when(F.contains(plain, F.lit(ending)), F.concat(F.substring_index(plain, ending, 1), F.lit(ending)))
+    cut = out.otherwise(F.lit(None).cast("string"))
+    for long, short in SAME_NAMES.items():
+        cut = F.replace(cut, F.lit(long), F.lit(short))
+    return F.coalesce(cut, plain)
+
+
+def _variants(names: Column) -> Column:
+    return F.flatten(F.transform(names, lambda n: F.coalesce(*[F.when(n == long, F.array(n, F.lit(short))) for long, short in SHORT_NAMES.items()], F.array(n))))
+
+
+def names(text: Column) -> Column:
+    """Names of any script, each once: capitalised words, acronyms, phrases of Chinese characters with an ending of NAME_ENDINGS, and those around a product."""
+    every = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    capitals = every(rf"{_BEFORE}(?:[A-Z][a-z]+|[A-Z]{{2,}}[A-Z0-9]*(?:-[A-Z0-9]+)?)(?!{_INSIDE})")
+    acronyms = every(r"(?<![A-Za-z])[A-Z]{2,}[A-Z0-9]*(?![A-Za-z])")
+    ended = every(rf"(?:^|[，。；：、\s（(])([{_HAN}A-Za-z0-9·-]{{2,24}}?(?:{'|'.join(NAME_ENDINGS)}))", 1)
+    mixed = every(rf"[{_HAN}]{{1,12}}(?:{'|'.join(PRODUCTS)})[{_HAN}A-Za-z0-9-]{{0,8}}")
+    ended = F.filter(F.transform(ended, trimmed_name), lambda n: F.length(n) >= 2)
+    return F.array_distinct(F.concat(capitals, acronyms, _variants(ended), _variants(F.transform(mixed, trimmed_name))))

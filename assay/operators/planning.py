@@ -1,6 +1,6 @@
 """Plans of subquestions: made, put in order, revised.
 
-A plan is an array of steps in its question's row (``STEP``); it has at most MOST of them. Putting it in order drops blank steps, numbers the
+A plan is an array of steps in its question's row (``STEP``), the column ``plan``; it has at most MOST of them. Putting it in order drops blank steps, numbers the
 rest ``sq0``, ``sq1``, ... and keeps of the dependencies those on earlier steps, so that no plan has a cycle. ``levels`` takes any
 graph of steps as a table: it removes what is unknown, and finds the levels frontier by frontier; steps on or behind a cycle have none.
 """
@@ -34,52 +34,63 @@ def _number(i: Column) -> Column:
     return F.concat(F.lit("sq"), i.cast("string"))
 
 
-def ordered(plan: Column, fallback: Column, counter: Column | None = None, most: int = MOST) -> Column:
-    """A plan in order; one step with the fallback question where no step has a question."""
+def _no_deps() -> Column:
+    return F.array().cast("array<string>")
+
+
+def ordered(rows: DataFrame, fallback: Column, counter: Column | None = None, most: int = MOST) -> DataFrame:
+    """``rows`` with their ``plan`` in order; one step with the fallback question where no step has a question."""
     if most < 1:
         raise ValueError("a plan has at least one step")
-    kept = F.slice(F.filter(plan, lambda s: F.trim(s["question"]) != ""), 1, most)
-    number = F.transform(kept, lambda s, i: F.struct(s["id"].alias("old"), _number(i).alias("new")))
-    known = lambda d: F.coalesce(F.element_at(F.filter(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))), number), lambda n: n["old"].isNull() | (n["old"] == d)), -1)["new"], d)
+    rows = rows.withColumn("_kept", F.slice(F.filter("plan", lambda s: F.trim(s["question"]) != ""), 1, most))
+    rows = rows.withColumn("_numbers", F.transform("_kept", lambda s, i: F.struct(s["id"].alias("old"), _number(i).alias("new"))))
+    # of steps of one id the last is meant
+    known = lambda d: F.coalesce(F.try_element_at(F.filter("_numbers", lambda n: n["old"] == d), F.lit(-1))["new"], d)
     # a step's number is its place, so the earlier ones are those of smaller numbers
     earlier = lambda d, i: F.coalesce(F.regexp_extract(d, r"^sq(0|[1-9][0-9]{0,8})$", 1).try_cast("int") < i, F.lit(False))
     steps = F.transform(
-        kept,
+        "_kept",
         lambda s, i: F.struct(
             _number(i).alias("id"), F.trim(s["question"]).alias("question"), F.coalesce(F.nullif(s["evidence"], F.lit("")), F.lit("general")).alias("evidence"),
-            F.array_distinct(F.filter(F.transform(F.coalesce(s["deps"], F.array().cast("array<string>")), known), lambda d: earlier(d, i))).alias("deps"),
+            F.array_distinct(F.filter(F.transform(F.coalesce(s["deps"], _no_deps()), known), lambda d: earlier(d, i))).alias("deps"),
             F.coalesce(s["counter"], F.lit(False)).alias("counter"), F.coalesce(s["status"], F.lit("pending")).alias("status"), F.coalesce(s["coverage"], F.lit(0.0)).alias("coverage"),
         ),
     ).cast(f"array<{STEP}>")
     only = F.array(step(F.lit("sq0"), F.coalesce(F.nullif(F.trim(fallback), F.lit("")), F.lit(FALLBACK)), counter=counter))
-    return F.when(F.size(kept) > 0, steps).otherwise(only)
+    return rows.withColumn("plan", F.when(F.size("_kept") > 0, steps).otherwise(only)).drop("_kept", "_numbers")
 
 
-def decomposed(question: Column, keywords: Column, simple: Column, counter: Column, most: int = MOST) -> Column:
-    """A plan for a question: itself where it is simple, else a step for each of its first keywords and one that draws on them all."""
-    first = F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, KEYWORDS)
-    asked = F.transform(first, lambda w, i: step(_number(i), F.concat(F.lit(ABOUT[0]), w, F.lit(ABOUT[1])), counter=counter))
-    last = step(_number(F.size(first)), question, "synthesis", F.transform(first, lambda w, i: _number(i)))
-    return F.when(simple, F.array(step(F.lit("sq0"), question, counter=counter))).otherwise(ordered(F.concat(asked, F.array(last)), question, counter, most))
+def decomposed(rows: DataFrame, question: Column, keywords: Column, simple: Column, counter: Column, most: int = MOST) -> DataFrame:
+    """``rows`` with a ``plan`` for their question: itself where it is simple, else a step for each of its first keywords and one that draws on them all."""
+    rows = rows.withColumn("_first", F.when(simple, _no_deps()).otherwise(F.slice(F.coalesce(keywords, _no_deps()), 1, KEYWORDS)))
+    asked = F.transform("_first", lambda w, i: step(_number(i), F.concat(F.lit(ABOUT[0]), w, F.lit(ABOUT[1])), counter=counter))
+    last = step(_number(F.size("_first")), question, "synthesis", F.transform("_first", lambda w, i: _number(i)))
+    alone = F.array(step(F.lit("sq0"), question, counter=counter))
+    return ordered(rows.withColumn("plan", F.when(simple, alone).otherwise(F.concat(asked, F.array(last)))).drop("_first"), question, counter, most)
 
 
-def covered(plan: Column, coverage: Column) -> Column:
-    """A plan with the coverage of its steps, given in their order; 0 where it is not given."""
-    return F.transform(plan, lambda s, i: s.withField("coverage", F.coalesce(F.get(coverage, i), F.lit(0.0))))
+def covered(rows: DataFrame, coverage: Column) -> DataFrame:
+    """``rows`` with the coverage of their plan's steps, given in their order; 0 where it is not given."""
+    return rows.withColumn("plan", F.transform("plan", lambda s, i: s.withField("coverage", F.coalesce(F.get(coverage, i), F.lit(0.0)))))
 
 
-def revised(plan: Column, retrieval: Column, conflict: Column, source: Column, conflicts: Column, most: int = MOST) -> Column:
-    """A plan after a round: covered steps are resolved, open ones are taken up again where retrieval is unsure; a step for each kind of conflict, in
-    alphabetical order, waits for what is not resolved; and where sources are unsure, one verifies."""
-    fallback = F.lit(FALLBACK)
+def revised(rows: DataFrame, retrieval: Column, conflict: Column, source: Column, conflicts: Column, most: int = MOST) -> DataFrame:
+    """``rows`` with their plan after a round: covered steps are resolved, open ones are taken up again where retrieval is unsure; a step for each kind of
+    conflict, in alphabetical order, waits for what is not resolved; and where sources are unsure, one verifies."""
     status = lambda s: F.when(s["coverage"] >= RESOLVED, "resolved").when((retrieval > UNSURE) & (s["coverage"] < OPEN) & (s["status"] != "resolved"), "in_progress").otherwise(s["status"])
-    marked = F.transform(ordered(plan, fallback, most=most), lambda s: s.withField("status", status(s)))
-    kinds = F.when(conflict > UNSURE, F.array_sort(F.array_distinct(F.coalesce(conflicts, F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
-    waiting = lambda steps: F.transform(F.filter(steps, lambda s: s["status"] != "resolved"), lambda s: s["id"])
-    resolve = lambda steps, kind: F.concat(steps, F.array(step(F.concat(F.lit("sq_resolve_"), kind), F.concat(F.lit(RESOLVE[0]), kind, F.lit(RESOLVE[1])), deps=waiting(steps))))
-    more = F.aggregate(kinds, marked, lambda steps, kind: F.when(F.size(steps) < most, resolve(steps, kind)).otherwise(steps))
-    verify = step(F.lit("sq_source_verify"), F.lit(VERIFY), "empirical_study", F.slice(F.transform(more, lambda s: s["id"]), 1, 3))
-    return ordered(F.when((source > UNSURE) & (F.size(more) < most), F.concat(more, F.array(verify))).otherwise(more), fallback, most=most)
+    rows = ordered(rows, F.lit(FALLBACK), most=most)
+    rows = rows.withColumn("plan", F.transform("plan", lambda s: s.withField("status", status(s))))
+    kinds = F.array_sort(F.array_distinct(F.coalesce(conflicts, _no_deps())))
+    rows = rows.withColumn("_kinds", F.slice(F.when(conflict > UNSURE, kinds).otherwise(_no_deps()), F.lit(1), F.greatest(F.lit(0), most - F.size("plan"))))
+    rows = rows.withColumn("_waiting", F.transform(F.filter("plan", lambda s: s["status"] != "resolved"), lambda s: s["id"]))
+    # each of these waits for those before it as well
+    resolve = lambda kind, i: step(
+        F.concat(F.lit("sq_resolve_"), kind), F.concat(F.lit(RESOLVE[0]), kind, F.lit(RESOLVE[1])), deps=F.concat("_waiting", F.transform(F.slice("_kinds", F.lit(1), i), lambda k: F.concat(F.lit("sq_resolve_"), k)))
+    )
+    rows = rows.withColumn("plan", F.concat("plan", F.transform("_kinds", resolve)))
+    verify = step(F.lit("sq_source_verify"), F.lit(VERIFY), "empirical_study", F.slice(F.transform("plan", lambda s: s["id"]), 1, 3))
+    rows = rows.withColumn("plan", F.when((source > UNSURE) & (F.size("plan") < most), F.concat("plan", F.array(verify))).otherwise(F.col("plan")))
+    return ordered(rows.drop("_kinds", "_waiting"), F.lit(FALLBACK), most=most)
 
 
 def steps_of(plans: DataFrame, key: str, plan: str = "plan") -> DataFrame:

@@ -1,12 +1,13 @@
 """Texts alike, found without comparing all pairs.
 
 Two texts are alike when their sets of character bigrams have a Jaccard index of ``least``. Sets of at most n bigrams that are so differ
-in at most ``d = 2 n (1 - least) / (1 + least)`` of them. Bigrams are dealt to d + 1 parts by a hash, so one part at least is equal in
-both: texts meet on the parts that they share, and are compared only then. n is the upper end of a class of sizes; a text is dealt
+in at most ``d = 2 n (1 - least) / (1 + least)`` of them. Bigrams are dealt to d + 2 parts by a hash, so two parts at least are equal in
+both: texts meet on two parts that they share, and are compared only then. n is the upper end of a class of sizes; a text is dealt
 by its own class and by the next one, where larger texts may be that are alike. No pair is missed; what meets by chance is dropped.
 
-``matching_blocks`` is the share of two texts that common stretches cover, the longest first. It can be high where bigrams agree less, so
-``alike`` looks for it among pairs whose bigrams reach ``sets_from``: edits all over a text would take a comparison of all pairs.
+``matching_blocks`` is the share of two texts that common stretches cover, the longest first. It can be high where bigrams agree less;
+``alike`` looks for it among pairs whose bigrams reach ``sets_from``. That may be set lower for small tables: sentences of one
+language share half of their bigrams, so far below .85 all texts meet, and edits all over a text would take a comparison of all pairs.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql.types import DoubleType
 from ..functions.text import jaccard, ngrams
 from ..scratch import saved
 
-LEAST, SETS_FROM = 0.85, 0.7
+LEAST = SETS_FROM = 0.85
 #: Code points of texts that are looked at together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,16 +49,17 @@ def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts(least: float, size_class: np.ndarray) -> np.ndarray:
-    """Into how many parts the bigrams of texts of these classes are dealt."""
-    return np.floor(2 * np.ceil(least ** -(size_class + 1.0)) * (1 - least) / (1 + least) + 1e-9).astype(np.int64) + 1
+    """Into how many parts the bigrams of texts of these classes are dealt: two more than may differ, or one where none may."""
+    differ = np.floor(2 * np.ceil(least ** -(size_class + 1.0)) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
+    return np.where(differ == 0, 1, differ + 2)
 
 
 def _meetings(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, meeting, whether the class is the text's own) of the parts of each text."""
+    """(text, meeting, whether the class is the text's own) of every two parts of each text."""
     text, gram = bigrams(texts)
     sizes = np.bincount(text, minlength=len(texts))
     own_class = np.floor(np.log(np.maximum(sizes, 1)) / -math.log(least) + 1e-9).astype(np.int64)
-    out = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))]
     for up in (0, 1):
         classes = own_class + up
         count = parts(least, classes)
@@ -68,15 +70,39 @@ def _meetings(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray, n
         np.add.at(total, at, _mixed(salted))
         of = np.repeat(np.arange(len(texts)), count)
         place = (np.arange(len(of)) - first[of]).astype(np.uint64) | (classes[of].astype(np.uint64) << np.uint64(32))
-        keep = sizes[of] > 0
-        out.append((of[keep], _mixed(total + _mixed(place))[keep], np.full(int(keep.sum()), up == 0)))
+        part = _mixed(total + _mixed(place))
+        for m in np.unique(count[sizes > 0]):
+            own = np.flatnonzero((count == m) & (sizes > 0))
+            table = part[first[own][:, None] + np.arange(m)]
+            i, j = np.triu_indices(m, 1) if m > 1 else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+            both = _mixed(table[:, i] * np.uint64(0x9E3779B97F4A7C15) + table[:, j])
+            out.append((np.repeat(own, len(i)), both.ravel(), np.full(both.size, up == 0)))
     a, b, c = zip(*out, strict=True)
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
-def meetings(rows: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
-    """(key, meeting, own): where each text of ``rows`` may meet texts alike."""
+class Places:
+    """A bitmap over meetings, 2**16 to 2**27 bits by their number: what it lets through by chance the join drops."""
+
+    def __init__(self, rows: DataFrame):
+        self.bits = min(27, max(16, (64 * rows.count()).bit_length()))
+        h = F.col("meeting")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 64 - self.bits).bitwiseAND(F.lit(63)).cast("int"))
+        found = rows.groupBy(F.shiftrightunsigned(h, 70 - self.bits).alias("at")).agg(F.bit_or(one).alias("set")).toArrow()  # at most 2**21 rows
+        words = np.zeros(1 << self.bits - 6, dtype=np.uint64)
+        words[found["at"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+        self.shared = rows.sparkSession.sparkContext.broadcast(words)
+
+
+def _held(words: np.ndarray, bits: int, meeting: np.ndarray) -> np.ndarray:
+    at = meeting >> np.uint64(64 - bits)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def meetings(rows: DataFrame, key: str, text: str, least: float = LEAST, among: Places | None = None) -> DataFrame:
+    """(key, meeting, own): where each text of ``rows`` may meet texts alike; with ``among``, at its places only."""
     kept = rows.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    shared, bits = among and among.shared, among and among.bits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,6 +112,9 @@ def meetings(rows: DataFrame, key: str, text: str, least: float = LEAST) -> Data
             while i < len(texts):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOGETHER, side="right")))
                 of, meeting, own = _meetings(texts[i:j], least)
+                if shared:
+                    keep = _held(shared.value, bits, meeting)
+                    of, meeting, own = of[keep], meeting[keep], own[keep]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + i)), pa.array(meeting.view(np.int64)), pa.array(own)], [key, "meeting", "own"])
                 i = j
 
@@ -93,9 +122,14 @@ def meetings(rows: DataFrame, key: str, text: str, least: float = LEAST) -> Data
 
 
 def met(left: DataFrame, right: DataFrame | None, key: str, text: str, least: float = LEAST) -> DataFrame:
-    """(a, b): pairs of keys, each once, among which are all whose bigrams reach ``least``. Without ``right``, of one table, a < b."""
-    x = meetings(left, key, text, least).withColumnsRenamed({key: "a", "own": "own_a"})
-    y = (x.withColumnsRenamed({"a": "b", "own_a": "own_b"})) if right is None else meetings(right, key, text, least).withColumnsRenamed({key: "b", "own": "own_b"})
+    """(a, b): pairs of keys, each once, among which are all whose bigrams reach ``least``. Without ``right``, of one table, a < b.
+
+    ``left`` is the smaller table: its meetings are written, and of ``right`` only those are looked up that it may have.
+    """
+    x = saved(meetings(left, key, text, least), "meetings").withColumnsRenamed({key: "a", "own": "own_a"})
+    y = x.withColumnsRenamed({"a": "b", "own_a": "own_b"})
+    if right is not None:
+        y = meetings(right, key, text, least, Places(x)).withColumnsRenamed({key: "b", "own": "own_b"})
     pairs = x.join(y, "meeting").filter("(own_a or own_b)" + (" and a < b" if right is None else ""))
     return pairs.select("a", "b").distinct()
 

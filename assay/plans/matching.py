@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, similarity
+from ..functions.text import names
+from ..operators import anchors, audit, similarity
 from ..scratch import saved
 from .knowledge import _NEAR
 
@@ -47,6 +48,20 @@ def near_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return audit.near_excerpts(pairs, items, docs)
 
 
+def script_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names in documents by language, hyphens and digits taken as spaces."""
+    found = _table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(names(F.regexp_replace("text", "[-0-9]", " "))).alias("name"))
+    return found.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("name").alias("names"), F.max("name").alias("last"))
+
+
+def title_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """How often documents mention the titles of pages, the longest title where several begin, whole words only; a title is a page's heading's first two words."""
+    heading = F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)
+    titles = _table(spark, sf, "pages").select(F.array_join(F.slice(F.regexp_extract_all(heading, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 2), " ").alias("name")).filter(F.length("name") >= 8)
+    found = anchors.mentions(_table(spark, sf, "documents"), "doc_id", "text", titles)
+    return found.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"), F.min("start").alias("first"))
+
+
 _GRAMS = "list_distinct(list_transform(range(1, length(claim)), lambda i: claim[i:i + 1]))"
 _CLAIMS = f"""items AS (SELECT item_id || '#' || (u.i - 1) AS id, u.t AS claim FROM (SELECT item_id, unnest(list_transform(range(1, len(p) + 1), lambda i: {{'i': i, 't': trim(p[i])}})) AS u
   FROM (SELECT item_id, regexp_split_to_array(lower(text), '{ENDS}') AS p FROM benchmark)) WHERE length(u.t) >= {LEAST_CHARS}),
@@ -57,8 +72,13 @@ QUERIES = {
     "j18_support": support,
     "j6_text_similarity": text_similarity,
     "a5_near_excerpts": near_excerpts,
+    "x1_script_names": script_names,
+    "x17_title_mentions": title_mentions,
 }
 ORACLES = {
+    "x1_script_names": r"""WITH t AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(list_distinct(list_concat(
+  list_filter(regexp_extract_all(regexp_replace(text, '[-0-9]', ' ', 'g'), '[\p{L}\p{N}_]+'), lambda t: regexp_full_match(t, '[A-Z][a-z]+')), list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda t: regexp_full_match(t, '[A-Z]{2,}'))))) AS name FROM documents)
+SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS documents, count(DISTINCT name) AS names, max(name) AS last FROM t GROUP BY 1""",
     "a5_near_excerpts": rf"""WITH {_NEAR},
 pairs AS (SELECT item_id, doc_id FROM near WHERE score >= 0.85),
 asked AS (SELECT item_id, greatest(length(body), 13) AS win, g FROM items JOIN ig USING (item_id) WHERE item_id IN (SELECT item_id FROM pairs)),

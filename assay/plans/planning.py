@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
 from ..operators import planning
+from ..scratch import saved
 
 LONG = r"[\p{L}\p{N}_]{7,}"
 #: A step is covered by so many documents.
@@ -21,7 +22,7 @@ def _plans(spark: SparkSession, sf: str) -> DataFrame:
     """A plan for each item: by its first long words, or itself where it has only one of them."""
     words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LONG), F.lit(0))), 1, planning.KEYWORDS)
     items = _table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), words.alias("words"))
-    return items.withColumn("plan", planning.decomposed(F.col("question"), F.col("words"), F.size("words") <= 1, F.lit(False)))
+    return planning.decomposed(items, F.col("question"), F.col("words"), F.size("words") <= 1, F.lit(False))
 
 
 def plan_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,10 +44,10 @@ def plan_levels(spark: SparkSession, sf: str) -> DataFrame:
     )
     report = report.join(langs, "item_id").withColumn("conflict", F.coalesce(1 - F.col("most") / F.col("all"), F.lit(0.0)))
     rows = plans.join(report, "item_id", "left")
-    plan = planning.covered(F.col("plan"), F.coalesce("coverage", F.array().cast("array<double>")))
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    plan = planning.revised(plan, part("retrieval"), part("conflict"), part("source"), F.col("langs"))
-    steps = planning.steps_of(rows.select("item_id", plan.alias("plan")), "item_id")
+    rows = planning.covered(rows, F.coalesce("coverage", F.array().cast("array<double>")))
+    rows = planning.revised(rows, part("retrieval"), part("conflict"), part("source"), F.col("langs"))
+    steps = saved(planning.steps_of(rows, "item_id"), "steps")
     placed = steps.join(planning.levels(steps, "item_id"), ["item_id", "id"])
     return placed.select("item_id", "place", "id", "level", "evidence", "status", F.round("coverage", 6).alias("coverage"), F.array_join("deps", ",").alias("deps"), F.md5("question").alias("question"))
 

@@ -138,3 +138,62 @@ def test_excerpts(spark):
     assert got[3]["excerpt"].strip("…").count("\n") == 0 and len(got[3]["excerpt"]) <= 162
     cut = spark.range(1).select(audit.excerpt(F.lit("0123456789" * 30), F.lit(150), F.lit(160)).alias("x")).first()["x"]
     assert cut == "…" + ("0123456789" * 30)[75:235] + "…"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("The NASA X-1 and GPT-4 met Alice in Paris; AB", ["The", "NASA", "GPT-4", "Alice", "Paris", "AB", "GPT"]),
+        ("近日，欧盟AI法案正式生效。华为公司的昇腾芯片发布", ["AI", "欧盟AI法案", "AI法案", "华为公司"]),
+        ("（关于清华大学的研究）、台积电3nm制程", ["清华大学", "台积电3nm制程"]),
+        ("根据人工智能委员会消息", ["AI委员会"]),
+        ("École Été abc DEF2x", ["DEF"]),
+        ("", []),
+    ],
+)
+def test_names(spark, text, want):
+    from assay.functions.text import names
+
+    assert spark.createDataFrame([(text,)], "t string").select(names(F.col("t")).alias("n")).first()["n"] == want
+
+
+def test_anchors(spark):
+    from assay.operators.anchors import anchored, title_names
+
+    titles = spark.createDataFrame([("Tesla 华为公司销量 in 2023",), (None,), ("新能源市场、宁德时代电池",)], "t string")
+    assert [r["n"] for r in titles.select(title_names(F.col("t")).alias("n")).collect()] == [["Tesla", "华为公司"], [], ["宁德时代电池"]]
+    evidence = spark.createDataFrame([("e1", "Tesla results 2023", ["Berlin", "Austin"]), ("e2", None, None)], "evidence_id string, title string, entities array<string>")
+    rows = [("e1", "sales rose in berlin", ["Q"], [], "sentence", False), ("e1", "x", [], ["2023"], "reported_claim", False), ("e1", "y", [], [], "sentence", True), ("e2", "z", ["Z"], [], "sentence", None), ("e3", "w", [], [], "sentence", None)]
+    claims = spark.createDataFrame(rows, "evidence_id string, claim string, entities array<string>, times array<string>, span string, compares boolean")
+    got = {r["claim"]: (r["entities"], r["times"]) for r in anchored(claims, evidence).collect()}
+    assert got == {"sales rose in berlin": (["Q", "Tesla", "Berlin"], ["2023"]), "x": (["Tesla", "Berlin", "Austin"], ["2023"]), "y": (["Tesla", "Berlin", "Austin"], ["2023"]), "z": (["Z"], []), "w": ([], [])}
+
+
+def plain_mentions(texts, patterns):
+    out = set()
+    inside = lambda c: c.isalnum() or c == "_"
+    for k, t in texts:
+        t, places = (t or "").lower(), []
+        for p in {(p or "").lower() for p in patterns if (p or "").strip()}:
+            places += [(i, i + len(p)) for i in range(len(t)) if t.startswith(p, i)]
+        ok = [(a, z) for a, z in places if not (a and inside(t[a - 1]) and inside(t[a])) and not (z < len(t) and inside(t[z]) and inside(t[z - 1]))]
+        last = 0
+        for a, z in sorted(ok, key=lambda x: (x[0], -x[1])):
+            if a >= last:
+                out.add((k, t[a:z], a, z))
+                last = z
+    return out
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_mentions(spark, bound):
+    """Longest, leftmost, none within another; by the automaton and by the join."""
+    from assay.operators.anchors import mentions
+
+    random.seed(2)
+    words = ["new", "york", "city", "times", "école", "a_b", "x1"]
+    texts = [(i, " ".join(random.choice(words) for _ in range(random.choice([0, 3, 40])))) for i in range(30)] + [(90, None), (91, "New-York, new york citys NEW YORK CITY"), (91, "york")]
+    patterns = ["New York", "york city", "New York City Times", "city times new", "times", "école", "a_b x1", "x1", "", None, " ", "york"]
+    got = mentions(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame([(p,) for p in patterns], "name string"), bound=bound)
+    assert {tuple(r) for r in got.collect()} == plain_mentions(texts, patterns)
+    assert mentions(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame([], "name string"), bound=bound).count() == 0

@@ -17,12 +17,12 @@ def step(id_, question="q", deps=(), coverage=0.0, status="pending", evidence="g
 
 def revised(spark, steps, retrieval=0.0, conflict=0.0, source=0.0, conflicts=None, most=p.MOST):
     rows = spark.createDataFrame([(1, steps, retrieval, conflict, source, conflicts)], TYPE)
-    return rows.select(p.revised(F.col("plan"), F.col("retrieval"), F.col("conflict"), F.col("source"), F.col("conflicts"), most).alias("p")).first()["p"]
+    return p.revised(rows, F.col("retrieval"), F.col("conflict"), F.col("source"), F.col("conflicts"), most).first()["plan"]
 
 
 def ordered(spark, steps, fallback="What now?", most=p.MOST):
     rows = spark.createDataFrame([(1, steps, 0.0, 0.0, 0.0, None)], TYPE)
-    return rows.select(p.ordered(F.col("plan"), F.lit(fallback), F.lit(True), most).alias("p")).first()["p"]
+    return p.ordered(rows, F.lit(fallback), F.lit(True), most).first()["plan"]
 
 
 def test_order(spark):
@@ -45,7 +45,7 @@ def test_order_of_nothing(spark):
 
 def test_decomposition(spark):
     rows = spark.createDataFrame([("Why?", ["a", "b"], False), ("Why?", [], True), ("Why?", None, False), ("Why?", list("abcdefg"), False)], "q string, w array<string>, simple boolean")
-    many, simple, none, capped = (r["p"] for r in rows.select(p.decomposed(F.col("q"), F.col("w"), F.col("simple"), F.lit(True)).alias("p")).collect())
+    many, simple, none, capped = (r["plan"] for r in p.decomposed(rows, F.col("q"), F.col("w"), F.col("simple"), F.lit(True)).collect())
     assert [s["deps"] for s in many] == [[], [], ["sq0", "sq1"]] and many[2]["evidence"] == "synthesis" and many[0]["question"] == "a".join(p.ABOUT)
     assert [s["question"] for s in simple] == ["Why?"] == [s["question"] for s in none]
     assert len(capped) == p.KEYWORDS + 1
