@@ -1,4 +1,4 @@
-"""Queries of plans: subquestions of the benchmark's items, how documents cover them, and what follows."""
+"""Queries of plans, of sentences that answer, and of rounds of annotation."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
-from ..operators import planning
+from ..operators import annotation, planning, sentences
 from ..scratch import saved
+from .benchmarking import hits
+from .retrieval import _INDEX, bm25_sql
 
 LONG = r"[\p{L}\p{N}_]{7,}"
 #: A step is covered by so many documents.
@@ -52,8 +54,82 @@ def plan_levels(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("item_id", "place", "id", "level", "evidence", "status", F.round("coverage", 6).alias("coverage"), F.array_join("deps", ",").alias("deps"), F.md5("question").alias("question"))
 
 
-QUERIES = {"u3_plan_levels": plan_levels}
+def ranked_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The three best sentences for each item, of the five documents that BM25 ranks first."""
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    texts = _table(spark, sf, "documents").select("doc_id", F.lit("").alias("title"), "text")
+    found = sentences.ranked(items, hits(spark, sf, 5).join(texts, "doc_id"), 3)
+    return found.select("query_id", "rank", "doc_id", "score", F.md5("sentence").alias("digest"))
+
+
+ANNOTATORS = ["ann", "ben", "cy"]
+
+
+def _round(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled documents as items that three annotators label by what the tables say, some of them against the rules, and an adjudicator those of even id."""
+    rows = _table(spark, sf, "labels").join(_table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    k = F.col("doc_id")
+    ids = F.array(F.concat(k, F.lit(":a")), F.concat(k, F.lit(":b")))
+    kind = lambda i: F.get(F.array(*map(F.lit, annotation.KINDS)), F.pmod(i, F.lit(6)).cast("int"))
+    labels = None
+    for name, told, present, of in (("ann", F.lit(True), F.col("toxic") == 1, k), ("ben", F.lit(True), F.col("quality") == 0, k + F.pmod("n_chars", F.lit(2))), ("cy", k % 3 != 0, (F.col("toxic") == 1) | (F.col("n_chars") < 300), k)):
+        pair = F.when(present, F.when((k % 25 == 7) & (name == F.lit("ann")), F.slice(ids, 1, 1)).otherwise(ids))
+        said = F.when(present, F.when((k % 25 == 9) & (name == F.lit("ben")), "bogus").otherwise(kind(of))).otherwise(annotation.NONE)
+        own = rows.filter(told).select(k.alias("item_id"), F.lit(name).alias("annotator_id"), present.alias("present"), said.alias("kind"), pair.alias("pair"))
+        labels = own if labels is None else labels.unionByName(own)
+    rulings = rows.filter(k % 2 == 0).select(k.alias("item_id"), F.lit("dee").alias("annotator_id"), (F.col("toxic") == 1).alias("present"), F.when(F.col("toxic") == 1, kind(k)).otherwise(annotation.NONE).alias("kind"), F.when(F.col("toxic") == 1, ids).alias("pair"))
+    return labels, rulings, rows.select(k.alias("item_id"), ids.alias("ids"))
+
+
+def annotation_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Where items stand, and which labels break a rule."""
+    labels, rulings, evidence = _round(spark, sf)
+    told = annotation.states(labels, rulings, evidence).groupBy("state", F.coalesce("final", F.lit("")).alias("final"), "labels").agg(F.count("*").alias("n"))
+    broken = annotation.judged(labels, evidence).select("annotator_id", F.explode("broken").alias("rule")).groupBy("annotator_id", "rule").agg(F.count("*").alias("n"))
+    return told.unionByName(broken.select(F.col("annotator_id").alias("state"), F.col("rule").alias("final"), F.lit(0).cast("long").alias("labels"), "n"))
+
+
+def annotation_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Cohen's kappa of each two annotators over their labels that break no rule."""
+    labels, _, evidence = _round(spark, sf)
+    good = annotation.judged(labels, evidence).filter(F.size("broken") == 0).withColumn("answer", annotation.answer())
+    found = annotation.agreement(good, ANNOTATORS)
+    return found.select("a", "b", "items", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+_ROUND = f"""rows AS (SELECT doc_id AS k, toxic = 1 AS toxic, quality = 0 AS bad, n_chars FROM labels JOIN documents USING (doc_id)),
+said AS (
+  SELECT k, 'ann' AS who, toxic AS present, k % 6 AS i, toxic AND k % 25 = 7 AS one, false AS bogus FROM rows
+  UNION ALL SELECT k, 'ben', bad, (k + n_chars % 2) % 6, false, bad AND k % 25 = 9 FROM rows
+  UNION ALL SELECT k, 'cy', toxic OR n_chars < 300, k % 6, false, false FROM rows WHERE k % 3 <> 0),
+good AS (SELECT k, who, CASE WHEN present THEN {list(annotation.KINDS)}[i + 1] ELSE 'none' END AS answer FROM said WHERE NOT one AND NOT bogus)"""
+
+QUERIES = {
+    "u3_plan_levels": plan_levels,
+    "u20_sentences": ranked_sentences,
+    "p6_annotation_states": annotation_states,
+    "p6_annotation_agreement": annotation_agreement,
+}
 ORACLES = {
+    "u20_sentences": rf"""WITH {_INDEX}, {bm25_sql('hits', 5)},
+terms AS (SELECT item_id AS query_id, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: length(t) >= 2), lambda t: lower(t))) AS ts FROM benchmark),
+said AS (SELECT query_id, h.rank AS of_, doc_id, u.i AS place, u.s AS s FROM hits h JOIN (SELECT doc_id, unnest(list_transform(range(1, len(p) + 1), lambda i: {{'i': i, 's': regexp_replace(p[i], '^\s+|\s+$', '', 'g')}})) AS u
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^{sentences.ENDS}]*[{sentences.ENDS}]|[^{sentences.ENDS}]+') AS p FROM documents)) USING (doc_id) WHERE u.s <> ''),
+scored AS (SELECT *, len(list_filter(ts, lambda t: contains(lower(s), t))) + CASE WHEN regexp_matches(s, '[0-9]') THEN 0.25 ELSE 0 END + CASE WHEN list_bool_or(list_transform({list(sentences.APPROXIMATE)}, lambda w: contains(lower(s), w))) THEN 0.25 ELSE 0 END AS score FROM said JOIN terms USING (query_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, of_, doc_id, place)::INT AS rank FROM scored WHERE score > 0)
+SELECT query_id, rank, doc_id, score::DOUBLE AS score, md5(s) AS digest FROM ranked WHERE rank <= 3""",
+    "p6_annotation_states": f"""WITH {_ROUND},
+tally AS (SELECT k, count(*) AS n, min(answer) AS low, max(answer) AS high FROM good GROUP BY 1),
+told AS (SELECT k, coalesce(n, 0) AS labels, CASE WHEN coalesce(n, 0) < 2 THEN 'open' WHEN k % 2 = 0 THEN 'adjudicated' WHEN low = high THEN 'agreed' ELSE 'disputed' END AS state, low,
+  CASE WHEN toxic THEN {list(annotation.KINDS)}[k % 6 + 1] ELSE 'none' END AS ruling FROM rows LEFT JOIN tally USING (k))
+SELECT state, CASE state WHEN 'adjudicated' THEN ruling WHEN 'agreed' THEN low ELSE '' END AS final, labels, count(*) AS n FROM told GROUP BY 1, 2, 3
+UNION ALL SELECT who, CASE WHEN one THEN 'pair_of_two' ELSE 'kind_of_conflict' END, 0, count(*) FROM said WHERE one OR bogus GROUP BY 1, 2""",
+    "p6_annotation_agreement": f"""WITH {_ROUND},
+both_ AS (SELECT x.who AS a, y.who AS b, x.answer AS p, y.answer AS q FROM good x JOIN good y ON x.k = y.k AND x.who < y.who),
+seen AS (SELECT a, b, count(*) AS items, count(*) FILTER (WHERE p = q) / count(*)::DOUBLE AS observed FROM both_ GROUP BY 1, 2),
+ps AS (SELECT a, b, p AS v, count(*) AS n FROM both_ GROUP BY 1, 2, 3), qs AS (SELECT a, b, q AS v, count(*) AS m FROM both_ GROUP BY 1, 2, 3),
+chance AS (SELECT a, b, sum(n * m)::DOUBLE AS c FROM ps JOIN qs USING (a, b, v) GROUP BY 1, 2)
+SELECT a, b, items, round(observed, 6) AS observed, round(c / (items * items), 6) AS expected, round((observed - c / (items * items)) / (1 - c / (items * items)), 6) AS kappa FROM seen JOIN chance USING (a, b)""",
     "u3_plan_levels": f"""WITH RECURSIVE
 items AS (SELECT item_id, text, w[1:5] AS w FROM (SELECT item_id, text, list_filter(w0, lambda x, i: list_position(w0, x) = i) AS w FROM (SELECT item_id, text, regexp_extract_all(lower(text), '{LONG}') AS w0 FROM benchmark))),
 words AS (SELECT item_id, len(w) AS k, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'place': i - 1, 'word': w[i]}}), recursive := true) FROM items WHERE len(w) > 1),
