@@ -1,4 +1,4 @@
-"""Queries of plans, of sentences that answer, and of rounds of annotation."""
+"""Queries of plans, of sentences that answer, of rounds of annotation, and of stored results scored again."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
-from ..operators import annotation, planning, sentences
+from ..operators import annotation, planning, rescoring, sentences
+from ..operators.metrics import bag_f1
 from ..scratch import saved
 from .benchmarking import hits
+from .evaluation import _ANSWERS, _words, answers
 from .retrieval import _INDEX, bm25_sql
 
 LONG = r"[\p{L}\p{N}_]{7,}"
@@ -97,6 +99,21 @@ def annotation_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("a", "b", "items", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
 
 
+def rescored_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of conversations stored with the scores of an older metric, which counted articles as words; some failed, some of their questions have changed since."""
+    pairs = saved(answers(spark, sf), "answers")
+    k = F.col("qa_id")
+    sign = rescoring.signature(F.col("question"))
+    old = bag_f1(pairs.select("qa_id", tokens(F.col("answer")).alias("a"), tokens(F.col("question")).alias("b")), "qa_id", "a", "b")
+    stored = pairs.join(old, "qa_id").select(
+        k.alias("row_id"), F.when(k % 40 == 3, -k - 1).otherwise(k).alias("question_id"), F.when(k % 10 == 1, "older").otherwise(sign).alias("signature"), F.col("answer").alias("predicted"),
+        F.when(k % 5 == 0, "abstain").otherwise("answer").alias("behaviour"), F.when(k % 20 == 2, "timeout").alias("error"), F.lit("1").alias("version"),
+        (F.lower("answer") == F.lower("question")).cast("double").alias("em"), "f1", (F.col("f1") > rescoring.CORRECT).alias("correct"),
+    )
+    questions = pairs.select(k.alias("question_id"), sign.alias("signature"), F.col("question").alias("truth"), F.when(k % 15 == 0, "unanswerable").otherwise("single").alias("kind"))
+    return rescoring.changes(rescoring.rescored(stored, questions))
+
+
 _ROUND = f"""rows AS (SELECT doc_id AS k, toxic = 1 AS toxic, quality = 0 AS bad, n_chars FROM labels JOIN documents USING (doc_id)),
 said AS (
   SELECT k, 'ann' AS who, toxic AS present, k % 6 AS i, toxic AND k % 25 = 7 AS one, false AS bogus FROM rows
@@ -109,8 +126,23 @@ QUERIES = {
     "u20_sentences": ranked_sentences,
     "p6_annotation_states": annotation_states,
     "p6_annotation_agreement": annotation_agreement,
+    "p1_rescored": rescored_runs,
 }
+_BAG = """, {0}s AS (SELECT qa_id, unnest(a) AS t, 1 AS x, 0 AS y FROM {0}t UNION ALL SELECT qa_id, unnest(b), 0, 1 FROM {0}t),
+{0}c AS (SELECT qa_id, t, sum(x) AS x, sum(y) AS y FROM {0}s GROUP BY 1, 2), {0}z AS (SELECT qa_id, sum(x) AS x, sum(y) AS y, sum(least(x, y)) AS c FROM {0}c GROUP BY 1),
+{0}f AS (SELECT qa_id, CASE WHEN x IS NULL THEN 1 WHEN x = 0 OR y = 0 OR c = 0 THEN 0 ELSE 2.0::DOUBLE * c / (x + y) END::DOUBLE AS f1 FROM {0}t LEFT JOIN {0}z USING (qa_id))"""
 ORACLES = {
+    "p1_rescored": f"""WITH {_ANSWERS},
+ot AS (SELECT qa_id, regexp_extract_all(lower(answer), '{TOKEN}') AS a, regexp_extract_all(lower(question), '{TOKEN}') AS b FROM answers){_BAG.format('o')},
+nt AS (SELECT qa_id, {_words('answer')} AS a, {_words('question')} AS b FROM answers){_BAG.format('n')},
+r AS (SELECT qa_id AS k, ofs.f1 AS old_f1, nfs.f1 AS new_f1, (lower(answer) = lower(question))::INT::DOUBLE AS old_em, (array_to_string(a, ' ') = array_to_string(b, ' '))::INT::DOUBLE AS new_em,
+  CASE WHEN qa_id % 20 = 2 THEN 'error' WHEN qa_id % 40 = 3 THEN 'orphan' WHEN qa_id % 10 = 1 THEN 'stale' END AS left_
+  FROM answers JOIN of ofs USING (qa_id) JOIN nf nfs USING (qa_id) JOIN nt USING (qa_id)),
+q AS (SELECT *, old_f1 > 0.3 AS was, (k % 15 = 0 AND k % 5 = 0) OR new_f1 > 0.3 AS now FROM r),
+w AS (SELECT coalesce(left_, CASE WHEN abs(old_f1 - new_f1) > 1e-9 OR old_em <> new_em OR was <> now THEN 'changed' ELSE 'same' END) AS state, CASE WHEN left_ IS NULL THEN '2' ELSE '1' END AS version,
+  old_f1, CASE WHEN left_ IS NULL THEN new_f1 ELSE old_f1 END AS f1, old_em, CASE WHEN left_ IS NULL THEN new_em ELSE old_em END AS em, was, CASE WHEN left_ IS NULL THEN now ELSE was END AS now FROM q)
+SELECT state, version, count(*) AS n, round(avg(old_f1), 6) AS old_f1, round(avg(f1), 6) AS f1, round(avg(old_em), 6) AS old_em, round(avg(em), 6) AS em, count(*) FILTER (WHERE now AND NOT was) AS righted,
+  count(*) FILTER (WHERE was AND NOT now) AS wronged FROM w GROUP BY 1, 2""",
     "u20_sentences": rf"""WITH {_INDEX}, {bm25_sql('hits', 5)},
 terms AS (SELECT item_id AS query_id, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: length(t) >= 2), lambda t: lower(t))) AS ts FROM benchmark),
 said AS (SELECT query_id, h.rank AS of_, doc_id, u.i AS place, u.s AS s FROM hits h JOIN (SELECT doc_id, unnest(list_transform(range(1, len(p) + 1), lambda i: {{'i': i, 's': regexp_replace(p[i], '^\s+|\s+$', '', 'g')}})) AS u

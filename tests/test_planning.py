@@ -137,3 +137,95 @@ def test_operations_in_order(spark, tmp_path):
 def test_shortened(spark):
     got = spark.createDataFrame([("x" * 100,), ("x" * 101,)], "t string").select(shortened(F.col("t")).alias("t")).collect()
     assert [len(r["t"]) for r in got] == [100, 103]
+
+
+def test_terms(spark):
+    from assay.operators.sentences import attribute_score, split, terms
+
+    rows = spark.createDataFrame([("What is AI 2024? x 预算是多少",), ("罚款上限",), ("",)], "q string")
+    got = [set(r["t"]) for r in rows.select(terms(F.col("q")).alias("t")).collect()]
+    run = "预算是多少"
+    pieces = {run[i : i + w] for w in range(2, 6) for i in range(6 - w)}
+    assert got == [{"what", "is", "ai", "2024"} | pieces - {"多少"}, {"罚款", "款上", "上限", "罚款上", "款上限", "罚款上限"}, set()]
+    cut = spark.createDataFrame([(" a b! c。d；；e ",), ("",)], "t string").select(split(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in cut] == [["a b!", "c。", "d；", "；", "e"], []]
+    pairs = spark.createDataFrame([("What fine?", "The penalty is 7% of turnover"), ("What fine?", "规则生效"), ("What fine?", "规则和罚款"), ("When?", "penalty")], "q string, s string")
+    assert [r["x"] for r in pairs.select(attribute_score(F.col("q"), F.col("s")).alias("x")).collect()] == [6.0, -4.0, 6.0, 0.0]
+
+
+def test_ranked_sentences(spark):
+    from assay.operators.sentences import ranked
+
+    asked = spark.createDataFrame([(1, "Apple revenue 2023"), (2, None), (3, "nothing here")], "query_id int, question string")
+    rows = [(1, "d1", 1, "Apple", "Revenue was about 5! Weather. Apple revenue rose; APPLE REVENUE 2023 was 7!"), (1, "d2", 2, None, "Apple revenue rose;"), (2, "d1", 1, "", "x 1"), (3, "d1", 1, "t", None)]
+    got = ranked(asked, spark.createDataFrame(rows, "query_id int, doc_id string, rank int, title string, text string"), 3).collect()
+    assert [(r["rank"], r["doc_id"], r["score"], r["sentence"]) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (1, "d1", 3.25, "APPLE REVENUE 2023 was 7!"), (2, "d1", 2.0, "Weather. Apple revenue rose;"), (3, "d2", 2.0, "Apple revenue rose;"),
+    ]
+    with pytest.raises(ValueError):
+        ranked(asked, asked, 0)
+
+
+LABEL = "item_id string, annotator_id string, present boolean, kind string, pair array<string>, rationale string"
+CONFLICT = "numeric_conflict"
+
+
+def test_annotation_rules(spark):
+    from assay.operators import annotation as a
+
+    evidence = spark.createDataFrame([("q1", ["e1", "e2"]), ("q2", ["e3"]), ("q3", [])], "item_id string, ids array<string>")
+    rows = [
+        ("q1", "ann", True, CONFLICT, ["e1", "e2"]), ("q1", "ben", False, "none", None), ("q1", "cy", None, None, None), ("q1", "dee", True, "other", ["e1", "e1"]), ("q1", "eve", True, CONFLICT, ["e1", "e9"]),
+        ("q2", "ann", False, CONFLICT, []), ("q2", "ben", False, "", ["e3"]), ("q2", " ", False, "none", []), ("q9", "ann", False, "none", []), ("q3", "ann", False, "none", []), ("q3", "ann", False, "none", []),
+    ]
+    labels = spark.createDataFrame([(*r, "") for r in rows], LABEL)
+    got = {}
+    for r in a.judged(labels, evidence).collect():
+        got.setdefault((r["item_id"], r["annotator_id"]), set()).update(r["broken"])
+    assert got == {
+        ("q1", "ann"): set(), ("q1", "ben"): set(), ("q1", "cy"): {"no_label"}, ("q1", "dee"): {"kind_of_conflict", "pair_of_two"}, ("q1", "eve"): {"pair_of_known"},
+        ("q2", "ann"): {"kind_without_conflict"}, ("q2", "ben"): {"pair_without_conflict"}, ("q2", " "): {"no_annotator"}, ("q9", "ann"): {"unknown_item"}, ("q3", "ann"): {"doubled"},
+    }
+
+
+def test_annotation_states(spark):
+    from assay.operators import annotation as a
+
+    ids = [f"q{i}" for i in range(6)]
+    evidence = spark.createDataFrame([(q, [q + "a", q + "b"]) for q in ids], "item_id string, ids array<string>")
+    yes, no = (lambda q, who: (q, who, True, CONFLICT, [q + "a", q + "b"], "")), (lambda q, who: (q, who, False, "none", [], ""))
+    labels = [yes("q0", "ann"), yes("q0", "ben"), yes("q1", "ann"), no("q1", "ben"), yes("q2", "ann"), no("q2", "ben"), yes("q3", "ann"), (("q3", "ben", True, "bogus", ["q3a", "q3b"], "")), no("q5", "ann"), no("q5", "ben"), no("q5", "cy")]
+    rulings = [no("q2", "dee"), yes("q4", "dee"), (("q1", "dee", None, None, None, ""))]
+    got = {r["item_id"]: (r["labels"], r["state"], r["final"]) for r in a.states(spark.createDataFrame(labels, LABEL), spark.createDataFrame(rulings, LABEL), evidence).collect()}
+    assert got == {"q0": (2, "agreed", CONFLICT), "q1": (2, "disputed", None), "q2": (2, "adjudicated", "none"), "q3": (1, "open", None), "q4": (0, "open", None), "q5": (3, "agreed", "none")}
+
+
+def test_packets_are_blind_and_shuffled(spark):
+    from assay.operators import annotation as a
+
+    items = spark.createDataFrame([(f"q{i}", "text", "secret") for i in range(30)], "item_id string, question string, answer string")
+    got = a.packets(items, ["ann", "ben"], "7", ("question",))
+    assert got.columns == ["annotator_id", "place_key", "item_id", "question"] and got.count() == 60
+    orders = [[r["item_id"] for r in got.filter(F.col("annotator_id") == w).orderBy("place_key").collect()] for w in ("ann", "ben")]
+    assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1]) != orders[0]
+    assert orders[0] == [r["item_id"] for r in a.packets(items.repartition(5), ["ann"], "7", ()).orderBy("place_key").collect()]
+    for bad in ([], ["a", "a"], ["a b"], [""]):
+        with pytest.raises(ValueError):
+            a.packets(items, bad, "7", ())
+
+
+def test_kappa_of_pairs(spark):
+    from assay.operators import annotation as a
+
+    said = {"ann": "yynnynyy", "ben": "yynyynny", "cy": "yyyy    "}
+    rows = [(i, w, v) for w, vs in said.items() for i, v in enumerate(vs) if v != " "] + [(99, "ann", "y")]
+    got = {(r["a"], r["b"]): (r["items"], r["kappa"]) for r in a.agreement(spark.createDataFrame(rows, "item_id int, annotator_id string, answer string"), ["cy", "ann", "ben"]).collect()}
+
+    def kappa(x, y):
+        both = [(p, q) for p, q in zip(x, y, strict=True) if " " not in (p, q)]
+        o = sum(p == q for p, q in both) / len(both)
+        e = sum(sum(p == v for p, _ in both) * sum(q == v for _, q in both) for v in "yn") / len(both) ** 2
+        return len(both), 1.0 if e == 1 else (o - e) / (1 - e)
+
+    assert set(got) == {("ann", "ben"), ("ann", "cy"), ("ben", "cy")}
+    assert all(got[p][0] == kappa(said[p[0]], said[p[1]])[0] and abs(got[p][1] - kappa(said[p[0]], said[p[1]])[1]) < 1e-12 for p in got)
