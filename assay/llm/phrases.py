@@ -197,7 +197,7 @@ def counts(docs: DataFrame, new: Proposed, old: Proposed | None = None, most: in
     return _read(docs, work, most, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _bounded(sizes: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+def _bounded(sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of items of at most so many bytes, or of one item."""
     ends = np.cumsum(sizes)
     i = 0
