@@ -3,7 +3,8 @@
 Two texts are alike when their sets of character bigrams have a Jaccard index of ``least``. Sets of at most n bigrams that are so differ
 in at most ``d = 2 n (1 - least) / (1 + least)`` of them. Bigrams are dealt to d + 2 parts by a hash, so two parts at least are equal in
 both: texts meet on two parts that they share, and are compared only then. n is the upper end of a class of sizes; a text is dealt
-by its own class and by the next one, where larger texts may be that are alike. No pair is missed; what meets by chance is dropped.
+by its own class and by the next one, where larger texts may be that are alike. No pair is missed; what meets by chance is mostly told by
+sketches of 256 bits, and the rest by the bigrams themselves.
 
 ``matching_blocks`` is the share of two texts that common stretches cover, the longest first. It can be high where bigrams agree less;
 ``alike`` looks for it among pairs whose bigrams reach ``sets_from``. That may be set lower for small tables: sentences of one
@@ -44,7 +45,8 @@ def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(texts)), sizes)
     pair = (joined[:-1] << np.uint64(21)) | joined[1:]
     inside = text[:-1] == text[1:]
-    key = np.unique((text[:-1][inside].astype(np.uint64) << np.uint64(42)) | pair[inside])
+    key = np.sort((text[:-1][inside].astype(np.uint64) << np.uint64(42)) | pair[inside])
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     return (key >> np.uint64(42)).astype(np.int64), key & np.uint64((1 << 42) - 1)
 
 
@@ -54,10 +56,16 @@ def parts(least: float, size_class: np.ndarray) -> np.ndarray:
     return np.where(differ == 0, 1, differ + 2)
 
 
-def _meetings(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sketches(texts: int, text: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Of each text the bits that its bigrams name. Two texts differ in no more bits than in bigrams."""
+    bit = _mixed(gram) >> np.uint64(56)
+    out = np.zeros((texts, 4), dtype=np.uint64)
+    np.bitwise_or.at(out.ravel(), 4 * text + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def _meetings(sizes: np.ndarray, text: np.ndarray, gram: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, meeting, whether the class is the text's own) of every two parts of each text."""
-    text, gram = bigrams(texts)
-    sizes = np.bincount(text, minlength=len(texts))
     own_class = np.floor(np.log(np.maximum(sizes, 1)) / -math.log(least) + 1e-9).astype(np.int64)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))]
     for up in (0, 1):
@@ -68,7 +76,7 @@ def _meetings(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray, n
         at = first[text] + ((salted >> np.uint64(20)) % count[text].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(count.sum()), dtype=np.uint64)
         np.add.at(total, at, _mixed(salted))
-        of = np.repeat(np.arange(len(texts)), count)
+        of = np.repeat(np.arange(len(sizes)), count)
         place = (np.arange(len(of)) - first[of]).astype(np.uint64) | (classes[of].astype(np.uint64) << np.uint64(32))
         part = _mixed(total + _mixed(place))
         for m in np.unique(count[sizes > 0]):
@@ -81,6 +89,9 @@ def _meetings(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
+FIELDS = ("meeting", "own", "size", "s0", "s1", "s2", "s3")
+
+
 class Places:
     """A bitmap over meetings, 2**16 to 2**27 bits by their number: what it lets through by chance the join drops."""
 
@@ -100,7 +111,7 @@ def _held(words: np.ndarray, bits: int, meeting: np.ndarray) -> np.ndarray:
 
 
 def meetings(rows: DataFrame, key: str, text: str, least: float = LEAST, among: Places | None = None) -> DataFrame:
-    """(key, meeting, own): where each text of ``rows`` may meet texts alike; with ``among``, at its places only."""
+    """(key, meeting, own, size, s0 to s3): where each text of ``rows`` may meet texts alike, and its sketch; with ``among``, at its places only."""
     kept = rows.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")))
     shared, bits = among and among.shared, among and among.bits
 
@@ -111,14 +122,19 @@ def meetings(rows: DataFrame, key: str, text: str, least: float = LEAST, among:
             i = 0
             while i < len(texts):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOGETHER, side="right")))
-                of, meeting, own = _meetings(texts[i:j], least)
+                text, gram = bigrams(texts[i:j])
+                sizes = np.bincount(text, minlength=j - i)
+                of, meeting, own = _meetings(sizes, text, gram, least)
                 if shared:
                     keep = _held(shared.value, bits, meeting)
                     of, meeting, own = of[keep], meeting[keep], own[keep]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + i)), pa.array(meeting.view(np.int64)), pa.array(own)], [key, "meeting", "own"])
+                some = np.zeros(j - i, dtype=bool)
+                some[of] = True
+                sketch = _sketches(j - i, text[some[text]], gram[some[text]])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of + i)), pa.array(meeting.view(np.int64)), pa.array(own), pa.array(sizes[of]), *(pa.array(sketch[of, w].view(np.int64)) for w in range(4))], [key, *FIELDS])
                 i = j
 
-    return kept.mapInArrow(deal, f"{key} {dict(kept.dtypes)[key]}, meeting long, own boolean")
+    return kept.mapInArrow(deal, f"{key} {dict(kept.dtypes)[key]}, meeting long, own boolean, size long, s0 long, s1 long, s2 long, s3 long")
 
 
 def met(left: DataFrame, right: DataFrame | None, key: str, text: str, least: float = LEAST) -> DataFrame:
@@ -126,12 +142,14 @@ def met(left: DataFrame, right: DataFrame | None, key: str, text: str, least: fl
 
     ``left`` is the smaller table: its meetings are written, and of ``right`` only those are looked up that it may have.
     """
-    x = saved(meetings(left, key, text, least), "meetings").withColumnsRenamed({key: "a", "own": "own_a"})
-    y = x.withColumnsRenamed({"a": "b", "own_a": "own_b"})
-    if right is not None:
-        y = meetings(right, key, text, least, Places(x)).withColumnsRenamed({key: "b", "own": "own_b"})
-    pairs = x.join(y, "meeting").filter("(own_a or own_b)" + (" and a < b" if right is None else ""))
-    return pairs.select("a", "b").distinct()
+    x = saved(meetings(left, key, text, least), "meetings")
+    y = x if right is None else meetings(right, key, text, least, Places(x))
+    side = lambda rows, name: rows.select(F.col(key).alias(name), "meeting", *[F.col(c).alias(f"{c}_{name}") for c in FIELDS[1:]])
+    pairs = side(x, "a").join(side(y, "b"), "meeting").filter("(own_a or own_b)" + (" and a < b" if right is None else ""))
+    # of sets that are alike this many differ at most, and no more bits of their sketches
+    most = (F.col("size_a") + F.col("size_b")) * ((1 - least) / (1 + least)) + 1e-9
+    differ = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(4)), F.lit(0))
+    return pairs.filter((F.abs(F.col("size_a") - F.col("size_b")) <= most) & (differ <= most)).select("a", "b").distinct()
 
 
 def with_texts(pairs: DataFrame, left: DataFrame, right: DataFrame | None, key: str, text: str) -> DataFrame:
