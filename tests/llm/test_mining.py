@@ -209,3 +209,23 @@ def test_expressions():
     both = merged(trees[0], trees[1], True)
     assert both.shape() == "page(p(#) h2?(#) p?(#) table?(tr(td(#))))"
     assert [s.pages for s in both.slots()] == [2, 1, 1, 1] and both.slots()[0].text is not None and merged(trees[0], trees[2], True).slots()[0].text is None
+
+
+@pytest.mark.parametrize("name", ["op11_phrases", "op12_html", "op13_resampling"])
+def test_no_rows(run, nothing, name):
+    assert run(name, nothing) == []
+
+
+@pytest.mark.parametrize("name", ["op11_phrases", "op12_html", "op13_resampling"])
+def test_sql(spark, run, name):
+    """The queries against their SQL, which is written from the contract."""
+    import duckdb
+
+    from assay.llm.registry import ORACLES
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.sql(ORACLES[name])
+    got = run(name, SF)
+    assert Counter(tuple(r[k] for k in want.columns) for r in got) == Counter(want.fetchall())
