@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +68,8 @@ def mentions(texts: DataFrame, key: str, text: str, patterns: DataFrame, name: s
         shared = texts.sparkSession.sparkContext.broadcast([r[0] for r in wanted.collect()])
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
             automaton = ahocorasick.Automaton()
             for n in shared.value:
                 automaton.add_word(n, len(n))
