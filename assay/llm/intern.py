@@ -127,27 +127,27 @@ class Words:
         self.data[to] = _LOWER[data[to + np.repeat(start - self.start, size)]]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, is_break: np.ndarray | None = None, reach: int = 0) -> Iterator[Words]:
-    """The words of texts (bytes and n + 1 offsets) in parts of bounded size.
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, is_break: np.ndarray | None = None, reach: int = 0, size: int | None = None) -> Iterator[Words]:
+    """The words of texts (bytes and n + 1 offsets) in parts of about ``size`` bytes.
 
     ``is_word`` and ``is_break`` say for each byte value whether it belongs to a word and whether a run of words ends at it.
     """
-    n = len(offsets) - 1
+    n, size = len(offsets) - 1, size or BYTES
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BYTES, side="right")) - 1)
-        for low, high, lead in _cuts(data, int(offsets[i]), int(offsets[j]), is_word):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        for low, high, lead in _cuts(data, int(offsets[i]), int(offsets[j]), is_word, size):
             yield from _part(data, offsets, low, high, lead, int(offsets[j]), is_word, is_break, reach)
         i = j
 
 
-def _cuts(data: np.ndarray, low: int, high: int, is_word: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Ranges of about BYTES that end between words."""
+def _cuts(data: np.ndarray, low: int, high: int, is_word: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of at most about twice ``size`` that end between words."""
     while low < high:
-        end = min(high, low + 2 * BYTES)
+        end = min(high, low + 2 * size)
         while end < high and is_word[data[end]] and is_word[data[end - 1]]:
-            step = np.flatnonzero(~is_word[data[end : end + BYTES]])
-            end = min(high, end + (int(step[0]) if len(step) else BYTES))
+            step = np.flatnonzero(~is_word[data[end : end + size]])
+            end = min(high, end + (int(step[0]) if len(step) else size))
         yield low, end, low
         low = end
 

@@ -36,6 +36,8 @@ MOST, LEAST, INSIDE, TOP = 5, 100, 100, 2_000
 #: one in 40,000 is missed so, however its occurrences lie.
 SHARE, SAMPLE_LEAST = 8, 2
 SALTS = 8
+#: Bytes of texts whose phrases are counted together in a task.
+BYTES = 1 << 21
 #: XXH64 as Spark's ``xxhash64`` seeds it.
 SEED = 42
 _BREAK = np.zeros(256, dtype=bool)
@@ -50,30 +52,23 @@ def _lowest(name: str) -> F.Column:
 
 
 class Proposed:
-    """A bitmap over the prints of phrases: XXH64 of phrase and language, as Spark's ``xxhash64`` gives it."""
-
-    def __init__(self, prints: DataFrame, bits: int | None = None):
-        bits = min(27, max(16, (32 * prints.count()).bit_length())) if bits is None else bits
-        found = prints.groupBy(F.shiftrightunsigned("print", 70 - bits).alias("at")).agg(F.bit_or(_lowest("print")).alias("set"))
-        rows = found.toArrow()  # at most 2**21 rows
-        self.bits, self.words = bits, np.zeros(1 << bits - 6, dtype=np.uint64)
-        self.words[rows["at"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
-        self._spark = prints.sparkSession
-        self.shared = self._spark.sparkContext.broadcast(self.words)
+    """A bitmap over the prints of phrases: XXH64 of phrase and language, as Spark's ``xxhash64`` gives it. ``rows`` (at, set) is its table, in the shared folder."""
+
+    def __init__(self, prints: DataFrame, before: Proposed | None = None):
+        self.bits = before.bits if before else min(27, max(16, (32 * prints.count()).bit_length()))
+        own = prints.select(F.shiftrightunsigned("print", 70 - self.bits).alias("at"), _lowest("print").alias("set"))
+        own = own.unionByName(before.rows) if before else own
+        self.rows = saved(own.groupBy("at").agg(F.bit_or("set").alias("set")), "bitmap")
+        words = np.zeros(1 << self.bits - 6, dtype=np.uint64)
+        rows = self.rows.toArrow()  # at most 2**21 rows
+        words[rows["at"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
+        self.shared = prints.sparkSession.sparkContext.broadcast(words)
 
     def lacking(self, prints: DataFrame) -> DataFrame:
         """Those of ``prints`` that the filter does not hold."""
-        at = np.flatnonzero(self.words)
-        held = self._spark.createDataFrame(pa.table({"at": at, "set": self.words[at].view(np.int64)}))
-        there = prints.withColumn("at", F.shiftrightunsigned("print", 70 - self.bits)).join(held, "at", "left")
+        there = prints.withColumn("at", F.shiftrightunsigned("print", 70 - self.bits)).join(self.rows, "at", "left")
         return there.filter(F.coalesce("set", F.lit(0)).bitwiseAND(_lowest("print")) == 0).select("print")
 
-    def add(self, prints: DataFrame) -> Proposed:
-        more = Proposed(prints, self.bits)
-        more.words |= self.words
-        more.shared = self._spark.sparkContext.broadcast(more.words)
-        return more
-
 
 def _holds(filter_: np.ndarray, prints: np.ndarray) -> np.ndarray:
     at = prints >> np.uint64(64 - (len(filter_).bit_length() - 1))
@@ -163,7 +158,7 @@ def _read(docs: DataFrame, work, most: int, schema: str) -> DataFrame:
         for b in batches:
             names = b.column(1).dictionary_encode()
             seeds = np.array([xxhash.xxh64_intdigest(x.encode(), SEED) for x in names.dictionary.to_pylist()], dtype=np.uint64)
-            for part in words(*raw_texts(b.column(2)), _WORD, _BREAK, reach=most - 1):
+            for part in words(*raw_texts(b.column(2)), _WORD, _BREAK, reach=most - 1, size=BYTES):
                 yield from work(part, names.indices.to_numpy().astype(np.int64), seeds, names.dictionary, b.column(0).to_numpy().view(np.uint64))
 
     return map_texts(rows, read, schema)
@@ -223,7 +218,7 @@ def frequent(docs: DataFrame, most: int = MOST, least: int = LEAST, share: int =
         failures = saved(now.lacking(parts.select(F.xxhash64("lang", "phrase").alias("print"))), "failures")
         if failures.isEmpty():
             break
-        now, before = now.add(failures), now
+        now, before = Proposed(failures, now), now
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)

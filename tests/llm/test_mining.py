@@ -50,13 +50,12 @@ def test_phrases_in_parts(spark, monkeypatch):
     """Texts cut into small parts give the same counts."""
     from assay.llm import intern, phrases
 
-    monkeypatch.setattr(intern, "BYTES", 64)
     monkeypatch.setattr(intern, "WORDS", 7)
     data = "One two, one two three four five six seven. é two one".encode() * 9
     raw, offsets = np.frombuffer(data, np.uint8), np.array([0, 0, 60, len(data)])
     found = Counter()
     full = np.full(1 << 10, ~np.uint64(0))
-    for part in intern.words(raw, offsets, phrases._WORD, phrases._BREAK, reach=4):
+    for part in intern.words(raw, offsets, phrases._WORD, phrases._BREAK, reach=4, size=64):
         for _, start, end, n in phrases._border(part, np.zeros(3, np.int64), np.zeros(1, np.uint64), 5, full, None):
             for a, b, c in zip(start, end, n, strict=True):
                 found[part.data[a:b].tobytes().decode()] += int(c)
