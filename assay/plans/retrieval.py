@@ -35,7 +35,7 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    index = r.idf(r.postings(docs, "doc_id", F.col("text")), r.lengths(docs, "doc_id", F.col("text")))
+    index = r.idf(r.frequencies(docs, F.col("text")), docs)
     return index.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import idf, lengths, postings
+from ..operators.retrieval import asked_terms, check_k, idf, lengths, postings, scored
+from ..scratch import saved
 
 TABLES = ("postings", "lengths", "terms")
 
 
 def save(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> None:
     """Postings are laid out by term, so a search reads the row groups of its terms only."""
-    entries, dl = postings(docs, id_col, F.col(text)), lengths(docs, id_col, F.col(text))
-    entries.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    entries, dl = saved(postings(docs, id_col, F.col(text)), "postings"), lengths(docs, id_col, F.col(text))
+    entries.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     dl.write.mode("overwrite").parquet(f"{path}/lengths")
     spark = docs.sparkSession
-    idf(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/terms")
+    counts = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    idf(counts, spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -25,13 +27,9 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def search(index: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
     """BM25 over a saved index, as over the documents themselves."""
-    from ..functions.text import tokens
-    from ..operators.retrieval import B, DIGITS, K1, check_k, top
-
     check_k(k)
-    terms = queries.filter(F.trim("query") != "").select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    average = index["lengths"].agg(F.avg("dl").alias("avgdl"))
-    hits = index["postings"].join(terms.join(index["terms"], "term"), "term").join(index["lengths"], "doc_id").crossJoin(F.broadcast(average))  # one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
-    return top(scores, "query_id", "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
+    asked = asked_terms(queries).join(index["terms"], "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    average = index["lengths"].agg(F.avg("dl")).first()[0] or 1.0
+    wanted = index["postings"].join(asked.select("term").distinct(), "term", "left_semi")
+    rows = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("found")).join(index["lengths"], "doc_id")  # the query's terms of a document
+    return scored(rows.select("doc_id", "dl", F.col("found.term").alias("terms"), F.col("found.tf").alias("tfs")), asked, average, k)

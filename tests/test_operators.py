@@ -434,3 +434,19 @@ def test_audit_filter_loses_nothing(spark):
     docs = spark.createDataFrame([(7, "xx" + "abcdefghijklmnopq" + "yy"), (8, "z" * 60), (9, "0123456789"), (10, None), (11, "")], "doc_id long, body string")
     assert {(r["item_id"], r["doc_id"], r["at"]) for r in audit.exact(items, docs).collect()} == {(1, 7, 2), (2, 9, 1)}
     assert {(r["item_id"], r["doc_id"]) for r in audit.near(items, docs).collect()} == {(1, 7)}
+
+
+def test_bm25_shuffles_no_scores(spark):
+    """Documents meet queries in the task: no join or shuffle makes a row for each of them, nor for each posting; ties and copies keep the smaller ids, in parts of a query set too."""
+    docs = spark.createDataFrame([(i, "red fox" if i % 2 else f"red fox w{i}") for i in range(500)] + [(900 + i, None) for i in range(3)], "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(q, f"fox w{2 * q}" if q else "red fox") for q in range(40)], "query_id long, query string")
+    whole = sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect()))
+    assert [r[2] for r in whole if r[0] == 7] == [14, 1, 3]
+    cells, retrieval.CELLS = retrieval.CELLS, 64
+    try:
+        assert sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect())) == whole
+    finally:
+        retrieval.CELLS = cells
+    entries = retrieval.postings(docs, "doc_id", F.col("text"))
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString().replace("RoundRobin", "").split("MapInArrow")[0]
+    assert entries.filter("doc_id = 14").count() == 3
