@@ -3,7 +3,8 @@
 ``extract`` turns texts into atomic claims. ``detect`` is a blocked self-join: rule conflicts
 need a common entity, so claims meet on the entities they name (lower case), each pair once.
 Rules are tried in order and the first that holds names the edge, as one expression of the plan. What
-rules compare is read once a claim, before claims meet (``slots``).
+rules compare is read once a class of claims alike in all that rules read, before classes meet (``slots``); the edge of
+two classes is that of their members, whatever their number.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entities, jaccard, ngrams, sentences, years
+from ..scratch import saved
 from .similarity import LEAST, alike, sets_alike
 from .slots import DATED, RATIO, SEVERE, VALUE_ATTRIBUTES, differs, number_tokens, numeric_ratio, profiled, same_qualifiers, same_slot, same_time
 
@@ -234,14 +236,17 @@ def _opposed(x: Column, y: Column, pairs_: tuple[tuple[str, str], ...]) -> Colum
     return reduce(lambda a, b: a | b, [(F.contains(x, F.lit(p)) & F.contains(y, F.lit(n))) | (F.contains(x, F.lit(n)) & F.contains(y, F.lit(p))) for p, n in pairs_])
 
 
-def rules(optional: tuple[str, ...] = (), x: str = "x", y: str = "y") -> Column:
-    """struct(conflict_type, confidence, severity) of the first rule that holds for a pair of profiled claims that share an entity, or null."""
+def rules(optional: tuple[str, ...] = (), x: str = "x", y: str = "y", together: Column | None = None) -> Column:
+    """struct(conflict_type, confidence, severity) of the first rule that holds for a pair of profiled claims that share an entity, or null.
+
+    ``together``: whether they are of one evidence, told by their ``evidence_id`` if not given.
+    """
     cx, cy = F.col(f"{x}.low"), F.col(f"{y}.low")
     similarity = F.col("similarity")
     extra = {name: OPTIONAL[name](x, y) if name in optional else F.lit(None) for name in OPTIONAL}
     slot = lambda least, timed=True: same_slot(similarity, least, x, y, timed)
     ratio = F.when(slot(0.0), numeric_ratio(x, y))
-    together = F.col(f"{x}.evidence_id") == F.col(f"{y}.evidence_id")
+    together = F.col(f"{x}.evidence_id") == F.col(f"{y}.evidence_id") if together is None else together
     contrast = together & F.col(f"{x}.compares") & same_time(x, y) & same_qualifiers(x, y) & differs(x, y)
     values = F.arrays_overlap(F.array_intersect(f"{x}.attributes", f"{y}.attributes"), F.array(*map(F.lit, VALUE_ATTRIBUTES)))
     apart = (F.size(F.array_except(f"{x}.entities", f"{y}.entities")) > 0) & (F.size(F.array_except(f"{y}.entities", f"{x}.entities")) > 0)
@@ -286,10 +291,15 @@ def explicit(x: str = "x", y: str = "y") -> Column:
     return told | (F.col(f"{x}.sets_apart") & (F.arrays_overlap(f"{x}.attributes", f"{y}.attributes") | numbers | scope))
 
 
-def prepared(claims: DataFrame) -> DataFrame:
-    """Profiles of claims; what a text says of its own claims is false where it is not known."""
+def _known(claims: DataFrame) -> DataFrame:
+    """What a text says of its own claims is false where it is not known."""
     known = {"span": F.lit("sentence"), **{c: F.lit(False) for c in ("sets_apart", "compares", "corrected")}}
-    claims = claims.withColumns({c: v for c, v in {**known, "times": F.array().cast("array<string>")}.items() if c not in claims.columns})
+    return claims.withColumns({c: v for c, v in {**known, "times": F.array().cast("array<string>")}.items() if c not in claims.columns})
+
+
+def prepared(claims: DataFrame) -> DataFrame:
+    """Profiles of claims."""
+    claims = _known(claims)
     keys = F.array_sort(F.array_distinct(F.transform("entities", F.lower)))
     return profiled(claims).withColumns({"grams": ngrams(F.col("low"), 2), "keys": keys})
 
@@ -317,9 +327,88 @@ def _edges(met: DataFrame, optional: tuple[str, ...]) -> DataFrame:
     return edges.filter("edge is not null").select("source_id", "target_id", "edge.*")
 
 
+#: All that rules read of a claim, but for its ids.
+READ = ("claim", "entities", "numbers", "times", "span", "sets_apart", "compares", "corrected", "source_rank")
+
+
+def classed(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of claims that no rule can tell apart (c, READ, n members and their first and last id), and members (claim_id, evidence_id, c)."""
+    rows = _known(claims).filter("claim_id is not null and evidence_id is not null")
+    read = [c for c in READ if c in rows.columns]
+    rows = rows.select("claim_id", "evidence_id", *read, F.sha2(F.to_json(F.struct(*read)), 256).alias("digest"))
+    own = [F.min("claim_id").alias("first"), F.max("claim_id").alias("last"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in read]]
+    classes = saved(rows.groupBy("digest").agg(*own).withColumn("c", F.monotonically_increasing_id()), "classes")
+    return classes, saved(rows.select("claim_id", "evidence_id", "digest").join(classes.select("digest", "c"), "digest").drop("digest"), "members")
+
+
+def class_edges(classes: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """(c, d, edge): the edge of a member of class c and one of class d with a larger id and other evidence, for all classes that have such members by their ids."""
+    rows = prepared(classes).filter("not corrected")
+    side = lambda x: rows.select(F.explode("keys").alias("entity"), F.struct(*rows.columns).alias(x))
+    met = side("x").join(side("y"), "entity").filter("x.first < y.last")
+    met = met.filter(F.col("entity") == F.array_min(F.array_intersect("x.keys", "y.keys")))
+    scored = met.withColumn("similarity", jaccard(F.col("x.grams"), F.col("y.grams")))
+    return scored.select(F.col("x.c").alias("c"), F.col("y.c").alias("d"), rules(optional, together=F.lit(False)).alias("edge")).filter("edge is not null")
+
+
+def _expanded(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``edges`` (c, d, ...) of classes as those of their members, the smaller id first."""
+    a, b = members.select("c", F.col("claim_id").alias("source_id"), F.col("evidence_id").alias("e")), members.select(F.col("c").alias("d"), F.col("claim_id").alias("target_id"), F.col("evidence_id").alias("f"))
+    return edges.join(a, "c").join(b, "d").filter("source_id < target_id and e <> f").drop("c", "d", "e", "f")
+
+
+def _single(claims: DataFrame, optional: tuple[str, ...]) -> DataFrame:
+    """Edges between claims of one evidence, where it sets them against each other, and of claims that refute themselves."""
+    several = claims.groupBy("evidence_id").agg(F.count("*").alias("__n")).filter("__n > 1 and evidence_id is not null").select("evidence_id")
+    if several.isEmpty():  # spares a plan as large as that of all rules
+        return self_refuting(claims)
+    rows = prepared(claims.join(several, "evidence_id", "left_semi"))
+    side = lambda x: rows.select("evidence_id", F.explode("keys").alias("entity"), F.struct(*rows.columns).alias(x))
+    met = side("x").join(side("y"), ["evidence_id", "entity"]).filter("x.claim_id < y.claim_id")
+    met = met.filter(F.col("entity") == F.array_min(F.array_intersect("x.keys", "y.keys"))).filter(explicit())
+    return _edges(met, optional).unionByName(self_refuting(claims))
+
+
 def detect(claims: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
-    """(source_id, target_id, conflict_type, confidence, severity) of all rule edges between claims, and of claims that refute themselves."""
-    return _edges(pairs(prepared(claims)), optional).unionByName(self_refuting(claims))
+    """(source_id, target_id, conflict_type, confidence, severity) of all rule edges between claims, and of claims that refute themselves.
+
+    Rules look at pairs of classes; only their edges are made those of members, by two joins of ids.
+    """
+    classes, members = classed(claims)
+    apart = _expanded(class_edges(classes, optional).select("c", "d", "edge.*"), members)
+    return apart.unionByName(_single(claims, optional))
+
+
+def summed(claims: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """(conflict_type, severity, n, confidence): how many edges ``detect`` finds and their mean confidence, without making those of members.
+
+    Two classes have as many edges as pairs of members, less those of one evidence. Only where an edge depends on which of
+    two claims has the smaller id, or ids are not unique, are members looked at.
+    """
+    classes, members = classed(claims)
+    edges = saved(class_edges(classes, optional), "edges")
+    sizes = classes.select("c", "first", "last", "n")
+    low, high = F.least("c", "d").alias("p"), F.greatest("c", "d").alias("q")
+    both = edges.groupBy(low, high).agg(F.count("*").alias("ways"), F.count_distinct("edge").alias("kinds"), F.min("c").alias("c"), F.min("edge").alias("edge"))
+    one, two = (sizes.select(*[F.col(c).alias(f"{s}_{c}") for c in sizes.columns]) for s in "pq")
+    both = both.join(one, F.col("p") == F.col("p_c")).join(two, F.col("q") == F.col("q_c"))
+    ordered = (F.col("p_last") < F.col("q_first")) | (F.col("q_last") < F.col("p_first"))
+    twice = members.groupBy("claim_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    whole = ((F.col("p") == F.col("q")) | ordered | ((F.col("ways") == 2) & (F.col("kinds") == 1))) & F.lit(twice)
+    both = saved(both.withColumn("whole", whole), "pairs")
+    every = both.filter("whole").select("p", "q", "edge", F.when(F.col("p") == F.col("q"), F.expr("p_n * (p_n - 1) div 2")).otherwise(F.col("p_n") * F.col("q_n")).alias("n"))
+    by = members.groupBy("c", "evidence_id").agg(F.count("*").alias("m"))
+    side = lambda x, m: by.select(F.col("c").alias(x), "evidence_id", F.col("m").alias(m))
+    shared = by.groupBy("evidence_id").agg(F.sum("m").alias("of")).filter("of > 1").select("evidence_id")
+    inside = every.join(side("p", "pm").join(shared, "evidence_id", "left_semi"), "p").join(side("q", "qm"), ["q", "evidence_id"])
+    inside = inside.select("edge", (-F.when(F.col("p") == F.col("q"), F.expr("pm * (pm - 1) div 2")).otherwise(F.col("pm") * F.col("qm"))).alias("n"))
+    split = both.filter("not whole").select("p", "q")
+    rest = _expanded(edges.join(split, (F.least("c", "d") == F.col("p")) & (F.greatest("c", "d") == F.col("q")), "left_semi"), members).select("edge")
+    loose = _single(claims, optional).select(F.struct("conflict_type", "confidence", "severity").alias("edge")).unionByName(rest)
+    rows = every.select("edge", "n").unionByName(inside).unionByName(loose.select("edge", F.lit(1).cast("long").alias("n")))
+    counts = rows.groupBy("edge").agg(F.sum("n").alias("n")).filter("n > 0").select("edge.*", "n")
+    mean = F.sum(F.col("confidence") * F.col("n")) / F.sum("n")
+    return counts.groupBy("conflict_type", "severity").agg(F.sum("n").alias("n"), mean.alias("confidence"))
 
 
 def support_apart(claims: DataFrame, least: float = LEAST, blocks: bool = True) -> DataFrame:

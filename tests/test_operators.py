@@ -248,6 +248,22 @@ def test_grown_graph_is_the_whole_graph(spark):
     assert sorted(map(str, grown.collect())) == sorted(map(str, whole.collect()))
 
 
+def test_copies_of_claims_meet_as_one(spark):
+    """Edges of claims with many copies are those of all pairs, and rules look at pairs of distinct claims only; the sums need no pairs."""
+    said = ["Acme sold 1200 cars in total.", "Acme sold 1500 cars in total.", "Acme was first before Zeta.", "Acme was last after Zeta.", "Zeta is red, Zeta is not blue, vs Acme."]
+    rows = [(f"e{i * 7 % 40 // 2:02d}", said[i % 5] if i % 11 else f"{said[i % 5]} {said[(i + 1) % 5]}") for i in range(40)]
+    every = conflict.extract(spark.createDataFrame(rows, "evidence string, body string"), "evidence", "body")
+    every = every.withColumn("claim_id", F.concat("claim_id", F.lit("/"), F.monotonically_increasing_id())).localCheckpoint()
+    want = conflict._edges(conflict.pairs(conflict.prepared(every)), ()).unionByName(conflict.self_refuting(every))
+    key = lambda df: sorted((r["source_id"], r["target_id"], r["conflict_type"], round(r["confidence"], 9), r["severity"]) for r in df.collect())
+    assert key(conflict.detect(every)) == key(want) and want.count() > 100
+    sums = want.groupBy("conflict_type", "severity").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("c"))
+    got = conflict.summed(every).select("conflict_type", "severity", "n", F.round("confidence", 9).alias("c"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sums.collect()))
+    classes, members = conflict.classed(every)
+    assert classes.count() < members.count() / 3
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 30)], "a long, b long")
     assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == {2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 21: 20}
