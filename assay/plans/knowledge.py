@@ -143,7 +143,7 @@ def time_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conflict_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return conflict.detect(_part_claims(spark, sf)).groupBy("conflict_type", "severity").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return conflict.summed(_part_claims(spark, sf)).select("conflict_type", "severity", "n", F.round("confidence", 6).alias("confidence"))
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
