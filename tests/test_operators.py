@@ -109,6 +109,19 @@ def test_bootstrap_is_repeatable(spark):
     assert first == again and 0 < first["lower"] < first["upper"] < 1
 
 
+def test_draws_are_made_in_many_tasks(spark):
+    """No task makes or numbers the draws of a stratum alone; numbers are those of one sort."""
+    rows = spark.range(4_000).select((F.col("id") * 7919 % 4001).alias("k"), F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 3 == 0, "b").otherwise("a").alias("kind"))
+    units = stats.numbered(rows, F.col("kind"), "k").localCheckpoint()
+    got = {}
+    for r in units.collect():
+        got.setdefault(r["kind"], []).append((r["k"], r["i"], r["n"]))
+    for own in got.values():
+        assert [i for _, i, _ in sorted(own)] == list(range(1, len(own) + 1)) and {n for _, _, n in own} == {len(own)}
+    tasks = stats.draws(units.coalesce(1), 50).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 4_000 * 50 / 4
+
+
 def test_platt_moves_towards_the_truth(spark):
     rows = results(spark, [(i, 0.9, i % 2 == 0) for i in range(100)])
     a, b = stats.platt(rows)
