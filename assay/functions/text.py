@@ -39,9 +39,9 @@ def alnum(text: Column) -> Column:
 def ngrams(text: Column, n: int) -> Column:
     """Distinct n-character substrings; a shorter text is one gram, an empty one has none.
 
-    A look-ahead matches at every position without cutting the string from its start each time.
+    A look-ahead matches at every position without cutting the string from its start each time; the full stop takes a pair of surrogates as one.
     """
-    every = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    every = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
     return F.when(F.length(text) >= n, every).when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
 
 

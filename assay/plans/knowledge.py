@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import numbers, squeezed, years
+from ..functions.text import alnum, numbers, squeezed, years
 from ..operators import audit as a
 from ..operators import chunking, conflict, evidence, graph, slots
 
@@ -179,28 +179,28 @@ def newest_claim(spark: SparkSession, sf: str) -> DataFrame:
 # audit and graphs
 
 
-def _bodies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return a.normalised(_table(spark, sf, "benchmark"), "item_id"), a.normalised(_table(spark, sf, "documents"), "doc_id")
+def overlap(spark: SparkSession, sf: str) -> a.Overlap:
+    return a.Overlap(a.normalised(_table(spark, sf, "benchmark"), "item_id"), _table(spark, sf, "documents").select("doc_id", "text"), body=alnum(F.col("text")))
 
 
 def audit_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return a.exact(*_bodies(spark, sf))
+    return overlap(spark, sf).exact()
 
 
 def audit_near(spark: SparkSession, sf: str) -> DataFrame:
-    return a.near(*_bodies(spark, sf)).select("item_id", "doc_id", "shared", "score")
+    return overlap(spark, sf).near().select("item_id", "doc_id", "shared", "score")
 
 
 def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty worst findings of both kinds."""
-    items, docs = _bodies(spark, sf)
-    both = a.exact(items, docs).select(F.lit("exact").alias("kind"), "item_id", "doc_id", F.lit(1.0).alias("score"))
-    both = both.unionByName(a.near(items, docs).select(F.lit("near").alias("kind"), "item_id", "doc_id", "score"))
+    found = overlap(spark, sf)
+    both = found.exact().select(F.lit("exact").alias("kind"), "item_id", "doc_id", F.lit(1.0).alias("score"))
+    both = both.unionByName(found.near().select(F.lit("near").alias("kind"), "item_id", "doc_id", "score"))
     return both.orderBy(F.desc("score"), "kind", "item_id", "doc_id").limit(20)
 
 
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
-    near = a.near(*_bodies(spark, sf))
+    near = overlap(spark, sf).near()
     return near.groupBy((F.col("score") >= 0.99).alias("high")).agg(F.count("*").alias("pairs"), F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import names
 from ..operators import anchors, audit, similarity
 from ..scratch import saved
-from .knowledge import _NEAR
+from .knowledge import _NEAR, overlap
 
 ENDS = r"[.!?\n]+"
 LEAST_CHARS = 10
@@ -44,7 +44,7 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
 def near_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     """For each near finding, where in the document most of the item's grams lie, and the text there."""
     items, docs = audit.normalised(_table(spark, sf, "benchmark"), "item_id"), _table(spark, sf, "documents").select("doc_id", "text")
-    pairs = saved(audit.near(items, audit.normalised(docs, "doc_id")).select("item_id", "doc_id"), "near")
+    pairs = saved(overlap(spark, sf).near().select("item_id", "doc_id"), "near")
     return audit.near_excerpts(pairs, items, docs)
 
 

@@ -479,3 +479,31 @@ def test_bm25_shuffles_no_scores(spark):
     entries = retrieval.postings(docs, "doc_id", F.col("text"))
     assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString().replace("RoundRobin", "").split("MapInArrow")[0]
     assert entries.filter("doc_id = 14").count() == 3
+
+
+def test_audit_reads_references_once(spark):
+    """Exact and near findings come from one pass over the references; short texts, other scripts and doubled ids count as before."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    body = "".join(chr(97 + i * i % 23) for i in range(60))
+    texts = [(1, "x" * 30 + body), (2, body[:58]), (2, body[3:]), (3, "abcdefgh"), (4, "zzabcdefghijz"), (5, "数据" * 9 + "𝒳" * 20), (6, None), (7, ""), (8, body[30:] + body[:30])]
+    refs = spark.createDataFrame(texts, "doc_id long, body string").coalesce(1).mapInArrow(counted, "doc_id long, body string")
+    items = spark.createDataFrame([(1, body), (2, "abcdefgh"), (3, "据数据数据数据数据数据数𝒳"[:11] + "数据"), (4, "𝒳" * 15), (5, "abc")], "item_id long, body string")
+    found = audit.Overlap(items, refs)
+    assert reads.value == len(texts)
+    near = {(r["item_id"], r["doc_id"]): (r["shared"], r["score"]) for r in found.near().collect()}
+    grams = lambda s: {s[i : i + 13] for i in range(len(s) - 12)} if len(s) >= 13 else {s} - {""}
+    want = {}
+    for i in items.collect():
+        for d in {d for d, _ in texts}:
+            shared = sum(len(grams(i["body"]) & grams(t)) for e, t in texts if e == d and t)
+            if round(shared / len(grams(i["body"])), 6) >= 0.85:
+                want[i["item_id"], d] = (shared, round(shared / len(grams(i["body"])), 6))
+    assert near == want and (1, 1) in want and (2, 3) in want
+    exact = sorted((r["item_id"], r["doc_id"], r["at"]) for r in found.exact().collect())
+    assert exact == sorted((i["item_id"], d, t.find(i["body"])) for i in items.collect() if len(i["body"]) >= 8 for d, t in texts if t and i["body"] in t)
