@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,20 +85,34 @@ def claim_slots(scored: DataFrame, group: str, key: str, conflict: str, most: in
     return scored.withColumn("__r", F.row_number().over(order)).filter((F.col("__r") <= most) | F.col(conflict)).drop("__r")
 
 
+#: Share of pairs just at the wanted cosine that meet in a band, and the fewest bits of a band.
+MEET, LEAST_BITS, MOST_BITS = 0.994, 12, 40
+
+
+def banding(rows: int, least: float) -> tuple[int, int]:
+    """(bands, bits a band) for this many vectors: bits grow with their logarithm, so that a vector meets about one other by chance in a band, and bands to the number that MEET takes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, rows)))))
+    agree = (1 - math.acos(least) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - MEET) / math.log1p(-agree))) if agree < 1 else 1, bits
+
+
 def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(a, b) with a cosine of at least ``least``: vectors that are close on every sign-hyperplane of one of several bands.
 
     Bands are a blocking key; every pair they propose is verified.
     """
+    count, size = banding(vectors.count(), least)
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for n, own in part.groupby(part["v"].map(len)):
-                x = np.array(own["v"].tolist(), dtype=np.float64)
-                planes = np.random.default_rng(n).standard_normal((n, 24 * 12))
-                bits = (x @ planes > 0).reshape(len(x), 24, 12)
-                codes = bits @ (1 << np.arange(12))
-                yield pd.DataFrame({"id": np.repeat(own["id"].to_numpy(), 24), "band": np.tile(np.arange(24), len(x)), "code": codes.ravel()})
+            for n, every in part.groupby(part["v"].map(len)):
+                planes = np.random.default_rng(n).standard_normal((n, count * size))
+                for low in range(0, len(every), 1000):
+                    own = every.iloc[low : low + 1000]
+                    x = np.array(own["v"].tolist(), dtype=np.float64)
+                    bits = (x @ planes > 0).reshape(len(x), count, size)
+                    codes = bits @ (1 << np.arange(size))
+                    yield pd.DataFrame({"id": np.repeat(own["id"].to_numpy(), count), "band": np.tile(np.arange(count), len(x)), "code": codes.ravel()})
 
     keyed = vectors.select("id", "v").mapInPandas(bands, "id long, band int, code long")
     a, b = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")

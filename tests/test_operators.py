@@ -3,6 +3,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -507,3 +508,16 @@ def test_audit_reads_references_once(spark):
     assert near == want and (1, 1) in want and (2, 3) in want
     exact = sorted((r["item_id"], r["doc_id"], r["at"]) for r in found.exact().collect())
     assert exact == sorted((i["item_id"], d, t.find(i["body"])) for i in items.collect() if len(i["body"]) >= 8 for d, t in texts if t and i["body"] in t)
+
+
+def test_bands_grow_with_the_rows(spark):
+    """Meetings by chance stay in proportion to the rows, and pairs at the threshold are still found."""
+    by_chance = [n * n / 2 * bands / 2**bits / n for n in (10_000, 600_000) for bands, bits in [evidence.banding(n, 0.92)]]
+    assert by_chance[1] < 4 * by_chance[0] < 200 and evidence.banding(200, 0.92) == (24, 12)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((5_000, 64))
+    x[2_500:] = x[:2_500] + 0.40 * rng.standard_normal((2_500, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    real = {(i, i + 2_500) for i in range(2_500) if unit[i] @ unit[i + 2_500] >= 0.92}
+    found = {(r["a"], r["b"]) for r in evidence.cosine_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), 0.92).collect()}
+    assert found <= real and len(found) >= 0.99 * len(real) > 1_000
