@@ -55,24 +55,36 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
 
 
+def where_any(text: Column, marked: Column, found: Column) -> Column:
+    """The array ``found`` where ``marked``, a quick test that holds wherever it has members; else an empty one, or null for null."""
+    return F.when(marked, found).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def years(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"), F.lit(0))
+    return where_any(text, text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"), F.lit(0)))
 
 
 def entities(text: Column) -> Column:
     """Capitalised words and runs of them, and acronyms, in order of first appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Za-z0-9#]+(?: [A-Z][A-Za-z0-9#]+)*"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=[A-Z])\b[A-Z][A-Za-z0-9#]+(?: [A-Z][A-Za-z0-9#]+)*"), F.lit(0)))
 
 
 def stripped(text: Column) -> Column:
-    """Without white space of any kind at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of any kind at its ends.
+
+    The pattern tries every blank, trimming only the ends; they differ where a line end of another kind comes last, as ``$`` holds before it.
+    """
+    other = text.endswith("\u0085") | text.endswith("\u2028") | text.endswith("\u2029")
+    return F.when(other, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
 
 
 def sentences(text: Column, least: int = 10) -> Column:
-    """Sentences of at least ``least`` characters. A full stop between digits ends none."""
-    parts = F.split(text, r"(?<=[.!?。！？])(?![0-9])\s*|\n+")
-    return F.filter(F.transform(parts, stripped), lambda s: F.length(s) >= least)
+    """Sentences of at least ``least`` characters, which is one or more. A full stop between digits ends none.
+
+    A line end is set after each and the text split there: one character is split at without a pattern, and a pattern that looks behind tries every place.
+    """
+    lines = F.regexp_replace(text, "[.!?。！？](?![0-9])", "$0\n")
+    return F.filter(F.transform(F.split(lines, "\n"), stripped), lambda s: F.length(s) >= least)
 
 
 def citations(text: Column) -> Column:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import entities, jaccard, ngrams, sentences, years
+from ..functions.text import entities, jaccard, ngrams, sentences, where_any, years
 from ..scratch import saved
 from .similarity import LEAST, alike, sets_alike
 from .slots import DATED, RATIO, SEVERE, VALUE_ATTRIBUTES, differs, number_tokens, numeric_ratio, profiled, same_qualifiers, same_slot, same_time
@@ -61,15 +61,17 @@ SUPPORT_SHARED = 0.6
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """Whether ``text`` has one of ``words``; one that holds another of them need not be looked for."""
+    least = [w for w in words if not any(o in w for o in words if o != w)]
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in least])
 
 
 def times(text: Column) -> Column:
-    """Years, month names and relative expressions, in that order."""
+    """Years, month names and relative expressions, in that order. Words are looked for before patterns that name them, which try each at every place."""
     return F.concat(
         years(text),
-        F.regexp_extract_all(text, F.lit(rf"\b({MONTHS})\b"), F.lit(1)),
-        F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({RELATIVE})\b"), F.lit(1)), F.lower),
+        where_any(text, any_of(text, MONTHS.split("|")), F.regexp_extract_all(text, F.lit(rf"\b({MONTHS})\b"), F.lit(1))),
+        where_any(text, any_of(F.lower(text), RELATIVE.split("|")), F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({RELATIVE})\b"), F.lit(1)), F.lower)),
     )
 
 
@@ -77,7 +79,7 @@ def claim_type(text: Column) -> Column:
     low = F.lower(text)
     return (
         F.when(text.rlike("[0-9]") & any_of(low, NUMERICAL), "numerical")
-        .when((F.size(times(text)) > 0) & any_of(low, TEMPORAL), "temporal")
+        .when(any_of(low, TEMPORAL) & (F.size(times(text)) > 0), "temporal")
         .when(any_of(low, CAUSAL), "causal")
         .when(any_of(low, DEFINITIONAL), "definitional")
         .when(any_of(low, UNCERTAIN), "uncertainty")
@@ -102,7 +104,7 @@ def _stripped(text: Column) -> Column:
 def reported(sentence: Column) -> Column:
     """What a sentence only reports, up to where it turns; null without it."""
     found = _stripped(F.regexp_extract(sentence, f"(?:{'|'.join(REPORTING)})(.+?)(?:，|,|这是|这也是|但|不过|然而|——|$)", 1))
-    return F.when(F.length(found) >= 6, found)
+    return F.when(any_of(sentence, REPORTING) & (F.length(found) >= 6), found)
 
 
 def corrected(sentence: Column) -> Column:
@@ -118,7 +120,7 @@ def compared(sentence: Column) -> Column:
     left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
     number = "(?<![A-Za-z])[0-9]"
     both = (F.length(left) >= 8) & (F.length(right) >= 6) & left.rlike(number) & right.rlike(number) & any_of(sentence, ESTIMATES)
-    return F.when(sentence.rlike(LESS_OR_MORE) & both, F.array(left, right)).otherwise(F.array().cast("array<string>"))
+    return F.when(any_of(sentence, LESS_OR_MORE.split("|")) & both, F.array(left, right)).otherwise(F.array().cast("array<string>"))
 
 
 def resolved(text: Column, names: Column) -> Column:
@@ -131,21 +133,23 @@ def resolved(text: Column, names: Column) -> Column:
 def extract(texts: DataFrame, key: str, text: str) -> DataFrame:
     """One row per sentence of ten characters or more, and per claim that a sentence reports, corrects or compares; ids from their place.
 
-    A sentence that speaks of "the company" or "the study" has the entities of its whole text as well, and so have the claims within it.
+    A sentence that speaks of "the company" or "the study" has the entities of its whole text as well, and so have the claims within it; no other
+    sentence carries them. Sentences are split in the generator itself: Spark filters on the size of a generator's column, which splits twice.
     """
     body = F.col(text)
     of_text = texts.select(
         key,
-        sentences(body).alias("sentences"),
-        entities(body).alias("of_text"),
+        body.alias("whole"),
+        F.when(any_of(body, INHERITS), entities(body)).alias("of_text"),
         any_of(body, SETS_APART).alias("sets_apart"),
         any_of(body, COMPARES).alias("compares"),
         (reported(body).isNotNull() & any_of(body, (*CORRECTED, *CORRECTING))).alias("corrects"),
     )
-    parts = of_text.select("*", F.posexplode("sentences").alias("place", "sentence")).drop("sentences")
+    lent = lambda s: F.when(F.col("of_text").isNotNull() & any_of(s, INHERITS), F.col("of_text"))
+    split = F.transform(sentences(F.col("whole")), lambda s: F.struct(s.alias("sentence"), lent(s).alias("lent")))
+    parts = of_text.select("*", F.posexplode(split).alias("place", "part")).select("*", "part.*").drop("whole", "of_text", "part")
     s = F.col("sentence")
-    own = F.array_distinct(F.concat(entities(s), F.when(any_of(s, INHERITS), F.col("of_text")).otherwise(F.array().cast("array<string>"))))
-    parts = parts.withColumn("names", own)
+    parts = parts.withColumn("names", F.array_distinct(F.concat(entities(s), F.coalesce("lent", F.array().cast("array<string>"))))).drop("lent")
     span = lambda claim, name: F.struct(claim.alias("claim"), F.lit(name).alias("span"))
     sides = compared(s)
     inner = F.array(
@@ -155,7 +159,8 @@ def extract(texts: DataFrame, key: str, text: str) -> DataFrame:
         span(F.get(sides, F.lit(0)), "comparative_subject_claim"),
         span(F.get(sides, F.lit(1)), "comparative_reference_claim"),
     )
-    listed = F.filter(inner, lambda x: x["claim"].isNotNull())
+    several = any_of(s, (*REPORTING, *LESS_OR_MORE.split("|")))
+    listed = F.when(several, F.filter(inner, lambda x: x["claim"].isNotNull())).otherwise(F.array(span(s, "sentence")))
     rows = parts.select("*", F.posexplode(listed).alias("inner", "found")).select("*", "found.*")
     c = F.col("claim")
     rows = rows.select(
@@ -163,7 +168,7 @@ def extract(texts: DataFrame, key: str, text: str) -> DataFrame:
         F.col(key).alias("evidence_id"),
         "claim",
         "span",
-        F.array_distinct(F.concat(entities(c), F.col("names"))).alias("entities"),
+        F.when(F.col("inner") == 0, F.col("names")).otherwise(F.array_distinct(F.concat(entities(c), F.col("names")))).alias("entities"),
         number_tokens(c).alias("numbers"),
         times(c).alias("times"),
         claim_type(c).alias("claim_type"),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import where_any
+
 # The words by which claims are told to be about an attribute, a qualifier, a period or a unit.
 ATTRIBUTES = {
     "revenue": "营收 收入 revenue",
@@ -107,7 +109,7 @@ def time_keys(text: Column) -> Column:
 
 def number_tokens(text: Column) -> Column:
     """Numbers with their units, as written."""
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda t: F.trim(t))
+    return where_any(text, text.rlike("[0-9]"), F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda t: F.trim(t)))
 
 
 def value(token: Column) -> Column:

@@ -405,6 +405,28 @@ def test_embedded_claims(spark):
     assert ("a#0.1", "a#0.2") in edges and not any("a#0.1" in e and "b#0" in e for e in edges)
 
 
+def test_claims_split_once(spark):
+    """Texts are split into sentences once, not again to filter on their number; only sentences that speak of the company have the names of the whole text."""
+    rows = spark.createDataFrame([("a", "Acme 该公司 went on. Zeta stood where it was.\r\nIt cost 3.5 in May \u2028Nobody saw Last Week!"), ("b", None), ("c", "")], "evidence string, body string")
+    made = conflict.extract(rows, "evidence", "body")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("[.!?。！？]") == 1
+    got = [(r["claim_id"], r["claim"], r["entities"], r["numbers"], r["times"]) for r in made.orderBy("claim_id").collect()]
+    assert got == [
+        ("a#0", "Acme 该公司 went on.", ["Acme", "Zeta", "It", "May", "Nobody", "Last Week"], [], []),
+        ("a#1", "Zeta stood where it was.", ["Zeta"], [], []),
+        ("a#2", "It cost 3.5 in May \u2028Nobody saw Last Week!", ["It", "May", "Nobody", "Last Week"], ["3.5"], ["May", "last week"]),
+    ]
+
+
+def test_words_within_words_are_looked_for_once(spark):
+    """A word that holds another one of the list adds nothing; patterns are tried only where one of their words is."""
+    words = ("声称", "媒体声称", "part", "parts", "apart")
+    assert conflict.any_of(F.lit("x"), words)._jc.toString().count("contains") == 2
+    cases = ["媒体声称", "two parts", "a part", "none", ""]
+    rows = spark.createDataFrame([(x,) for x in cases], "x string").select("x", conflict.any_of(F.col("x"), words).alias("hit"))
+    assert {r["x"]: r["hit"] for r in rows.collect()} == {x: any(w in x for w in words) for x in cases}
+
+
 def test_optional_rules(spark):
     texts = [("Sales of Acme grew worldwide.", "Sales of Acme grew in one region."), ("Daily sales of Acme grew.", "Annual sales of Acme grew.")]
     for (a, b), kind, option in zip(texts, ("scope_conflict", "granularity_conflict"), ("scope", "grain"), strict=True):
