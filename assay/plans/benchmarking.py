@@ -77,9 +77,12 @@ def _evidence_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
     docs = gold(spark, sf).withColumn("n", F.row_number().over(order))
     spans = docs.select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     ids = spans.select("query_id", "doc_id", F.concat(F.lit("E"), F.col("n") * 2 + F.col("k")).alias("evidence_id"), F.col("k").alias("seq"))
-    inside = docs.select("query_id", F.concat(F.lit("E"), F.col("n") * 2).alias("a"), F.concat(F.lit("E"), F.col("n") * 2 + 1).alias("b"))
-    between = docs.select("query_id", F.concat(F.lit("E"), F.col("n") * 2).alias("a"), F.when(F.lead("n").over(order).isNotNull(), F.concat(F.lit("E"), F.col("n") * 2 + 2)).alias("b")).filter("b is not null")
-    return predicted, ids, inside.unionByName(between)
+    at = lambda i: F.concat(F.lit("E"), F.col("n") * 2 + i)
+    inside = F.struct(at(0).alias("a"), at(1).alias("b"))
+    between = F.when(F.lead("n").over(order).isNotNull(), F.struct(at(0).alias("a"), at(2).alias("b")))
+    # from one row: Spark takes a union of tables dealt by one key as dealt by it too, though partitions of either may be joined differently
+    want = docs.select("query_id", F.array(inside, between).alias("pairs")).select("query_id", F.explode("pairs").alias("pair")).filter("pair is not null")
+    return predicted, ids, want.select("query_id", "pair.a", "pair.b")
 
 
 def gold_conflicts(spark: SparkSession, sf: str) -> DataFrame:
