@@ -4,11 +4,13 @@
 need a common entity, so claims meet on the entities they name (lower case), each pair once.
 Rules are tried in order and the first that holds names the edge, as one expression of the plan. What
 rules compare is read once a class of claims alike in all that rules read, before classes meet (``slots``); the edge of
-two classes is that of their members, whatever their number.
+two classes is that of their members, whatever their number. Classes that differ only in their letters and numbers are of one kind: rules look at pairs
+of kinds, and what is left of pairs of classes, likeness and ratios, are matrices of blocks of them (``meeting``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entities, jaccard, ngrams, sentences, where_any, years
 from ..scratch import saved
+from .meeting import BLOCK, MET, meeting
+from .retrieval import batched
 from .similarity import LEAST, alike, sets_alike
-from .slots import DATED, RATIO, SEVERE, VALUE_ATTRIBUTES, differs, number_tokens, numeric_ratio, profiled, same_qualifiers, same_slot, same_time
+from .slots import DATED, RATIO, SEVERE, UNATTRIBUTED, VALUE_ATTRIBUTES, differs, number_tokens, numeric_ratio, profiled, same_qualifiers, same_slot, same_time, slot_parts
 
 # Words by which claims are classified.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -236,23 +240,41 @@ def focused(edges: DataFrame, claims: DataFrame, question: str) -> DataFrame:
     return ends.filter(F.col("s") | F.col("t") | (F.size(asked) == 0)).select(*edges.columns)
 
 
-def _opposed(x: Column, y: Column, pairs_: tuple[tuple[str, str], ...]) -> Column:
-    """Whether one text has the first and the other the second word of a pair."""
-    return reduce(lambda a, b: a | b, [(F.contains(x, F.lit(p)) & F.contains(y, F.lit(n))) | (F.contains(x, F.lit(n)) & F.contains(y, F.lit(p))) for p, n in pairs_])
+def _opposed(x: Column, y: Column) -> Column:
+    """Whether one text has the first and the other the second word of a pair (``_sides``)."""
+    return F.arrays_overlap(x["one"], y["other"]) | F.arrays_overlap(x["other"], y["one"])
 
 
-def rules(optional: tuple[str, ...] = (), x: str = "x", y: str = "y", together: Column | None = None) -> Column:
-    """struct(conflict_type, confidence, severity) of the first rule that holds for a pair of profiled claims that share an entity, or null.
+def _sides(pairs_: tuple[tuple[str, str], ...], has: Callable[[Column], Column]) -> Column:
+    """struct(one, other): the places of ``pairs_`` of which a text has the first and the second word."""
+    side = lambda k: F.filter(F.sequence(F.lit(0), F.lit(len(pairs_) - 1)), lambda i: has(F.get(F.array(*[F.lit(p[k]) for p in pairs_]), i)))
+    return F.struct(side(0).alias("one"), side(1).alias("other"))
 
-    ``together``: whether they are of one evidence, told by their ``evidence_id`` if not given.
-    """
-    cx, cy = F.col(f"{x}.low"), F.col(f"{y}.low")
-    similarity = F.col("similarity")
-    extra = {name: OPTIONAL[name](x, y) if name in optional else F.lit(None) for name in OPTIONAL}
-    slot = lambda least, timed=True: same_slot(similarity, least, x, y, timed)
-    ratio = F.when(slot(0.0), numeric_ratio(x, y))
-    together = F.col(f"{x}.evidence_id") == F.col(f"{y}.evidence_id") if together is None else together
-    contrast = together & F.col(f"{x}.compares") & same_time(x, y) & same_qualifiers(x, y) & differs(x, y)
+
+def worded(low: Column) -> dict[str, Column]:
+    """What rules read of the words of a claim, read once a claim."""
+    within = lambda w: F.contains(low, w)
+    return {
+        "negated": _sides(NEGATED, within),
+        "contradicted": _sides(CONTRADICTED, within),
+        "ordered": _sides(ORDERED, lambda w: F.exists("times", lambda t: F.contains(F.lower(t), w))),
+        **{name: any_of(low, words) for name, words in (("broad", BROAD), ("narrow", NARROW), ("cause", CAUSE), ("no_cause", NO_CAUSE))},
+        "defined": definition(low),
+    }
+
+
+def _numeric(ratio: Column) -> Column:
+    return F.when(ratio.isNotNull(), _edge("numeric_conflict", F.least(F.lit(0.9), 0.5 + (ratio - RATIO) / 2), F.when(ratio > SEVERE, "high").otherwise("medium")))
+
+
+def _support(similarity: Column) -> Column:
+    return F.when(similarity >= SUPPORT_SHARED, _edge("support", F.round(F.least(F.lit(0.95), similarity), 3), "low"))
+
+
+def _conditions(optional: tuple[str, ...], x: str = "x", y: str = "y") -> dict[str, Column]:
+    """What rules ask of a pair of prepared claims, whatever their numbers and their likeness. Only ``forth`` and ``back`` depend on which comes first."""
+    of = lambda name: (F.col(f"{x}.{name}"), F.col(f"{y}.{name}"))
+    either = lambda a, b: (F.col(f"{x}.{a}") & F.col(f"{y}.{b}")) | (F.col(f"{x}.{b}") & F.col(f"{y}.{a}"))
     values = F.arrays_overlap(F.array_intersect(f"{x}.attributes", f"{y}.attributes"), F.array(*map(F.lit, VALUE_ATTRIBUTES)))
     apart = (F.size(F.array_except(f"{x}.entities", f"{y}.entities")) > 0) & (F.size(F.array_except(f"{y}.entities", f"{x}.entities")) > 0)
     dated = reduce(
@@ -263,29 +285,51 @@ def rules(optional: tuple[str, ...] = (), x: str = "x", y: str = "y", together:
             for n in DATED
         ],
     )
-    said = lambda side, word: F.exists(f"{side}.times", lambda t: F.contains(F.lower(t), F.lit(word)))
-    ordered = reduce(lambda a, b: a | b, [said(x, first) & said(y, second) for first, second in ORDERED])
-    scope = (any_of(cx, BROAD) & any_of(cy, NARROW)) | (any_of(cy, BROAD) & any_of(cx, NARROW))
-    causal = (any_of(cx, CAUSE) & any_of(cy, NO_CAUSE)) | (any_of(cx, NO_CAUSE) & any_of(cy, CAUSE))
-    defined_x, defined_y = definition(cx), definition(cy)
+    first, second = of("ordered")
+    return {
+        **slot_parts(x, y),
+        "mismatch": apart & values,
+        "negated": _opposed(*of("negated")),
+        "dated": dated,
+        "forth": F.arrays_overlap(first["one"], second["other"]),
+        "back": F.arrays_overlap(second["one"], first["other"]),
+        "scope": either("broad", "narrow"),
+        "causal": either("cause", "no_cause"),
+        "defined": F.col(f"{x}.defined") != F.col(f"{y}.defined"),
+        "contradicted": _opposed(*of("contradicted")),
+        **{f"optional_{name}": OPTIONAL[name](x, y) for name in optional},
+    }
+
+
+def _between(optional: tuple[str, ...], c: dict[str, Column], alike: Column, ordered: str = "forth") -> Column:
+    """The edge that holds by ``_conditions``, whatever the numbers; null without one."""
+    slot = same_slot(c, alike)
+    extra = {name: c[f"optional_{name}"] if name in optional else F.lit(None) for name in OPTIONAL}
     return F.coalesce(
-        F.when(contrast, _edge("numeric_conflict", 0.78, "high")),
-        F.when(ratio.isNotNull(), _edge("numeric_conflict", F.least(F.lit(0.9), 0.5 + (ratio - RATIO) / 2), F.when(ratio > SEVERE, "high").otherwise("medium"))),
-        F.when(apart & values & slot(0.35), _edge("entity_mismatch", 0.7, "medium")),
-        F.when(_opposed(cx, cy, NEGATED), _edge("entity_mismatch", 0.8, "high")),
-        F.when(dated & slot(0.35, False), _edge("temporal_conflict", 0.7, "medium")),
-        F.when(ordered, _edge("temporal_conflict", 0.6, "medium")),
-        F.when(scope & slot(0.25), _edge("scope_conflict", 0.75, "high")),
+        F.when(c["mismatch"] & slot & c["timed"], _edge("entity_mismatch", 0.7, "medium")),
+        F.when(c["negated"], _edge("entity_mismatch", 0.8, "high")),
+        F.when(c["dated"] & slot, _edge("temporal_conflict", 0.7, "medium")),
+        F.when(c[ordered], _edge("temporal_conflict", 0.6, "medium")),
+        F.when(c["scope"] & slot & c["timed"], _edge("scope_conflict", 0.75, "high")),
         extra["scope"],
-        F.when(causal & slot(0.35, False), _edge("causal_conflict", 0.6, "high")),
+        F.when(c["causal"] & slot, _edge("causal_conflict", 0.6, "high")),
         extra["grain"],
-        F.when(defined_x.isNotNull() & defined_y.isNotNull() & (defined_x != defined_y), _edge("definitional_conflict", 0.6, "medium")),
+        F.when(c["defined"], _edge("definitional_conflict", 0.6, "medium")),
         extra["source"],
-        F.when(_opposed(cx, cy, CONTRADICTED) & slot(0.25), _edge("refute", 0.75, "high")),
-        F.when(similarity >= SUPPORT_SHARED, _edge("support", F.round(F.least(F.lit(0.95), similarity), 3), "low")),
+        F.when(c["contradicted"] & slot & c["timed"], _edge("refute", 0.75, "high")),
     )
 
 
+def rules(optional: tuple[str, ...] = (), x: str = "x", y: str = "y") -> Column:
+    """struct(conflict_type, confidence, severity) of the first rule that holds for a pair of prepared claims that share an entity, or null."""
+    similarity, c = F.col("similarity"), _conditions(optional, x, y)
+    alike = similarity >= UNATTRIBUTED
+    together = F.col(f"{x}.evidence_id") == F.col(f"{y}.evidence_id")
+    contrast = together & F.col(f"{x}.compares") & same_time(x, y) & same_qualifiers(x, y) & differs(x, y)
+    ratio = F.when(same_slot(c, alike) & c["timed"], numeric_ratio(x, y))
+    return F.coalesce(F.when(contrast, _edge("numeric_conflict", 0.78, "high")), _numeric(ratio), _between(optional, c, alike), _support(similarity))
+
+
 def explicit(x: str = "x", y: str = "y") -> Column:
     """Whether two claims of one evidence are set against each other by it."""
     cx, cy = F.col(f"{x}.low"), F.col(f"{y}.low")
@@ -302,11 +346,15 @@ def _known(claims: DataFrame) -> DataFrame:
     return claims.withColumns({c: v for c, v in {**known, "times": F.array().cast("array<string>")}.items() if c not in claims.columns})
 
 
-def prepared(claims: DataFrame) -> DataFrame:
-    """Profiles of claims."""
-    claims = _known(claims)
+def _read(claims: DataFrame) -> DataFrame:
+    """Profiles of claims, but for the letters of their texts."""
     keys = F.array_sort(F.array_distinct(F.transform("entities", F.lower)))
-    return profiled(claims).withColumns({"grams": ngrams(F.col("low"), 2), "keys": keys})
+    return profiled(_known(claims)).withColumns({"keys": keys, **worded(F.col("low"))})
+
+
+def prepared(claims: DataFrame) -> DataFrame:
+    """Profiles of claims, written once: with all they are made of in one plan with the rules, the optimizer may not end."""
+    return saved(_read(claims).withColumn("grams", ngrams(F.col("low"), 2)), "prepared")
 
 
 def pairs(claims: DataFrame, others: DataFrame | None = None) -> DataFrame:
@@ -340,20 +388,69 @@ def classed(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of claims that no rule can tell apart (c, READ, n members and their first and last id), and members (claim_id, evidence_id, c)."""
     rows = _known(claims).filter("claim_id is not null and evidence_id is not null")
     read = [c for c in READ if c in rows.columns]
-    rows = rows.select("claim_id", "evidence_id", *read, F.sha2(F.to_json(F.struct(*read)), 256).alias("digest"))
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("claim_id", "evidence_id", *read).repartition(parts, "claim_id")  # claims may come from a file of few parts
+    rows = rows.withColumn("digest", F.sha2(F.to_json(F.struct(*read)), 256))
     own = [F.min("claim_id").alias("first"), F.max("claim_id").alias("last"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in read]]
     classes = saved(rows.groupBy("digest").agg(*own).withColumn("c", F.monotonically_increasing_id()), "classes")
     return classes, saved(rows.select("claim_id", "evidence_id", "digest").join(classes.select("digest", "c"), "digest").drop("digest"), "members")
 
 
-def class_edges(classes: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
-    """(c, d, edge): the edge of a member of class c and one of class d with a larger id and other evidence, for all classes that have such members by their ids."""
-    rows = prepared(classes).filter("not corrected")
-    side = lambda x: rows.select(F.explode("keys").alias("entity"), F.struct(*rows.columns).alias(x))
-    met = side("x").join(side("y"), "entity").filter("x.first < y.last")
+#: What rules read of a claim besides its letters and numbers.
+KIND = (
+    "entities", "negated", "contradicted", "ordered", "broad", "narrow", "cause", "no_cause", "defined",
+    "attributes", "time_keys", "revenue", "sales", "emissions", "aims_temperature", "aims_qubits", "contrasts", *(f"{n}_in" for n in DATED),
+)
+#: Of claims, if optional rules are asked for.
+KIND_OPTIONAL = ("claim", "source_rank")
+
+
+def class_edges(classes: DataFrame, optional: tuple[str, ...] = (), types: tuple[str, ...] | None = None, crowded: DataFrame | None = None, unique: bool = True) -> DataFrame:
+    """(c, d, n, edge): the edge of a member of class c and one of class d with a larger id and other evidence, for all classes that have such members by their ids; of ``types`` only, if given.
+
+    With ``crowded`` (c), classes of which a member shares its evidence with another claim, edges of others come as sums where they can (``meeting``): c and d are null, n are the pairs of members.
+    Rules look at pairs of kinds that share an entity; the classes of a kind are dealt to blocks, and a task gets pairs of blocks.
+    """
+    rows = _read(classes).filter("not corrected")
+    own = [c for c in (*KIND, *(KIND_OPTIONAL if optional else ())) if c in rows.columns]
+    rows = rows.select("c", "first", "last", "n", "low", "quantities", "keys", *own, F.sha2(F.to_json(F.struct(*own)), 256).alias("kind"))
+    if crowded is not None:
+        rows = rows.join(crowded.withColumn("crowded", F.lit(True)), "c", "left").withColumn("lone", F.col("crowded").isNull()).drop("crowded")
+    else:
+        rows = rows.withColumn("lone", F.lit(False))
+    rows = saved(rows, "profiles")
+    kinds = saved(rows.groupBy("kind").agg(F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("keys", *own)]), "kinds")
+
+    side = lambda x: kinds.select(F.explode("keys").alias("entity"), F.struct(*kinds.columns).alias(x))
+    met = side("x").join(side("y"), "entity").filter("x.kind <= y.kind")
     met = met.filter(F.col("entity") == F.array_min(F.array_intersect("x.keys", "y.keys")))
-    scored = met.withColumn("similarity", jaccard(F.col("x.grams"), F.col("y.grams")))
-    return scored.select(F.col("x.c").alias("c"), F.col("y.c").alias("d"), rules(optional, together=F.lit(False)).alias("edge")).filter("edge is not null")
+    blocks = lambda x: F.ceil(F.col(f"{x}.size") / BLOCK).cast("int")
+    asked = _conditions(optional)
+    met = met.select(F.col("x.kind").alias("x"), F.col("y.kind").alias("y"), blocks("x").alias("of_x"), blocks("y").alias("of_y"), *[c.alias(f"is_{k}") for k, c in asked.items()])
+    told = {k: F.col(f"is_{k}") for k in asked}
+    outcome = {"same": F.col("x") == F.col("y")}
+    for i, alike_ in enumerate((F.lit(False), F.lit(True))):
+        outcome[f"num{i}"] = F.coalesce(same_slot(told, alike_) & told["timed"], F.lit(False))
+        outcome[f"xy{i}"], outcome[f"yx{i}"] = (_between(optional, told, alike_, way) for way in ("forth", "back"))
+    pairs_ = met.select("x", "y", "of_x", "of_y", *[c.alias(k) for k, c in outcome.items()])
+    pairs_ = pairs_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of_x") - 1)))
+    pairs_ = pairs_.withColumn("j", F.explode(F.sequence(F.when(F.col("same"), F.col("i")).otherwise(0), F.col("of_y") - 1)))
+    pairs_ = pairs_.withColumn("same", F.col("same") & (F.col("i") == F.col("j")))
+
+    large = kinds.filter(F.col("size") > BLOCK).select("kind", "size")
+    rows = rows.select("kind", F.struct("c", "first", "last", "n", "lone", "low", "quantities").alias("row"))
+    if large.isEmpty():
+        rows = rows.withColumn("block", F.lit(0))
+    else:
+        number = F.pmod(F.xxhash64("row.c"), F.ceil(F.col("size") / BLOCK)).cast("int")
+        rows = rows.join(large, "kind", "left").withColumn("block", F.coalesce(number, F.lit(0)))
+    dealt = rows.groupBy("kind", "block").agg(F.collect_list("row").alias("rows"))
+    of = lambda x, i: dealt.select(F.col("kind").alias(x), F.col("block").alias(i), F.col("rows").alias(f"{x}s"))
+    both = pairs_.join(of("x", "i"), ["x", "i"]).join(of("y", "j"), ["y", "j"])
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, "x", "i", "y", "j").select("same", "num0", "num1", "xy0", "yx0", "xy1", "yx1", "xs", "ys")
+    found = batched(both).mapInArrow(meeting(types, SUPPORT_SHARED, crowded is not None, unique), MET)
+    return found.select("c", "d", "n", F.coalesce("edge", _numeric(F.col("ratio")), _support(F.col("similarity"))).alias("edge"))
 
 
 def _expanded(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -362,9 +459,13 @@ def _expanded(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(a, "c").join(b, "d").filter("source_id < target_id and e <> f").drop("c", "d", "e", "f")
 
 
-def _single(claims: DataFrame, optional: tuple[str, ...]) -> DataFrame:
+def _several(members: DataFrame) -> DataFrame:
+    """Evidence with more claims than one."""
+    return members.groupBy("evidence_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("evidence_id")
+
+
+def _single(claims: DataFrame, several: DataFrame, optional: tuple[str, ...]) -> DataFrame:
     """Edges between claims of one evidence, where it sets them against each other, and of claims that refute themselves."""
-    several = claims.groupBy("evidence_id").agg(F.count("*").alias("__n")).filter("__n > 1 and evidence_id is not null").select("evidence_id")
     if several.isEmpty():  # spares a plan as large as that of all rules
         return self_refuting(claims)
     rows = prepared(claims.join(several, "evidence_id", "left_semi"))
@@ -374,14 +475,15 @@ def _single(claims: DataFrame, optional: tuple[str, ...]) -> DataFrame:
     return _edges(met, optional).unionByName(self_refuting(claims))
 
 
-def detect(claims: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
-    """(source_id, target_id, conflict_type, confidence, severity) of all rule edges between claims, and of claims that refute themselves.
+def detect(claims: DataFrame, optional: tuple[str, ...] = (), types: tuple[str, ...] | None = None) -> DataFrame:
+    """(source_id, target_id, conflict_type, confidence, severity) of all rule edges between claims, and of claims that refute themselves; of ``types`` only, if given.
 
-    Rules look at pairs of classes; only their edges are made those of members, by two joins of ids.
+    Classes meet; only their edges are made those of members, by two joins of ids.
     """
     classes, members = classed(claims)
-    apart = _expanded(class_edges(classes, optional).select("c", "d", "edge.*"), members)
-    return apart.unionByName(_single(claims, optional))
+    apart = _expanded(class_edges(classes, optional, types).select("c", "d", "edge.*"), members)
+    single = _single(claims, _several(members), optional)
+    return apart.unionByName(single if types is None else single.filter(F.col("conflict_type").isin(*types)))
 
 
 def summed(claims: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
@@ -391,26 +493,28 @@ def summed(claims: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
     two claims has the smaller id, or ids are not unique, are members looked at.
     """
     classes, members = classed(claims)
-    edges = saved(class_edges(classes, optional), "edges")
+    shared = saved(_several(members), "several")
+    crowded = members.join(shared, "evidence_id", "left_semi").select("c").distinct()
+    twice = members.groupBy("claim_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    found = saved(class_edges(classes, optional, crowded=crowded, unique=twice), "edges")
+    edges = found.filter("c is not null").select("c", "d", "edge")
     sizes = classes.select("c", "first", "last", "n")
     low, high = F.least("c", "d").alias("p"), F.greatest("c", "d").alias("q")
     both = edges.groupBy(low, high).agg(F.count("*").alias("ways"), F.count_distinct("edge").alias("kinds"), F.min("c").alias("c"), F.min("edge").alias("edge"))
     one, two = (sizes.select(*[F.col(c).alias(f"{s}_{c}") for c in sizes.columns]) for s in "pq")
     both = both.join(one, F.col("p") == F.col("p_c")).join(two, F.col("q") == F.col("q_c"))
     ordered = (F.col("p_last") < F.col("q_first")) | (F.col("q_last") < F.col("p_first"))
-    twice = members.groupBy("claim_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     whole = ((F.col("p") == F.col("q")) | ordered | ((F.col("ways") == 2) & (F.col("kinds") == 1))) & F.lit(twice)
     both = saved(both.withColumn("whole", whole), "pairs")
     every = both.filter("whole").select("p", "q", "edge", F.when(F.col("p") == F.col("q"), F.expr("p_n * (p_n - 1) div 2")).otherwise(F.col("p_n") * F.col("q_n")).alias("n"))
     by = members.groupBy("c", "evidence_id").agg(F.count("*").alias("m"))
     side = lambda x, m: by.select(F.col("c").alias(x), "evidence_id", F.col("m").alias(m))
-    shared = by.groupBy("evidence_id").agg(F.sum("m").alias("of")).filter("of > 1").select("evidence_id")
     inside = every.join(side("p", "pm").join(shared, "evidence_id", "left_semi"), "p").join(side("q", "qm"), ["q", "evidence_id"])
     inside = inside.select("edge", (-F.when(F.col("p") == F.col("q"), F.expr("pm * (pm - 1) div 2")).otherwise(F.col("pm") * F.col("qm"))).alias("n"))
     split = both.filter("not whole").select("p", "q")
     rest = _expanded(edges.join(split, (F.least("c", "d") == F.col("p")) & (F.greatest("c", "d") == F.col("q")), "left_semi"), members).select("edge")
-    loose = _single(claims, optional).select(F.struct("conflict_type", "confidence", "severity").alias("edge")).unionByName(rest)
-    rows = every.select("edge", "n").unionByName(inside).unionByName(loose.select("edge", F.lit(1).cast("long").alias("n")))
+    loose = _single(claims, shared, optional).select(F.struct("conflict_type", "confidence", "severity").alias("edge")).unionByName(rest)
+    rows = found.filter("c is null").select("edge", "n").unionByName(every.select("edge", "n")).unionByName(inside).unionByName(loose.select("edge", F.lit(1).cast("long").alias("n")))
     counts = rows.groupBy("edge").agg(F.sum("n").alias("n")).filter("n > 0").select("edge.*", "n")
     mean = F.sum(F.col("confidence") * F.col("n")) / F.sum("n")
     return counts.groupBy("conflict_type", "severity").agg(F.sum("n").alias("n"), mean.alias("confidence"))

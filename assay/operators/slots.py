@@ -62,12 +62,16 @@ DATED = {"effective": "生效 适用 effective take_effect", "founded": "成立
 CLAUSE = "[，,；;。]|而且|并且|同时|不过|然而"
 ROLES = ("manufacturer", "export")
 ANNUAL = ("全年", "年度", "财年", "annual", "yearly")
+#: What a text has that names a year or a quarter; looked for before the patterns.
+CENTURIES, QUARTER = ("19", "20"), ("Q", "q", "季度")
 QUARTERS = {"1": "1一", "2": "2二", "3": "3三", "4": "4四"}
 TARGET_TEMPERATURE = ("目标", "以内", "控制在", "减排")
 TARGET_QUBITS = ("需要", "至少", "目标", "预计", "计划", "required", "target")
 CONTRAST = ("与{}不同", "和{}不同", "不同于{}", "unlike {}")
 UNITS = "°C|℃|年|月|日|天|小时|分钟|秒|万美元|亿元|欧元|美元|元|亿|万|nm|纳米|厘米|公里|km|米|吨|个|量子比特|qubits?|FLOPS|%"
 NUMBER = rf"(?<![A-Za-z])[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?%?\s*(?:{UNITS})?"
+#: A token with more than digits, of which alone no unit is named.
+MARKED = r"[^0-9.,\s]"
 UNIT_CLASSES = (
     ("percent", "%|percent"), ("money", "元|\\$|€"), ("magnitude", "万|亿"), ("temperature", "°c|℃|摄氏度"), ("length", "nm|纳米|厘米|米|km|公里"),
     ("duration", "秒|分钟|小时|天|年"), ("qubit", "量子比特|qubit"),
@@ -91,8 +95,9 @@ def _named(text: Column, table: dict[str, str]) -> Column:
     return F.filter(F.array(*[F.when(_has(text, words), F.lit(name)) for name, words in table.items()]), lambda x: x.isNotNull())
 
 
-def attributes(text: Column) -> Column:
-    low = F.lower(text)
+def attributes(text: Column, low: Column | None = None) -> Column:
+    """``low``: the text in lower case, where it is there."""
+    low = F.lower(text) if low is None else low
     not_passed = F.lit(False)
     for pattern in NOT_PASSED:
         not_passed = not_passed | low.rlike(pattern)
@@ -101,10 +106,12 @@ def attributes(text: Column) -> Column:
 
 def time_keys(text: Column) -> Column:
     """Years, quarters and the annual period that a claim names, as ``year:2020``, ``quarter:3``, ``period:annual``."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1)), lambda y: F.concat(F.lit("year:"), y))
+    years = where_any(text, _has(text, CENTURIES), F.regexp_extract_all(text, F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1)))
+    found = F.transform(years, lambda y: F.concat(F.lit("year:"), y))
     quarters = F.array(*[F.when(text.rlike(f"[Qq]{q}(?![0-9])|第?[{marks}]季度"), F.lit(f"quarter:{q}")) for q, marks in QUARTERS.items()])
     annual = F.when(_has(text, ANNUAL), F.array(F.lit("period:annual"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(found, F.filter(quarters, lambda x: x.isNotNull()), annual))
+    named = where_any(text, _has(text, QUARTER), F.filter(quarters, lambda x: x.isNotNull()))
+    return F.array_distinct(F.concat(found, named, annual))
 
 
 def number_tokens(text: Column) -> Column:
@@ -120,7 +127,7 @@ def value(token: Column) -> Column:
 
 def unit_class(token: Column) -> Column:
     low = F.lower(token)
-    out = F.when(F.lit(False), "")
+    out = F.when(~token.rlike(MARKED), "plain")
     for name, pattern in UNIT_CLASSES:
         out = out.when(low.rlike(pattern), name)
     return out.otherwise("plain")
@@ -136,10 +143,11 @@ def context_class(token: Column, text: Column) -> Column:
     at = F.call_function("locate", low, F.lower(text))
     window = F.substr(text, F.greatest(F.lit(1), at - 16), F.length(token) + 18 + F.least(at - 1, F.lit(16)))
     after = F.substr(text, at + F.length(token), F.lit(18))
+    marked = token.rlike(MARKED)
     return (
-        F.when(low.rlike("秒|分钟|小时|天|年"), "duration")
-        .when(low.rlike("%|percent"), "percentage")
-        .when(low.rlike(r"元|\$|€"), "money")
+        F.when(marked & low.rlike("秒|分钟|小时|天|年"), "duration")
+        .when(marked & low.rlike("%|percent"), "percentage")
+        .when(marked & low.rlike(r"元|\$|€"), "money")
         .when(at == 0, "quantity")
         .when(after.rlike(r"^\s*(秒|分钟|小时|天|年)"), "duration")
         .when(after.rlike(r"(?i)^(\s*个?(物理|逻辑)?量子比特|\s*qubit)"), "qubits")
@@ -155,7 +163,7 @@ def of_date(token: Column, text: Column) -> Column:
     whole = F.floor(F.regexp_replace(token, "[^0-9.]", "").try_cast("double"))
     day = token.rlike(r"[0-9]\s*[月日]")
     dated = lambda pattern: F.call_function("regexp_like", text, pattern)
-    span = (digits != "") & dated(F.concat(F.lit("(?<![0-9])"), digits, F.lit(r"\s*[-–至到]\s*[0-9]{1,2}\s*月")))
+    span = (digits != "") & F.contains(text, F.lit("月")) & dated(F.concat(F.lit("(?<![0-9])"), digits, F.lit(r"\s*[-–至到]\s*[0-9]{1,2}\s*月")))
     quarter = digits.isin("1", "2", "3", "4") & dated(F.concat(F.lit("[Qq]"), digits, F.lit("|第?"), digits, F.lit("季度")))
     return F.coalesce(whole.between(1800, 2099), F.lit(False)) | day | span | quarter
 
@@ -177,17 +185,17 @@ def dates_of(text: Column, words: str) -> Column:
         own = F.when(F.size(years(c)) > 0, years(c)).when(F.length(before) <= 40, years(before)).otherwise(none)
         return F.when(_has(c, words), own).otherwise(none)
 
-    return F.array_distinct(F.flatten(F.transform(clauses, of)))
+    return where_any(text, _has(text, words), F.array_distinct(F.flatten(F.transform(clauses, of))))
 
 
 def profiled(claims: DataFrame) -> DataFrame:
     """``claims`` (claim, entities, numbers, ...) with the features that slots compare."""
-    c, low = F.col("claim"), F.lower("claim")
+    claims = claims.withColumn("low", F.lower("claim"))  # a step of its own, so that it is made once
+    c, low = F.col("claim"), F.col("low")
     contrast = F.filter("entities", lambda e: (e != "") & _exists(low, F.lower(e)))
     return claims.withColumns(
         {
-            "low": low,
-            "attributes": attributes(c),
+            "attributes": attributes(c, low),
             "time_keys": time_keys(c),
             "quantities": quantities(F.col("numbers"), c),
             "revenue": _named(c, REVENUE),
@@ -240,13 +248,21 @@ def same_qualifiers(x: str = "x", y: str = "y") -> Column:
     )
 
 
-def same_slot(similarity: Column, least: float, x: str = "x", y: str = "y", timed: bool = True) -> Column:
-    """Whether two claims that share an entity state the same kind of fact: a common attribute, or, where one has none, a similar text."""
+def slot_parts(x: str = "x", y: str = "y") -> dict[str, Column]:
+    """What tells whether two claims that share an entity state the same kind of fact, but for their likeness: see ``same_slot``."""
     shared = F.array_intersect(f"{x}.entities", f"{y}.entities")
     contrasted = F.arrays_overlap(shared, F.array_union(f"{x}.contrasts", f"{y}.contrasts"))
-    named = (F.size(f"{x}.attributes") > 0) & (F.size(f"{y}.attributes") > 0)
-    alike = F.when(named, F.arrays_overlap(f"{x}.attributes", f"{y}.attributes")).otherwise(similarity >= max(least, UNATTRIBUTED))
-    return (F.size(shared) > 0) & ~contrasted & same_qualifiers(x, y) & alike & (same_time(x, y) if timed else F.lit(True))
+    return {
+        "meets": (F.size(shared) > 0) & ~contrasted & same_qualifiers(x, y),
+        "named": (F.size(f"{x}.attributes") > 0) & (F.size(f"{y}.attributes") > 0),
+        "common": F.arrays_overlap(f"{x}.attributes", f"{y}.attributes"),
+        "timed": same_time(x, y),
+    }
+
+
+def same_slot(parts: dict[str, Column], alike: Column) -> Column:
+    """Whether claims are of one slot, whatever their times: a common attribute, or, where one has none, ``alike``: a similarity of UNATTRIBUTED or more."""
+    return parts["meets"] & F.when(parts["named"], parts["common"]).otherwise(alike)
 
 
 def numeric_ratio(x: str = "x", y: str = "y") -> Column:

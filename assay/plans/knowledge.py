@@ -115,7 +115,7 @@ def _part_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numeric_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    edges = conflict.detect(_part_claims(spark, sf)).filter("conflict_type = 'numeric_conflict'")
+    edges = conflict.detect(_part_claims(spark, sf), types=("numeric_conflict",))
     return edges.select("source_id", "target_id", F.round(F.round("confidence", 9), 6).alias("confidence"), "severity")
 
 
@@ -132,7 +132,7 @@ def _sales_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def fact_slots(spark: SparkSession, sf: str) -> DataFrame:
     """Accounts of one nation's sales that differ: only those of one quarter of one year are of one fact."""
-    edges = conflict.detect(_sales_claims(spark, sf)).filter("conflict_type = 'numeric_conflict'")
+    edges = conflict.detect(_sales_claims(spark, sf), types=("numeric_conflict",))
     return edges.select("source_id", "target_id", F.round(F.round("confidence", 9), 6).alias("confidence"), "severity")
 
 

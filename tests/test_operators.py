@@ -280,6 +280,27 @@ def test_copies_of_claims_meet_as_one(spark):
     assert classes.count() < members.count() / 3
 
 
+def test_claims_alike_but_for_numbers_meet_as_one_kind(spark, monkeypatch):
+    """Rules look at pairs of kinds; what depends on letters and numbers is the same as for all pairs, whatever blocks classes are dealt to."""
+    texts = [f"Acme sold {1000 + 37 * i} cars in total." for i in range(30)] + [f"Acme sold {900 + 90 * i} cars, {1500 - 90 * i} in May." for i in range(6)]
+    texts += ["Acme was first before Zeta.", "Acme was last after Zeta.", "Acme was last but two after Zeta.", "Zeta is red.", "Zeta is not red.", "Acme has 12% of it.", "Acme has 30% of it.", "Acme A", "Acme sold 1000 cars in total."]
+    rows = [(f"e{i * 17 % len(texts):02d}", text, i) for i, text in enumerate(texts)] + [("e03", texts[5], 90), ("f0", texts[7], 91), ("f1", texts[36], 92)]
+    claims_ = spark.createDataFrame([(f"{i * 29 % 100:02d}", e, text, ["Acme", "Zeta"] if "Zeta" in text else ["Acme"]) for e, text, i in rows], "claim_id string, evidence_id string, claim string, entities array<string>")
+    every = claims_.withColumns({"numbers": slots.number_tokens(F.col("claim")), "times": F.filter(F.array(F.lit("before"), F.lit("after")), lambda w: F.contains("claim", w))}).localCheckpoint()
+    kept, save = {}, conflict.saved
+    monkeypatch.setattr(conflict, "saved", lambda df, name: kept.update({name: save(df, name)}) or kept[name])
+    monkeypatch.setattr(conflict, "BLOCK", 7)
+    want = conflict._edges(conflict.pairs(conflict.prepared(every)), ()).unionByName(conflict.self_refuting(every)).localCheckpoint()
+    key = lambda df: sorted((r["source_id"], r["target_id"], r["conflict_type"], r["confidence"], r["severity"]) for r in df.collect())
+    assert key(conflict.detect(every)) == key(want) and {r["conflict_type"] for r in want.collect()} >= {"numeric_conflict", "support", "temporal_conflict", "entity_mismatch"}
+    assert kept["kinds"].count() < 12 < 35 < kept["classes"].count()
+    assert key(conflict.detect(every, types=("numeric_conflict",))) == key(want.filter("conflict_type = 'numeric_conflict'"))
+    sums = want.groupBy("conflict_type", "severity").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("c"))
+    got = conflict.summed(every).select("conflict_type", "severity", "n", F.round("confidence", 9).alias("c"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sums.collect()))
+    assert kept["edges"].filter("c is null").count() > 0 < kept["edges"].filter("c is not null").count()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 30)], "a long, b long")
     assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == {2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 21: 20}
