@@ -116,7 +116,7 @@ def _part_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def numeric_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     edges = conflict.detect(_part_claims(spark, sf), types=("numeric_conflict",))
-    return edges.select("source_id", "target_id", F.round(F.round("confidence", 9), 6).alias("confidence"), "severity")
+    return edges.select("source_id", "target_id", (F.round(F.col("confidence") * 1e6) / 1e6).alias("confidence"), "severity")  # rounded once, in binary, as the SQL does
 
 
 def _sales_claims(spark: SparkSession, sf: str) -> DataFrame:

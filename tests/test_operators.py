@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import text as t
 from assay.operators import audit, chunking, conflict, control, evidence, graph, metrics, retrieval, slots, stats
-from assay.plans import benchmarking
+from assay.plans import benchmarking, knowledge
 from assay.scratch import saved
 
 
@@ -301,6 +301,16 @@ def test_claims_alike_but_for_numbers_meet_as_one_kind(spark, monkeypatch):
     assert kept["edges"].filter("c is null").count() > 0 < kept["edges"].filter("c is not null").count()
 
 
+def test_ratio_rounded_as_in_sql(spark, tmp_path):
+    """A confidence that is a binary number just below a half of the sixth digit is rounded once."""
+    import duckdb
+
+    part = str(tmp_path / "part.parquet")
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES (36::BIGINT, 903.6::DOUBLE), (977, 997.7)) v(p_partkey, p_retailprice), (SELECT 'Brand#1' AS p_brand, 'LARGE' AS p_type, 1 AS p_size)) TO '{part}'")
+    want = duckdb.sql(knowledge.ORACLES["j8_numeric_conflicts"].replace("FROM part)", f"FROM '{part}')", 1).replace("FROM part", f"FROM '{part}'", 1)).fetchall()
+    assert [tuple(r) for r in knowledge.numeric_conflicts(spark, str(tmp_path)).collect()] == want and len(want) == 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 30)], "a long, b long")
     assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == {2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 21: 20}
